@@ -21,3 +21,23 @@ def count_in_polygons(polys: DataFrame, points: DataFrame, *, poly_key="id", pol
     counts = pairs.groupBy(F.col(f"r.{poly_key}").alias(poly_key)).agg(F.count(F.lit(1)).alias(out_col))
     return (polys.join(counts, poly_key, "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0)).cast("bigint")))
+
+
+def filter_within(df: DataFrame, poly, poly_bbox, geom="geometry") -> DataFrame:
+    """Rows whose geometry lies within a literal polygon.  The bbox
+    test comes first so Parquet can skip row groups when a bbox column is
+    stored."""
+    from geoq.functions import geometry as G
+    x0, y0, x1, y1 = poly_bbox
+    b = G.bbox(F.col(geom))
+    return df.where((b.minx >= x0) & (b.maxx <= x1) & (b.miny >= y0) & (b.maxy <= y1)
+                    & G.within(F.col(geom), poly))
+
+
+def filter_intersects(df: DataFrame, poly, poly_bbox, geom="geometry") -> DataFrame:
+    """B12 with a literal polygon."""
+    from geoq.functions import geometry as G
+    x0, y0, x1, y1 = poly_bbox
+    b = G.bbox(F.col(geom))
+    return df.where((b.minx <= x1) & (b.maxx >= x0) & (b.miny <= y1) & (b.maxy >= y0)
+                    & G.intersects(F.col(geom), poly))

@@ -58,12 +58,12 @@ def with_point(df: DataFrame, srid=0) -> DataFrame:
 
 
 def poly_nation_vertices(spark: SparkSession, sf: str) -> DataFrame:
-    tmpl = spark.createDataFrame(NATION_TEMPLATE, "ring int, seq int, ox int, oy int")
-    n = read_table(spark, sf, "nation").select("n_nationkey")
+    tmpl = F.array(*[F.struct(F.lit(r).alias("ring"), F.lit(q).alias("seq"), F.lit(ox).alias("ox"),
+                              F.lit(oy).alias("oy")) for r, q, ox, oy in NATION_TEMPLATE])
     k = F.col("n_nationkey")
-    return (n.crossJoin(F.broadcast(tmpl))  # 25 x 12 fixed template rows
+    return (read_table(spark, sf, "nation").select(k, F.inline(tmpl))
             .where((F.col("ring") == 0) | (k % 5 == 2))
-            .select(k.alias("id"), "ring", "seq",
+            .select(k.cast("bigint").alias("id"), "ring", "seq",
                     ((k % 5) * NATION_GRID + F.col("ox") + F.when(k == FAR_NATION, FAR_SHIFT).otherwise(0))
                     .cast("double").alias("x"),
                     (((k - k % 5) / 5) * NATION_GRID + F.col("oy")).cast("double").alias("y")))
@@ -80,7 +80,7 @@ def poly_nation(spark: SparkSession, sf: str, non_polygon_id: bool = True) -> Da
              .agg(F.array_sort(F.collect_list(F.struct("ring", "coords"))).alias("rs"))
              .select("id", F.transform("rs", lambda e: e.coords).alias("rings")))
     nation = read_table(spark, sf, "nation").select(
-        F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+        F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
     g = G.polygon(F.col("rings"))
     if non_polygon_id:
         g = F.when(F.col("id") == NON_POLYGON_NATION, g.withField("gtype", F.lit("POINT"))).otherwise(g)

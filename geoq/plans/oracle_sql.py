@@ -82,3 +82,137 @@ SELECT g.id AS neighborhood_id, CAST(count(pip.pid) AS BIGINT) AS restaurant_cou
 FROM (SELECT DISTINCT id FROM pv WHERE id <> 3) g
 LEFT JOIN pip ON pip.gid = g.id AND pip.nx % 2 = 1 AND pip.onb = 0
 GROUP BY g.id"""
+
+
+def seg_intersects(a: str, s: str) -> str:
+    """Segments {a}(ax,ay,bx,by) and {s} intersect (boundary inclusive), by
+    orientation signs and collinear on-segment tests."""
+    def cr(p, q, rx, ry):
+        return f"sign(({p}.bx - {p}.ax)*({ry} - {p}.ay) - ({p}.by - {p}.ay)*({rx} - {p}.ax))"
+
+    def on(p, rx, ry):
+        return (f"(({p}.bx - {p}.ax)*({ry} - {p}.ay) - ({p}.by - {p}.ay)*({rx} - {p}.ax) = 0 AND {rx} BETWEEN "
+                f"least({p}.ax,{p}.bx) AND greatest({p}.ax,{p}.bx) AND {ry} BETWEEN least({p}.ay,{p}.by) AND "
+                f"greatest({p}.ay,{p}.by))")
+    o1, o2 = cr(a, s, f"{s}.ax", f"{s}.ay"), cr(a, s, f"{s}.bx", f"{s}.by")
+    o3, o4 = cr(s, a, f"{a}.ax", f"{a}.ay"), cr(s, a, f"{a}.bx", f"{a}.by")
+    return (f"(({o1})*({o2}) < 0 AND ({o3})*({o4}) < 0 OR {on(a, f'{s}.ax', f'{s}.ay')} OR "
+            f"{on(a, f'{s}.bx', f'{s}.by')} OR {on(s, f'{a}.ax', f'{a}.ay')} OR {on(s, f'{a}.bx', f'{a}.by')})")
+
+
+def pt_seg_d2(px, py):
+    dx, dy = "(s.bx - s.ax)", "(s.by - s.ay)"
+    ll = f"({dx}*{dx} + {dy}*{dy})"
+    t = f"(({px} - s.ax)*{dx} + ({py} - s.ay)*{dy})"
+    da = f"(({px} - s.ax)*({px} - s.ax) + ({py} - s.ay)*({py} - s.ay))"
+    db = f"(({px} - s.bx)*({px} - s.bx) + ({py} - s.by)*({py} - s.by))"
+    cr = f"({dx}*({py} - s.ay) - {dy}*({px} - s.ax))"
+    return f"(CASE WHEN {ll} = 0 OR {t} <= 0 THEN {da} WHEN {t} >= {ll} THEN {db} ELSE {cr}*{cr}/{ll} END)"
+
+
+def seg_near(px, py, d):
+    """bbox prefilter of a point against segment s grown by d."""
+    return (f"{px} BETWEEN least(s.ax,s.bx)-{d} AND greatest(s.ax,s.bx)+{d} AND "
+            f"{py} BETWEEN least(s.ay,s.by)-{d} AND greatest(s.ay,s.by)+{d}")
+
+
+PIP_C = with_(PTS_CUSTOMER, POLY_V, POLY_SEG, POLY_BB, pip_status("pts", "g.id <> 3"))
+WITHIN = "(SELECT pid, gid FROM pip WHERE nx % 2 = 1 AND onb = 0)"
+
+ORACLE["pip_inner_join"] = PIP_C + f"SELECT pid AS point_id, gid AS polygon_id FROM {WITHIN}"
+ORACLE["pip_left_join"] = PIP_C + f"SELECT p.id AS point_id, w.gid AS polygon_id FROM pts p LEFT JOIN {WITHIN} w ON w.pid = p.id"
+ORACLE["pip_anti_join"] = PIP_C + f"SELECT id AS point_id FROM pts WHERE id NOT IN (SELECT pid FROM {WITHIN})"
+
+D2_CS = "((p.x-s.x)*(p.x-s.x)+(p.y-s.y)*(p.y-s.y))"
+ORACLE["distance_join"] = with_(PTS_CUSTOMER, PTS_SUPPLIER) + f"""
+SELECT p.id AS cust_id, s.id AS supp_id, round(sqrt({D2_CS}), 3) AS dist
+FROM pts p JOIN sup s ON {D2_CS} <= 2500e0*2500e0"""
+ORACLE["distance_anti_join"] = with_(PTS_CUSTOMER, PTS_SUPPLIER) + f"""
+SELECT p.id AS cust_id, p.x, p.y FROM pts p WHERE NOT EXISTS (SELECT 1 FROM sup s WHERE {D2_CS} <= 2500e0*2500e0)"""
+ORACLE["streets_trees_near_hospitals"] = with_(PTS_SUPPLIER, PTS_PART, LINE_V, LINE_SEG) + f""",
+near AS (SELECT DISTINCT s.id FROM lseg s JOIN sup h ON {seg_near('h.x', 'h.y', 1000)}
+         WHERE {pt_seg_within('h.x', 'h.y', '1000e0*1000e0')}),
+trees AS (SELECT DISTINCT t.id FROM prt t JOIN (SELECT * FROM lseg WHERE id IN (SELECT id FROM near)) s
+          ON {seg_near('t.x', 't.y', 200)} WHERE {pt_seg_within('t.x', 't.y', '200e0*200e0')})
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM trees) AS total_tree_count,
+       (SELECT round(sum(sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))), 3) FROM lseg s
+        WHERE s.id IN (SELECT id FROM near))
+       AS total_street_length_m"""
+ORACLE["nearest_within"] = with_(PTS_CUSTOMER, PTS_SUPPLIER) + f"""
+SELECT cust_id, supp_id, dist_sq FROM (
+  SELECT p.id AS cust_id, s.id AS supp_id, {D2_CS} AS dist_sq,
+         rank() OVER (PARTITION BY p.id ORDER BY {D2_CS}) AS rk
+  FROM pts p JOIN sup s ON {D2_CS} <= 5000e0*5000e0) WHERE rk = 1"""
+ORACLE["distinct_nodes_near_edges"] = with_(PTS_PART, LINE_V, LINE_SEG) + f"""
+SELECT CAST(count(DISTINCT t.id) AS BIGINT) AS n_nodes FROM prt t JOIN lseg s ON {seg_near('t.x', 't.y', 100)}
+WHERE {pt_seg_within('t.x', 't.y', '100e0*100e0')}"""
+
+LINE_POLY_HITS = f""",
+lvp AS (SELECT l.id AS lid, g.id AS gid, l.seq, l.x, l.y FROM lv l JOIN pbb g
+        ON l.x BETWEEN g.minx AND g.maxx AND l.y BETWEEN g.miny AND g.maxy WHERE g.id <> 3),
+vin AS (SELECT c.lid, c.gid, c.seq, SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) AS nx,
+               MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) AS onb
+        FROM lvp c JOIN pseg s ON s.id = c.gid GROUP BY c.lid, c.gid, c.seq),
+hits AS (SELECT lid, gid FROM vin WHERE nx % 2 = 1 OR onb = 1
+         UNION
+         SELECT a.id AS lid, s.id AS gid FROM lseg a JOIN pseg s
+           ON least(a.ax,a.bx) <= greatest(s.ax,s.bx) AND least(s.ax,s.bx) <= greatest(a.ax,a.bx)
+          AND least(a.ay,a.by) <= greatest(s.ay,s.by) AND least(s.ay,s.by) <= greatest(a.ay,a.by)
+         WHERE s.id <> 3 AND {seg_intersects('a', 's')})
+"""
+LP = with_(POLY_V, POLY_SEG, POLY_BB, LINE_V, LINE_SEG) + LINE_POLY_HITS
+ORACLE["intersects_join"] = LP + "SELECT lid AS line_id, gid AS polygon_id FROM hits"
+ORACLE["lines_per_polygon"] = LP + """SELECT g.id AS polygon_id, CAST(count(h.lid) AS BIGINT) AS n_lines
+FROM (SELECT DISTINCT id FROM pv WHERE id <> 3) g LEFT JOIN hits h ON h.gid = g.id GROUP BY g.id"""
+ORACLE["filter_intersects_polygon"] = LP + "SELECT lid AS line_id FROM hits WHERE gid = 12"
+ORACLE["bbox_join"] = with_(POLY_V, POLY_BB, LINE_V, LINE_BB) + """
+SELECT l.id AS line_id, g.id AS polygon_id FROM lbb l JOIN pbb g
+  ON l.minx <= g.maxx AND g.minx <= l.maxx AND l.miny <= g.maxy AND g.miny <= l.maxy WHERE g.id <> 3"""
+ORACLE["proximity_by_batch"] = with_(PTS_PART, LINE_V, LINE_SEG) + f"""
+SELECT CAST(floor(lid / 1000) AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS pairs FROM (
+  SELECT DISTINCT t.id AS tid, s.id AS lid FROM prt t JOIN lseg s ON {seg_near('t.x', 't.y', 50)}
+  WHERE {pt_seg_within('t.x', 't.y', '50e0*50e0')}) GROUP BY 1"""
+ORACLE["filter_within_box"] = with_(LINE_V) + """
+SELECT id AS line_id FROM lv GROUP BY id
+HAVING bool_and(x BETWEEN 20000 AND 60000 AND y BETWEEN 20000 AND 60000)
+   AND bool_or(x > 20000 AND x < 60000 AND y > 20000 AND y < 60000)"""
+ORACLE["filter_bbox"] = with_(LINE_V, LINE_BB) + """
+SELECT id AS line_id FROM lbb WHERE minx <= 60000 AND maxx >= 20000 AND miny <= 60000 AND maxy >= 20000"""
+ORACLE["filter_within_distance"] = with_(PTS_CUSTOMER) + """
+SELECT id AS point_id FROM pts WHERE (x-50000)*(x-50000)+(y-50000)*(y-50000) <= 1e8"""
+
+RING_TA = ("(SELECT s.id, s.ring, sum(s.ax*s.by - s.bx*s.ay) AS ta, "
+           "sum(sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))) AS len, "
+           "sum((s.ax+s.bx)*(s.ax*s.by - s.bx*s.ay)) AS mx, sum((s.ay+s.by)*(s.ax*s.by - s.bx*s.ay)) AS my "
+           "FROM pseg s GROUP BY s.id, s.ring)")
+ORACLE["polygon_measures"] = with_(POLY_V, POLY_SEG, POLY_BB) + f"""
+, rs AS {RING_TA},
+agg AS (SELECT id, sum(CASE WHEN ring = 0 THEN abs(ta) ELSE -abs(ta) END) AS ta2, sum(len) AS len,
+               sum(CASE WHEN ring = 0 THEN sign(ta) ELSE -sign(ta) END * mx) AS mx,
+               sum(CASE WHEN ring = 0 THEN sign(ta) ELSE -sign(ta) END * my) AS my,
+               CAST(count(*) AS BIGINT) AS num_rings
+        FROM rs GROUP BY id)
+SELECT a.id, 'POLYGON' AS gtype, a.ta2 / 2.0 AS area, round(a.len, 6) AS perimeter, 0.0 AS length,
+       round(a.len, 6) AS boundary_length, round(a.mx / (a.ta2 * 3.0), 6) AS cx, round(a.my / (a.ta2 * 3.0), 6) AS cy,
+       b.minx, b.miny, b.maxx, b.maxy, (SELECT CAST(count(*) AS BIGINT) FROM pv WHERE pv.id = a.id) AS num_points,
+       a.num_rings
+FROM agg a JOIN pbb b ON a.id = b.id WHERE a.id <> 3"""
+ORACLE["line_measures"] = with_(LINE_V, LINE_SEG, LINE_BB) + """
+, ls AS (SELECT s.id, sum(sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))) AS len,
+                sum((s.ax+s.bx)/2.0*sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))) AS mx,
+                sum((s.ay+s.by)/2.0*sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))) AS my
+         FROM lseg s GROUP BY s.id)
+SELECT l.id, round(l.len, 6) AS length, 0.0 AS area, round(l.mx / l.len, 6) AS cx, round(l.my / l.len, 6) AS cy,
+       b.minx, b.miny, b.maxx, b.maxy, v.x AS x0, v.y AS y0, CAST(3 AS BIGINT) AS num_points
+FROM ls l JOIN lbb b ON l.id = b.id JOIN lv v ON v.id = l.id AND v.seq = 0"""
+ORACLE["point_polygon_distance"] = with_(PTS_CUSTOMER, POLY_V, POLY_SEG, POLY_BB) + f"""
+, c AS (SELECT p.id AS pid, g.id AS gid, p.x, p.y FROM pts p JOIN pbb g
+        ON p.x BETWEEN g.minx - 5000 AND g.maxx + 5000 AND p.y BETWEEN g.miny - 5000 AND g.maxy + 5000 WHERE g.id <> 3),
+st AS (SELECT c.pid, c.gid, SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) AS nx,
+              MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) AS onb,
+              MIN({pt_seg_d2('c.x', 'c.y')}) AS d2,
+              MAX(CASE WHEN {pt_seg_within('c.x', 'c.y', '5000e0*5000e0')} THEN 1 ELSE 0 END) AS near
+       FROM c JOIN pseg s ON s.id = c.gid GROUP BY c.pid, c.gid)
+SELECT pid AS point_id, gid AS polygon_id,
+       CASE WHEN nx % 2 = 1 OR onb = 1 THEN 0.0 ELSE round(sqrt(d2), 3) END AS dist
+FROM st WHERE nx % 2 = 1 OR onb = 1 OR near = 1"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geoq.functions import geometry as G
 from geoq.operators import spatial_join as SJ
 from geoq.plans import fixtures as FX
+from geoq.operators.aggregates import join_scalars
 
 QUERIES: dict = {}
 
@@ -33,3 +34,210 @@ def points_per_polygon(spark: SparkSession, sf: str) -> DataFrame:
     pts = FX.pts_customer(spark, sf)
     return count_in_polygons(polys, pts, poly_key="id", point_xy=("x", "y")).select(
         F.col("id").cast("bigint").alias("neighborhood_id"), F.col("cnt").alias("restaurant_count"))
+
+
+# ---------------------------------------------------------------- C: spatial joins
+
+def _pip_pairs(spark, sf):
+    pts = FX.pts_customer(spark, sf)
+    return SJ.candidate_pairs(pts, _polygonal(spark, sf), "within", left_geom=("x", "y"),
+                              left_cols=["id"], right_cols=["id"])
+
+
+@query("pip_inner_join")
+def pip_inner_join(spark, sf):
+    """Point-in-polygon inner join (sensors x cities)."""
+    return _pip_pairs(spark, sf).select(F.col("l.id").alias("point_id"), F.col("r.id").cast("bigint").alias("polygon_id"))
+
+
+@query("pip_left_join")
+def pip_left_join(spark, sf):
+    """Every point, with its polygon or NULL (gpd.sjoin how='left')."""
+    pts = FX.pts_customer(spark, sf)
+    j = SJ.sjoin(pts, _polygonal(spark, sf).select(F.col("id").alias("polygon_id"), "geometry"), "within", "left",
+                 left_geom=("x", "y"), left_key="id", right_cols=["polygon_id"])
+    return j.select(F.col("id").alias("point_id"), F.col("polygon_id").cast("bigint").alias("polygon_id"))
+
+
+@query("pip_anti_join")
+def pip_anti_join(spark, sf):
+    """Points within no polygon (LEFT JOIN .. WHERE NULL)."""
+    pts = FX.pts_customer(spark, sf)
+    return SJ.sjoin(pts, _polygonal(spark, sf), "within", "anti", left_geom=("x", "y"), left_key="id") \
+        .select(F.col("id").alias("point_id"))
+
+
+DJOIN_D = 2500.0
+
+
+@query("distance_join")
+def distance_join(spark, sf):
+    """All customer-supplier pairs within 2500 m, with their distance."""
+    p = SJ.candidate_pairs(FX.pts_customer(spark, sf), FX.pts_supplier(spark, sf), "dwithin", distance=DJOIN_D,
+                           left_geom=("x", "y"), right_geom=("x", "y"), left_cols=["id", "x", "y"],
+                           right_cols=["id", "x", "y"])
+    return p.select(F.col("l.id").alias("cust_id"), F.col("r.id").alias("supp_id"),
+                    F.round(F.sqrt(G.point_dist_sq("l.x", "l.y", "r.x", "r.y")), 3).alias("dist"))
+
+
+@query("distance_anti_join")
+def distance_anti_join(spark, sf):
+    """C6 / UC3.3: restaurants NOT within 2500 m of any bus stop."""
+    return SJ.sjoin(FX.pts_customer(spark, sf), FX.pts_supplier(spark, sf), "dwithin", "anti",
+                    distance=DJOIN_D, left_geom=("x", "y"), right_geom=("x", "y"), left_key="id") \
+        .select(F.col("id").alias("cust_id"), "x", "y")
+
+
+NEAR_HOSP_D, NEAR_STREET_D = 1000.0, 200.0
+
+
+@query("streets_trees_near_hospitals")
+def streets_trees_near_hospitals(spark, sf):
+    """C7 / UC4.2: streets within 1000 m of a hospital (semi join), trees
+    within 200 m of those streets (semi join), two scalar aggregates."""
+    streets = FX.line_orders(spark, sf)
+    near = SJ.sjoin(streets, FX.pts_supplier(spark, sf), "dwithin", "semi", distance=NEAR_HOSP_D,
+                    right_geom=("x", "y"), left_key="id")
+    trees = SJ.sjoin(FX.pts_part(spark, sf), near.select("id", "geometry"), "dwithin", "semi",
+                     distance=NEAR_STREET_D, left_geom=("x", "y"), left_key="id")
+    a = trees.agg(F.count(F.lit(1)).alias("total_tree_count"))
+    b = near.agg(F.round(F.sum(G.length("geometry")), 3).alias("total_street_length_m"))
+    return join_scalars(a, b)
+
+
+NEAREST_MAX = 5000.0
+
+
+@query("nearest_within")
+def nearest_within(spark, sf):
+    """sjoin_nearest(max_distance=5000): nearest supplier per customer, ties kept."""
+    from pyspark.sql import Window
+    p = SJ.candidate_pairs(FX.pts_customer(spark, sf), FX.pts_supplier(spark, sf), "dwithin", distance=NEAREST_MAX,
+                           left_geom=("x", "y"), right_geom=("x", "y"), left_cols=["id", "x", "y"],
+                           right_cols=["id", "x", "y"])
+    p = p.select(F.col("l.id").alias("cust_id"), F.col("r.id").alias("supp_id"),
+                 G.point_dist_sq("l.x", "l.y", "r.x", "r.y").alias("dist_sq"))
+    w = Window.partitionBy("cust_id").orderBy("dist_sq")
+    return p.withColumn("rk", F.rank().over(w)).where("rk = 1").drop("rk")
+
+
+@query("distinct_nodes_near_edges")
+def distinct_nodes_near_edges(spark, sf):
+    """COUNT(DISTINCT node) within 100 m of any edge."""
+    p = SJ.candidate_pairs(FX.pts_part(spark, sf), FX.line_orders(spark, sf), "dwithin", distance=100.0,
+                           left_geom=("x", "y"), left_cols=["id"], right_cols=["id"])
+    return p.agg(F.countDistinct("l.id").alias("n_nodes"))
+
+
+@query("intersects_join")
+def intersects_join(spark, sf):
+    """Streets x polygons, ST_Intersects (boundary inclusive)."""
+    p = SJ.candidate_pairs(FX.line_orders(spark, sf), _polygonal(spark, sf), "intersects",
+                           left_cols=["id", "geometry"], right_cols=["id", "geometry"])
+    return p.select(F.col("l.id").alias("line_id"), F.col("r.id").cast("bigint").alias("polygon_id"))
+
+
+@query("bbox_join")
+def bbox_join(spark, sf):
+    """C11 / N1 candidates: envelope-intersects join."""
+    p = SJ.candidate_pairs(FX.line_orders(spark, sf), _polygonal(spark, sf), "bbox_intersects",
+                           left_cols=["id", "geometry"], right_cols=["id", "geometry"])
+    return p.select(F.col("l.id").alias("line_id"), F.col("r.id").cast("bigint").alias("polygon_id"))
+
+
+@query("proximity_by_batch")
+def proximity_by_batch(spark, sf):
+    """Node-edge pairs within 50 m, counted per batch of 1000 edges
+    (one distributed join instead of a driver loop over batches)."""
+    p = SJ.candidate_pairs(FX.pts_part(spark, sf), FX.line_orders(spark, sf), "dwithin", distance=50.0,
+                           left_geom=("x", "y"), left_cols=["id"], right_cols=["id"])
+    return (p.groupBy(F.floor(F.col("r.id") / 1000).cast("bigint").alias("batch"))
+            .agg(F.count(F.lit(1)).alias("pairs")))
+
+
+@query("lines_per_polygon")
+def lines_per_polygon(spark, sf):
+    """C14: per-polygon counts joined back by key, missing = 0."""
+    polys = _polygonal(spark, sf)
+    p = SJ.candidate_pairs(FX.line_orders(spark, sf), polys, "intersects",
+                           left_cols=["id", "geometry"], right_cols=["id", "geometry"])
+    cnt = p.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return (polys.select("id").join(cnt, "id", "left")
+            .select(F.col("id").cast("bigint").alias("polygon_id"),
+                    F.coalesce("n", F.lit(0)).cast("bigint").alias("n_lines")))
+
+
+# ---------------------------------------------------------------- B: spatial filters
+
+BOX = (20000.0, 20000.0, 60000.0, 60000.0)
+
+
+@query("filter_within_box")
+def filter_within_box(spark, sf):
+    """Lines fully within a bbox polygon (ST_Within(geom, bbox))."""
+    from geoq.operators.spatial import filter_within
+    return filter_within(FX.line_orders(spark, sf), G.box(*BOX), BOX).select(F.col("id").alias("line_id"))
+
+
+@query("filter_intersects_polygon")
+def filter_intersects_polygon(spark, sf):
+    """Features intersecting a boundary polygon taken from a table
+    (boundary = polygon 12); a one-row side of the cell join."""
+    boundary = FX.poly_nation(spark, sf).where(F.col("id") == 12).select("geometry")
+    return SJ.sjoin(FX.line_orders(spark, sf), boundary, "intersects", "semi", left_key="id") \
+        .select(F.col("id").alias("line_id"))
+
+
+@query("filter_bbox")
+def filter_bbox(spark, sf):
+    """Envelope-only filter, four comparisons on the bbox struct."""
+    b = F.col("bbox")
+    x0, y0, x1, y1 = BOX
+    return FX.line_orders(spark, sf).where((b.minx <= x1) & (b.maxx >= x0) & (b.miny <= y1) & (b.maxy >= y0)) \
+        .select(F.col("id").alias("line_id"))
+
+
+@query("filter_within_distance")
+def filter_within_distance(spark, sf):
+    """Points within 10 km of (50000, 50000): dist^2 <= r^2."""
+    return FX.pts_customer(spark, sf).where(G.point_dist_sq("x", "y", F.lit(50000.0), F.lit(50000.0)) <= 1e8) \
+        .select(F.col("id").alias("point_id"))
+
+
+# ---------------------------------------------------------------- H: geometry functions
+
+@query("polygon_measures")
+def polygon_measures(spark, sf):
+    """H6, H7 (perimeter, length 0), H14, H15, H17, H18 on the polygons."""
+    g = F.col("geometry")
+    c = G.centroid(g)
+    b = G.bbox(g)
+    return _polygonal(spark, sf).select(
+        F.col("id").cast("bigint").alias("id"), G.geom_type(g).alias("gtype"),
+        G.area(g).alias("area"), F.round(G.perimeter(g), 6).alias("perimeter"), G.length(g).alias("length"),
+        F.round(G.length(G.boundary(g)), 6).alias("boundary_length"),
+        F.round(G.x(c), 6).alias("cx"), F.round(G.y(c), 6).alias("cy"),
+        b.minx.alias("minx"), b.miny.alias("miny"), b.maxx.alias("maxx"), b.maxy.alias("maxy"),
+        G.num_points(g).cast("bigint").alias("num_points"), F.size(G.rings(g)).cast("bigint").alias("num_rings"))
+
+
+@query("line_measures")
+def line_measures(spark, sf):
+    """H7 length, H14 bounds, H15 centroid of lines, H17 accessors."""
+    g = F.col("geometry")
+    c = G.centroid(g)
+    b = F.col("bbox")
+    return FX.line_orders(spark, sf).select(
+        F.col("id"), F.round(G.length(g), 6).alias("length"), G.area(g).alias("area"),
+        F.round(G.x(c), 6).alias("cx"), F.round(G.y(c), 6).alias("cy"),
+        b.minx.alias("minx"), b.miny.alias("miny"), b.maxx.alias("maxx"), b.maxy.alias("maxy"),
+        G.x(g).alias("x0"), G.y(g).alias("y0"), G.num_points(g).cast("bigint").alias("num_points"))
+
+
+@query("point_polygon_distance")
+def point_polygon_distance(spark, sf):
+    """H8: point-polygon distance (0 inside) for every pair closer than 5 km."""
+    p = SJ.candidate_pairs(FX.pts_customer(spark, sf), _polygonal(spark, sf), "dwithin", distance=5000.0,
+                           left_geom=("x", "y"), left_cols=["id", "x", "y"], right_cols=["id", "geometry"])
+    return p.select(F.col("l.id").alias("point_id"), F.col("r.id").alias("polygon_id"),
+                    F.round(G.distance(G.point("l.x", "l.y"), F.col("r.geometry")), 3).alias("dist"))
