@@ -439,3 +439,65 @@ def map_coords(g, fx, fy) -> Column:
     g = _c(g)
     return g.withField("parts", F.transform(g.parts, lambda p: F.transform(p, lambda r: F.transform(
         r, lambda v: xy(fx(v.x, v.y), fy(v.x, v.y))))))
+
+
+# ---------------------------------------------------------------- text formats
+
+def _num(v) -> Column:
+    """Integer-valued coordinates print without a fraction (as WKT writers do)."""
+    return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+
+
+def _coord(v) -> Column:
+    return F.concat(_num(v.x), F.lit(" "), _num(v.y))
+
+
+def _ring_txt(r) -> Column:
+    return F.concat(F.lit("("), F.array_join(F.transform(r, _coord), ", "), F.lit(")"))
+
+
+def _poly_txt(p) -> Column:
+    return F.concat(F.lit("("), F.array_join(F.transform(p, _ring_txt), ", "), F.lit(")"))
+
+
+def as_wkt(g) -> Column:
+    """H3: geometry to WKT text."""
+    g = _c(g)
+    t, parts = g.gtype, g.parts
+    empty = F.coalesce(F.size(vertices(g)) == 0, F.lit(True))
+    body = (F.when(t == "POINT", F.concat(F.lit("("), _coord(parts[0][0][0]), F.lit(")")))
+            .when(t == "LINESTRING", _ring_txt(parts[0][0]))
+            .when(t == "POLYGON", _poly_txt(parts[0]))
+            .when(t == "MULTIPOINT", F.concat(F.lit("("), F.array_join(F.transform(
+                parts, lambda p: F.concat(F.lit("("), _coord(p[0][0]), F.lit(")"))), ", "), F.lit(")")))
+            .when(t == "MULTILINESTRING", F.concat(F.lit("("), F.array_join(F.transform(
+                parts, lambda p: _ring_txt(p[0])), ", "), F.lit(")")))
+            .when(t == "MULTIPOLYGON", F.concat(F.lit("("), F.array_join(F.transform(parts, _poly_txt), ", "),
+                                                 F.lit(")"))))
+    return F.concat(t, F.lit(" "), F.when(empty, F.lit("EMPTY")).otherwise(body))
+
+
+_NUM = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
+
+
+def geom_from_wkt(s, srid=0) -> Column:
+    """H1: WKT text to geometry, all in Catalyst: the coordinate list is
+    rewritten into JSON arrays by regular expressions and parsed with
+    ``from_json``; the nesting depth is normalised per geometry type."""
+    s = _c(s)
+    t = F.upper(F.regexp_extract(s, r"^\s*([A-Za-z]+)", 1))
+    body = F.trim(F.regexp_replace(s, r"^\s*[A-Za-z]+\s*", ""))
+    js = F.regexp_replace(body, rf"({_NUM})\s+({_NUM})", "[$1,$2]")
+    js = F.regexp_replace(F.regexp_replace(js, r"\(", "["), r"\)", "]")
+    two_level_mp = (t == "MULTIPOINT") & ~body.rlike(r"^\(\s*\(")
+    wrap = (F.when(t.isin("POINT", "LINESTRING") | two_level_mp, 2)
+            .when(t.isin("POLYGON", "MULTILINESTRING", "MULTIPOINT"), 1).otherwise(0))
+    wrapped = F.concat(F.repeat(F.lit("["), wrap), js, F.repeat(F.lit("]"), wrap))
+    arr = F.from_json(wrapped, "array<array<array<array<double>>>>")
+    parts = F.transform(arr, lambda p: F.transform(p, lambda r: F.transform(r, lambda v: xy(v[0], v[1]))))
+    parts = (F.when(t == "MULTILINESTRING", F.transform(parts[0], lambda r: F.array(r)))
+             .when(two_level_mp, F.transform(parts[0][0], lambda v: F.array(F.array(v))))
+             .when(t == "MULTIPOINT", F.transform(parts[0], lambda r: F.array(r)))
+             .otherwise(parts))
+    parts = F.when(body.rlike("(?i)^EMPTY"), F.array().cast(T.ArrayType(PART))).otherwise(parts)
+    return make_geometry(t, parts, srid)

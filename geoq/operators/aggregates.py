@@ -14,3 +14,99 @@ def join_scalars(*aggs: DataFrame) -> DataFrame:
     they are joined on a constant key (a 1 x 1 equi-join)."""
     keyed = [a.withColumn("_one", F.lit(1)) for a in aggs]
     return reduce(lambda x, y: x.join(y, "_one"), keyed).drop("_one")
+
+
+def with_row_id(df: DataFrame, order_cols, name: str = "row_id", num_partitions: int | None = None) -> DataFrame:
+    """Dense 1-based row numbers in a total order, without a
+    single-partition window.  Rows are range-partitioned on the order
+    columns and sorted within partitions; that layout is materialised once
+    with a reliable checkpoint (range bounds come from random sampling, so
+    recomputing the exchange could move rows between partitions).  One
+    small job counts rows per partition (one row per partition reaches the
+    driver) and each row gets ``offset(partition) + position``.
+    ``order_cols`` must form a unique key so that the ids are deterministic."""
+    from geoq.session import cut_lineage
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    ranged = (ranged.withColumn("_pid", F.spark_partition_id())
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = sorted((r["_pid"], r["count"]) for r in ranged.groupBy("_pid").count().collect())
+    offsets, acc = {}, 0
+    for pid, c in counts:
+        offsets[pid] = acc
+        acc += c
+    if not offsets:
+        offsets = {0: 0}
+    m = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]).cast("long"))])
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return ranged.withColumn(name, m[F.col("_pid")] + local + 1).drop("_pid", "_mid")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs, order_key: str, prefix: str = "q") -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas ``quantile`` /
+    ``quantile_cont``).  Uses the distributed rank of :func:`with_row_id`
+    and reads back only the two neighbouring ranks of each fraction, so no
+    task ever holds the whole column (``percentile`` would)."""
+    n = df.count()
+    ranked = with_row_id(df.select(col, order_key), [col, order_key], "_rk")
+    cols, wanted = [], set()
+    for q in qs:
+        h = (n - 1) * float(q)
+        lo, hi = int(h // 1), int(-(-h // 1))
+        wanted.update((lo + 1, hi + 1))
+        vlo = F.max(F.when(F.col("_rk") == lo + 1, F.col(col)))
+        vhi = F.max(F.when(F.col("_rk") == hi + 1, F.col(col)))
+        label = f"{prefix}{int(round(q * 100))}"
+        cols.append((vlo + (vhi - vlo) * F.lit(h - lo)).alias(label))
+    return ranked.where(F.col("_rk").isin(sorted(wanted))).agg(*cols)
+
+
+def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None) -> DataFrame:
+    """Equal-width histogram, the maximum falls in the last bin (numpy
+    semantics), empty bins reported with 0.  Min/max come from one global
+    aggregate (two numbers reach the driver); bin counts are a partial
+    (map-side combined) aggregation."""
+    spark = df.sparkSession
+    if lo is None or hi is None:
+        r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+        lo, hi = r["lo"], r["hi"]
+    lo, hi = float(lo), float(hi)
+    width = F.lit(hi) - F.lit(lo)
+    b = F.least(F.floor((F.col(col) - F.lit(lo)) / width * bins), F.lit(bins - 1)).cast("bigint")
+    counted = df.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    all_bins = spark.range(bins).select(F.col("id").alias("bin"))   # the bin axis itself (reindex)
+    return (all_bins.join(counted, "bin", "left")
+            .select("bin", F.round(F.lit(lo) + F.col("bin") * width / bins, 6).alias("bin_lo"),
+                    F.round(F.lit(lo) + (F.col("bin") + 1) * width / bins, 6).alias("bin_hi"),
+                    F.coalesce("n", F.lit(0)).cast("bigint").alias("count")))
+
+
+def extent(df: DataFrame, bbox_col: str = "bbox", by=None) -> DataFrame:
+    """Total bounds (min/max of the bbox fields), optionally per group."""
+    b = F.col(bbox_col)
+    aggs = [F.min(b.minx).alias("minx"), F.min(b.miny).alias("miny"),
+            F.max(b.maxx).alias("maxx"), F.max(b.maxy).alias("maxy")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def percent_of_total(df: DataFrame, key: str, name: str = "pct") -> DataFrame:
+    """Count per class and its share of the total (window over the
+    small per-class result, not over the rows)."""
+    from pyspark.sql import Window
+    c = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return c.withColumn(name, F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+
+
+def correlation_matrix(df: DataFrame, cols) -> DataFrame:
+    """Pairwise Pearson correlations in one aggregation, unpivoted."""
+    aggs, names = [], []
+    for a in cols:
+        for b in cols:
+            nm = f"{a}__{b}"
+            names.append((a, b, nm))
+            aggs.append((F.lit(1.0) if a == b else F.corr(a, b)).alias(nm))
+    wide = df.agg(*aggs)
+    stack = ", ".join(f"'{a}', '{b}', `{nm}`" for a, b, nm in names)
+    return wide.selectExpr(f"stack({len(names)}, {stack}) as (var1, var2, corr)") \
+        .withColumn("corr", F.round("corr", 6))

@@ -216,3 +216,106 @@ st AS (SELECT c.pid, c.gid, SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END)
 SELECT pid AS point_id, gid AS polygon_id,
        CASE WHEN nx % 2 = 1 OR onb = 1 THEN 0.0 ELSE round(sqrt(d2), 3) END AS dist
 FROM st WHERE nx % 2 = 1 OR onb = 1 OR near = 1"""
+
+
+# ---------------------------------------------------------------- relational batch
+
+def num_txt(v):
+    return (f"(CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN CAST(CAST({v} AS BIGINT) AS VARCHAR) "
+            f"ELSE CAST({v} AS VARCHAR) END)")
+
+
+LLEN = with_(LINE_V, LINE_SEG, LINE_BB) + """, ll AS (
+  SELECT s.id, s.highway, sum(sqrt((s.bx-s.ax)*(s.bx-s.ax)+(s.by-s.ay)*(s.by-s.ay))) AS length
+  FROM lseg s GROUP BY s.id, s.highway)
+"""
+POLY_AREA = f""", rs AS {RING_TA},
+parea AS (SELECT id, sum(CASE WHEN ring = 0 THEN abs(ta) ELSE -abs(ta) END) / 2.0 AS area, sum(len) AS perimeter
+          FROM rs GROUP BY id)
+"""
+
+ORACLE["parquet_scan"] = with_(PTS_CUSTOMER) + "SELECT id, x, y, kind FROM pts"
+ORACLE["filter_by_attribute"] = with_(LINE_V) + \
+    "SELECT DISTINCT id AS line_id, cust FROM lv WHERE highway = '1-URGENT'"
+ORACLE["modulo_filter"] = with_(PTS_CUSTOMER) + "SELECT id AS point_id FROM pts WHERE (x + y) % 2 = 0"
+ORACLE["null_filter"] = PIP_C + f"""SELECT CASE WHEN w.gid IS NULL THEN 'outside' ELSE 'inside' END AS status,
+CAST(count(*) AS BIGINT) AS n FROM pts p LEFT JOIN {WITHIN} w ON w.pid = p.id GROUP BY 1"""
+ORACLE["geometry_type_filter"] = """SELECT CAST(n_nationkey AS BIGINT) AS id,
+CASE WHEN n_nationkey = 3 THEN 'POINT' ELSE 'POLYGON' END AS gtype, n_nationkey <> 3 AS is_polygonal FROM nation"""
+ORACLE["column_ops"] = with_(PTS_CUSTOMER) + f"""SELECT id AS point_id, x AS easting, y AS northing,
+'POINT (' || {num_txt('x')} || ' ' || {num_txt('y')} || ')' AS geometry FROM pts"""
+ORACLE["case_when"] = LLEN + """SELECT COALESCE(CASE WHEN length > 300 THEN 'long' WHEN length > 150 THEN 'medium'
+ELSE 'short' END, 'unknown') AS length_class, CAST(count(*) AS BIGINT) AS n FROM ll GROUP BY 1"""
+ORACLE["unit_conversion"] = with_(POLY_V, POLY_SEG) + POLY_AREA + """SELECT id, area / 1e6 AS area_km2,
+area / 1e4 AS area_ha, round(perimeter / 1e3, 6) AS perimeter_km FROM parea WHERE id <> 3"""
+ORACLE["row_count"] = """SELECT (SELECT CAST(count(*) AS BIGINT) FROM orders) AS n_lines,
+(SELECT CAST(count(*) AS BIGINT) FROM customer) AS n_points,
+(SELECT CAST(count(*) AS BIGINT) FROM nation WHERE n_nationkey <> 3) AS n_polygons"""
+ORACLE["total_length"] = LLEN + "SELECT round(sum(length), 2) AS total_length FROM ll"
+ORACLE["length_stats"] = LLEN + """SELECT round(avg(length), 6) AS avg_length, round(max(length), 6) AS max_length,
+round(min(length), 6) AS min_length FROM ll"""
+ORACLE["conditional_avg"] = LLEN + \
+    "SELECT round(avg(CASE WHEN length > 100 THEN length END), 6) AS avg_length_over_100 FROM ll"
+ORACLE["distinct_highways"] = "SELECT DISTINCT o_orderpriority AS highway FROM orders"
+ORACLE["count_distinct"] = """SELECT CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_highway,
+CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_cust FROM orders"""
+ORACLE["highway_summary"] = LLEN + """SELECT highway, CAST(count(*) AS BIGINT) AS n, round(sum(length), 2) AS total_length
+FROM ll GROUP BY highway ORDER BY n DESC, highway LIMIT 20"""
+ORACLE["duplicate_geometries"] = with_(PTS_PART) + f"""SELECT wkt, CAST(count(*) AS BIGINT) AS cnt FROM (
+  SELECT 'POINT (' || {num_txt('p.x')} || ' ' || {num_txt('p.y')} || ')' AS wkt
+  FROM lineitem l JOIN prt p ON p.id = l.l_partkey) GROUP BY wkt HAVING count(*) > 1
+ORDER BY cnt DESC, wkt LIMIT 5"""
+ORACLE["collect_points"] = with_(PTS_CUSTOMER) + """SELECT kind, 'MULTIPOINT' AS gtype,
+CAST(count(*) AS BIGINT) AS num_points, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy
+FROM pts GROUP BY kind"""
+ORACLE["extent_total"] = with_(LINE_V) + "SELECT min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM lv"
+ORACLE["extent_by_highway"] = with_(LINE_V) + """SELECT highway, min(x) AS minx, min(y) AS miny, max(x) AS maxx,
+max(y) AS maxy FROM lv GROUP BY highway"""
+ORACLE["length_quantiles"] = LLEN + """SELECT round(quantile_cont(length, 0.25), 6) AS q25,
+round(quantile_cont(length, 0.5), 6) AS q50, round(quantile_cont(length, 0.75), 6) AS q75 FROM ll"""
+ORACLE["quartile_totals"] = LLEN + """, q AS (SELECT quantile_cont(length, 0.25) AS q1, quantile_cont(length, 0.5) AS q2,
+  quantile_cont(length, 0.75) AS q3 FROM ll),
+lab AS (SELECT * FROM (VALUES ('Q1 (Shortest)'), ('Q2'), ('Q3'), ('Q4 (Longest)')) AS t(quartile)),
+tot AS (SELECT CASE WHEN length <= q1 THEN 'Q1 (Shortest)' WHEN length <= q2 THEN 'Q2' WHEN length <= q3 THEN 'Q3'
+  ELSE 'Q4 (Longest)' END AS quartile, sum(length) AS total_length FROM ll, q GROUP BY 1)
+SELECT lab.quartile, round(tot.total_length, 2) AS total_length FROM lab LEFT JOIN tot USING (quartile)"""
+ORACLE["shortest90_extent"] = LLEN + """, r AS (SELECT id, row_number() OVER (ORDER BY length, id) AS rk FROM ll)
+SELECT min(b.minx) AS minx, min(b.miny) AS miny, max(b.maxx) AS maxx, max(b.maxy) AS maxy
+FROM r JOIN lbb b ON b.id = r.id WHERE r.rk <= CAST(floor((SELECT count(*) FROM ll) * 0.9) AS BIGINT)"""
+_CV = [("length", "length"), ("minx", "minx"), ("miny", "miny")]
+ORACLE["correlation_matrix"] = LLEN + ", cv AS (SELECT ll.length, b.minx, b.miny FROM ll JOIN lbb b ON b.id = ll.id)\n" + \
+    "\nUNION ALL\n".join(
+        (f"SELECT '{a}' AS var1, '{b}' AS var2, 1.0 AS corr" if a == b else
+         f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({a}, {b}), 6) AS corr FROM cv")
+        for a, _ in _CV for b, _ in _CV)
+ORACLE["length_histogram"] = LLEN + """, mm AS (SELECT min(length) AS lo, max(length) AS hi FROM ll),
+cnt AS (SELECT CAST(least(floor((length - lo) / (hi - lo) * 50), 49) AS BIGINT) AS bin, count(*) AS n FROM ll, mm GROUP BY 1)
+SELECT b.bin, round(lo + b.bin * (hi - lo) / 50, 6) AS bin_lo, round(lo + (b.bin + 1) * (hi - lo) / 50, 6) AS bin_hi,
+CAST(coalesce(cnt.n, 0) AS BIGINT) AS count FROM (SELECT range AS bin FROM range(50)) b CROSS JOIN mm
+LEFT JOIN cnt ON cnt.bin = b.bin"""
+ORACLE["kind_percent"] = with_(PTS_CUSTOMER) + """SELECT kind, CAST(count(*) AS BIGINT) AS n,
+round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM pts GROUP BY kind"""
+ORACLE["row_ids"] = with_(PTS_CUSTOMER) + "SELECT id, row_number() OVER (ORDER BY x, y, id) AS row_id FROM pts"
+ORACLE["knn_1000"] = with_(PTS_CUSTOMER, PTS_PART) + """, t AS (SELECT x, y FROM pts ORDER BY id LIMIT 1)
+SELECT p.id, (p.x - t.x)*(p.x - t.x) + (p.y - t.y)*(p.y - t.y) AS dist_sq FROM prt p, t
+ORDER BY dist_sq, p.id LIMIT 1000"""
+ORACLE["sorted_points"] = with_(PTS_SUPPLIER) + "SELECT id, x, y FROM sup ORDER BY x, id"
+ORACLE["concat_points"] = with_(PTS_CUSTOMER, PTS_SUPPLIER) + """SELECT id, x, y, 'customer' AS source FROM pts
+UNION ALL SELECT id, x, y, 'supplier' AS source FROM sup"""
+ORACLE["by_city"] = LLEN + """SELECT r.r_name AS city, CAST(count(*) AS BIGINT) AS n_lines, round(sum(ll.length), 2) AS total_length
+FROM ll JOIN orders o ON o.o_orderkey = ll.id JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name"""
+ORACLE["normalize_names"] = """SELECT CAST(n_nationkey AS BIGINT) AS id,
+replace(lower(trim(split_part(n_name, ',', 1))), ' ', '_') AS table_suffix FROM nation"""
+ORACLE["format_numbers"] = with_(POLY_V, POLY_SEG) + POLY_AREA + """SELECT id, format('{:,.2f}', area) AS area_txt,
+CAST(trunc(area) AS BIGINT) AS area_int, round(perimeter, 3) AS perimeter FROM parea WHERE id <> 3"""
+ORACLE["wkt_round_trip"] = with_(POLY_V) + f""", rt AS (SELECT id, ring,
+  '(' || string_agg({num_txt('x')} || ' ' || {num_txt('y')}, ', ' ORDER BY seq) || ')' AS txt, count(*) AS n
+  FROM pv GROUP BY id, ring),
+pw AS (SELECT id, 'POLYGON (' || string_agg(txt, ', ' ORDER BY ring) || ')' AS wkt, sum(n) AS n FROM rt GROUP BY id)
+""" + POLY_AREA.replace("FROM pseg s", "FROM pseg s") + """SELECT pw.id, pw.wkt, parea.area, CAST(pw.n AS BIGINT) AS num_points
+FROM pw JOIN parea ON parea.id = pw.id WHERE pw.id <> 3"""
+ORACLE["wkt_round_trip"] = ORACLE["wkt_round_trip"].replace("WITH " + POLY_V, "WITH " + POLY_V + ",\n" + POLY_SEG, 1)
+ORACLE["line_wkt"] = LLEN + f""", lw AS (SELECT id, 'LINESTRING (' || string_agg({num_txt('x')} || ' ' || {num_txt('y')}, ', '
+  ORDER BY seq) || ')' AS wkt FROM lv GROUP BY id)
+SELECT lw.id AS line_id, lw.wkt, round(ll.length, 6) AS length FROM lw JOIN ll ON ll.id = lw.id"""

@@ -241,3 +241,7 @@ def point_polygon_distance(spark, sf):
                            left_geom=("x", "y"), left_cols=["id", "x", "y"], right_cols=["id", "geometry"])
     return p.select(F.col("l.id").alias("point_id"), F.col("r.id").alias("polygon_id"),
                     F.round(G.distance(G.point("l.x", "l.y"), F.col("r.geometry")), 3).alias("dist"))
+
+
+# the other query modules register themselves on import
+from geoq.plans import q_basic  # noqa: E402,F401
