@@ -138,3 +138,48 @@ def lonlat_customer(spark: SparkSession, sf: str) -> DataFrame:
         c.alias("id"),
         (F.lit(6.0) + ((c * CUST_MUL[0]) % 10007).cast("double") * 6.0 / 10007.0).alias("lon"),
         (F.lit(44.0) + ((c * CUST_MUL[1]) % 10009).cast("double") * 2.0 / 10009.0).alias("lat"))
+
+
+# ---------------------------------------------------------------- OSM elements
+
+def osm_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """node(id, x, y, tags): parts placed by the part coordinate hash."""
+    x, y = _hashed_xy("p_partkey", PART_MUL)
+    return read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), x.alias("x"), y.alias("y"),
+        F.create_map(F.lit("brand"), F.col("p_brand")).alias("tags"))
+
+
+def osm_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """way(id, nd, tags): an order with its parts as ordered node refs
+    (order of l_linenumber, l_partkey, l_suppkey, l_extendedprice);
+    ``building=yes`` on urgent orders, two metadata tags on every way."""
+    li = read_table(spark, sf, "lineitem")
+    nd = (li.groupBy(F.col("l_orderkey").alias("id"))
+          .agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
+               .alias("refs"))
+          .select("id", F.transform("refs", lambda r: r.l_partkey).alias("nd")))
+    o = read_table(spark, sf, "orders")
+    base = F.create_map(F.lit("highway"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"),
+                        F.lit("source"), F.lit("tpch"), F.lit("created_by"), F.lit("gen"))
+    bld = F.when(F.col("o_orderpriority") == "1-URGENT", F.create_map(F.lit("building"), F.lit("yes"))) \
+        .otherwise(F.create_map().cast("map<string,string>"))
+    ways = o.select(F.col("o_orderkey").alias("id"), F.map_concat(base, bld).alias("tags"))
+    return ways.join(nd, "id", "left").select(
+        "id", F.coalesce("nd", F.array().cast("array<bigint>")).alias("nd"), "tags")
+
+
+def osm_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """relation(id, members, tags): a customer with its orders as way
+    members (role outer when o_orderstatus = 'F'), ``type=multipolygon``,
+    ``building=yes`` for the BUILDING segment."""
+    o = read_table(spark, sf, "orders")
+    mem = (o.groupBy(F.col("o_custkey").alias("id"))
+           .agg(F.array_sort(F.collect_list(F.struct(
+               F.col("o_orderkey").alias("ref"), F.lit("w").alias("type"),
+               F.when(F.col("o_orderstatus") == "F", "outer").otherwise("inner").alias("role")))).alias("members")))
+    c = read_table(spark, sf, "customer")
+    tags = F.map_concat(F.create_map(F.lit("type"), F.lit("multipolygon")),
+                        F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("building"), F.lit("yes")))
+                        .otherwise(F.create_map().cast("map<string,string>")))
+    return c.select(F.col("c_custkey").alias("id"), tags.alias("tags")).join(mem, "id")

@@ -319,3 +319,106 @@ ORACLE["wkt_round_trip"] = ORACLE["wkt_round_trip"].replace("WITH " + POLY_V, "W
 ORACLE["line_wkt"] = LLEN + f""", lw AS (SELECT id, 'LINESTRING (' || string_agg({num_txt('x')} || ' ' || {num_txt('y')}, ', '
   ORDER BY seq) || ')' AS wkt FROM lv GROUP BY id)
 SELECT lw.id AS line_id, lw.wkt, round(ll.length, 6) AS length FROM lw JOIN ll ON ll.id = lw.id"""
+
+
+# ---------------------------------------------------------------- OSM batch
+
+WAY_PTS = """wnd AS (SELECT l_orderkey AS way_id, l_partkey AS node_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos
+  FROM lineitem),
+wpt AS (SELECT w.way_id, w.pos, p.x, p.y FROM wnd w JOIN prt p ON p.id = w.node_id),
+wseg AS (SELECT way_id, pos, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx,
+                coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny
+         FROM wpt WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+wgeo AS (SELECT way_id, count(*) AS n, sum(x*ny - nx*y) AS ta,
+                (min_by(x, pos) = max_by(x, pos) AND min_by(y, pos) = max_by(y, pos)) AS closed
+         FROM wseg GROUP BY way_id HAVING count(*) >= 4)"""
+WAYS = """ways AS (SELECT o_orderkey AS way_id, o_orderpriority AS highway, o_orderstatus AS status,
+  o_orderpriority = '1-URGENT' AS building, o_custkey FROM orders)"""
+RELS = """rel AS (SELECT c_custkey AS rel_id FROM customer WHERE c_mktsegment = 'BUILDING'),
+mem AS (SELECT o_custkey AS rel_id, o_orderkey AS way_id, CASE WHEN o_orderstatus = 'F' THEN 'outer' ELSE 'inner' END AS role
+        FROM orders WHERE o_custkey IN (SELECT rel_id FROM rel)),
+rg AS (SELECT m.rel_id, count(*) FILTER (WHERE m.role = 'outer') AS n_outer,
+              count(*) FILTER (WHERE m.role <> 'outer') AS n_inner,
+              sum(abs(g.ta)) FILTER (WHERE m.role = 'outer') AS outer_a2,
+              coalesce(sum(abs(g.ta)) FILTER (WHERE m.role <> 'outer'), 0) AS inner_a2
+       FROM mem m JOIN wgeo g ON g.way_id = m.way_id GROUP BY m.rel_id HAVING count(*) FILTER (WHERE m.role = 'outer') >= 1)"""
+BLD = """bld AS (
+  SELECT 'r' || CAST(rel_id AS VARCHAR) AS feature_id, CASE WHEN n_outer = 1 THEN 'POLYGON' ELSE 'MULTIPOLYGON' END AS gtype,
+         CASE WHEN n_outer = 1 THEN (outer_a2 - inner_a2) / 2.0 ELSE outer_a2 / 2.0 END AS area FROM rg
+  UNION ALL
+  SELECT 'w' || CAST(g.way_id AS VARCHAR), 'POLYGON', abs(g.ta) / 2.0 FROM wgeo g JOIN ways w ON w.way_id = g.way_id
+  WHERE w.building AND g.way_id NOT IN (SELECT way_id FROM mem))"""
+OSM_BASE = with_(PTS_PART, WAY_PTS, WAYS, RELS, BLD)
+
+ORACLE["osm_required_ids"] = with_(WAYS, RELS) + """, wid AS (SELECT way_id AS id FROM ways WHERE building
+  UNION SELECT way_id FROM mem)
+SELECT 'way' AS kind, id FROM wid
+UNION ALL SELECT DISTINCT 'node', l_partkey FROM lineitem WHERE l_orderkey IN (SELECT id FROM wid)"""
+ORACLE["osm_way_geometries"] = with_(PTS_PART, WAY_PTS) + """SELECT way_id, CAST(n + CASE WHEN closed THEN 0 ELSE 1 END AS BIGINT)
+AS num_points, abs(ta) / 2.0 AS area FROM wgeo"""
+ORACLE["osm_relation_geometries"] = with_(PTS_PART, WAY_PTS, RELS) + """SELECT rel_id,
+CASE WHEN n_outer = 1 THEN 'POLYGON' ELSE 'MULTIPOLYGON' END AS gtype,
+CAST(CASE WHEN n_outer = 1 THEN 1 ELSE n_outer END AS BIGINT) AS n_parts,
+CAST(CASE WHEN n_outer = 1 THEN 1 + n_inner ELSE n_outer END AS BIGINT) AS n_rings,
+CASE WHEN n_outer = 1 THEN (outer_a2 - inner_a2) / 2.0 ELSE outer_a2 / 2.0 END AS area FROM rg"""
+ORACLE["osm_buildings"] = OSM_BASE + "SELECT feature_id, gtype, area FROM bld"
+ORACLE["top10_area"] = OSM_BASE + "SELECT feature_id, area AS area_sqm FROM bld ORDER BY area DESC, feature_id LIMIT 10"
+ORACLE["osm_drop_metadata_tags"] = """SELECT o_orderkey AS way_id,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 'building,highway,status' ELSE 'highway,status' END AS keys FROM orders"""
+ORACLE["osm_tags_to_columns"] = """SELECT o_orderkey AS way_id, o_orderpriority AS highway, o_orderstatus AS status,
+CASE WHEN o_orderpriority = '1-URGENT' THEN 'yes' END AS building FROM orders"""
+ORACLE["tags_filter"] = """SELECT o_orderkey AS way_id FROM orders
+WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM') OR o_orderpriority = '1-URGENT'"""
+ORACLE["tags_filter_all"] = """SELECT o_orderkey AS way_id FROM orders
+WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')"""
+ORACLE["map_lookup"] = "SELECT o_orderkey AS way_id FROM orders WHERE o_orderpriority = '5-LOW'"
+ORACLE["list_to_string"] = """SELECT o.o_orderkey AS way_id, coalesce(string_agg(CAST(w.node_id AS VARCHAR), ',' ORDER BY w.pos), '') AS refs
+FROM orders o LEFT JOIN (SELECT l_orderkey AS way_id, l_partkey AS node_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
+  FROM lineitem) w ON w.way_id = o.o_orderkey GROUP BY o.o_orderkey"""
+ORACLE["map_list_functions"] = """SELECT o.o_orderkey AS way_id,
+CAST(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 5 ELSE 4 END AS BIGINT) AS n_tags, o.o_orderstatus AS status,
+CAST(count(w.node_id) AS BIGINT) AS n_refs, min_by(w.node_id, w.pos) AS first_ref, max(w.node_id) AS max_ref
+FROM orders o LEFT JOIN (SELECT l_orderkey AS way_id, l_partkey AS node_id,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos
+  FROM lineitem) w ON w.way_id = o.o_orderkey GROUP BY o.o_orderkey, o.o_orderpriority, o.o_orderstatus"""
+
+# nodes inside-or-on polygon 12
+P12_NODES = f"""p12n AS (SELECT c.pid AS id FROM (
+    SELECT p.id AS pid, p.x, p.y FROM prt p JOIN pbb g ON g.id = 12
+      AND p.x BETWEEN g.minx AND g.maxx AND p.y BETWEEN g.miny AND g.maxy) c
+  JOIN pseg s ON s.id = 12 GROUP BY c.pid
+  HAVING SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) % 2 = 1
+      OR MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) = 1)"""
+ORACLE["osm_regional_extract"] = with_(PTS_PART, POLY_V, POLY_SEG, POLY_BB, P12_NODES) + """,
+sel_ways AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey IN (SELECT id FROM p12n)),
+sel_nodes AS (SELECT l_partkey AS id FROM lineitem WHERE l_orderkey IN (SELECT id FROM sel_ways) UNION SELECT id FROM p12n)
+SELECT 'node' AS kind, id FROM sel_nodes
+UNION ALL SELECT 'way', id FROM sel_ways
+UNION ALL SELECT DISTINCT 'relation', o_custkey FROM orders WHERE o_orderkey IN (SELECT id FROM sel_ways)"""
+
+# building rings (closed) for the polygon-polygon intersection test
+BRINGS = """brv AS (
+  SELECT 'r' || CAST(m.rel_id AS VARCHAR) AS fid,
+         CASE WHEN r.n_outer = 1 THEN 0 ELSE m.way_id END AS part, m.way_id AS ring, p.pos, p.x, p.y
+  FROM mem m JOIN rg r ON r.rel_id = m.rel_id JOIN wgeo g ON g.way_id = m.way_id JOIN wpt p ON p.way_id = m.way_id
+  WHERE r.n_outer = 1 OR m.role = 'outer'
+  UNION ALL
+  SELECT 'w' || CAST(g.way_id AS VARCHAR), 0, g.way_id, p.pos, p.x, p.y
+  FROM wgeo g JOIN ways w ON w.way_id = g.way_id JOIN wpt p ON p.way_id = g.way_id
+  WHERE w.building AND g.way_id NOT IN (SELECT way_id FROM mem)),
+brs AS (SELECT fid, part, ring, x AS ax, y AS ay,
+               coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by
+        FROM brv WINDOW w AS (PARTITION BY fid, ring ORDER BY pos))"""
+ORACLE["osm_extract_in_boundary"] = with_(PTS_PART, WAY_PTS, WAYS, RELS, POLY_V, POLY_SEG, POLY_BB, BRINGS) + f""",
+hit_v AS (SELECT c.fid FROM (SELECT DISTINCT fid, x, y FROM brv) c JOIN pseg s ON s.id = 12
+          GROUP BY c.fid, c.x, c.y
+          HAVING SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) % 2 = 1
+              OR MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) = 1),
+hit_p AS (SELECT s.fid FROM (SELECT x, y FROM pv WHERE id = 12) c JOIN brs s ON TRUE
+          GROUP BY s.fid, s.part, c.x, c.y
+          HAVING SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) % 2 = 1
+              OR MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) = 1),
+hit_s AS (SELECT a.fid FROM brs a JOIN pseg s ON s.id = 12 WHERE {seg_intersects('a', 's')})
+SELECT DISTINCT fid AS feature_id FROM (SELECT fid FROM hit_v UNION ALL SELECT fid FROM hit_p UNION ALL SELECT fid FROM hit_s)"""
