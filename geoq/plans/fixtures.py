@@ -183,3 +183,21 @@ def osm_relations(spark: SparkSession, sf: str) -> DataFrame:
                         F.when(F.col("c_mktsegment") == "BUILDING", F.create_map(F.lit("building"), F.lit("yes")))
                         .otherwise(F.create_map().cast("map<string,string>")))
     return c.select(F.col("c_custkey").alias("id"), tags.alias("tags")).join(mem, "id")
+
+
+def raster_meta(spark: SparkSession, sf: str, tile: int = 32):
+    """Header of the class raster (height follows the orders table)."""
+    from geoq.operators.raster import RasterMeta
+    n = read_table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0]
+    return RasterMeta(width=RASTER_COLS, height=int(n) // RASTER_COLS + 1, ulx=0.0, uly=RASTER_TOP,
+                      px=PIXEL, py=-PIXEL, nodata=0.0, tile=tile)
+
+
+def raster_band(spark: SparkSession, sf: str) -> DataFrame:
+    return raster_pixels(spark, sf).select(F.lit(1).alias("band"), "row", "col", "value")
+
+
+def raster_tiles(spark: SparkSession, sf: str, tile: int = 32):
+    from geoq.operators.raster import to_tiles
+    meta = raster_meta(spark, sf, tile)
+    return to_tiles(raster_band(spark, sf), meta), meta

@@ -422,3 +422,60 @@ hit_p AS (SELECT s.fid FROM (SELECT x, y FROM pv WHERE id = 12) c JOIN brs s ON
               OR MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) = 1),
 hit_s AS (SELECT a.fid FROM brs a JOIN pseg s ON s.id = 12 WHERE {seg_intersects('a', 's')})
 SELECT DISTINCT fid AS feature_id FROM (SELECT fid FROM hit_v UNION ALL SELECT fid FROM hit_p UNION ALL SELECT fid FROM hit_s)"""
+
+
+# ---------------------------------------------------------------- raster batch
+
+PX = """px AS (SELECT CAST((o_orderkey - o_orderkey % 100) / 100 AS BIGINT) AS row, CAST(o_orderkey % 100 AS BIGINT) AS col,
+  CAST((o_orderkey * 31) % 50 AS DOUBLE) AS value FROM orders),
+hdr AS (SELECT CAST(max(o_orderkey) // 100 + 1 AS BIGINT) AS height FROM orders)"""
+PXC = """pxc AS (SELECT row, col, value, 0.0 + (col + 0.5) * 1000.0 AS x, 100000.0 + (row + 0.5) * (-1000.0) AS y FROM px)"""
+ZONE = f"""zp AS (SELECT c.gid, c.row, c.col, c.value FROM (
+    SELECT g.id AS gid, p.row, p.col, p.value, p.x, p.y FROM pxc p JOIN pbb g
+      ON p.x BETWEEN g.minx AND g.maxx AND p.y BETWEEN g.miny AND g.maxy WHERE g.id <> 3) c
+  JOIN pseg s ON s.id = c.gid GROUP BY c.gid, c.row, c.col, c.value
+  HAVING SUM(CASE WHEN {ray('c.x', 'c.y')} THEN 1 ELSE 0 END) % 2 = 1
+      OR MAX(CASE WHEN {onseg('c.x', 'c.y')} THEN 1 ELSE 0 END) = 1)"""
+RZ = with_(PX, PXC, POLY_V, POLY_SEG, POLY_BB, ZONE)
+
+ORACLE["raster_tiles_summary"] = with_(PX) + """SELECT 1 AS band, CAST(floor(row / 32) AS BIGINT) AS tile_row,
+CAST(floor(col / 32) AS BIGINT) AS tile_col, CAST(count(*) FILTER (WHERE value <> 0) AS BIGINT) AS n_valid,
+coalesce(sum(value) FILTER (WHERE value <> 0), 0.0) AS sum_valid FROM px GROUP BY 2, 3"""
+ORACLE["raster_pixels_roundtrip"] = with_(PX) + "SELECT row, col, value FROM px"
+ORACLE["raster_mosaic"] = with_(PX) + """, b AS (SELECT CAST((o_orderkey - o_orderkey % 100) / 100 + 3 AS BIGINT) AS row,
+  CAST(o_orderkey % 100 + 50 AS BIGINT) AS col, CAST((o_orderkey * 17) % 50 AS DOUBLE) AS value FROM orders
+  WHERE o_orderkey % 100 + 50 < 100)
+SELECT row, col, value FROM b UNION ALL
+SELECT row, col, value FROM px WHERE (row, col) NOT IN (SELECT (row, col) FROM b)"""
+ORACLE["raster_info"] = with_(PX) + """SELECT CAST(100 AS BIGINT) AS width, height, CAST(1 AS BIGINT) AS bands,
+CAST(ceil(height / 32.0) * 4 AS BIGINT) AS n_tiles, 0.0 AS minx, 100000.0 - height * 1000.0 AS miny,
+100000.0 AS maxx, 100000.0 AS maxy, 1000000.0 AS pixel_area, 1000000.0 * 100 * height / 1e6 AS area_km2 FROM hdr"""
+ORACLE["band_read"] = with_(PX) + "SELECT CAST(count(*) AS BIGINT) AS n_pixels, sum(value) AS sum_value FROM px"
+ORACLE["raster_window"] = with_(PX) + """SELECT row - 20 AS row, col - 10 AS col, value, 10000.0 AS ulx, 80000.0 AS uly
+FROM px WHERE row >= 20 AND row < 60 AND col >= 10 AND col < 40"""
+ORACLE["nodata_mask"] = with_(PX) + """SELECT CAST(count(*) FILTER (WHERE value <> 0) AS BIGINT) AS n_valid,
+round(avg(value) FILTER (WHERE value <> 0), 6) AS mean_valid FROM px"""
+ORACLE["resample_average"] = with_(PX) + """SELECT CAST(floor(row * (height // 5) / height) AS BIGINT) AS row,
+CAST(floor(col * 10 / 100) AS BIGINT) AS col, round(avg(value) FILTER (WHERE value <> 0), 6) AS value
+FROM px, hdr GROUP BY 1, 2"""
+ORACLE["class_counts"] = with_(PX) + """SELECT value AS class, CAST(count(*) AS BIGINT) AS n,
+round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM px WHERE value <> 0 GROUP BY value"""
+ORACLE["pixel_histogram"] = with_(PX) + """, cnt AS (SELECT CAST(least(floor((value - 0) / 50.0 * 50), 49) AS BIGINT) AS bin,
+  count(*) AS n FROM px GROUP BY 1)
+SELECT b.bin, round(b.bin * 1.0, 6) AS bin_lo, round(b.bin + 1.0, 6) AS bin_hi, CAST(coalesce(cnt.n, 0) AS BIGINT) AS count
+FROM (SELECT range AS bin FROM range(50)) b LEFT JOIN cnt ON cnt.bin = b.bin"""
+ORACLE["class_mask"] = with_(PX) + """SELECT CAST(count(*) FILTER (WHERE value BETWEEN 1 AND 11) AS BIGINT) AS n_in_mask,
+CAST(count(*) FILTER (WHERE NOT value BETWEEN 1 AND 11) AS BIGINT) AS n_outside FROM px"""
+ORACLE["class_area_ha"] = with_(PX) + """SELECT value AS class, count(*) * 1000000.0 / 1e4 AS area_ha FROM px
+WHERE value <> 0 GROUP BY value"""
+ORACLE["raster_clip"] = RZ + "SELECT row, col, value FROM zp WHERE gid = 12"
+ORACLE["raster_clip_sum"] = RZ + """SELECT sum(value) FILTER (WHERE value <> 0) AS total,
+CAST(count(*) FILTER (WHERE value <> 0) AS BIGINT) AS n_pixels FROM zp WHERE gid = 12"""
+ORACLE["zonal_stats_sum"] = RZ + """SELECT g.id, sum(z.value) FILTER (WHERE z.value > 0 AND z.value < 1e10) AS sum,
+CAST(count(z.value) FILTER (WHERE z.value > 0 AND z.value < 1e10) AS BIGINT) AS count
+FROM (SELECT DISTINCT id FROM pv WHERE id <> 3) g LEFT JOIN zp z ON z.gid = g.id GROUP BY g.id"""
+ORACLE["zonal_mean"] = RZ + """SELECT g.id, round(avg(z.value) FILTER (WHERE z.value <> 0), 6) AS mean,
+min(z.value) FILTER (WHERE z.value <> 0) AS min, max(z.value) FILTER (WHERE z.value <> 0) AS max
+FROM (SELECT DISTINCT id FROM pv WHERE id <> 3) g LEFT JOIN zp z ON z.gid = g.id GROUP BY g.id"""
+ORACLE["region_total"] = RZ + """SELECT sum(s) AS total, CAST(count(*) AS BIGINT) AS n_zones FROM (
+  SELECT gid, sum(value) FILTER (WHERE value > 0 AND value < 1e10) AS s FROM zp GROUP BY gid)"""

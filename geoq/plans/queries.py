@@ -246,3 +246,4 @@ def point_polygon_distance(spark, sf):
 # the other query modules register themselves on import
 from geoq.plans import q_basic  # noqa: E402,F401
 from geoq.plans import q_osm  # noqa: E402,F401
+from geoq.plans import q_raster  # noqa: E402,F401
