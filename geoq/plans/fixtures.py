@@ -201,3 +201,25 @@ def raster_tiles(spark: SparkSession, sf: str, tile: int = 32):
     from geoq.operators.raster import to_tiles
     meta = raster_meta(spark, sf, tile)
     return to_tiles(raster_band(spark, sf), meta), meta
+
+
+# ---------------------------------------------------------------- street graph
+
+DRIVE = ["1-URGENT", "2-HIGH"]
+BLOCK = 16
+
+
+def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Street graph on customers: every drive-class order is an edge from
+    its customer to a customer of the same block of 16, integer length."""
+    o = read_table(spark, sf, "orders").where(F.col("o_orderpriority").isin(DRIVE))
+    u = F.col("o_custkey")
+    v = u - u % BLOCK + (u * 7 + F.col("o_orderkey")) % BLOCK
+    e = o.select(F.col("o_orderkey").alias("edge_id"), u.alias("u"), v.alias("v"),
+                 (1 + (F.col("o_orderkey") * 17) % 97).alias("length")).where(F.col("u") != F.col("v"))
+    cust = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("v"))
+    return e.join(cust, "v", "left_semi")
+
+
+def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return pts_customer(spark, sf).select("id", "x", "y", "kind")

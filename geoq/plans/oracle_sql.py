@@ -479,3 +479,90 @@ min(z.value) FILTER (WHERE z.value <> 0) AS min, max(z.value) FILTER (WHERE z.va
 FROM (SELECT DISTINCT id FROM pv WHERE id <> 3) g LEFT JOIN zp z ON z.gid = g.id GROUP BY g.id"""
 ORACLE["region_total"] = RZ + """SELECT sum(s) AS total, CAST(count(*) AS BIGINT) AS n_zones FROM (
   SELECT gid, sum(value) FILTER (WHERE value > 0 AND value < 1e10) AS s FROM zp GROUP BY gid)"""
+
+
+# ---------------------------------------------------------------- network batch
+
+GE = """ge0 AS (SELECT o_orderkey AS edge_id, o_custkey AS u, o_custkey - o_custkey % 16 + (o_custkey * 7 + o_orderkey) % 16 AS v,
+  1 + (o_orderkey * 17) % 97 AS length FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
+ge AS (SELECT * FROM ge0 WHERE u <> v AND v IN (SELECT c_custkey FROM customer))"""
+OSM_GRAPH = """wnd AS (SELECT l.l_orderkey AS way_id, l.l_partkey AS node,
+  row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) - 1 AS pos,
+  o.o_orderstatus = 'F' AS oneway
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH')),
+uses AS (SELECT node, count(*) AS uses FROM wnd GROUP BY node),
+r1 AS (SELECT w.*, u.uses, max(w.pos) OVER (PARTITION BY w.way_id) AS last,
+  lead(w.node) OVER (PARTITION BY w.way_id ORDER BY w.pos) AS nxt FROM wnd w JOIN uses u ON u.node = w.node),
+r2 AS (SELECT *, sum(CASE WHEN pos = 0 OR pos = last OR uses >= 2 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY way_id ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS e FROM r1),
+gseg AS (SELECT r2.*, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
+  FROM r2 JOIN prt a ON a.id = r2.node JOIN prt b ON b.id = r2.nxt WHERE r2.nxt IS NOT NULL),
+ge1 AS (SELECT way_id, e, oneway, min_by(node, pos) AS u, max_by(nxt, pos) AS v, sum(len) AS length
+  FROM gseg GROUP BY way_id, e, oneway),
+gboth AS (SELECT * FROM ge1 UNION ALL SELECT way_id, e, oneway, v AS u, u AS v, length FROM ge1 WHERE NOT oneway)"""
+
+ORACLE["graph_build"] = with_(PTS_PART, OSM_GRAPH) + """SELECT u, v,
+CAST(row_number() OVER (PARTITION BY u, v ORDER BY way_id, e, oneway DESC) - 1 AS BIGINT) AS key, way_id,
+round(length, 6) AS length FROM gboth"""
+ORACLE["graph_nodes"] = with_(PTS_PART, OSM_GRAPH) + """SELECT p.id, p.x, p.y FROM prt p
+WHERE p.id IN (SELECT u FROM ge1 UNION SELECT v FROM ge1)"""
+ORACLE["undirected_edges"] = with_(GE) + "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM ge"
+CC = "WITH RECURSIVE " + GE + """,
+und AS (SELECT u, v FROM ge UNION SELECT v, u FROM ge),
+r(node, label) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT und.v, r.label FROM r JOIN und ON und.u = r.node),
+cc AS (SELECT node AS node_id, min(label) AS component FROM r GROUP BY node)
+"""
+ORACLE["connected_components"] = CC + "SELECT node_id, component FROM cc"
+ORACLE["component_count"] = CC + "SELECT CAST(count(DISTINCT component) AS BIGINT) AS n_components FROM cc"
+DEG = with_(GE) + """, deg AS (SELECT c.c_custkey AS id, CAST(coalesce(d.n, 0) AS BIGINT) AS degree FROM customer c
+  LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT u AS id FROM ge UNION ALL SELECT v FROM ge) GROUP BY id) d ON d.id = c.c_custkey)
+"""
+ORACLE["degree_distribution"] = DEG + "SELECT degree, CAST(count(*) AS BIGINT) AS n_nodes FROM deg GROUP BY degree"
+ORACLE["edge_length_stats"] = with_(GE) + """SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length) AS BIGINT) AS total,
+round(avg(length), 6) AS mean, min(length) AS min, max(length) AS max FROM ge"""
+ORACLE["network_stats"] = (DEG.replace("WITH ", "WITH " + PTS_CUSTOMER + ",\n", 1) + """, st AS (
+  SELECT count(*) AS m, CAST(sum(length) AS DOUBLE) AS total,
+         sum(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))) AS straight
+  FROM ge JOIN pts a ON a.id = ge.u JOIN pts b ON b.id = ge.v)
+SELECT CAST((SELECT count(*) FROM deg) AS BIGINT) AS n, CAST(m AS BIGINT) AS m,
+  round(2.0 * m / (SELECT count(*) FROM deg), 6) AS k_avg, round(total, 6) AS edge_length_total,
+  round(total / m, 6) AS edge_length_avg, round((SELECT avg(degree) FROM deg), 6) AS streets_per_node_avg,
+  CAST((SELECT count(*) FROM deg WHERE degree > 1) AS BIGINT) AS intersection_count,
+  round(total / straight, 6) AS circuity_avg FROM st""")
+SP = "WITH RECURSIVE " + GE + """,
+arcs AS (SELECT u, v, min(length) AS length FROM (SELECT u, v, length FROM ge UNION ALL SELECT v, u, length FROM ge) GROUP BY u, v),
+d(src, node, dist) USING KEY (src, node) AS (
+  SELECT c_custkey, c_custkey, CAST(0 AS BIGINT) FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION
+  (SELECT d.src, a.v, min(d.dist + a.length) FROM d JOIN arcs a ON a.u = d.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.d rr WHERE rr.src = d.src AND rr.node = a.v AND rr.dist <= d.dist + a.length)
+   GROUP BY d.src, a.v))
+"""
+ORACLE["shortest_paths"] = SP + "SELECT src AS source, node AS target, CAST(dist AS BIGINT) AS dist FROM d"
+ORACLE["dbscan"] = "WITH RECURSIVE " + PTS_PART + """,
+pr AS (SELECT a.id AS a, b.id AS b FROM prt a JOIN prt b
+  ON b.x BETWEEN a.x - 2500 AND a.x + 2500 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500e0 * 2500e0),
+core AS (SELECT a AS id FROM pr GROUP BY a HAVING count(*) >= 5),
+ce AS (SELECT a, b FROM pr WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core) AND a <> b),
+r(node, label) AS (SELECT id, id FROM core UNION SELECT ce.b, r.label FROM r JOIN ce ON ce.a = r.node),
+comp AS (SELECT node AS id, min(label) AS component FROM r GROUP BY node),
+border AS (SELECT p.a AS id, min(c.component) AS component FROM pr p JOIN comp c ON c.id = p.b
+  WHERE p.a NOT IN (SELECT id FROM core) GROUP BY p.a),
+lab AS (SELECT p.id, CAST(coalesce(c.component, b.component, -1) AS BIGINT) AS label, p.id IN (SELECT id FROM core) AS is_core
+  FROM prt p LEFT JOIN comp c ON c.id = p.id LEFT JOIN border b ON b.id = p.id)
+"""
+ORACLE["dbscan_summary"] = ORACLE["dbscan"] + """SELECT CAST(count(DISTINCT label) FILTER (WHERE label >= 0) AS BIGINT) AS n_clusters,
+CAST(count(*) FILTER (WHERE label < 0) AS BIGINT) AS n_noise FROM lab"""
+ORACLE["dbscan"] += "SELECT id, label, is_core FROM lab"
+
+
+def _project_graph_sql():
+    from geoq.functions.crs import sql_xy
+    x, y = sql_xy("lon", "lat", 32632)
+    return ("""WITH ll AS (SELECT c_custkey AS id, 6e0+((c_custkey*7919)%10007)*6e0/10007e0 AS lon,
+  44e0+((c_custkey*104729)%10009)*2e0/10009e0 AS lat FROM customer)
+SELECT id, round(""" + x + ", 3) AS x, round(" + y + """, 3) AS y,
+  CAST(floor((avg(lon) OVER () + 180) / 6) + 1 AS INTEGER) AS zone FROM ll""")
+
+
+ORACLE["project_graph"] = _project_graph_sql()

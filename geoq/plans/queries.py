@@ -247,3 +247,4 @@ def point_polygon_distance(spark, sf):
 from geoq.plans import q_basic  # noqa: E402,F401
 from geoq.plans import q_osm  # noqa: E402,F401
 from geoq.plans import q_raster  # noqa: E402,F401
+from geoq.plans import q_network  # noqa: E402,F401
