@@ -223,3 +223,21 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return pts_customer(spark, sf).select("id", "x", "y", "kind")
+
+
+# ---------------------------------------------------------------- footprints
+
+def footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Axis-aligned rectangular footprints, one per order (buildings);
+    ``kind`` = order priority, parks are the 3-MEDIUM ones."""
+    k = F.col("o_orderkey")
+    x0 = ((k * CUST_MUL[0]) % P_MOD_X).cast("double")
+    y0 = ((k * CUST_MUL[1]) % P_MOD_Y).cast("double")
+    w = (20 + (k * 13) % 180).cast("double")
+    h = (20 + (k * 29) % 140).cast("double")
+    return (read_table(spark, sf, "orders")
+            .select(k.alias("id"), F.col("o_orderpriority").alias("kind"), G.box(x0, y0, x0 + w, y0 + h).alias("geometry")))
+
+
+def parks(spark: SparkSession, sf: str) -> DataFrame:
+    return footprints(spark, sf).where(F.col("kind") == "3-MEDIUM")

@@ -566,3 +566,56 @@ SELECT id, round(""" + x + ", 3) AS x, round(" + y + """, 3) AS y,
 
 
 ORACLE["project_graph"] = _project_graph_sql()
+
+
+# ---------------------------------------------------------------- overlay batch
+
+FOOT_V = """fp AS (SELECT o_orderkey AS id, o_orderpriority AS kind,
+  CAST((o_orderkey*7919)%100003 AS DOUBLE) AS x0, CAST((o_orderkey*104729)%100019 AS DOUBLE) AS y0,
+  CAST(20 + (o_orderkey*13)%180 AS DOUBLE) AS w, CAST(20 + (o_orderkey*29)%140 AS DOUBLE) AS h FROM orders)"""
+
+
+def slab_sweep(segs_cte: str, rule: str, out: str) -> str:
+    """Global slab sweep over ``osg(poly, role, ax, ay, bx, by)`` (non-horizontal
+    edges): cuts at vertex ordinates and proper crossings."""
+    return f""", {segs_cte},
+cx AS (SELECT l.ay + ((r.ax - l.ax) * (r.by - r.ay) - (r.ay - l.ay) * (r.bx - r.ax))
+                   / ((l.bx - l.ax) * (r.by - r.ay) - (l.by - l.ay) * (r.bx - r.ax)) * (l.by - l.ay) AS y
+       FROM osg l JOIN osg r ON l.k < r.k
+        AND least(l.ax, l.bx) <= greatest(r.ax, r.bx) AND least(r.ax, r.bx) <= greatest(l.ax, l.bx)
+        AND least(l.ay, l.by) <= greatest(r.ay, r.by) AND least(r.ay, r.by) <= greatest(l.ay, l.by)
+       WHERE sign((l.bx - l.ax) * (r.ay - l.ay) - (l.by - l.ay) * (r.ax - l.ax))
+           * sign((l.bx - l.ax) * (r.by - l.ay) - (l.by - l.ay) * (r.bx - l.ax)) < 0
+         AND sign((r.bx - r.ax) * (l.ay - r.ay) - (r.by - r.ay) * (l.ax - r.ax))
+           * sign((r.bx - r.ax) * (l.by - r.ay) - (r.by - r.ay) * (l.bx - r.ax)) < 0),
+brk AS (SELECT DISTINCT y FROM (SELECT o.ay AS y FROM osg o UNION ALL SELECT o.by FROM osg o UNION ALL SELECT y FROM cx)),
+slab AS (SELECT * FROM (SELECT y AS y0, lead(y) OVER (ORDER BY y) AS y1 FROM brk) WHERE y1 IS NOT NULL),
+ss AS (SELECT sl.y0, sl.y1, s.poly, s.role,
+              s.ax + ((sl.y0 + sl.y1) / 2.0 - s.ay) * (s.bx - s.ax) / (s.by - s.ay) AS xm
+       FROM slab sl JOIN osg s ON sl.y0 >= least(s.ay, s.by) AND sl.y1 <= greatest(s.ay, s.by)),
+st AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY y0, poly ORDER BY xm) % 2 = 1 THEN 1 ELSE -1 END AS d FROM ss),
+cum AS (SELECT *, sum(CASE WHEN role = 'B' THEN d ELSE 0 END) OVER w AS nb,
+               sum(CASE WHEN role = 'P' THEN d ELSE 0 END) OVER w AS np,
+               lead(xm) OVER w2 AS nx
+        FROM st WINDOW w AS (PARTITION BY y0 ORDER BY xm, poly ROWS UNBOUNDED PRECEDING),
+                       w2 AS (PARTITION BY y0 ORDER BY xm, poly))
+SELECT round(sum(CASE WHEN {rule} AND nx IS NOT NULL THEN (nx - xm) * (y1 - y0) ELSE 0 END), 3) AS {out} FROM cum"""
+
+
+PARK_SEGS = """osg AS (SELECT 'P:' || CAST(q.id AS VARCHAR) AS poly, 'P' AS role, row_number() OVER () AS k, q.ax, q.ay, q.bx, q.by FROM (
+  SELECT id, x0 AS ax, y0 AS ay, x0 AS bx, y0 + h AS by FROM fp WHERE kind = '3-MEDIUM'
+  UNION ALL SELECT id, x0 + w, y0, x0 + w, y0 + h FROM fp WHERE kind = '3-MEDIUM') q)"""
+ORACLE["union_area_parks"] = with_(FOOT_V).rstrip("\n") + slab_sweep(PARK_SEGS, "np > 0", "union_area")
+NAT_SEGS = """osg AS (SELECT 'P:' || CAST(s.id AS VARCHAR) AS poly, 'P' AS role, row_number() OVER () AS k, s.ax, s.ay, s.bx, s.by
+  FROM pseg s WHERE s.id <> 3 AND s.ay <> s.by)"""
+ORACLE["union_area_polygons"] = with_(POLY_V, POLY_SEG).rstrip("\n") + slab_sweep(NAT_SEGS, "np > 0", "union_area")
+NONPARK_SEGS = """osg AS (SELECT q.poly, q.role, row_number() OVER () AS k, q.ax, q.ay, q.bx, q.by FROM (
+  SELECT 'B:0' AS poly, 'B' AS role, s.ax, s.ay, s.bx, s.by FROM pseg s WHERE s.id = 12 AND s.ay <> s.by
+  UNION ALL
+  SELECT 'P:' || CAST(f.id AS VARCHAR), 'P', e.ax, e.ay, e.bx, e.by FROM fp f, pbb b,
+    LATERAL (SELECT f.x0 AS ax, f.y0 AS ay, f.x0 AS bx, f.y0 + f.h AS by
+             UNION ALL SELECT f.x0 + f.w, f.y0, f.x0 + f.w, f.y0 + f.h) e
+  WHERE f.kind = '3-MEDIUM' AND b.id = 12 AND f.x0 <= b.maxx AND f.x0 + f.w >= b.minx
+    AND f.y0 <= b.maxy AND f.y0 + f.h >= b.miny) q)"""
+ORACLE["non_park_area"] = with_(FOOT_V, POLY_V, POLY_SEG, POLY_BB).rstrip("\n") + slab_sweep(
+    NONPARK_SEGS, "nb > 0 AND np = 0", "non_park_area_sqm")
