@@ -501,3 +501,31 @@ def geom_from_wkt(s, srid=0) -> Column:
              .otherwise(parts))
     parts = F.when(body.rlike("(?i)^EMPTY"), F.array().cast(T.ArrayType(PART))).otherwise(parts)
     return make_geometry(t, parts, srid)
+
+
+# ---------------------------------------------------------------- flat (Arrow-friendly) form
+
+def to_flat(g) -> Column:
+    """Geometry as primitive arrays for Arrow UDFs: xs, ys, ring sizes and
+    the part index of every ring (nested structs do not cross cheaply)."""
+    g = _c(g)
+    vs = vertices(g)
+    return F.struct(g.gtype.alias("gtype"), F.transform(vs, lambda v: v.x).alias("xs"),
+                    F.transform(vs, lambda v: v.y).alias("ys"),
+                    F.transform(rings(g), lambda r: F.size(r)).alias("rsize"),
+                    F.flatten(F.transform(g.parts, lambda p, i: F.transform(p, lambda r: i))).alias("rpart"))
+
+
+def from_flat(f, srid=0) -> Column:
+    """Inverse of :func:`to_flat` (``f`` also carries ``roff``, the ring
+    start offsets)."""
+    f = _c(f)
+    nparts = F.coalesce(F.array_max(f.rpart) + 1, F.lit(0))
+    ridx = F.sequence(F.lit(0), F.size(f.rsize) - 1)
+
+    def ring(ri):
+        return F.transform(F.sequence(f.roff[ri], f.roff[ri] + f.rsize[ri] - 1), lambda i: xy(f.xs[i], f.ys[i]))
+    parts = F.transform(F.sequence(F.lit(0), nparts - 1), lambda p: F.transform(
+        F.filter(ridx, lambda ri: f.rpart[ri] == p), ring))
+    parts = F.when(nparts > 0, parts).otherwise(F.array().cast(T.ArrayType(PART)))
+    return make_geometry(f.gtype, parts, srid)

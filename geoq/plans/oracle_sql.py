@@ -619,3 +619,23 @@ NONPARK_SEGS = """osg AS (SELECT q.poly, q.role, row_number() OVER () AS k, q.ax
     AND f.y0 <= b.maxy AND f.y0 + f.h >= b.miny) q)"""
 ORACLE["non_park_area"] = with_(FOOT_V, POLY_V, POLY_SEG, POLY_BB).rstrip("\n") + slab_sweep(
     NONPARK_SEGS, "nb > 0 AND np = 0", "non_park_area_sqm")
+
+
+ORACLE["total_buffered_area"] = with_(FOOT_V) + """SELECT round(sum(w * h + 10.0 * (2 * (w + h))
+  + 4 * (8 * 0.5 * 10.0 * 10.0 * sin(pi() / 2 / 8))), 3) AS total_buffered_area FROM fp"""
+ORACLE["point_buffers"] = with_(PTS_CUSTOMER) + """SELECT round(count(*) * 32 * 0.5 * 100.0 * 100.0 * sin(2 * pi() / 32), 3)
+  AS total_area, CAST(count(*) * 33 AS BIGINT) AS n_vertices FROM pts"""
+ORACLE["wkb_round_trip"] = with_(POLY_V, POLY_SEG) + POLY_AREA + """, np AS (SELECT id, count(*) AS n, count(DISTINCT ring) AS nr
+  FROM pv GROUP BY id)
+SELECT a.id, CAST(1 + 4 + 4 + 4 * np.nr + 16 * np.n AS BIGINT) AS wkb_bytes, a.area, CAST(np.n AS BIGINT) AS num_points
+FROM parea a JOIN np ON np.id = a.id WHERE a.id <> 3"""
+ORACLE["bound_param_filter"] = with_(PTS_CUSTOMER) + """SELECT id AS point_id FROM pts
+WHERE (x - 30000.0) * (x - 30000.0) + (y - 70000.0) * (y - 70000.0) <= 15000.0 * 15000.0"""
+ORACLE["boundary_lookup"] = PIP_C + "SELECT DISTINCT pid AS point_id FROM pip WHERE gid = 12 AND nx % 2 = 1 AND onb = 0"
+ORACLE["extract_many"] = PIP_C + f""", ft AS (
+  SELECT id, 'restaurants' AS feature_type FROM pts WHERE kind = 'BUILDING'
+  UNION ALL SELECT id, 'shops' FROM pts WHERE kind IN ('AUTOMOBILE', 'MACHINERY')
+  UNION ALL SELECT id, 'homes' FROM pts WHERE kind = 'HOUSEHOLD'
+  UNION ALL SELECT id, 'all_features' FROM pts)
+SELECT n.n_name AS city, ft.feature_type, CAST(count(*) AS BIGINT) AS n_features
+FROM {WITHIN} w JOIN ft ON ft.id = w.pid JOIN nation n ON n.n_nationkey = w.gid GROUP BY 1, 2"""

@@ -291,3 +291,45 @@ def line_wkt(spark, sf):
     """H3 on lines, parsed back (H1) to check the length."""
     w = FX.line_orders(spark, sf).select(F.col("id").alias("line_id"), G.as_wkt("geometry").alias("wkt"))
     return w.withColumn("length", F.round(G.length(G.geom_from_wkt("wkt")), 6))
+
+
+@query("bound_param_filter")
+def bound_param_filter(spark, sf):
+    """SQL with bound parameters (``spark.sql(q, args=...)``)."""
+    FX.pts_customer(spark, sf).createOrReplaceTempView("geoq_pts_customer")
+    return spark.sql("SELECT id AS point_id FROM geoq_pts_customer "
+                     "WHERE (x - :cx) * (x - :cx) + (y - :cy) * (y - :cy) <= :r * :r",
+                     args={"cx": 30000.0, "cy": 70000.0, "r": 15000.0})
+
+
+@query("boundary_lookup")
+def boundary_lookup(spark, sf):
+    """Boundary by place name from a boundary table, then the points
+    inside it (cell join; the boundary is one filtered row)."""
+    from geoq.sources.tables import read_table
+    name = read_table(spark, sf, "nation").where(F.col("n_nationkey") == 12).select("n_name")
+    b = FX.poly_nation(spark, sf).join(name.select(F.col("n_name").alias("name")), "name", "left_semi")
+    return SJ.sjoin(FX.pts_customer(spark, sf), b.select("geometry"), "within", "semi", left_geom=("x", "y"),
+                    left_key="id").select(F.col("id").alias("point_id"))
+
+
+# Extraction tasks (feature type -> tag filter) of the batch extraction.
+EXTRACT_TASKS = [("restaurants", {"kind": ["BUILDING"]}), ("shops", {"kind": ["AUTOMOBILE", "MACHINERY"]}),
+                 ("homes", {"kind": ["HOUSEHOLD"]}), ("all_features", None)]
+
+
+@query("extract_many")
+def extract_many(spark, sf):
+    """The (city x feature type x tag filter) matrix as one job: every
+    feature is matched to its cities once (cell join) and to the tasks whose
+    filter it passes; the result is what ``write.partitionBy('city',
+    'feature_type')`` would lay out, counted here."""
+    from geoq.operators.osm import tags_match
+    pts = FX.pts_customer(spark, sf).withColumn("tags", F.create_map(F.lit("kind"), F.col("kind")))
+    tasks = F.array(*[F.when(tags_match("tags", spec), F.lit(name)) for name, spec in EXTRACT_TASKS])
+    feats = pts.select("id", "x", "y", F.explode(F.array_compact(tasks)).alias("feature_type"))
+    cities = _polygonal(spark, sf).select(F.col("name").alias("city"), "geometry")
+    p = SJ.candidate_pairs(feats, cities, "within", left_geom=("x", "y"), left_cols=["id", "feature_type"],
+                           right_cols=["city"])
+    return p.groupBy(F.col("r.city").alias("city"), F.col("l.feature_type").alias("feature_type")) \
+        .agg(F.count(F.lit(1)).alias("n_features"))

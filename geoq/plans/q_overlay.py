@@ -27,3 +27,42 @@ def non_park_area(spark, sf):
     (ST_Area(ST_Difference(boundary, ST_Union_Agg(parks))))."""
     boundary = FX.poly_nation(spark, sf).where(F.col("id") == 12).select("geometry")
     return OV.difference_area(boundary, FX.parks(spark, sf)).select(F.round("area", 3).alias("non_park_area_sqm"))
+
+
+BUF_R, BUF_Q = 10.0, 8
+
+
+@query("total_buffered_area")
+def total_buffered_area(spark, sf):
+    """UC3.2: SUM(ST_Area(ST_Buffer(geom, 10))) over building footprints."""
+    from geoq.functions.buffer import with_buffer_area
+    b = with_buffer_area(FX.footprints(spark, sf), "geometry", BUF_R, BUF_Q)
+    return b.agg(F.round(F.sum("buffer_area"), 3).alias("total_buffered_area"))
+
+
+@query("buffered_area_polygons")
+def buffered_area_polygons(spark, sf):
+    """H12 on non-convex polygons with holes (union of the buffer pieces)."""
+    from geoq.functions.buffer import with_buffer_area
+    b = with_buffer_area(_polygonal(spark, sf).select("id", "geometry"), "geometry", BUF_R, BUF_Q)
+    return b.select("id", F.round("buffer_area", 6).alias("buffer_area"))
+
+
+@query("point_buffers")
+def point_buffers(spark, sf):
+    """H12 on points: ST_Buffer(point, 100) as 32-gon; total area and vertices."""
+    from geoq.functions import geometry as G
+    p = FX.pts_customer(spark, sf).select(G.buffer_point("x", "y", 100.0, BUF_Q).alias("g"))
+    return p.agg(F.round(F.sum(G.area("g")), 3).alias("total_area"),
+                 F.sum(G.num_points("g")).cast("bigint").alias("n_vertices"))
+
+
+@query("wkb_round_trip")
+def wkb_round_trip(spark, sf):
+    """H2: ST_AsWKB -> ST_GeomFromWKB round trip of polygons and lines."""
+    from geoq.functions import geometry as G
+    from geoq.functions.wkb import with_geom_from_wkb, with_wkb
+    p = _polygonal(spark, sf).select("id", "geometry")
+    w = with_wkb(p, "geometry", "wkb").select("id", "wkb")
+    g = with_geom_from_wkb(w, "wkb", "g").select("id", F.length("wkb").cast("bigint").alias("wkb_bytes"), "g")
+    return g.select("id", "wkb_bytes", G.area("g").alias("area"), G.num_points("g").cast("bigint").alias("num_points"))
