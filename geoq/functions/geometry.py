@@ -340,9 +340,20 @@ def within(g1, g2) -> Column:
     all_in = F.forall(vs, lambda v: point_in_interior_or_boundary(v.x, v.y, g2))
     some_strict = F.exists(vs, lambda v: ~point_on_boundary(v.x, v.y, g2))
     no_cross = ~F.exists(segments(g1), lambda s: F.exists(segments(g2), lambda t: _seg_proper_cross(s, t)))
-    # every segment midpoint must also be covered (catches edges leaving through a notch)
-    mids_in = F.forall(segments(g1), lambda s: point_in_interior_or_boundary(
-        (s.a.x + s.b.x) / 2.0, (s.a.y + s.b.y) / 2.0, g2))
+    # each segment is cut at the boundary vertices of g2 lying on it; every
+    # piece's midpoint must be covered (an edge can leave the polygon through
+    # a vertex without any proper crossing, e.g. across a hole corner)
+    vs2 = vertices(g2)
+
+    def pieces_covered(s):
+        dx, dy = s.b.x - s.a.x, s.b.y - s.a.y
+        ll = dx * dx + dy * dy
+        cut = F.transform(F.filter(vs2, lambda v: _on_segment(s, v.x, v.y)),
+                          lambda v: ((v.x - s.a.x) * dx + (v.y - s.a.y) * dy) / ll)
+        ts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cut)))
+        return (ll == 0) | F.forall(_idx(ts), lambda i: point_in_interior_or_boundary(
+            s.a.x + dx * (ts[i] + ts[i + 1]) / 2.0, s.a.y + dy * (ts[i] + ts[i + 1]) / 2.0, g2))
+    mids_in = F.forall(segments(g1), pieces_covered)
     pt = F.when(F.size(vs) == 1, point_within(vs[0].x, vs[0].y, g2))
     return is_polygonal(g2) & F.coalesce(pt, all_in & some_strict & no_cross & mids_in)
 
@@ -529,3 +540,36 @@ def from_flat(f, srid=0) -> Column:
         F.filter(ridx, lambda ri: f.rpart[ri] == p), ring))
     parts = F.when(nparts > 0, parts).otherwise(F.array().cast(T.ArrayType(PART)))
     return make_geometry(f.gtype, parts, srid)
+
+
+# ---------------------------------------------------------------- precomputed segment arrays
+
+def part_segments(g) -> Column:
+    """array<struct<p, a, b>>: every ring edge with its part index (points
+    and one-vertex rings give a degenerate edge).  Computed once per
+    geometry row, then reused by the *_segs predicates for every candidate
+    pair of a join."""
+    g = _c(g)
+    return F.flatten(F.transform(g.parts, lambda part, pi: F.flatten(F.transform(part, lambda r: F.when(
+        F.size(r) == 1, F.array(F.struct(pi.alias("p"), r[0].alias("a"), r[0].alias("b")))).otherwise(
+        F.transform(_idx(r), lambda i: F.struct(pi.alias("p"), r[i].alias("a"), r[i + 1].alias("b"))))))))
+
+
+def on_boundary_segs(px, py, segs) -> Column:
+    return F.exists(segs, lambda s: _on_segment(s, px, py))
+
+
+def inside_segs(px, py, segs, nparts) -> Column:
+    """Even-odd per part over precomputed edges (boundary not decided)."""
+    crossing = F.filter(segs, lambda s: _ray_crosses(s, px, py))
+    one = F.size(crossing) % 2 == 1
+    many = F.exists(F.sequence(F.lit(0), F.greatest(nparts - 1, F.lit(0))),
+                    lambda k: F.size(F.filter(crossing, lambda s: s.p == k)) % 2 == 1)
+    return F.when(nparts <= 1, one).otherwise(many)
+
+
+def near_segs(px, py, segs, d) -> Column:
+    """Point within distance d of any edge (exact, no division)."""
+    p = F.struct(_c(px).alias("x"), _c(py).alias("y"))
+    d2 = F.lit(float(d) * float(d))
+    return F.exists(segs, lambda s: _pt_seg_within(p, s, d2))

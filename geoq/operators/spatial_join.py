@@ -49,8 +49,10 @@ class _Side:
             return self.df.select(F.struct(*keep).alias(f"{t}_k"), F.col(x).cast("double").alias(f"{t}_x"),
                                   F.col(y).cast("double").alias(f"{t}_y"))
         g = F.col(self.geom)
-        return self.df.select(F.struct(*keep).alias(f"{t}_k"), g.alias(f"{t}_g")).withColumn(
-            f"{t}_b", G.bbox(F.col(f"{t}_g")))
+        return (self.df.select(F.struct(*keep).alias(f"{t}_k"), g.alias(f"{t}_g"))
+                .withColumn(f"{t}_b", G.bbox(F.col(f"{t}_g")))
+                .withColumn(f"{t}_s", G.part_segments(F.col(f"{t}_g")))
+                .withColumn(f"{t}_n", F.size(F.col(f"{t}_g").parts)))
 
     # bbox columns of the prepared frame
     def box(self, d=0.0):
@@ -62,9 +64,21 @@ class _Side:
         return b.minx - d, b.miny - d, b.maxx + d, b.maxy + d
 
 
+def _thresholds(size, max_span, kmax=48):
+    return [size * max_span * (2.0 ** k) for k in range(kmax)]
+
+
 def _level(minx, miny, maxx, maxy, size, max_span) -> Column:
-    span = F.greatest(maxx - minx, maxy - miny) / F.lit(size * max_span)
-    return F.when(span <= 1, F.lit(0)).otherwise(F.ceil(F.log2(span))).cast("int")
+    """Grid level of a box: the number of thresholds ``size*max_span*2^k``
+    its extent exceeds (plain comparisons, so the driver can reproduce the
+    value exactly from an extent)."""
+    ext = F.greatest(maxx - minx, maxy - miny)
+    th = F.array(*[F.lit(t) for t in _thresholds(size, max_span)])
+    return F.size(F.filter(th, lambda t: ext > t)).cast("int")
+
+
+def _level_of(ext: float, size: float, max_span: int) -> int:
+    return sum(1 for t in _thresholds(size, max_span) if ext > t)
 
 
 def _cells(minx, miny, maxx, maxy, size, lvl) -> Column:
@@ -75,24 +89,22 @@ def _cells(minx, miny, maxx, maxy, size, lvl) -> Column:
         lvl.alias("lvl"), cx.alias("cx"), cy.alias("cy")))))
 
 
-def estimate_cell_size(df: DataFrame, geom, distance: float = 0.0) -> float:
-    """Median bbox extent of the extent side (one pass over the geometry
-    column only), at least twice the join distance."""
-    if isinstance(geom, (tuple, list)):
-        ext = 0.0
-    else:
-        b = G.bbox(F.col(geom))
-        ext = df.select(F.percentile_approx(F.greatest(b.maxx - b.minx, b.maxy - b.miny), 0.5).alias("m")) \
-            .first()["m"] or 0.0
-    return float(max(ext, 2.0 * distance, 1e-9))
+def _extent_stats(prepared: DataFrame, side, d: float):
+    """(median, min, max) box extent of one side in a single aggregation
+    over its prepared rows (bbox columns only)."""
+    x0, y0, x1, y1 = side.box(d)
+    ext = F.greatest(x1 - x0, y1 - y0)
+    r = prepared.agg(F.percentile_approx(ext, 0.5).alias("m"), F.min(ext).alias("lo"), F.max(ext).alias("hi")).first()
+    return (r["m"] or 0.0, r["lo"] or 0.0, r["hi"] or 0.0)
 
 
-def _levels(df: DataFrame, side: _Side, d: float, size: float, max_span: int):
-    if side.is_point and 2 * d <= size * max_span:
-        return [0]
-    x0, y0, x1, y1 = side.box(d)
-    rows = df.select(F.collect_set(_level(x0, y0, x1, y1, size, max_span)).alias("l")).first()["l"]
-    return sorted(rows or [0])   # bounded: at most ~64 distinct levels
+def estimate_cell_size(df: DataFrame, geom, distance: float = 0.0) -> float:
+    """Median bbox extent of the extent side, at least twice the join distance."""
+    if isinstance(geom, (tuple, list)):
+        return float(max(2.0 * distance, 1e-9))
+    b = G.bbox(F.col(geom))
+    ext = df.select(F.percentile_approx(F.greatest(b.maxx - b.minx, b.maxy - b.miny), 0.5).alias("m")).first()["m"]
+    return float(max(ext or 0.0, 2.0 * distance, 1e-9))
 
 
 def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
@@ -106,16 +118,20 @@ def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
         if pred == "dwithin":
             return d2 <= d * d
         return d2 == 0
-    if L.is_point and pred in ("within", "intersects") and not R.is_point:
-        px, py, g = F.col(f"{lt}_x"), F.col(f"{lt}_y"), F.col(f"{rt}_g")
-        f = G.point_within if pred == "within" else G.point_intersects
-        return G.is_polygonal(g) & f(px, py, g) if pred == "within" else (
-            F.when(G.is_polygonal(g), f(px, py, g)).otherwise(G.dwithin(G.point(px, py), g, 0.0)))
-    if R.is_point and pred in ("contains", "intersects") and not L.is_point:
-        px, py, g = F.col(f"{rt}_x"), F.col(f"{rt}_y"), F.col(f"{lt}_g")
-        if pred == "contains":
-            return G.is_polygonal(g) & G.point_within(px, py, g)
-        return F.when(G.is_polygonal(g), G.point_intersects(px, py, g)).otherwise(G.dwithin(G.point(px, py), g, 0.0))
+    if L.is_point != R.is_point:
+        P, E = (L, R) if L.is_point else (R, L)
+        px, py = F.col(f"{P.tag}_x"), F.col(f"{P.tag}_y")
+        g, segs, nparts = F.col(f"{E.tag}_g"), F.col(f"{E.tag}_s"), F.col(f"{E.tag}_n")
+        poly = G.is_polygonal(g)
+        onb = G.on_boundary_segs(px, py, segs)
+        ins = poly & G.inside_segs(px, py, segs, nparts)
+        point_in = (pred == "within" and L.is_point) or (pred == "contains" and R.is_point)
+        if point_in:
+            return poly & ins & ~onb
+        if pred == "intersects":
+            return onb | ins
+        if pred == "dwithin":
+            return ins | G.near_segs(px, py, segs, d)
     lg = G.point(F.col(f"{lt}_x"), F.col(f"{lt}_y")) if L.is_point else F.col(f"{lt}_g")
     rg = G.point(F.col(f"{rt}_x"), F.col(f"{rt}_y")) if R.is_point else F.col(f"{rt}_g")
     if pred == "dwithin":
@@ -140,15 +156,24 @@ def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
     L, R = _Side(left, left_geom, "l"), _Side(right, right_geom, "r")
     lkeep = [F.col(c) for c in (left_cols or left.columns)]
     rkeep = [F.col(c) for c in (right_cols or right.columns)]
+    lp, rp = L.prepared(lkeep), R.prepared(rkeep)
+    # one aggregation per extent side gives the median extent (cell size)
+    # and the extent range (grid levels); point sides need no job
+    lst = None if L.is_point else _extent_stats(lp, L, d)
+    rst = None if R.is_point else _extent_stats(rp, R, 0.0)
     if cell_size is None:
-        ext_side = R if not R.is_point else L
-        cell_size = estimate_cell_size(ext_side.df, ext_side.geom, d)
         if L.is_point and R.is_point:
             cell_size = max(2.0 * d, 1.0)
+        else:
+            cell_size = max((rst or lst)[0], 2.0 * d, 1e-9)
     s = float(cell_size)
-    lp, rp = L.prepared(lkeep), R.prepared(rkeep)
-    l_levels = _levels(lp, L, d, s, max_span)
-    r_levels = _levels(rp, R, 0.0, s, max_span)
+
+    def lv_range(st, pt_ext):
+        if st is None:
+            return [_level_of(pt_ext, s, max_span)]
+        return list(range(_level_of(st[1], s, max_span), _level_of(st[2], s, max_span) + 1))
+    l_levels = lv_range(lst, 2.0 * d)
+    r_levels = lv_range(rst, 0.0)
 
     lx0, ly0, lx1, ly1 = L.box(d)
     rx0, ry0, rx1, ry1 = R.box()

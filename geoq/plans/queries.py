@@ -96,8 +96,10 @@ def streets_trees_near_hospitals(spark, sf):
     """C7 / UC4.2: streets within 1000 m of a hospital (semi join), trees
     within 200 m of those streets (semi join), two scalar aggregates."""
     streets = FX.line_orders(spark, sf)
-    near = SJ.sjoin(streets, FX.pts_supplier(spark, sf), "dwithin", "semi", distance=NEAR_HOSP_D,
-                    right_geom=("x", "y"), left_key="id")
+    from geoq.session import cut_lineage
+    # the CTE streets_near_hospitals is used twice: materialise it once
+    near = cut_lineage(SJ.sjoin(streets, FX.pts_supplier(spark, sf), "dwithin", "semi", distance=NEAR_HOSP_D,
+                                right_geom=("x", "y"), left_key="id").select("id", "geometry"))
     trees = SJ.sjoin(FX.pts_part(spark, sf), near.select("id", "geometry"), "dwithin", "semi",
                      distance=NEAR_STREET_D, left_geom=("x", "y"), left_key="id")
     a = trees.agg(F.count(F.lit(1)).alias("total_tree_count"))
