@@ -30,6 +30,7 @@ def _fan_area(theta: Column, r: float, q: int) -> Column:
     return n * 0.5 * r * r * F.sin(theta / n)
 
 
+@G.bind(0)
 def _ring_turns(ring) -> Column:
     """Exterior turning angle at every vertex of a closed ring (signed)."""
     n = F.size(ring) - 1  # closed: last == first
@@ -44,6 +45,7 @@ def _ring_turns(ring) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), at)
 
 
+@G.bind(0)
 def is_convex(g) -> Column:
     """Single-part polygon without holes whose turns all have one sign."""
     g = G._c(g)
@@ -53,6 +55,7 @@ def is_convex(g) -> Column:
         F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0))
 
 
+@G.bind(0)
 def buffer_area_convex(g, r: float, quad_segs: int = 8) -> Column:
     """Exact area of the discretised buffer of a convex polygon."""
     g = G._c(g)

@@ -43,6 +43,33 @@ def _c(c) -> Column:
     return F.lit(c)
 
 
+def bind(*argpos):
+    """Evaluate the Column arguments at ``argpos`` once per row and hand the
+    bound values to the function body (``transform(array(v), f)[0]``).
+    Without this, Catalyst substitutes an aliased geometry expression into
+    every reference when it pushes a filter below its projection, and the
+    geometry is rebuilt once per reference."""
+    import functools
+
+    def deco(fn):
+        @functools.wraps(fn)
+        def wrapper(*args, **kw):
+            args = list(args)
+            pos = [i for i in argpos if i < len(args)]
+            if not pos:
+                return fn(*args, **kw)
+            packed = F.struct(*[_c(args[i]).alias(f"a{i}") for i in pos])
+
+            def body(v):
+                a2 = list(args)
+                for i in pos:
+                    a2[i] = v[f"a{i}"]
+                return fn(*a2, **kw)
+            return F.transform(F.array(packed), body)[0]
+        return wrapper
+    return deco
+
+
 # ---------------------------------------------------------------- constructors
 
 def xy(x, y) -> Column:
@@ -137,6 +164,7 @@ def is_polygonal(g) -> Column:
     return _c(g).gtype.isin(*POLYGONAL)
 
 
+@bind(0)
 def bbox(g) -> Column:
     vs = vertices(g)
     xs = F.transform(vs, lambda v: v.x)
@@ -145,6 +173,7 @@ def bbox(g) -> Column:
                     F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
 
 
+@bind(0)
 def envelope(g) -> Column:
     b = bbox(g)
     return box(b.minx, b.miny, b.maxx, b.maxy, _c(g).srid)
@@ -183,6 +212,7 @@ def _sum(arr) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, b: a + b)
 
 
+@bind(0)
 def area(g) -> Column:
     """Planar area; holes subtracted; 0 for points and lines."""
     g = _c(g)
@@ -197,17 +227,20 @@ def _ring_length(r) -> Column:
                                                    + (r[i + 1].y - r[i].y) * (r[i + 1].y - r[i].y)))
 
 
+@bind(0)
 def length(g) -> Column:
     """Length of lines; 0 for polygons (as in SQL engines) and points."""
     g = _c(g)
     return F.when(g.gtype.isin(*LINEAL), _sum(F.transform(rings(g), _ring_length))).otherwise(F.lit(0.0))
 
 
+@bind(0)
 def perimeter(g) -> Column:
     g = _c(g)
     return F.when(g.gtype.isin(*POLYGONAL), _sum(F.transform(rings(g), _ring_length))).otherwise(F.lit(0.0))
 
 
+@bind(0)
 def centroid(g) -> Column:
     """Area-weighted for polygons, length-weighted for lines, mean for points."""
     g = _c(g)
@@ -285,12 +318,14 @@ def point_in_interior_or_boundary(px, py, g) -> Column:
         lambda s: _ray_crosses(s, px, py))) % 2) == 1)
 
 
+@bind(2)
 def point_within(px, py, g) -> Column:
     """Point strictly inside polygonal ``g`` (boundary excluded, as ST_Within)."""
     px, py = _c(px), _c(py)
     return point_in_interior_or_boundary(px, py, g) & ~point_on_boundary(px, py, g)
 
 
+@bind(2)
 def point_intersects(px, py, g) -> Column:
     """Point in polygon interior or on its boundary (as ST_Intersects)."""
     px, py = _c(px), _c(py)
@@ -320,6 +355,7 @@ def bbox_intersects(b1, b2, d=0.0) -> Column:
             & (b1.miny - d <= b2.maxy) & (b2.miny <= b1.maxy + d))
 
 
+@bind(0, 1)
 def intersects(g1, g2) -> Column:
     """Boundary-inclusive intersection test between any two geometries."""
     g1, g2 = _c(g1), _c(g2)
@@ -331,6 +367,7 @@ def intersects(g1, g2) -> Column:
     return bbox_intersects(bbox(g1), bbox(g2)) & (edge_hit | inside)
 
 
+@bind(0, 1)
 def within(g1, g2) -> Column:
     """``g1`` within polygonal ``g2``: every vertex inside or on the boundary,
     at least one strictly inside, and no edge of ``g1`` properly crossing
@@ -392,6 +429,7 @@ def _seg_seg_d2(s, t) -> Column:
         F.least(_pt_seg_d2(s.a, t), _pt_seg_d2(s.b, t), _pt_seg_d2(t.a, s), _pt_seg_d2(t.b, s)))
 
 
+@bind(0, 1)
 def distance_sq(g1, g2) -> Column:
     """Squared minimum distance; 0 when the geometries intersect (a point
     inside a polygon included)."""
@@ -408,6 +446,7 @@ def distance(g1, g2) -> Column:
     return F.sqrt(distance_sq(g1, g2))
 
 
+@bind(0, 1)
 def dwithin(g1, g2, d) -> Column:
     """ST_DWithin: minimum distance <= d, evaluated without square roots."""
     g1, g2 = _c(g1), _c(g2)
@@ -471,6 +510,7 @@ def _poly_txt(p) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(p, _ring_txt), ", "), F.lit(")"))
 
 
+@bind(0)
 def as_wkt(g) -> Column:
     """H3: geometry to WKT text."""
     g = _c(g)
@@ -491,6 +531,7 @@ def as_wkt(g) -> Column:
 _NUM = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 
 
+@bind(0)
 def geom_from_wkt(s, srid=0) -> Column:
     """H1: WKT text to geometry, all in Catalyst: the coordinate list is
     rewritten into JSON arrays by regular expressions and parsed with
@@ -516,6 +557,7 @@ def geom_from_wkt(s, srid=0) -> Column:
 
 # ---------------------------------------------------------------- flat (Arrow-friendly) form
 
+@bind(0)
 def to_flat(g) -> Column:
     """Geometry as primitive arrays for Arrow UDFs: xs, ys, ring sizes and
     the part index of every ring (nested structs do not cross cheaply)."""
@@ -544,6 +586,7 @@ def from_flat(f, srid=0) -> Column:
 
 # ---------------------------------------------------------------- precomputed segment arrays
 
+@bind(0)
 def part_segments(g) -> Column:
     """array<struct<p, a, b>>: every ring edge with its part index (points
     and one-vertex rings give a degenerate edge).  Computed once per

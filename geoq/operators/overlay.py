@@ -86,6 +86,10 @@ def coverage_area(edges: DataFrame, rule, band: float, roles=("P",)) -> DataFram
     """Area where ``rule(counts)`` holds; ``counts`` maps a role to the
     number of that role's polygons covering the interval (Column).  One
     row ``area``."""
+    from geoq.session import cut_lineage
+    # edges feed the cut ordinates, the crossing join and the slab join:
+    # materialise them once instead of recomputing their lineage per branch
+    edges = cut_lineage(edges)
     slabs = _slabs(edges, band)
     eb = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by") / band),
                                                          F.floor(F.greatest("ay", "by") / band))))
