@@ -58,6 +58,14 @@ def bind(*argpos):
             pos = [i for i in argpos if i < len(args)]
             if not pos:
                 return fn(*args, **kw)
+            if len(pos) == 1:
+                i = pos[0]
+
+                def body1(v):
+                    a2 = list(args)
+                    a2[i] = v
+                    return fn(*a2, **kw)
+                return F.transform(F.array(_c(args[i])), body1)[0]
             packed = F.struct(*[_c(args[i]).alias(f"a{i}") for i in pos])
 
             def body(v):
@@ -164,16 +172,17 @@ def is_polygonal(g) -> Column:
     return _c(g).gtype.isin(*POLYGONAL)
 
 
-@bind(0)
 def bbox(g) -> Column:
-    vs = vertices(g)
-    xs = F.transform(vs, lambda v: v.x)
-    ys = F.transform(vs, lambda v: v.y)
-    return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
-                    F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    """struct(minx, miny, maxx, maxy); the flattened vertex list is built
+    once and bound (not rebuilt for each of the four bounds)."""
+    def of(vs):
+        xs = F.transform(vs, lambda v: v.x)
+        ys = F.transform(vs, lambda v: v.y)
+        return F.struct(F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"),
+                        F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy"))
+    return F.transform(F.array(vertices(g)), of)[0]
 
 
-@bind(0)
 def envelope(g) -> Column:
     b = bbox(g)
     return box(b.minx, b.miny, b.maxx, b.maxy, _c(g).srid)
@@ -212,7 +221,6 @@ def _sum(arr) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, b: a + b)
 
 
-@bind(0)
 def area(g) -> Column:
     """Planar area; holes subtracted; 0 for points and lines."""
     g = _c(g)
@@ -227,20 +235,17 @@ def _ring_length(r) -> Column:
                                                    + (r[i + 1].y - r[i].y) * (r[i + 1].y - r[i].y)))
 
 
-@bind(0)
 def length(g) -> Column:
     """Length of lines; 0 for polygons (as in SQL engines) and points."""
     g = _c(g)
     return F.when(g.gtype.isin(*LINEAL), _sum(F.transform(rings(g), _ring_length))).otherwise(F.lit(0.0))
 
 
-@bind(0)
 def perimeter(g) -> Column:
     g = _c(g)
     return F.when(g.gtype.isin(*POLYGONAL), _sum(F.transform(rings(g), _ring_length))).otherwise(F.lit(0.0))
 
 
-@bind(0)
 def centroid(g) -> Column:
     """Area-weighted for polygons, length-weighted for lines, mean for points."""
     g = _c(g)
@@ -510,7 +515,6 @@ def _poly_txt(p) -> Column:
     return F.concat(F.lit("("), F.array_join(F.transform(p, _ring_txt), ", "), F.lit(")"))
 
 
-@bind(0)
 def as_wkt(g) -> Column:
     """H3: geometry to WKT text."""
     g = _c(g)
@@ -531,7 +535,6 @@ def as_wkt(g) -> Column:
 _NUM = r"[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 
 
-@bind(0)
 def geom_from_wkt(s, srid=0) -> Column:
     """H1: WKT text to geometry, all in Catalyst: the coordinate list is
     rewritten into JSON arrays by regular expressions and parsed with
@@ -557,7 +560,6 @@ def geom_from_wkt(s, srid=0) -> Column:
 
 # ---------------------------------------------------------------- flat (Arrow-friendly) form
 
-@bind(0)
 def to_flat(g) -> Column:
     """Geometry as primitive arrays for Arrow UDFs: xs, ys, ring sizes and
     the part index of every ring (nested structs do not cross cheaply)."""
@@ -586,7 +588,6 @@ def from_flat(f, srid=0) -> Column:
 
 # ---------------------------------------------------------------- precomputed segment arrays
 
-@bind(0)
 def part_segments(g) -> Column:
     """array<struct<p, a, b>>: every ring edge with its part index (points
     and one-vertex rings give a degenerate edge).  Computed once per

@@ -41,8 +41,8 @@ def polygon_edges(df: DataFrame, key: str, role: str = "P", geom: str = "geometr
                                      r[i + 1].x.alias("bx"), r[i + 1].y.alias("by")))))))
     return (df.where(G.is_polygonal(g))
             .select(F.concat(F.lit(role + ":"), F.col(key).cast("string")).alias("poly"), F.lit(role).alias("role"),
-                    F.inline(edges))
-            .where(F.col("ay") != F.col("by")))
+                    F.inline_outer(edges))
+            .where(F.col("ay").isNotNull() & (F.col("ay") != F.col("by"))))
 
 
 def _crossing_ys(edges: DataFrame) -> DataFrame:

@@ -48,14 +48,20 @@ class RasterMeta:
 
 def to_tiles(pixels: DataFrame, meta: RasterMeta) -> DataFrame:
     """Pixel view -> tile table (``raster2pgsql -t TxT``).  Each group
-    is one tile, bounded by T*T pixels."""
+    is one tile, bounded by T*T pixels.  A full tile is its sorted pixel
+    list; only partial tiles (raster edges, holes) are filled with nodata
+    by index lookup (map lookups are linear, so they are kept off the
+    common path)."""
     t = meta.tile
     nod = F.lit(meta.nodata if meta.nodata is not None else float("nan"))
+    idx = ((F.col("row") % t) * t + F.col("col") % t).cast("int")
     grouped = (pixels.groupBy("band", F.floor(F.col("row") / t).alias("tile_row"),
                               F.floor(F.col("col") / t).alias("tile_col"))
-               .agg(F.map_from_entries(F.collect_list(F.struct(
-                   ((F.col("row") % t) * t + F.col("col") % t).cast("int"), F.col("value")))).alias("m")))
-    data = F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i: F.coalesce(F.col("m")[i], nod))
+               .agg(F.array_sort(F.collect_list(F.struct(idx.alias("i"), F.col("value").alias("v")))).alias("px")))
+    dense = F.transform("px", lambda e: e.v)
+    m = F.map_from_entries(F.col("px"))
+    sparse = F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i: F.coalesce(m[i], nod))
+    data = F.when(F.size("px") == t * t, dense).otherwise(sparse)
     return grouped.select("band", "tile_row", "tile_col", data.alias("data"))
 
 
@@ -143,24 +149,32 @@ def polygon_tile_keys(polys: DataFrame, meta: RasterMeta, key="id", geom="geomet
     r0, r1 = F.greatest(trow(b.maxy), F.lit(0)), trow(b.miny)
     keys = F.flatten(F.transform(F.sequence(r0, F.greatest(r0, r1)), lambda r: F.transform(
         F.sequence(c0, F.greatest(c0, c1)), lambda c: F.struct(r.alias("tile_row"), c.alias("tile_col")))))
-    return (polys.where(c1 >= c0).where(r1 >= r0).select(key, geom, F.explode(keys).alias("k"))
-            .select(key, geom, "k.tile_row", "k.tile_col"))
+    # explode_outer: avoids an inferred non-empty filter that would
+    # recompute the bbox below the projection; NULL keys never join
+    return (polys.where(c1 >= c0).where(r1 >= r0).select(key, geom, F.explode_outer(keys).alias("k"))
+            .select(key, geom, "k.tile_row", "k.tile_col").where(F.col("tile_row").isNotNull()))
 
 
 def clip_pixels(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key="id", geom="geometry") -> DataFrame:
     """Pixels whose centre lies in (or on the boundary of) a polygon.
     Returns (key, band, row, col, value)."""
     t = meta.tile
-    keys = polygon_tile_keys(polys, meta, key, geom)
+    # per polygon, once: bbox, edge array and part count (reused by every pixel)
+    pg = polys.select(key, G.bbox(F.col(geom)).alias("_b"), G.part_segments(F.col(geom)).alias("_s"),
+                      F.size(F.col(geom).parts).alias("_n"), G.is_polygonal(F.col(geom)).alias("_poly"), geom)
+    keys = polygon_tile_keys(pg, meta, key, geom).join(pg.drop(geom), key)
     j = keys.join(tiles, ["tile_row", "tile_col"])
-    p = j.select(key, geom, "band", "tile_row", "tile_col", F.posexplode("data").alias("i", "value"))
-    p = p.select(key, geom, "band", (F.col("tile_row") * t + F.floor(F.col("i") / t)).cast("bigint").alias("row"),
+    p = j.select(key, "_b", "_s", "_n", "_poly", "band", "tile_row", "tile_col", F.posexplode("data").alias("i", "value"))
+    p = p.select(key, "_b", "_s", "_n", "_poly", "band",
+                 (F.col("tile_row") * t + F.floor(F.col("i") / t)).cast("bigint").alias("row"),
                  (F.col("tile_col") * t + F.col("i") % t).cast("bigint").alias("col"), "value")
     p = p.where((F.col("row") < meta.height) & (F.col("col") < meta.width))
     p = pixel_centres(p, meta)
-    b = G.bbox(F.col(geom))
+    b = F.col("_b")
     p = p.where((F.col("x") >= b.minx) & (F.col("x") <= b.maxx) & (F.col("y") >= b.miny) & (F.col("y") <= b.maxy))
-    return p.where(G.point_intersects(F.col("x"), F.col("y"), F.col(geom))).select(key, "band", "row", "col", "value")
+    x, y, s = F.col("x"), F.col("y"), F.col("_s")
+    hit = G.on_boundary_segs(x, y, s) | (F.col("_poly") & G.inside_segs(x, y, s, F.col("_n")))
+    return p.where(hit).select(key, "band", "row", "col", "value")
 
 
 def zonal_stats(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key="id", geom="geometry",

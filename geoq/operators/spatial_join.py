@@ -49,8 +49,11 @@ class _Side:
             return self.df.select(F.struct(*keep).alias(f"{t}_k"), F.col(x).cast("double").alias(f"{t}_x"),
                                   F.col(y).cast("double").alias(f"{t}_y"))
         g = F.col(self.geom)
-        return (self.df.select(F.struct(*keep).alias(f"{t}_k"), g.alias(f"{t}_g"))
-                .withColumn(f"{t}_b", G.bbox(F.col(f"{t}_g")))
+        # a stored bbox column (GeoParquet covering bbox / fixture column) is
+        # reused instead of recomputing it from the vertices
+        has_bbox = "bbox" in self.df.columns and self.geom != "bbox"
+        b = F.col("bbox") if has_bbox else G.bbox(g)
+        return (self.df.select(F.struct(*keep).alias(f"{t}_k"), g.alias(f"{t}_g"), b.alias(f"{t}_b"))
                 .withColumn(f"{t}_s", G.part_segments(F.col(f"{t}_g")))
                 .withColumn(f"{t}_n", F.size(F.col(f"{t}_g").parts)))
 
@@ -89,13 +92,22 @@ def _cells(minx, miny, maxx, maxy, size, lvl) -> Column:
         lvl.alias("lvl"), cx.alias("cx"), cy.alias("cy")))))
 
 
+_STATS: dict = {}
+
+
 def _extent_stats(prepared: DataFrame, side, d: float):
     """(median, min, max) box extent of one side in a single aggregation
-    over its prepared rows (bbox columns only)."""
+    over its prepared rows (bbox columns only).  Like table statistics the
+    result is kept per input plan (``semanticHash``), so joining the same
+    input again does not rescan it."""
     x0, y0, x1, y1 = side.box(d)
     ext = F.greatest(x1 - x0, y1 - y0)
-    r = prepared.agg(F.percentile_approx(ext, 0.5).alias("m"), F.min(ext).alias("lo"), F.max(ext).alias("hi")).first()
-    return (r["m"] or 0.0, r["lo"] or 0.0, r["hi"] or 0.0)
+    key = (id(prepared.sparkSession), prepared.semanticHash(), side.tag, d)
+    if key not in _STATS:
+        r = prepared.agg(F.percentile_approx(ext, 0.5).alias("m"), F.min(ext).alias("lo"),
+                         F.max(ext).alias("hi")).first()
+        _STATS[key] = (r["m"] or 0.0, r["lo"] or 0.0, r["hi"] or 0.0)
+    return _STATS[key]
 
 
 def estimate_cell_size(df: DataFrame, geom, distance: float = 0.0) -> float:
@@ -182,13 +194,16 @@ def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
 
     def own(df, tag, box):
         lvl = F.col(f"{tag}_lvl")
-        return df.withColumn("c", F.explode(_cells(*box, s, lvl)))
+        # explode_outer: a plain explode makes Catalyst infer a not-null /
+        # non-empty filter that it pushes below the projection, recomputing
+        # the geometry; a NULL cell simply never matches the equi-join
+        return df.withColumn("c", F.explode_outer(_cells(*box, s, lvl)))
 
     def up(df, tag, box, levels, strict):
         lvl = F.col(f"{tag}_lvl")
         lv = F.array(*[F.lit(int(v)) for v in levels])
         keep = F.filter(lv, lambda v: (v > lvl) if strict else (v >= lvl))
-        return df.withColumn("c", F.explode(F.flatten(F.transform(keep, lambda v: _cells(*box, s, v)))))
+        return df.withColumn("c", F.explode_outer(F.flatten(F.transform(keep, lambda v: _cells(*box, s, v)))))
 
     lbox, rbox = (lx0, ly0, lx1, ly1), (rx0, ry0, rx1, ry1)
     branches = [(own(lp, "l", lbox), up(rp, "r", rbox, l_levels, strict=False))]

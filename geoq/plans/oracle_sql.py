@@ -639,3 +639,21 @@ ORACLE["extract_many"] = PIP_C + f""", ft AS (
   UNION ALL SELECT id, 'all_features' FROM pts)
 SELECT n.n_name AS city, ft.feature_type, CAST(count(*) AS BIGINT) AS n_features
 FROM {WITHIN} w JOIN ft ON ft.id = w.pid JOIN nation n ON n.n_nationkey = w.gid GROUP BY 1, 2"""
+
+
+ORACLE["sql_functions"] = with_(POLY_V, POLY_SEG, POLY_BB) + POLY_AREA + f""", pin AS (
+  SELECT c.id, MAX(CASE WHEN {onseg('c.px', 'c.py')} THEN 1 ELSE 0 END) AS onb,
+         SUM(CASE WHEN {ray('c.px', 'c.py')} THEN 1 ELSE 0 END) AS nx
+  FROM (SELECT id, minx + 1000 AS px, miny + 1000 AS py FROM pbb) c JOIN pseg s ON s.id = c.id GROUP BY c.id)
+SELECT a.id, 'POLYGON' AS gtype, a.area, round(a.perimeter, 6) AS perimeter, 0.0 AS length,
+  CAST((SELECT count(*) FROM pv WHERE pv.id = a.id) AS BIGINT) AS num_points, b.minx, b.maxy,
+  (pin.nx % 2 = 1 AND pin.onb = 0) AS corner_inside,
+  'POLYGON ((' || {num_txt('b.minx')} || ' ' || {num_txt('b.miny')} || ', ' || {num_txt('b.maxx')} || ' ' || {num_txt('b.miny')}
+  || ', ' || {num_txt('b.maxx')} || ' ' || {num_txt('b.maxy')} || ', ' || {num_txt('b.minx')} || ' ' || {num_txt('b.maxy')}
+  || ', ' || {num_txt('b.minx')} || ' ' || {num_txt('b.miny')} || '))' AS envelope
+FROM parea a JOIN pbb b ON b.id = a.id JOIN pin ON pin.id = a.id WHERE a.id <> 3"""
+ORACLE["sql_point_functions"] = with_(PTS_CUSTOMER) + """, d AS (SELECT id, x, y,
+  x BETWEEN 40000 AND 60000 AND y BETWEEN 40000 AND 60000 AS inside,
+  greatest(40000 - x, 0, x - 60000) AS dx, greatest(40000 - y, 0, y - 60000) AS dy FROM pts)
+SELECT id AS point_id, CASE WHEN inside THEN 0.0 ELSE round(sqrt(dx * dx + dy * dy), 3) END AS dist, inside
+FROM d WHERE dx * dx + dy * dy <= 3000e0 * 3000e0"""

@@ -333,3 +333,31 @@ def extract_many(spark, sf):
                            right_cols=["city"])
     return p.groupBy(F.col("r.city").alias("city"), F.col("l.feature_type").alias("feature_type")) \
         .agg(F.count(F.lit(1)).alias("n_features"))
+
+
+@query("sql_functions")
+def sql_functions(spark, sf):
+    """The ST_* SQL names over a polygon view (Spark SQL text)."""
+    from geoq.functions.sql import register
+    register(spark)
+    _polygonal(spark, sf).select("id", "geometry").createOrReplaceTempView("geoq_polys")
+    return spark.sql("""SELECT id, ST_GeometryType(geometry) AS gtype, ST_Area(geometry) AS area,
+        round(ST_Perimeter(geometry), 6) AS perimeter, ST_Length(geometry) AS length,
+        CAST(ST_NPoints(geometry) AS BIGINT) AS num_points, ST_XMin(geometry) AS minx, ST_YMax(geometry) AS maxy,
+        ST_Within(ST_Point(ST_XMin(geometry) + 1000, ST_YMin(geometry) + 1000), geometry) AS corner_inside,
+        ST_AsText(ST_MakeEnvelope(ST_XMin(geometry), ST_YMin(geometry), ST_XMax(geometry), ST_YMax(geometry))) AS envelope
+        FROM geoq_polys""")
+
+
+@query("sql_point_functions")
+def sql_point_functions(spark, sf):
+    """ST_Point / ST_DWithin / ST_Distance / ST_Intersects in SQL, the
+    polygon taken from a one-row view (ST_Distance(geom, point) <= 1000 style
+    filter of the reference)."""
+    from geoq.functions.sql import register
+    register(spark)
+    FX.pts_customer(spark, sf).createOrReplaceTempView("geoq_pts")
+    return spark.sql("""SELECT id AS point_id,
+        round(ST_Distance(ST_Point(x, y), ST_MakeEnvelope(40000, 40000, 60000, 60000)), 3) AS dist,
+        ST_Intersects(ST_Point(x, y), ST_MakeEnvelope(40000, 40000, 60000, 60000)) AS inside
+        FROM geoq_pts WHERE ST_DWithin(ST_Point(x, y), ST_MakeEnvelope(40000, 40000, 60000, 60000), 3000)""")
