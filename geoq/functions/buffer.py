@@ -208,3 +208,65 @@ def with_buffer_area(df: DataFrame, geom: str, r: float, quad_segs: int = 8, nam
         *cols, "_f.xs", "_f.ys", "_f.rsize", "_f.rpart")
     slow = flat.select(*cols, buffer_area_udf(r, quad_segs)("xs", "ys", "rsize", "rpart").alias(name))
     return fast.unionByName(slow)
+
+
+# ---------------------------------------------------------------- simplification
+
+def _dp(pts: np.ndarray, tol: float) -> np.ndarray:
+    """Douglas-Peucker on one line/ring (end points kept), iterative."""
+    n = len(pts)
+    if n <= 2:
+        return pts
+    keep = np.zeros(n, dtype=bool)
+    keep[0] = keep[-1] = True
+    stack = [(0, n - 1)]
+    while stack:
+        a, b = stack.pop()
+        if b <= a + 1:
+            continue
+        p, q = pts[a], pts[b]
+        seg = q - p
+        ll = float(seg @ seg)
+        mid = pts[a + 1:b]
+        if ll == 0:
+            d = np.hypot(*(mid - p).T)
+        else:
+            d = np.abs(seg[0] * (mid[:, 1] - p[1]) - seg[1] * (mid[:, 0] - p[0])) / math.sqrt(ll)
+        k = int(np.argmax(d))
+        if d[k] > tol:
+            keep[a + 1 + k] = True
+            stack.append((a, a + 1 + k))
+            stack.append((a + 1 + k, b))
+    return pts[keep]
+
+
+def simplify_udf(tol: float):
+    @F.pandas_udf(T.StructType([T.StructField("xs", T.ArrayType(T.DoubleType())),
+                                T.StructField("ys", T.ArrayType(T.DoubleType())),
+                                T.StructField("rsize", T.ArrayType(T.IntegerType()))]))
+    def _simp(xs: pd.Series, ys: pd.Series, rsize: pd.Series) -> pd.DataFrame:
+        ox, oy, osz = [], [], []
+        for a, b, sizes in zip(xs, ys, rsize):
+            off, rx, ry, rs = 0, [], [], []
+            for n in sizes:
+                r = _dp(np.column_stack([a[off:off + n], b[off:off + n]]), tol)
+                rx.extend(r[:, 0].tolist())
+                ry.extend(r[:, 1].tolist())
+                rs.append(len(r))
+                off += n
+            ox.append(rx), oy.append(ry), osz.append(rs)
+        return pd.DataFrame({"xs": ox, "ys": oy, "rsize": osz})
+    return _simp
+
+
+def with_simplified(df: DataFrame, geom: str, tol: float, out: str = "simplified") -> DataFrame:
+    """ST_Simplify (Douglas-Peucker per ring/line, end points kept) as a
+    new column; the Arrow UDF sees flat coordinate arrays only."""
+    cols = df.columns
+    flat = df.select(*cols, G.to_flat(geom).alias("_f"))
+    s = flat.select(*cols, "_f", simplify_udf(tol)("_f.xs", "_f.ys", "_f.rsize").alias("_s"))
+    rs = F.col("_s.rsize")
+    offs = F.transform(rs, lambda n, i: F.aggregate(F.slice(rs, 1, i), F.lit(0), lambda a, b: a + b))
+    f2 = F.struct(F.col("_f.gtype").alias("gtype"), F.col("_s.xs").alias("xs"), F.col("_s.ys").alias("ys"),
+                  offs.alias("roff"), F.col("_s.rsize").alias("rsize"), F.col("_f.rpart").alias("rpart"))
+    return s.select(*cols, f2.alias("_f2")).select(*cols, G.from_flat(F.col("_f2")).alias(out))

@@ -617,3 +617,43 @@ def near_segs(px, py, segs, d) -> Column:
     p = F.struct(_c(px).alias("x"), _c(py).alias("y"))
     d2 = F.lit(float(d) * float(d))
     return F.exists(segs, lambda s: _pt_seg_within(p, s, d2))
+
+
+# ---------------------------------------------------------------- ring cleaning
+
+def clean_rings(g) -> Column:
+    """Drop consecutive repeated vertices, close open rings, orient
+    shells counter-clockwise and holes clockwise, drop rings with fewer
+    than 4 points (and parts left without a shell).  Self-intersections are
+    not repaired (see ``is_simple``)."""
+    g = _c(g)
+
+    def dedup(r):
+        return F.filter(r, lambda v, i: (i == 0) | ~((v.x == r[i - 1].x) & (v.y == r[i - 1].y)))
+
+    def close(r):
+        first, last = r[0], F.element_at(r, -1)
+        return F.when(F.size(r) == 0, r).when((first.x == last.x) & (first.y == last.y), r).otherwise(
+            F.concat(r, F.array(first)))
+
+    def orient(r, k):
+        ccw = ring_twice_area(r) > 0
+        want_ccw = k == 0
+        return F.when(ccw == want_ccw, r).otherwise(F.reverse(r))
+
+    def part(p):
+        rs = F.transform(p, lambda r: close(dedup(r)))
+        rs = F.filter(rs, lambda r: F.size(r) >= 4)
+        return F.transform(rs, lambda r, k: orient(r, k))
+    parts = F.transform(g.parts, part)
+    poly = g.withField("parts", F.filter(parts, lambda p: F.size(p) > 0))
+    return F.when(g.gtype.isin(*POLYGONAL), poly).otherwise(g)
+
+
+def is_simple(g) -> Column:
+    """True when no two non-adjacent edges of a ring/line intersect."""
+    g = _c(g)
+    segs = F.transform(segments(g), lambda s, i: F.struct(i.alias("i"), s.a.alias("a"), s.b.alias("b")))
+    n = F.size(segs)
+    return ~F.exists(segs, lambda s: F.exists(segs, lambda t: (t.i > s.i + 1) & ~((s.i == 0) & (t.i == n - 1))
+                                              & _seg_intersects(s, t)))

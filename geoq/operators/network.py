@@ -171,3 +171,80 @@ def route_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     best = edges.groupBy("u", "v").agg(F.min(F.struct("length", "key")).alias("b"))
     return steps.join(best, ["u", "v"]).select("route", "seq", "u", "v", F.col("b.key").alias("key"),
                                                F.col("b.length").alias("length"))
+
+
+def _banned_sp(arcs: DataFrame, starts: DataFrame, banned_arcs: DataFrame, banned_nodes: DataFrame,
+               max_rounds: int = 100000) -> DataFrame:
+    """Batched shortest paths where every search (``sid``) has its own
+    banned arcs (sid, u, v) and banned nodes (sid, node), applied as anti
+    joins.  ``starts``: (sid, src).  Returns (sid, node, dist, path)."""
+    dist = cut_lineage(starts.select("sid", F.col("src").alias("node"),
+                                     F.lit(0).cast(arcs.schema["length"].dataType).alias("dist"),
+                                     F.array(F.col("src")).alias("path")))
+    frontier = dist
+    for _ in range(max_rounds):
+        cand = (frontier.join(arcs.withColumnRenamed("u", "node"), "node")
+                .join(banned_arcs.withColumnRenamed("u", "node"), ["sid", "node", "v"], "left_anti")
+                .join(banned_nodes.withColumnRenamed("node", "v"), ["sid", "v"], "left_anti")
+                .select("sid", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+                        F.concat("path", F.array("v")).alias("path")))
+        best = cand.groupBy("sid", "node").agg(F.min(F.struct("dist", "path")).alias("b"))
+        old = dist.select("sid", "node", F.struct("dist", "path").alias("o"))
+        imp = cut_lineage(best.join(old, ["sid", "node"], "left").where(F.col("o").isNull() | (F.col("b") < F.col("o")))
+                          .select("sid", "node", "b.dist", "b.path"))
+        if imp.count() == 0:
+            break
+        dist = cut_lineage(dist.join(imp.select("sid", "node"), ["sid", "node"], "left_anti").unionByName(imp))
+        frontier = imp
+    return dist
+
+
+def k_shortest_paths(edges: DataFrame, pairs: DataFrame, k: int = 10, directed: bool = False) -> DataFrame:
+    """K shortest simple paths per (src, dst) pair, Yen's algorithm.
+
+    Rounds are sequential in k; within a round the spur searches of every
+    pair and every spur node run as one batched search.  Ties in cost are
+    broken by the smaller node path.  Returns (src, dst, rank, cost, path)."""
+    arcs = cut_lineage(_arcs(edges, directed))
+    pairs = pairs.select("src", "dst").distinct()
+    first = shortest_paths(edges, pairs.select("src").distinct(), directed)
+    A = cut_lineage(first.join(pairs.withColumnRenamed("dst", "node"), ["src", "node"])
+                    .select("src", F.col("node").alias("dst"), F.lit(0).alias("rank"),
+                            F.col("dist").alias("cost"), "path"))
+    B = None
+    for r in range(1, k):
+        last = A.where(F.col("rank") == r - 1)
+        # spur node i of the last path: root = path[0..i]
+        spurs = (last.select("src", "dst", "path", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("i", "spur"))
+                 .withColumn("root", F.slice("path", 1, F.col("i") + 1))
+                 .withColumn("sid", F.concat_ws(":", "src", "dst", "i")))
+        spurs = cut_lineage(spurs)
+        # arcs leaving the spur along any known path sharing the root
+        ban_arcs = (spurs.join(A.select("src", "dst", F.col("path").alias("p")), ["src", "dst"])
+                    .where((F.size("p") > F.col("i") + 1) & (F.slice("p", 1, F.col("i") + 1) == F.col("root")))
+                    .select("sid", F.try_element_at("p", F.col("i") + 1).alias("u"), F.try_element_at("p", F.col("i") + 2).alias("v")))
+        ban_nodes = spurs.select("sid", F.explode_outer(F.slice("root", 1, F.col("i"))).alias("node")) \
+            .where(F.col("node").isNotNull())
+        sp = _banned_sp(arcs, spurs.select("sid", F.col("spur").alias("src")), ban_arcs, ban_nodes)
+        found = (sp.join(spurs.select("sid", "src", "dst", "i", "root").withColumnRenamed("dst", "node")
+                         .withColumnRenamed("src", "psrc"), ["sid", "node"])
+                 .select(F.col("psrc").alias("src"), F.col("node").alias("dst"), "i", "root",
+                         F.col("dist").alias("spur_cost"), F.col("path").alias("spur_path")))
+        # cost of the root: sum of the arcs along it
+        steps = found.select("src", "dst", "i", "root", F.posexplode(F.slice("root", 1, F.size("root"))).alias("j", "a")) \
+            .withColumn("b", F.try_element_at("root", F.col("j") + 2)).where(F.col("b").isNotNull())
+        rc = (steps.join(arcs.withColumnRenamed("u", "a").withColumnRenamed("v", "b"), ["a", "b"])
+              .groupBy("src", "dst", "i").agg(F.sum("length").alias("root_cost")))
+        cand = (found.join(rc, ["src", "dst", "i"], "left")
+                .select("src", "dst", (F.coalesce("root_cost", F.lit(0)) + F.col("spur_cost")).alias("cost"),
+                        F.concat(F.slice("root", 1, F.size("root") - 1), "spur_path").alias("path")))
+        B = cand if B is None else B.unionByName(cand)
+        B = cut_lineage(B.distinct().join(A.select("src", "dst", "path"), ["src", "dst", "path"], "left_anti"))
+        best = B.groupBy("src", "dst").agg(F.min(F.struct("cost", "path")).alias("b")) \
+            .select("src", "dst", F.lit(r).alias("rank"), "b.cost", "b.path")
+        best = cut_lineage(best)
+        if best.count() == 0:
+            break
+        A = cut_lineage(A.unionByName(best))
+        B = B.join(best.select("src", "dst", "path"), ["src", "dst", "path"], "left_anti")
+    return A

@@ -119,3 +119,15 @@ def dbscan_summary(spark, sf):
     lab = dbscan(FX.pts_part(spark, sf), DB_EPS, DB_MIN)
     return lab.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n_clusters"),
                    F.count(F.when(F.col("label") < 0, 1)).alias("n_noise"))
+
+
+@query("k_shortest_paths")
+def k_shortest_paths(spark, sf):
+    """10 shortest simple paths from each BUILDING customer to its
+    farthest reachable node (ties: smallest id)."""
+    from pyspark.sql import Window
+    e = FX.graph_edges(spark, sf)
+    d = NW.shortest_paths(e, _sources(spark, sf), with_path=False)
+    w = Window.partitionBy("src").orderBy(F.desc("dist"), "node")
+    pairs = d.withColumn("rk", F.row_number().over(w)).where("rk = 1 AND dist > 0").select("src", F.col("node").alias("dst"))
+    return NW.k_shortest_paths(e, pairs, k=10).select("src", "dst", "rank", "cost", F.size("path").alias("n_nodes"))

@@ -66,3 +66,32 @@ def wkb_round_trip(spark, sf):
     w = with_wkb(p, "geometry", "wkb").select("id", "wkb")
     g = with_geom_from_wkb(w, "wkb", "g").select("id", F.length("wkb").cast("bigint").alias("wkb_bytes"), "g")
     return g.select("id", "wkb_bytes", G.area("g").alias("area"), G.num_points("g").cast("bigint").alias("num_points"))
+
+
+@query("simplify_lines")
+def simplify_lines(spark, sf):
+    """ST_Simplify of the OSM way rings (tolerance 2000 m); vertex
+    counts before/after and the kept end points."""
+    from geoq.functions import geometry as G
+    from geoq.functions.buffer import with_simplified
+    from geoq.operators import osm as OSM
+    w = OSM.way_coords(FX.osm_ways(spark, sf), FX.osm_nodes(spark, sf), min_points=2)
+    g = w.select(F.col("id").alias("way_id"), G.linestring(F.col("coords")).alias("geometry"))
+    s = with_simplified(g, "geometry", 2000.0)
+    return s.select("way_id", G.num_points("geometry").cast("bigint").alias("n_before"),
+                    G.num_points("simplified").cast("bigint").alias("n_after"),
+                    F.round(G.length("simplified"), 6).alias("length_after"))
+
+
+@query("clean_rings")
+def clean_rings_q(spark, sf):
+    """Ring cleaning of the OSM way polygons (repeated vertices
+    dropped, rings closed and oriented, short rings dropped)."""
+    from geoq.functions import geometry as G
+    from geoq.operators import osm as OSM
+    w = OSM.way_coords(FX.osm_ways(spark, sf), FX.osm_nodes(spark, sf), min_points=1)
+    g = w.select(F.col("id").alias("way_id"), G.polygon(F.array("coords")).alias("geometry"))
+    c = g.select("way_id", G.clean_rings("geometry").alias("g"))
+    return c.select("way_id", F.size(F.col("g").parts).cast("bigint").alias("n_parts"),
+                    G.num_points("g").cast("bigint").alias("num_points"), G.area("g").alias("area"),
+                    G.is_simple("g").alias("is_simple"))

@@ -57,3 +57,19 @@ def test_tags_match_modes(spark):
     anyc = df.where(OSM.tags_match("tags", {"a": "1", "b": True}, "any")).count()
     allc = df.where(OSM.tags_match("tags", {"a": ["1", "2"], "b": True}, "all")).count()
     assert (anyc, allc, df.where(OSM.tags_match("tags", None)).count()) == (2, 1, 3)
+
+
+def test_simplify_and_clean(spark):
+    from geoq.functions.buffer import _dp
+    import numpy as np
+    pts = np.array([(0, 0), (1, 0.1), (2, -0.1), (3, 5), (4, 6), (5, 7), (6, 8.1), (7, 9)], dtype=float)
+    out = _dp(pts, 1.0)
+    assert tuple(out[0]) == (0, 0) and tuple(out[-1]) == (7, 9) and len(out) < len(pts)
+    df = spark.createDataFrame([("POLYGON ((0 0, 0 0, 0 3, 4 3, 4 0))",), ("POLYGON ((0 0, 1 1, 0 0))",)], "w string")
+    r = df.select(G.as_wkt(G.clean_rings(G.geom_from_wkt("w"))).alias("c")).collect()
+    assert r[0].c == "POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))" and r[1].c == "POLYGON EMPTY"
+    from geoq.functions.buffer import with_simplified
+    line = spark.createDataFrame([("LINESTRING (0 0, 1 0.1, 2 -0.1, 3 5, 4 6, 5 7, 6 8.1, 7 9)",)], "w string") \
+        .select(G.geom_from_wkt("w").alias("g"))
+    s = with_simplified(line, "g", 1.0).select(G.num_points("simplified").alias("n"), G.x("simplified").alias("x")).first()
+    assert s.n == len(out) and s.x == 0.0

@@ -83,3 +83,33 @@ def test_route_edges(spark):
     und = und.unionByName(und.select(F.col("v").alias("u"), F.col("u").alias("v"), "length", "key"))
     rows = NW.route_edges(spark.createDataFrame([(1, far.path)], "route int, path array<long>"), und).collect()
     assert sum(r.length for r in rows) == far.dist and len(rows) == len(far.path) - 1
+
+
+def test_k_shortest_paths_vs_brute_force(spark):
+    nodes, e, edges, n = _graph(spark, seed=23, n=9, m=16)
+    adj = {}
+    for _, u, v, w in edges:
+        adj.setdefault(u, []).append((v, w))
+        adj.setdefault(v, []).append((u, w))
+    src, dst = 0, 5
+
+    def all_paths(x, seen, cost, path, out):
+        if x == dst:
+            out.append((cost, path))
+            return
+        for y, w in adj.get(x, []):
+            if y not in seen:
+                all_paths(y, seen | {y}, cost + w, path + [y], out)
+    out = []
+    all_paths(src, {src}, 0, [src], out)
+    # parallel edges give identical node paths: keep the cheapest per path
+    best = {}
+    for c, p in out:
+        best[tuple(p)] = min(c, best.get(tuple(p), 1e18))
+    exp = sorted((c, list(p)) for p, c in best.items())[:4]
+    got = NW.k_shortest_paths(e, spark.createDataFrame([(src, dst)], "src long, dst long"), k=4).orderBy("rank").collect()
+    assert [r.cost for r in got] == [c for c, _ in exp]
+    for r in got:   # each answer is a distinct simple path of its stated cost
+        p = list(r.path)
+        assert p[0] == src and p[-1] == dst and len(set(p)) == len(p) and best[tuple(p)] == r.cost
+    assert len({tuple(r.path) for r in got}) == len(got)
