@@ -145,7 +145,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
                           F.array(F.col("src")).alias("path"))
     dist = cut_lineage(init)
     frontier = dist
-    for _ in range(max_rounds):
+    for it in range(max_rounds):
         cand = (frontier.join(arcs.withColumnRenamed("u", "node"), "node")
                 .select("src", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
                         F.concat("path", F.array("v")).alias("path")))
@@ -156,7 +156,9 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
         imp = cut_lineage(imp)
         if imp.count() == 0:
             break
-        dist = cut_lineage(dist.join(imp.select("src", "node"), ["src", "node"], "left_anti").unionByName(imp))
+        dist = dist.join(imp.select("src", "node"), ["src", "node"], "left_anti").unionByName(imp)
+        if it % 4 == 3:      # the state's lineage is cut every few rounds
+            dist = cut_lineage(dist)
         frontier = imp
     return dist if with_path else dist.drop("path")
 
@@ -182,7 +184,7 @@ def _banned_sp(arcs: DataFrame, starts: DataFrame, banned_arcs: DataFrame, banne
                                      F.lit(0).cast(arcs.schema["length"].dataType).alias("dist"),
                                      F.array(F.col("src")).alias("path")))
     frontier = dist
-    for _ in range(max_rounds):
+    for it in range(max_rounds):
         cand = (frontier.join(arcs.withColumnRenamed("u", "node"), "node")
                 .join(banned_arcs.withColumnRenamed("u", "node"), ["sid", "node", "v"], "left_anti")
                 .join(banned_nodes.withColumnRenamed("node", "v"), ["sid", "v"], "left_anti")
@@ -194,7 +196,9 @@ def _banned_sp(arcs: DataFrame, starts: DataFrame, banned_arcs: DataFrame, banne
                           .select("sid", "node", "b.dist", "b.path"))
         if imp.count() == 0:
             break
-        dist = cut_lineage(dist.join(imp.select("sid", "node"), ["sid", "node"], "left_anti").unionByName(imp))
+        dist = dist.join(imp.select("sid", "node"), ["sid", "node"], "left_anti").unionByName(imp)
+        if it % 4 == 3:
+            dist = cut_lineage(dist)
         frontier = imp
     return dist
 
