@@ -65,26 +65,36 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000,
+                         jumps_per_round: int = 3) -> DataFrame:
     """L4: component label = smallest node id of the component.
 
-    Min-label propagation over the undirected edges, each round followed by
-    one pointer-jumping step (a node adopts its label's label), which cuts
-    the number of rounds on long chains.  Returns (id, component)."""
+    Hooking + pointer jumping over DataFrames (Shiloach-Vishkin style):
+    per round every edge (u, v) with label(u) < label(v) lowers both v and
+    the node named by label(v) (the root of v's tree) to label(u); then
+    labels are short-cut ``label = label(label)`` a few times.  Labels only
+    decrease and always name a node of the same component, so the fixed
+    point is the component minimum; the number of rounds grows with the
+    logarithm of the component size rather than its diameter.
+    Returns (id, component)."""
     e = edges.select("u", "v")
     e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
     e = cut_lineage(e)
     labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
     for _ in range(max_rounds):
-        msg = (e.join(labels.withColumnRenamed("id", "u"), "u")
-               .groupBy(F.col("v").alias("id")).agg(F.min("label").alias("m")))
-        prop = labels.join(msg, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = (prop.alias("a").join(prop.alias("b"), F.col("a.label") == F.col("b.id"), "left")
-                .select(F.col("a.id").alias("id"), F.least(F.col("a.label"), F.coalesce(F.col("b.label"), F.col("a.label")))
-                        .alias("label")))
-        jump = cut_lineage(jump)
-        changed = jump.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
-        labels = jump
+        lu = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
+        lv = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
+        ev = e.join(lu, "u").join(lv, "v").where(F.col("lu") < F.col("lv"))
+        hook = (ev.select(F.col("v").alias("id"), F.col("lu").alias("m"))
+                .unionByName(ev.select(F.col("lv").alias("id"), F.col("lu").alias("m")))
+                .groupBy("id").agg(F.min("m").alias("m")))
+        new = labels.join(hook, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
+        for _j in range(jumps_per_round):
+            par = new.select(F.col("id").alias("label"), F.col("label").alias("pl"))
+            new = new.join(par, "label", "left").select("id", F.least("label", F.coalesce("pl", "label")).alias("label"))
+        new = cut_lineage(new)
+        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
+        labels = new
         if changed == 0:
             break
     return labels.withColumnRenamed("label", "component")
