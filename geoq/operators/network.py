@@ -66,7 +66,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000,
-                         jumps_per_round: int = 3) -> DataFrame:
+                         jumps_per_round: int = 1) -> DataFrame:
     """L4: component label = smallest node id of the component.
 
     Hooking + pointer jumping over DataFrames (Shiloach-Vishkin style):
@@ -89,6 +89,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
                 .unionByName(ev.select(F.col("lv").alias("id"), F.col("lu").alias("m")))
                 .groupBy("id").agg(F.min("m").alias("m")))
         new = labels.join(hook, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
+        # materialise before the self-joins of pointer jumping, otherwise each
+        # jump would replay the edge join twice (2^jumps copies)
+        new = cut_lineage(new)
         for _j in range(jumps_per_round):
             par = new.select(F.col("id").alias("label"), F.col("label").alias("pl"))
             new = new.join(par, "label", "left").select("id", F.least("label", F.coalesce("pl", "label")).alias("label"))
