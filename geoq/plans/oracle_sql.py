@@ -657,3 +657,8 @@ ORACLE["sql_point_functions"] = with_(PTS_CUSTOMER) + """, d AS (SELECT id, x, y
   greatest(40000 - x, 0, x - 60000) AS dx, greatest(40000 - y, 0, y - 60000) AS dy FROM pts)
 SELECT id AS point_id, CASE WHEN inside THEN 0.0 ELSE round(sqrt(dx * dx + dy * dy), 3) END AS dist, inside
 FROM d WHERE dx * dx + dy * dy <= 3000e0 * 3000e0"""
+
+
+ORACLE["candidate_join_back"] = with_(PTS_PART, LINE_V, LINE_SEG) + f"""
+SELECT s.highway, CAST(count(DISTINCT t.id) AS BIGINT) AS n_nodes FROM prt t JOIN lseg s ON {seg_near('t.x', 't.y', 10)}
+WHERE {pt_seg_within('t.x', 't.y', '10e0*10e0')} GROUP BY s.highway"""

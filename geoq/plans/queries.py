@@ -251,3 +251,18 @@ from geoq.plans import q_osm  # noqa: E402,F401
 from geoq.plans import q_raster  # noqa: E402,F401
 from geoq.plans import q_network  # noqa: E402,F401
 from geoq.plans import q_overlay  # noqa: E402,F401
+
+
+@query("candidate_join_back")
+def candidate_join_back(spark, sf):
+    """Envelope candidates between nodes and edges, joined back to
+    the edge attributes by key, then the exact distance test (10 m); node
+    count per highway class."""
+    edges = FX.line_orders(spark, sf)
+    cand = SJ.candidate_pairs(FX.pts_part(spark, sf), edges, "bbox_intersects", distance=10.0,
+                              left_geom=("x", "y"), left_cols=["id", "x", "y"], right_cols=["id"])
+    cand = cand.select(F.col("l.id").alias("node_id"), F.col("l.x").alias("x"), F.col("l.y").alias("y"),
+                       F.col("r.id").alias("id"))
+    j = cand.join(edges.select("id", "highway", "geometry"), "id")
+    near = j.where(G.dwithin(G.point("x", "y"), F.col("geometry"), 10.0))
+    return near.groupBy("highway").agg(F.countDistinct("node_id").alias("n_nodes"))
