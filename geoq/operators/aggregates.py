@@ -110,3 +110,14 @@ def correlation_matrix(df: DataFrame, cols) -> DataFrame:
     stack = ", ".join(f"'{a}', '{b}', `{nm}`" for a, b, nm in names)
     return wide.selectExpr(f"stack({len(names)}, {stack}) as (var1, var2, corr)") \
         .withColumn("corr", F.round("corr", 6))
+
+
+def runtime_stats(log: DataFrame, hot_only: bool = True) -> DataFrame:
+    """Per (use case, technology, operation, dataset) the mean of the
+    hot runs and the number of runs from a benchmark result log (columns
+    ``use_case, technology, operation_description, test_dataset,
+    execution_time_s, run``; run 0 is the cold run)."""
+    keys = ["use_case", "technology", "operation_description", "test_dataset"]
+    src = log.where(F.col("run") > 0) if hot_only and "run" in log.columns else log
+    return src.groupBy(*keys).agg(F.avg("execution_time_s").alias("avg_execution_time_s"),
+                                  F.count(F.lit(1)).alias("num_runs"))

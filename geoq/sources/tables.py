@@ -46,3 +46,10 @@ def resolve_column(df: DataFrame, candidates) -> str | None:
         if c.lower() in cols:
             return cols[c.lower()]
     return None
+
+
+def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """A3: CSV with a header; an explicit schema avoids the extra
+    inference pass (``inferSchema`` reads the data twice)."""
+    r = spark.read.option("header", True)
+    return r.schema(schema).csv(path) if schema is not None else r.option("inferSchema", True).csv(path)

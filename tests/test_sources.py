@@ -66,3 +66,17 @@ def test_tiles_and_tables(spark, tmp_path):
     assert back == sorted((r, c, float(r * 10 + c)) for r in range(5) for c in range(7))
     assert resolve_column(px, ["COD_REG", "Band"]) == "band"
     assert describe_layer(_polys(spark))["srid"] == [0]
+
+
+def test_csv_log_and_runtime_stats(spark, tmp_path):
+    from geoq.operators.aggregates import runtime_stats
+    from geoq.sources.tables import read_csv
+    from geoq.sources.vector import append_csv_log
+    rows = [("UC3", "spark", "3.1", "sf0.1", float(t), i) for i, t in enumerate([5.0, 1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "use_case string, technology string, operation_description string, "
+                                     "test_dataset string, execution_time_s double, run int")
+    path = str(tmp_path / "log")
+    append_csv_log(df, path)
+    back = read_csv(spark, path, df.schema)
+    r = runtime_stats(back).first()
+    assert (r.avg_execution_time_s, r.num_runs) == (2.0, 3)
