@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 def join_scalars(*aggs: DataFrame) -> DataFrame:
     """Put several one-row global aggregates side by side (scalar
-    subqueries).  Each input is a global aggregate, hence exactly one row;
-    they are joined on a constant key (a 1 x 1 equi-join)."""
-    keyed = [a.withColumn("_one", F.lit(1)) for a in aggs]
-    return reduce(lambda x, y: x.join(y, "_one"), keyed).drop("_one")
+    subqueries) without any join: the rows are padded with NULLs, unioned
+    and collapsed with ``first(ignorenulls)``."""
+    cols = [c for a in aggs for c in a.columns]
+    types = {c: a.schema[c].dataType for a in aggs for c in a.columns}
+    padded = [a.select(*[F.col(c) if c in a.columns else F.lit(None).cast(types[c]).alias(c) for c in cols])
+              for a in aggs]
+    u = reduce(lambda x, y: x.unionByName(y), padded)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
 
 
 def with_row_id(df: DataFrame, order_cols, name: str = "row_id", num_partitions: int | None = None) -> DataFrame:
