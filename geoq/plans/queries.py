@@ -15,8 +15,17 @@ QUERIES: dict = {}
 
 
 def query(name):
+    """Register a query; the wrapper applies the library's session defaults
+    (only those the session leaves unset) before building the plan."""
+    import functools
+
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark, sf):
+            from geoq.session import configure
+            configure(spark)
+            return fn(spark, sf)
+        QUERIES[name] = run
         return fn
     return deco
 
