@@ -62,3 +62,19 @@ def test_no_cartesian_product_in_plan(spark):
     p = SJ.candidate_pairs(a, b, "dwithin", distance=10.0, left_geom=("x", "y"), right_geom=("x", "y"))
     plan = p._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def test_salted_join_on_hot_cell_equals_unsalted(spark):
+    # a third of the points share one cell (a hot key): salting spreads the
+    # probe side over sub-keys and replicates the other side, same pairs
+    import random as _r
+    rnd = _r.Random(9)
+    rows = [(i, float(rnd.randint(0, 1000)), float(rnd.randint(0, 1000))) for i in range(300)]
+    rows += [(1000 + i, 500.0 + rnd.random(), 500.0 + rnd.random()) for i in range(150)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    b = _pts(spark, 100, 10)
+    kw = dict(distance=25.0, left_geom=("x", "y"), right_geom=("x", "y"), left_cols=["id"], right_cols=["id"],
+              cell_size=50.0)
+    plain = sorted(map(tuple, SJ.candidate_pairs(a, b, "dwithin", **kw).select("l.id", "r.id").collect()))
+    salted = sorted(map(tuple, SJ.candidate_pairs(a, b, "dwithin", salt=4, **kw).select("l.id", "r.id").collect()))
+    assert plain == salted and len(plain) > 0
