@@ -45,13 +45,24 @@ def polygon_edges(df: DataFrame, key: str, role: str = "P", geom: str = "geometr
             .where(F.col("ay").isNotNull() & (F.col("ay") != F.col("by"))))
 
 
-def _crossing_ys(edges: DataFrame) -> DataFrame:
+def _edge_stats(edges: DataFrame):
+    """One aggregation over the (materialised) edges: y range, count and
+    the (median, min, max) extent of the edge boxes."""
+    ext = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    r = edges.agg(F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"),
+                  F.count(F.lit(1)).alias("n"), F.percentile_approx(ext, 0.5).alias("m"),
+                  F.min(ext).alias("lo"), F.max(ext).alias("hi")).first()
+    return r
+
+
+def _crossing_ys(edges: DataFrame, stats=None) -> DataFrame:
     """Ordinates of proper crossings between any two edges (cell join on
     the edge boxes, each unordered pair once)."""
     seg = edges.select("poly", "part", "ring", "seq", "ax", "ay", "bx", "by",
                        G.linestring(F.array(G.xy("ax", "ay"), G.xy("bx", "by"))).alias("geometry"))
     cols = ["poly", "part", "ring", "seq", "ax", "ay", "bx", "by", "geometry"]
-    p = candidate_pairs(seg, seg, "bbox_intersects", left_cols=cols, right_cols=cols)
+    st = None if stats is None else (stats["m"] or 0.0, stats["lo"] or 0.0, stats["hi"] or 0.0)
+    p = candidate_pairs(seg, seg, "bbox_intersects", left_cols=cols, right_cols=cols, left_stats=st, right_stats=st)
     l, r = F.col("l"), F.col("r")
     lk = F.struct(l.poly, l.part, l.ring, l.seq)
     rk = F.struct(r.poly, r.part, r.ring, r.seq)
@@ -68,9 +79,9 @@ def _crossing_ys(edges: DataFrame) -> DataFrame:
     return p.where((lk < rk) & proper).select((l.ay + t * (l.by - l.ay)).alias("y"))
 
 
-def _slabs(edges: DataFrame, band: float) -> DataFrame:
+def _slabs(edges: DataFrame, band: float, stats=None) -> DataFrame:
     ys = (edges.select(F.col("ay").alias("y")).unionByName(edges.select(F.col("by").alias("y")))
-          .unionByName(_crossing_ys(edges)))
+          .unionByName(_crossing_ys(edges, stats)))
     bands = (edges.select(F.explode(F.sequence(F.floor(F.least("ay", "by") / band),
                                                F.floor(F.greatest("ay", "by") / band))).alias("band")).distinct())
     limits = bands.select("band", (F.col("band") * band).alias("y")).unionByName(
@@ -82,7 +93,7 @@ def _slabs(edges: DataFrame, band: float) -> DataFrame:
             .select("band", F.col("y").alias("y0"), "y1"))
 
 
-def coverage_area(edges: DataFrame, rule, band: float, roles=("P",)) -> DataFrame:
+def coverage_area(edges: DataFrame, rule, band: float | None = None, roles=("P",)) -> DataFrame:
     """Area where ``rule(counts)`` holds; ``counts`` maps a role to the
     number of that role's polygons covering the interval (Column).  One
     row ``area``."""
@@ -90,7 +101,11 @@ def coverage_area(edges: DataFrame, rule, band: float, roles=("P",)) -> DataFram
     # edges feed the cut ordinates, the crossing join and the slab join:
     # materialise them once instead of recomputing their lineage per branch
     edges = cut_lineage(edges)
-    slabs = _slabs(edges, band)
+    stats = _edge_stats(edges)
+    if not band:   # about sqrt(n) bands over the y range
+        span = (stats["y1"] - stats["y0"]) if stats["y0"] is not None else 1.0
+        band = max(span / max(1.0, (stats["n"] or 1) ** 0.5), 1e-9)
+    slabs = _slabs(edges, band, stats)
     eb = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by") / band),
                                                          F.floor(F.greatest("ay", "by") / band))))
     j = eb.join(slabs, "band").where((F.col("y0") >= F.least("ay", "by")) & (F.col("y1") <= F.greatest("ay", "by")))
@@ -124,7 +139,7 @@ def _band_for(df: DataFrame, geom: str, band) -> float:
 def union_area(df: DataFrame, key: str = "id", geom: str = "geometry", band: float | None = None) -> DataFrame:
     """Area of the union of polygons (ST_Union_Agg + ST_Area)."""
     e = polygon_edges(df, key, "P", geom)
-    return coverage_area(e, lambda n: n["P"] > 0, _band_for(df, geom, band), ("P",))
+    return coverage_area(e, lambda n: n["P"] > 0, band, ("P",))
 
 
 def difference_area(boundary: DataFrame, others: DataFrame, key: str = "id", geom: str = "geometry",
@@ -136,4 +151,4 @@ def difference_area(boundary: DataFrame, others: DataFrame, key: str = "id", geo
                  right_geom=geom, left_key=key)
     e = polygon_edges(boundary.withColumn("_bk", F.lit(0)), "_bk", "B", geom).unionByName(
         polygon_edges(near, key, "P", geom))
-    return coverage_area(e, lambda n: (n["B"] > 0) & (n["P"] == 0), _band_for(boundary, geom, band), ("B", "P"))
+    return coverage_area(e, lambda n: (n["B"] > 0) & (n["P"] == 0), band, ("B", "P"))

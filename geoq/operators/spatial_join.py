@@ -160,8 +160,12 @@ def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
 def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "intersects", *,
                     distance: float = 0.0, left_geom="geometry", right_geom="geometry",
                     left_cols=None, right_cols=None, cell_size: float | None = None,
-                    max_span: int = 16, salt: int = 1) -> DataFrame:
-    """Matched pairs as ``struct l, struct r`` (the kept columns of each side)."""
+                    max_span: int = 16, salt: int = 1, left_stats=None, right_stats=None) -> DataFrame:
+    """Matched pairs as ``struct l, struct r`` (the kept columns of each side).
+
+    ``left_stats`` / ``right_stats``: optional precomputed (median, min, max)
+    box extents of a side (without the distance growth), which skips that
+    side's statistics job."""
     if predicate not in PREDICATES:
         raise ValueError(f"unknown predicate {predicate!r}")
     d = float(distance)
@@ -171,8 +175,10 @@ def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
     lp, rp = L.prepared(lkeep), R.prepared(rkeep)
     # one aggregation per extent side gives the median extent (cell size)
     # and the extent range (grid levels); point sides need no job
-    lst = None if L.is_point else _extent_stats(lp, L, d)
-    rst = None if R.is_point else _extent_stats(rp, R, 0.0)
+    def grown(st, dd):
+        return None if st is None else (st[0] + 2 * dd, st[1] + 2 * dd, st[2] + 2 * dd)
+    lst = None if L.is_point else (grown(left_stats, d) if left_stats else _extent_stats(lp, L, d))
+    rst = None if R.is_point else (right_stats or _extent_stats(rp, R, 0.0))
     if cell_size is None:
         if L.is_point and R.is_point:
             cell_size = max(2.0 * d, 1.0)
