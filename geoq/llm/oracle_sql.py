@@ -17,3 +17,60 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10
 """
+
+
+def _op1() -> str:
+    from geoq.llm.url_filter import BUCKETS, DECAY, LABELLED_URLS, RULES, STEP, STEPS
+    labelled = ", ".join(f"('{u}', {y})" for u, y in LABELLED_URLS)
+    rules = ", ".join(f"({k}, '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}', '{v}')" for k, (r, v) in enumerate(RULES))
+    # buckets of one text field: code points a, b, c of every three characters
+    grams = f"""list_transform(range(1, greatest(length(TEXT) - 1, 1)), lambda i:
+      ((((((FIELD * 1009 + ord(substr(TEXT, i, 1))) % 1000003) * 1009 + ord(substr(TEXT, i + 1, 1))) % 1000003)
+        * 1009 + ord(substr(TEXT, i + 2, 1))) % 1000003) % {BUCKETS})"""
+    both = "list_concat(" + grams.replace("FIELD", "1").replace("TEXT", "('^' || host || '$')") + ", " + \
+        grams.replace("FIELD", "2").replace("TEXT", "path") + ")"
+    return f"""
+WITH RECURSIVE labelled(url, y) AS (VALUES {labelled}),
+rules(k, rule, host, path, verdict) AS (VALUES {rules}),
+urls AS (SELECT page_id, url, CAST(NULL AS INTEGER) AS y FROM pages UNION ALL SELECT NULL, url, y FROM labelled),
+cut AS (
+  SELECT *, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM urls
+), named AS (
+  SELECT page_id, url, y,
+    translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), featured AS (SELECT *, {both} AS grams FROM named),
+train AS (SELECT row_number() OVER (ORDER BY url) AS i, y, grams FROM featured WHERE y IS NOT NULL),
+x AS (
+  SELECT i, b, count(*) / sqrt(any_value(n)) AS x
+  FROM (SELECT i, len(grams) AS n, unnest(grams) AS b FROM train) GROUP BY i, b
+), products AS (
+  SELECT p.i, q.i AS j, sum(p.x * q.x) AS k FROM x p JOIN x q ON p.b = q.b GROUP BY p.i, q.i
+), matrix_rows AS (
+  SELECT a.i, list(1 + coalesce(k, 0) ORDER BY c.i) AS ks
+  FROM train a CROSS JOIN train c LEFT JOIN products p ON p.i = a.i AND p.j = c.i GROUP BY a.i
+), matrix AS (SELECT list(ks ORDER BY m.i) AS k, list(CAST(y AS DOUBLE) ORDER BY m.i) AS ys
+  FROM matrix_rows m JOIN train t ON m.i = t.i),
+descent(t, a) AS (
+  SELECT 0, list_transform(ys, lambda y: CAST(0 AS DOUBLE)) FROM matrix
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, len(ys) + 1), lambda i:
+    {1 - STEP * DECAY!r} * a[i] + {STEP!r} * (ys[i] - 1 / (1 + exp(-list_dot_product(k[i], a)))))
+  FROM descent, matrix WHERE t < {STEPS}
+), solved AS (SELECT a FROM descent WHERE t = {STEPS}),
+weights AS (SELECT b, sum(x * a[i]) AS w FROM x, solved GROUP BY b),
+page_rows AS (SELECT row_number() OVER () AS r, page_id, host, path, grams FROM featured WHERE y IS NULL),
+margins AS (
+  SELECT r, sum(coalesce(w, 0)) / sqrt(any_value(n)) AS m
+  FROM (SELECT r, len(grams) AS n, unnest(grams) AS b FROM page_rows) LEFT JOIN weights USING (b) GROUP BY r
+), ruled AS (
+  SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, k) AS best
+  FROM page_rows p JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path)
+)
+SELECT p.page_id, p.host, p.path, u.rule,
+  coalesce(u.verdict, CASE WHEN coalesce(m, 0) + (SELECT list_sum(a) FROM solved) >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM page_rows p LEFT JOIN margins USING (r) LEFT JOIN ruled u ON u.r = p.r AND u.best = 1
+"""
+
+
+ORACLE["op1_url_filter"] = _op1()

@@ -47,3 +47,36 @@ def op8_top_k_inner_product(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     from geoq.llm.packing import pack_documents
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark, sf_dir):
+    from geoq.llm.url_filter import judge_urls
+    return judge_urls(table(spark, sf_dir, "pages")).drop("score")
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    from geoq.llm.secret_scan import fit_secret_model, sample_credentials, scan_secrets, span_digest
+    model = fit_secret_model(spark.createDataFrame(sample_credentials(), "value string, kind string"))
+    return span_digest(scan_secrets(table(spark, sf_dir, "documents"), model))
+
+
+#: Documents whose remainder is 1 are held out of what toxicity learns.
+TOXICITY_FOLDS, TOXICITY_THRESHOLD = 3, 0.7
+
+
+def toxicity_model(spark, docs, sf_dir):
+    from geoq.llm.common import id_remainder
+    from geoq.llm.toxicity import fit_toxicity
+    return fit_toxicity(docs, table(spark, sf_dir, "labels"), id_remainder("doc_id", TOXICITY_FOLDS) != 1)
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    from geoq.llm.common import id_remainder
+    from geoq.llm.toxicity import score_toxicity
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (id_remainder("doc_id", TOXICITY_FOLDS) == 1).alias("held_out"), "score",
+                         (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
