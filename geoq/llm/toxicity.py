@@ -21,8 +21,9 @@ from geoq.llm.common import batch_of, id_and_text, materialise
 
 #: Most labelled rows that are learnt from (those of smallest hash), and most features.
 MAX_TRAINING_ROWS, MAX_FEATURES = 20_000, 30_000
-#: Least labelled texts that a feature must occur in; lengths of word beginnings.
-MIN_TEXTS, PREFIXES = 2, (5, 6)
+#: Least labelled texts that a feature must occur in, least log odds in units of
+#: their error; lengths of word beginnings.
+MIN_TEXTS, MIN_ODDS, PREFIXES = 2, 2.5, (5, 6)
 
 #: Groups whose members may be swapped for one another, per language.
 IDENTITY_TERMS = [
@@ -81,7 +82,7 @@ def _sum_rows(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(rows: list[list[int]], labels: np.ndarray, swaps: list[tuple[list[int], list[int]]], size: int,
-                 penalty: float, decay: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+                 penalty: float, decay: float = 3e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent with per-weight step sizes (Adam) on the
     class-balanced log loss plus ``penalty`` times the mean squared change of
     the margin over swaps (features lost, features gained)."""
@@ -152,7 +153,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column | None = N
                    F.sum(F.when(F.col("y") != 1, F.col("n")).otherwise(0)).alias("clean"))
               .where(F.col("toxic") + F.col("clean") >= MIN_TEXTS)
               .select("feature", F.abs(odds / error).alias("z"))
-              .orderBy(F.desc("z"), "feature").limit(max_features).collect())
+              .where(F.col("z") >= MIN_ODDS).orderBy(F.desc("z"), "feature").limit(max_features).collect())
     place = {f: k for k, f in enumerate(sorted({r["feature"] for r in chosen} | set(terms)))}
     indexed = pa.schema([("y", pa.int32()), ("on", pa.list_(pa.int32())),
                          ("swaps", pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))])))])
