@@ -74,3 +74,24 @@ FROM page_rows p LEFT JOIN margins USING (r) LEFT JOIN ruled u ON u.r = p.r AND
 
 
 ORACLE["op1_url_filter"] = _op1()
+
+ORACLE["op4_decontamination"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2),
+    lambda i: array_to_string(w[i:i + least(5, len(w)) - 1], ' '))) AS s FROM items WHERE len(w) > 0
+), sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id),
+lengths AS (SELECT DISTINCT k FROM item_shingles),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM docs, lengths WHERE len(w) >= k
+)
+SELECT doc_id, item_id, n_shingles, count(*) AS shared, count(*) / n_shingles AS containment
+FROM doc_shingles JOIN item_shingles USING (k, s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) / n_shingles >= 0.75
+"""

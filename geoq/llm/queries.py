@@ -31,10 +31,11 @@ def query(name: str):
 
 @query("op6_token_files")
 def op6_token_files(spark, sf_dir, path: str | None = None):
-    from geoq.llm.token_files import id_checksums, read_token_files, write_token_files
+    from geoq.llm.token_files import id_checksums, read_token_files, with_starts, write_token_files
     path = path or scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, vocabulary(BYTE_VOCABULARY))
-    return id_checksums(read_token_files(spark, path))
+    tokens = read_token_files(spark, path)
+    return with_starts(id_checksums(tokens), tokens).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 @query("op8_top_k_inner_product")
@@ -80,3 +81,10 @@ def op9_toxicity(spark, sf_dir):
     scored = score_toxicity(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", (id_remainder("doc_id", TOXICITY_FOLDS) == 1).alias("held_out"), "score",
                          (F.col("score") >= TOXICITY_THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark, sf_dir):
+    from geoq.llm.decontaminate import contained_items
+    found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "shared", "containment")
