@@ -1,6 +1,6 @@
 """Fast whole-text encoding with the ``tokenizers`` library.
 
-Both vocabularies split a text into pieces before any merge, so a text may be
+Both vocabularies split a text into parts before any merge, so a text may be
 cut at places where the pre-tokenizer always cuts, each distinct part encoded
 once by the library, and the ids joined.  Parts and ids sit in a bounded
 two-generation cache that lives as long as the Python worker.
@@ -10,8 +10,39 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Parts kept per generation of a worker's cache.
-CACHE_PARTS = 400_000
+#: Parts kept per generation of a worker's cache, and parts encoded at once.
+CACHE_PARTS, PARTS_AT_ONCE = 500_000, 2_000
+
+
+class _Parts:
+    """Encodes many parts in one call, with an end-of-text token between them:
+    special tokens split a text before anything else, so each part is encoded
+    as if it stood alone.  Parts that could hold such a token go one by one."""
+
+    def __init__(self, path: str, separator: str = "<|endoftext|>"):
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.separator, self.mark = separator, self.tokenizer.token_to_id(separator)
+
+    def alone(self, texts: list[str]) -> list[bytes]:
+        self.tokenizer.encode_special_tokens = True
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def together(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), PARTS_AT_ONCE):
+            some = texts[at:at + PARTS_AT_ONCE]
+            whole = self.separator.join(some)
+            if whole.count("<|") != len(some) - 1:
+                out += self.alone(some)
+                continue
+            self.tokenizer.encode_special_tokens = False
+            ids = np.array(self.tokenizer.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            edges = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
+            data = ids.tobytes()
+            out += [data[4 * i + 4:4 * j] for i, j in zip(edges.tolist(), edges[1:].tolist())]
+        return out
 
 
 class _Cache(dict):
@@ -22,21 +53,29 @@ class _Cache(dict):
         self.old: dict = {}
         self.encode = encode
 
-    def fill(self, parts) -> None:
-        missing = [p for p in set(parts).difference(self)]
-        if not missing:
-            return
+    def add(self, missing: set) -> None:
         if len(self) + len(missing) > CACHE_PARTS:
             self.old = dict(self)
             self.clear()
-            missing = list(set(parts))
-        if self.old:
-            known = self.old
-            found = [p for p in missing if p in known]
-            self.update((p, known[p]) for p in found)
-            missing = [p for p in missing if p not in known]
-        if missing:
-            self.update(zip(missing, self.encode(missing)))
+        known = self.old
+        new = []
+        for p in missing:
+            if p in known:
+                self[p] = known[p]
+            else:
+                new.append(p)
+        if new:
+            self.update(zip(new, self.encode(new)))
+
+    def fetch(self, lists: list[list[bytes]]) -> list[list[bytes]]:
+        """The ids of each list's parts."""
+        found = [list(map(self.get, parts)) for parts in lists]
+        short = [k for k, ids in enumerate(found) if None in ids]
+        if short:
+            self.add({p for k in short for p, ids in zip(lists[k], found[k]) if ids is None})
+            for k in short:
+                found[k] = [self[p] if ids is None else ids for p, ids in zip(lists[k], found[k])]
+        return found
 
 
 class ByteLevelEncoder:
@@ -47,41 +86,30 @@ class ByteLevelEncoder:
     text with any other white space next to such a place is encoded whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.line_feed = self._ids(["\n"])[0]
-        self.first = _Cache(lambda parts: self._parts(parts, ""))
-        self.rest = _Cache(lambda parts: self._parts(parts, " "))
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.parts = _Parts(path)
+        self.line_feed = self.parts.alone(["\n"])[0]
+        self.first = _Cache(lambda parts: self._encode(parts, ""))
+        self.rest = _Cache(lambda parts: self._encode(parts, " "))
 
-    def _parts(self, parts: list[bytes], before: str) -> list[bytes | None]:
+    def _encode(self, parts: list[bytes], before: str) -> list[bytes]:
         texts = [p.decode() for p in parts]
-        # None: white space at an end, where a cut would not be safe
+        # b"": white space at an end, where a cut would not be safe
         good = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in texts]
-        ids = iter(self._ids([before + t for t, g in zip(texts, good) if g]))
-        return [next(ids) if g else None for g in good]
+        ids = iter(self.parts.together([before + t for t, g in zip(texts, good) if g]))
+        return [next(ids) if g else b"" for g in good]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [[line.split(b" ") for line in t.split(b"\n")] for t in texts]
         out: list[bytes | None] = []
-        step = 64
-        for at in range(0, len(split), step):
-            some = split[at:at + step]
-            self.first.fill([line[0] for lines in some for line in lines])
-            self.rest.fill([p for lines in some for line in lines for p in line[1:]])
-            first, rest = self.first.__getitem__, self.rest.__getitem__
-            for lines in some:
-                try:
-                    out.append(self.line_feed.join([first(line[0]) + b"".join(map(rest, line[1:])) for line in lines]))
-                except TypeError:  # a part that is None
-                    out.append(None)
+        for at in range(0, len(texts), 64):
+            lines = [[line.split(b" ") for line in t.split(b"\n")] for t in texts[at:at + 64]]
+            firsts = self.first.fetch([[line[0] for line in some] for some in lines])
+            rests = iter(self.rest.fetch([line[1:] for some in lines for line in some]))
+            for first in firsts:
+                coded = [[f, *r] for f, r in zip(first, rests)]
+                out.append(None if any(b"" in c for c in coded) else self.line_feed.join([b"".join(c) for c in coded]))
         whole = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(whole, self._ids([texts[k].decode() for k in whole])):
+        for k, ids in zip(whole, self.parts.alone([texts[k].decode() for k in whole])):
             out[k] = ids
         return out
 
@@ -91,23 +119,13 @@ class WordEncoder:
     dropped and always separates, so a text is the sum of its words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache = _Cache(self._parts)
-
-    def _parts(self, parts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
+        self.parts = _Parts(path)
+        self.cache = _Cache(lambda parts: self.parts.together([p.decode() for p in parts]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
         out = []
-        for at in range(0, len(split), 64):
-            some = split[at:at + 64]
-            self.cache.fill([p for words in some for p in words])
-            get = self.cache.__getitem__
-            out += [b"".join(map(get, words)) for words in some]
+        for at in range(0, len(texts), 64):
+            out += [b"".join(ids) for ids in self.cache.fetch([t.lower().split() for t in texts[at:at + 64]])]
         return out
 
 
