@@ -57,24 +57,29 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from the files: ``start`` counts the
-    ids of all documents before, from one number per file."""
-    stored = spark.read.schema("part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>").orc(path)
-    sizes = stored.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    return stored.join(before, "part").select(
-        "doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    """The files' rows: ``part, doc_id, part_start, n_tokens, ids``."""
+    return spark.read.schema("part int, doc_id bigint, part_start bigint, n_tokens bigint, ids array<int>").orc(path)
 
 
 def id_checksums(tokens: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of ``read_token_files``'s rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    """The rows of ``read_token_files`` with ``ids_crc32`` in place of the ids."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("part_start", pa.int64()),
+                        ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def sums(batches):
         for b in batches:
-            ids = b.column(3)
-            flat, edges = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
-            yield batch_of(schema, *b.columns[:3], [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(edges, edges[1:])])
+            ids = b.column(4)
+            flat, edges = ids.values.to_numpy().view("<u4"), ids.offsets.to_numpy().tolist()
+            yield batch_of(schema, *b.columns[:4], [zlib.crc32(flat[i:j].data) for i, j in zip(edges, edges[1:])])
+
+    return tokens.select("part", "doc_id", "part_start", "n_tokens", "ids").mapInArrow(
+        sums, "part int, doc_id bigint, part_start bigint, n_tokens bigint, ids_crc32 bigint")
 
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(
-        sums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+def with_starts(rows: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Replaces ``part`` and ``part_start`` by ``start``, the ids of all
+    documents before, from one number per file of ``tokens``."""
+    sizes = tokens.groupBy("part").agg(F.sum("n_tokens").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    return (rows.join(before, "part").withColumn("start", F.col("before") + F.col("part_start"))
+            .drop("part", "part_start", "before"))
