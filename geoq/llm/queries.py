@@ -88,3 +88,24 @@ def op4_decontamination(spark, sf_dir):
     from geoq.llm.decontaminate import contained_items
     found = contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_shingles", "shared", "containment")
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark, sf_dir):
+    from geoq.llm.line_dedup import remove_repeated_lines
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.size("removed").alias("removed_passages"), F.expr(
+        "aggregate(removed, 0L, (s, r) -> s + r.end - r.start)").alias("removed_bytes"))
+
+
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark, sf_dir):
+    from geoq.llm.jaccard_join import jaccard_classes
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op5_suffix_tree_scores")
+def op5_suffix_tree_scores(spark, sf_dir):
+    from geoq.llm.common import id_remainder
+    from geoq.llm.lm_score import score_texts
+    return score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
