@@ -77,7 +77,7 @@ def sample_credentials(per_kind: int = 40) -> list[tuple[str, str]]:
                  (draw("number", k, 16, digits), PLAIN), (draw("long number", k, 20, digits), PLAIN),
                  (f"20{k % 30:02d}-{1 + k % 12:02d}-{1 + k % 28:02d}T10", PLAIN), ("=" * (16 + k), PLAIN),
                  ("-" * (16 + k), PLAIN), ("." * (16 + k), PLAIN), (f"/usr/{word[:6]}/{word[6:12]}/{word[:4]}.txt", PLAIN),
-                 (f"{word[:6]}_{word[6:12]}_{word[:5]}", PLAIN)]
+                 (f"{word[:6]}_{word[6:12]}_{word[:5]}", PLAIN), (lower[k % 26] * (16 + k), PLAIN)]
     return rows
 
 
