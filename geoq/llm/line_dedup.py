@@ -92,7 +92,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     becomes empty.  Rows equal in id and text count as one document, and each
     is cut alike; among equal passages the smallest id keeps its copy (null
     ids first), then the earliest place.  An empty table gives no rows."""
-    columns, key = docs.columns, _free(docs, "_row_key")
+    columns, key, listed = docs.columns, _free(docs, "_row_key"), _free(docs, "_spans")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     found = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()),
                        ("end", pa.int32()), ("after", pa.int32())])
@@ -119,7 +119,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # both sides of every comparison: where the first stands, and all others
     firsts = repeated.select(F.col("first.key").alias(key), F.struct(
         F.col("first.start").alias("start"), F.col("first.end").alias("end"), "hash").alias("span"))
-    wanted = firsts.groupBy(key).agg(F.collect_list("span").alias("spans"))
+    wanted = firsts.groupBy(key).agg(F.collect_list("span").alias(listed))
     others = (occurrences.join(repeated.select("hash", "first"), "hash")
               .where(~(place.eqNullSafe(F.struct("first.doc", "first.key", "first.start"))))
               .select("hash", F.col("key").alias(key), "start", "end", "after"))
@@ -132,10 +132,10 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 yield batch_of(quoted, [s["hash"] for s in spans], [text[s["start"]:s["end"]] for s in spans])
 
     # no column is pruned below, so this join and the last share one shuffle of the texts
-    passages = (keyed.join(wanted, key).select(*columns, key, "spans")
+    passages = (keyed.join(wanted, key).select(*columns, key, listed)
                 .mapInArrow(quote, "hash bigint, passage binary").dropDuplicates(["hash"]))
     asked = (others.join(passages, "hash").groupBy(key)
-             .agg(F.collect_list(F.struct("start", "end", "after", "passage")).alias("spans")))
+             .agg(F.collect_list(F.struct("start", "end", "after", "passage")).alias(listed)))
     removed = _free(docs, "removed")
     removed_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -166,5 +166,5 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                                              names=[*columns, removed])
 
     schema = docs.limit(0).withColumn(removed, F.expr("cast(array() as array<struct<start: int, end: int>>)")).schema
-    return keyed.join(asked, key, "left").select(*columns, key, "spans").mapInArrow(cut, schema)
+    return keyed.join(asked, key, "left").select(*columns, key, listed).mapInArrow(cut, schema)
 
