@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from geoq.llm.common import batch_of, byte_texts, materialise
 
 #: Drawings of boundaries; a boundary follows one line in ``DIVISOR``.
-DRAWINGS, DIVISOR = 3, 2
+DRAWINGS, DIVISOR = 6, 2
 #: Words that make a line long, and least words of a chunk that may go.
 LONG_LINE, MIN_WORDS = 30, 16
 
