@@ -360,15 +360,23 @@ def bbox_intersects(b1, b2, d=0.0) -> Column:
             & (b1.miny - d <= b2.maxy) & (b2.miny <= b1.maxy + d))
 
 
+def _any_part_inside(g1, g2) -> Column:
+    """Whether a part of either geometry starts inside the other polygonal
+    one.  Parts that meet no edge lie wholly inside or outside, so one vertex
+    of each part decides."""
+    def starts(g):
+        return F.transform(g.parts, lambda p: p[0][0])
+    return ((is_polygonal(g2) & F.exists(starts(g1), lambda v: point_in_interior_or_boundary(v.x, v.y, g2)))
+            | (is_polygonal(g1) & F.exists(starts(g2), lambda v: point_in_interior_or_boundary(v.x, v.y, g1))))
+
+
 @bind(0, 1)
 def intersects(g1, g2) -> Column:
     """Boundary-inclusive intersection test between any two geometries."""
     g1, g2 = _c(g1), _c(g2)
     s1, s2 = segments(g1), segments(g2)
     edge_hit = F.exists(s1, lambda s: F.exists(s2, lambda t: _seg_intersects(s, t)))
-    v1, v2 = vertices(g1)[0], vertices(g2)[0]
-    inside = ((is_polygonal(g2) & point_in_interior_or_boundary(v1.x, v1.y, g2))
-              | (is_polygonal(g1) & point_in_interior_or_boundary(v2.x, v2.y, g1)))
+    inside = _any_part_inside(g1, g2)
     return bbox_intersects(bbox(g1), bbox(g2)) & (edge_hit | inside)
 
 
@@ -440,9 +448,7 @@ def distance_sq(g1, g2) -> Column:
     inside a polygon included)."""
     g1, g2 = _c(g1), _c(g2)
     s1, s2 = segments(g1), segments(g2)
-    v1, v2 = vertices(g1)[0], vertices(g2)[0]
-    inside = ((is_polygonal(g2) & point_in_interior_or_boundary(v1.x, v1.y, g2))
-              | (is_polygonal(g1) & point_in_interior_or_boundary(v2.x, v2.y, g1)))
+    inside = _any_part_inside(g1, g2)
     m = F.array_min(F.flatten(F.transform(s1, lambda s: F.transform(s2, lambda t: _seg_seg_d2(s, t)))))
     return F.when(inside, F.lit(0.0)).otherwise(m)
 
@@ -457,9 +463,7 @@ def dwithin(g1, g2, d) -> Column:
     g1, g2 = _c(g1), _c(g2)
     d2 = _c(d).cast("double") * _c(d).cast("double")
     s1, s2 = segments(g1), segments(g2)
-    v1, v2 = vertices(g1)[0], vertices(g2)[0]
-    inside = ((is_polygonal(g2) & point_in_interior_or_boundary(v1.x, v1.y, g2))
-              | (is_polygonal(g1) & point_in_interior_or_boundary(v2.x, v2.y, g1)))
+    inside = _any_part_inside(g1, g2)
     near = F.exists(s1, lambda s: F.exists(s2, lambda t: _seg_intersects(s, t) | _pt_seg_within(s.a, t, d2)
                                           | _pt_seg_within(s.b, t, d2) | _pt_seg_within(t.a, s, d2)
                                           | _pt_seg_within(t.b, s, d2)))

@@ -46,23 +46,18 @@ def polygon_edges(df: DataFrame, key: str, role: str = "P", geom: str = "geometr
 
 
 def _edge_stats(edges: DataFrame):
-    """One aggregation over the (materialised) edges: y range, count and
-    the (median, min, max) extent of the edge boxes."""
-    ext = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
-    r = edges.agg(F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"),
-                  F.count(F.lit(1)).alias("n"), F.percentile_approx(ext, 0.5).alias("m"),
-                  F.min(ext).alias("lo"), F.max(ext).alias("hi")).first()
-    return r
+    """y range and count of the (materialised) edges."""
+    return edges.agg(F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"),
+                     F.count(F.lit(1)).alias("n")).first()
 
 
-def _crossing_ys(edges: DataFrame, stats=None) -> DataFrame:
+def _crossing_ys(edges: DataFrame) -> DataFrame:
     """Ordinates of proper crossings between any two edges (cell join on
     the edge boxes, each unordered pair once)."""
     seg = edges.select("poly", "part", "ring", "seq", "ax", "ay", "bx", "by",
                        G.linestring(F.array(G.xy("ax", "ay"), G.xy("bx", "by"))).alias("geometry"))
     cols = ["poly", "part", "ring", "seq", "ax", "ay", "bx", "by", "geometry"]
-    st = None if stats is None else (stats["m"] or 0.0, stats["lo"] or 0.0, stats["hi"] or 0.0)
-    p = candidate_pairs(seg, seg, "bbox_intersects", left_cols=cols, right_cols=cols, left_stats=st, right_stats=st)
+    p = candidate_pairs(seg, seg, "bbox_intersects", left_cols=cols, right_cols=cols)
     l, r = F.col("l"), F.col("r")
     lk = F.struct(l.poly, l.part, l.ring, l.seq)
     rk = F.struct(r.poly, r.part, r.ring, r.seq)
@@ -79,9 +74,9 @@ def _crossing_ys(edges: DataFrame, stats=None) -> DataFrame:
     return p.where((lk < rk) & proper).select((l.ay + t * (l.by - l.ay)).alias("y"))
 
 
-def _slabs(edges: DataFrame, band: float, stats=None) -> DataFrame:
+def _slabs(edges: DataFrame, band: float) -> DataFrame:
     ys = (edges.select(F.col("ay").alias("y")).unionByName(edges.select(F.col("by").alias("y")))
-          .unionByName(_crossing_ys(edges, stats)))
+          .unionByName(_crossing_ys(edges)))
     bands = (edges.select(F.explode(F.sequence(F.floor(F.least("ay", "by") / band),
                                                F.floor(F.greatest("ay", "by") / band))).alias("band")).distinct())
     limits = bands.select("band", (F.col("band") * band).alias("y")).unionByName(
@@ -105,7 +100,7 @@ def coverage_area(edges: DataFrame, rule, band: float | None = None, roles=("P",
     if not band:   # about sqrt(n) bands over the y range
         span = (stats["y1"] - stats["y0"]) if stats["y0"] is not None else 1.0
         band = max(span / max(1.0, (stats["n"] or 1) ** 0.5), 1e-9)
-    slabs = _slabs(edges, band, stats)
+    slabs = _slabs(edges, band)
     eb = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("ay", "by") / band),
                                                          F.floor(F.greatest("ay", "by") / band))))
     j = eb.join(slabs, "band").where((F.col("y0") >= F.least("ay", "by")) & (F.col("y1") <= F.greatest("ay", "by")))
@@ -127,15 +122,6 @@ def coverage_area(edges: DataFrame, rule, band: float | None = None, roles=("P",
     return j.agg(F.sum(width * (F.col("y1") - F.col("y0"))).alias("area"))
 
 
-def _band_for(df: DataFrame, geom: str, band) -> float:
-    if band:
-        return float(band)
-    b = G.bbox(F.col(geom))
-    r = df.agg(F.min(b.miny), F.max(b.maxy), F.count(F.lit(1))).first()
-    span = (r[1] - r[0]) if r[0] is not None else 1.0
-    return max(span / max(1.0, (r[2] or 1) ** 0.5), 1e-9)
-
-
 def union_area(df: DataFrame, key: str = "id", geom: str = "geometry", band: float | None = None) -> DataFrame:
     """Area of the union of polygons (ST_Union_Agg + ST_Area)."""
     e = polygon_edges(df, key, "P", geom)

@@ -67,21 +67,25 @@ class _Side:
         return b.minx - d, b.miny - d, b.maxx + d, b.maxy + d
 
 
-def _thresholds(size, max_span, kmax=48):
-    return [size * max_span * (2.0 ** k) for k in range(kmax)]
+#: Exponent of a box without extent.
+_NO_EXTENT = -2000
 
 
-def _level(minx, miny, maxx, maxy, size, max_span) -> Column:
-    """Grid level of a box: the number of thresholds ``size*max_span*2^k``
-    its extent exceeds (plain comparisons, so the driver can reproduce the
-    value exactly from an extent)."""
-    ext = F.greatest(maxx - minx, maxy - miny)
-    th = F.array(*[F.lit(t) for t in _thresholds(size, max_span)])
-    return F.size(F.filter(th, lambda t: ext > t)).cast("int")
+def _exponent(ext: Column) -> Column:
+    """Size class of an extent: about the least ``e`` with ``ext <= 2**e``.
+    The set of classes is always read from the rows through this expression,
+    so its rounding cannot part a row from the levels the other side uses."""
+    return F.when(ext > 0, F.ceil(F.log2(ext))).otherwise(F.lit(_NO_EXTENT)).cast("int")
 
 
-def _level_of(ext: float, size: float, max_span: int) -> int:
-    return sum(1 for t in _thresholds(size, max_span) if ext > t)
+def _exponent_of(ext: float) -> int:
+    return math.ceil(math.log2(ext)) if ext > 0 else _NO_EXTENT
+
+
+def _level(exponent: Column, base: int) -> Column:
+    """Grid level of a size class: 0 up to the class ``base``, then one level
+    (a doubled cell) per class, without an upper limit."""
+    return F.greatest(exponent - F.lit(base), F.lit(0))
 
 
 def _cells(minx, miny, maxx, maxy, size, lvl) -> Column:
@@ -92,31 +96,21 @@ def _cells(minx, miny, maxx, maxy, size, lvl) -> Column:
         lvl.alias("lvl"), cx.alias("cx"), cy.alias("cy")))))
 
 
-_STATS: dict = {}
-
-
-def _extent_stats(prepared: DataFrame, side, d: float):
-    """(median, min, max) box extent of one side in a single aggregation
-    over its prepared rows (bbox columns only).  Like table statistics the
-    result is kept per input plan (``semanticHash``), so joining the same
-    input again does not rescan it."""
+def extent_classes(prepared: DataFrame, side, d: float) -> dict[int, int]:
+    """Number of rows per size class of one side's boxes: one aggregation over
+    the bounding boxes of the current input (some tens of numbers)."""
     x0, y0, x1, y1 = side.box(d)
-    ext = F.greatest(x1 - x0, y1 - y0)
-    key = (id(prepared.sparkSession), prepared.semanticHash(), side.tag, d)
-    if key not in _STATS:
-        r = prepared.agg(F.percentile_approx(ext, 0.5).alias("m"), F.min(ext).alias("lo"),
-                         F.max(ext).alias("hi")).first()
-        _STATS[key] = (r["m"] or 0.0, r["lo"] or 0.0, r["hi"] or 0.0)
-    return _STATS[key]
+    e = _exponent(F.greatest(x1 - x0, y1 - y0))
+    return {r["e"]: r["n"] for r in prepared.select(e.alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def estimate_cell_size(df: DataFrame, geom, distance: float = 0.0) -> float:
-    """Median bbox extent of the extent side, at least twice the join distance."""
-    if isinstance(geom, (tuple, list)):
-        return float(max(2.0 * distance, 1e-9))
-    b = G.bbox(F.col(geom))
-    ext = df.select(F.percentile_approx(F.greatest(b.maxx - b.minx, b.maxy - b.miny), 0.5).alias("m")).first()["m"]
-    return float(max(ext or 0.0, 2.0 * distance, 1e-9))
+def _median_size(classes: dict[int, int]) -> float:
+    left = sum(classes.values()) / 2
+    for e in sorted(classes):
+        left -= classes[e]
+        if left <= 0:
+            return 0.0 if e == _NO_EXTENT else 2.0 ** e
+    return 0.0
 
 
 def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
@@ -160,12 +154,12 @@ def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
 def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "intersects", *,
                     distance: float = 0.0, left_geom="geometry", right_geom="geometry",
                     left_cols=None, right_cols=None, cell_size: float | None = None,
-                    max_span: int = 16, salt: int = 1, left_stats=None, right_stats=None) -> DataFrame:
+                    max_span: int = 16, salt: int = 1) -> DataFrame:
     """Matched pairs as ``struct l, struct r`` (the kept columns of each side).
 
-    ``left_stats`` / ``right_stats``: optional precomputed (median, min, max)
-    box extents of a side (without the distance growth), which skips that
-    side's statistics job."""
+    Grid levels come from the size classes of the rows as they are now, so no
+    pair is lost whatever ``cell_size`` is; a side of points needs no
+    statistics, its boxes all have the join distance's size."""
     if predicate not in PREDICATES:
         raise ValueError(f"unknown predicate {predicate!r}")
     d = float(distance)
@@ -173,30 +167,31 @@ def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
     lkeep = [F.col(c) for c in (left_cols or left.columns)]
     rkeep = [F.col(c) for c in (right_cols or right.columns)]
     lp, rp = L.prepared(lkeep), R.prepared(rkeep)
-    # one aggregation per extent side gives the median extent (cell size)
-    # and the extent range (grid levels); point sides need no job
-    def grown(st, dd):
-        return None if st is None else (st[0] + 2 * dd, st[1] + 2 * dd, st[2] + 2 * dd)
-    lst = None if L.is_point else (grown(left_stats, d) if left_stats else _extent_stats(lp, L, d))
-    rst = None if R.is_point else (right_stats or _extent_stats(rp, R, 0.0))
+    if L.is_point and R.is_point and d == 0.0:
+        same = (F.col("l_x") == F.col("r_x")) & (F.col("l_y") == F.col("r_y"))
+        return lp.join(rp, same).select(F.col("l_k").alias("l"), F.col("r_k").alias("r"))
+    l_classes = {_exponent_of(2.0 * d): 1} if L.is_point else extent_classes(lp, L, d)
+    r_classes = {_NO_EXTENT: 1} if R.is_point else extent_classes(rp, R, 0.0)
     if cell_size is None:
-        if L.is_point and R.is_point:
-            cell_size = max(2.0 * d, 1.0)
-        else:
-            cell_size = max((rst or lst)[0], 2.0 * d, 1e-9)
+        # the typical size of the side with extent, twice the distance at least
+        typical = _median_size(l_classes if R.is_point else r_classes)
+        cell_size = max(2.0 * d, typical) if typical or d else 1.0
     s = float(cell_size)
+    base = _exponent_of(s * max_span)
 
-    def lv_range(st, pt_ext):
-        if st is None:
-            return [_level_of(pt_ext, s, max_span)]
-        return list(range(_level_of(st[1], s, max_span), _level_of(st[2], s, max_span) + 1))
-    l_levels = lv_range(lst, 2.0 * d)
-    r_levels = lv_range(rst, 0.0)
+    def levels(classes):
+        return sorted({max(e - base, 0) for e in classes}) or [0]
+    l_levels, r_levels = levels(l_classes), levels(r_classes)
 
     lx0, ly0, lx1, ly1 = L.box(d)
     rx0, ry0, rx1, ry1 = R.box()
-    lp = lp.withColumn("l_lvl", _level(lx0, ly0, lx1, ly1, s, max_span))
-    rp = rp.withColumn("r_lvl", _level(rx0, ry0, rx1, ry1, s, max_span))
+
+    def level_column(side, box, classes):
+        if side.is_point:
+            return F.lit(levels(classes)[0])
+        return _level(_exponent(F.greatest(box[2] - box[0], box[3] - box[1])), base)
+    lp = lp.withColumn("l_lvl", level_column(L, (lx0, ly0, lx1, ly1), l_classes))
+    rp = rp.withColumn("r_lvl", level_column(R, (rx0, ry0, rx1, ry1), r_classes))
 
     def own(df, tag, box):
         lvl = F.col(f"{tag}_lvl")
@@ -220,7 +215,8 @@ def candidate_pairs(left: DataFrame, right: DataFrame, predicate: str = "interse
     out = None
     for lside, rside in branches:
         if salt > 1:
-            lside = lside.withColumn("salt", (F.rand() * salt).cast("int"))
+            # by hash, so that a repeated task deals its rows out alike
+            lside = lside.withColumn("salt", F.pmod(F.xxhash64("l_k"), F.lit(salt)).cast("int"))
             rside = rside.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
             keys = ["c", "salt"]
         else:
@@ -278,6 +274,3 @@ def sjoin(left: DataFrame, right: DataFrame, predicate: str = "intersects", how:
         return left.join(m, keys, "left")
     raise ValueError(how)
 
-
-def cells_needed(width: float, height: float, size: float) -> int:
-    return (math.floor(width / size) + 1) * (math.floor(height / size) + 1)

@@ -78,3 +78,64 @@ def test_salted_join_on_hot_cell_equals_unsalted(spark):
     plain = sorted(map(tuple, SJ.candidate_pairs(a, b, "dwithin", **kw).select("l.id", "r.id").collect()))
     salted = sorted(map(tuple, SJ.candidate_pairs(a, b, "dwithin", salt=4, **kw).select("l.id", "r.id").collect()))
     assert plain == salted and len(plain) > 0
+
+
+def _join(a, b, **kw):
+    j = SJ.candidate_pairs(a, b, "dwithin", left_geom=("x", "y"), right_geom=("x", "y"), left_cols=["id"], right_cols=["id"], **kw)
+    return sorted(map(tuple, j.select("l.id", "r.id").collect()))
+
+
+@pytest.mark.parametrize("cell", [0.1, 0.0125, 1 / 3, 5.0])
+def test_small_cells_lose_no_pair(spark, cell):
+    """(x + d) - (x - d) differs from row to row; levels must not."""
+    rnd = random.Random(11)
+    rows = [(i, rnd.uniform(0, 30), rnd.uniform(0, 30)) for i in range(250)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    d = 0.1
+    exp = sorted((p[0], q[0]) for p in rows for q in rows if (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= d * d)
+    assert _join(a, a, distance=d, cell_size=cell) == exp
+
+
+def test_degree_coordinates_spread_over_cells(spark):
+    rnd = random.Random(12)
+    rows = [(i, 9.0 + rnd.random() / 10, 45.0 + rnd.random() / 10) for i in range(400)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    d = 0.0001
+    exp = sorted((p[0], q[0]) for p in rows for q in rows if (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= d * d)
+    assert _join(a, a, distance=d) == exp
+
+
+def test_distance_zero_is_an_equality_join(spark):
+    rows = [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 1.0, 2.0), (4, 1.0, 2.5)]
+    a = spark.createDataFrame(rows, "id long, x double, y double")
+    assert _join(a, a, distance=0.0) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 4)]
+
+
+def test_rewritten_path_is_read_anew(spark, tmp_path):
+    path = str(tmp_path / "boxes")
+    pts = spark.createDataFrame([(i, float(i), 0.5) for i in range(100)], "id long, x double, y double")
+
+    def pairs(size):
+        spark.createDataFrame([(1, float(size))], "id long, s double").select(
+            "id", G.box(F.lit(0.0), F.lit(0.0), F.col("s"), F.lit(1.0)).alias("geometry")).write.mode("overwrite").parquet(path)
+        return SJ.candidate_pairs(pts, spark.read.parquet(path), "intersects", left_geom=("x", "y"), left_cols=["id"],
+                                  right_cols=["id"]).count()
+    assert pairs(1) == 2 and pairs(100) == 100
+
+
+def test_multi_part_predicates(spark):
+    """Every part counts, not the first alone (expected values by JTS)."""
+    from tests.conftest import jts
+    square = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))"
+    others = ["MULTIPOLYGON (((12 0, 13 0, 13 1, 12 0)), ((4 4, 5 4, 5 5, 4 4)))", "MULTIPOINT ((20 20), (3 3))",
+              "MULTILINESTRING ((20 20, 30 30), (1 1, 2 2))", "MULTIPOLYGON (((12 0, 13 0, 13 1, 12 0)), ((14 4, 15 4, 15 5, 14 4)))",
+              "MULTIPOINT ((20 20), (13 14))"]
+    reader = jts(spark).io.WKTReader()
+    a = reader.read(square)
+    exp = [(a.intersects(b), round(a.distance(b), 9), a.isWithinDistance(b, 2.0)) for b in map(reader.read, others)]
+    df = spark.createDataFrame([(i, square, o) for i, o in enumerate(others)], "i int, a string, b string") \
+        .select("i", G.geom_from_wkt("a").alias("a"), G.geom_from_wkt("b").alias("b"))
+    for x, y in (("a", "b"), ("b", "a")):
+        got = df.select(G.intersects(x, y).alias("i1"), F.round(G.distance(x, y), 9).alias("d"),
+                        G.dwithin(x, y, F.lit(2.0)).alias("w"), "i").orderBy("i").collect()
+        assert [(r.i1, r.d, r.w) for r in got] == exp
