@@ -4,11 +4,12 @@ Round joins follow the usual offset-curve discretisation: a corner that
 turns by angle t on the outer side is filled with a fan of
 ``n = max(1, int(t / (pi / 2 / quad_segs) + 0.5))`` equal segments.
 
-* ``buffer_area`` of a *convex* polygon has a closed form --
-  area + r * perimeter + sum of fan areas -- evaluated in Catalyst.
-* Other polygons go through ``buffer_area_udf``: an Arrow (pandas) UDF that
-  builds the pieces (polygon, outer edge rectangles, corner fans) and
+* A point's buffer is a constant; that of a *convex* polygon has a closed
+  form -- area + r * perimeter + sum of fan areas -- evaluated in Catalyst.
+* Other geometries go through ``buffer_area_udf``: an Arrow (pandas) UDF that
+  builds the pieces (polygon, edge rectangles, corner fans, end caps) and
   measures their union with a vectorised slab sweep, one geometry per row.
+Repeated vertices are dropped first; an empty or null geometry has no area.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def _fan_area(theta: Column, r: float, q: int) -> Column:
     return n * 0.5 * r * r * F.sin(theta / n)
 
 
+def _without_repeats(ring) -> Column:
+    return F.transform(F.array(ring), lambda r: F.filter(
+        r, lambda v, i: (i == 0) | (F.get(r, i - 1).x != v.x) | (F.get(r, i - 1).y != v.y)))[0]
+
+
 @G.bind(0)
 def _ring_turns(ring) -> Column:
     """Exterior turning angle at every vertex of a closed ring (signed)."""
@@ -47,20 +53,24 @@ def _ring_turns(ring) -> Column:
 
 @G.bind(0)
 def is_convex(g) -> Column:
-    """Single-part polygon without holes whose turns all have one sign."""
+    """Single-part polygon without holes whose turns all have one sign and
+    make one full turn (a star turns one way too, but twice)."""
     g = G._c(g)
-    ring = g.parts[0][0]
-    turns = _ring_turns(ring)
-    return (g.gtype == "POLYGON") & (F.size(g.parts[0]) == 1) & (F.size(ring) >= 4) & (
-        F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0))
+
+    def convex(ring):
+        def of(turns):
+            total = F.abs(F.aggregate(turns, F.lit(0.0), lambda a, t: a + t))
+            return (F.forall(turns, lambda t: t >= 0) | F.forall(turns, lambda t: t <= 0)) & (total < 3 * math.pi)
+        return (F.size(ring) >= 4) & F.transform(F.array(_ring_turns(ring)), of)[0]
+    one = (g.gtype == "POLYGON") & (F.size(g.parts) == 1) & (F.size(F.get(g.parts, F.lit(0))) == 1)
+    return F.coalesce(F.when(one, F.transform(F.array(_without_repeats(g.parts[0][0])), convex)[0]), F.lit(False))
 
 
 @G.bind(0)
 def buffer_area_convex(g, r: float, quad_segs: int = 8) -> Column:
     """Exact area of the discretised buffer of a convex polygon."""
     g = G._c(g)
-    ring = g.parts[0][0]
-    fans = F.aggregate(F.transform(_ring_turns(ring), lambda t: _fan_area(F.abs(t), r, quad_segs)),
+    fans = F.aggregate(F.transform(_ring_turns(_without_repeats(g.parts[0][0])), lambda t: _fan_area(F.abs(t), r, quad_segs)),
                        F.lit(0.0), lambda a, b: a + b)
     return G.area(g) + F.lit(r) * G.perimeter(g) + fans
 
@@ -71,57 +81,77 @@ def point_buffer_area(r: float, quad_segs: int = 8) -> float:
 
 # ---------------------------------------------------------------- general kernel (numpy)
 
-def _pieces(rings, r, q):
-    """Segments (x0, y0, x1, y1, piece) of polygon + rectangles + fans."""
-    segs, piece = [], 0
+def _vertices_of(ring, closed: bool) -> np.ndarray:
+    """Without repeated vertices; a ring ends where it starts."""
+    pts = np.asarray(ring, dtype=float).reshape(-1, 2)
+    if len(pts):
+        pts = pts[np.r_[True, (pts[1:] != pts[:-1]).any(axis=1)]]
+    if closed and len(pts) > 1 and (pts[0] != pts[-1]).any():
+        pts = np.vstack([pts, pts[:1]])
+    return pts
+
+
+def _fan(centre, r: float, start: float, angle: float, n: int) -> np.ndarray:
+    """Segments of the fan of ``n`` equal triangles around ``centre``."""
+    arc = centre + r * np.column_stack([np.cos(start + angle * np.arange(n + 1) / n), np.sin(start + angle * np.arange(n + 1) / n)])
+    ring = np.vstack([centre, arc, centre])
+    return np.column_stack([ring[:-1], ring[1:]])
+
+
+def _pieces(rings, r, q, closed=True):
+    """Segments (x0, y0, x1, y1, piece) of the polygon (of closed rings), its
+    edges' rectangles, the fans at its corners, and caps where a line ends."""
     quantum = math.pi / 2.0 / q
-    for ring in rings:
-        pts = np.asarray(ring, dtype=float).reshape(-1, 2)
-        if len(pts) < 2:
+    rings = [p for p in (_vertices_of(ring, closed) for ring in rings) if len(p)]
+    body = [np.column_stack([p[:-1], p[1:]]) for p in rings if closed and len(p) > 1]
+    pieces = [np.vstack(body)] if body else []
+    for pts in rings:
+        if len(pts) == 1:  # a point, or a line without length
+            pieces.append(_fan(pts[0], r, 0.0, 2 * math.pi, 4 * q))
             continue
-        if (pts[0] != pts[-1]).any():
-            pts = np.vstack([pts, pts[:1]])
-        segs.append(np.column_stack([pts[:-1], pts[1:], np.zeros(len(pts) - 1)]))   # piece 0 = polygon
-    body = np.vstack(segs) if segs else np.zeros((0, 5))
-    out = [body]
-    for ring in rings:
-        pts = np.asarray(ring, dtype=float).reshape(-1, 2)
-        if len(pts) < 2:
-            continue
-        if (pts[0] != pts[-1]).any():
-            pts = np.vstack([pts, pts[:1]])
-        m = len(pts) - 1
-        for i in range(m):
-            a, b = pts[i], pts[i + 1]
-            d = b - a
-            ln = math.hypot(d[0], d[1])
-            if ln == 0:
-                continue
-            nrm = np.array([-d[1], d[0]]) / ln * r
-            quad = [a + nrm, b + nrm, b - nrm, a - nrm, a + nrm]
-            piece += 1
-            out.append(np.array([[*quad[k], *quad[k + 1], piece] for k in range(4)]))
-        for i in range(m):
-            a, b, c = pts[(i - 1) % m], pts[i], pts[(i + 1) % m]
-            e1, e2 = b - a, c - b
-            l1, l2 = math.hypot(*e1), math.hypot(*e2)
-            if l1 == 0 or l2 == 0:
-                continue
-            turn = math.atan2(e1[0] * e2[1] - e1[1] * e2[0], e1 @ e2)
-            if turn == 0:
-                continue
-            # gap on the outer side of the turn: right side for a left turn
-            sgn = -1.0 if turn > 0 else 1.0
-            n1 = sgn * np.array([-e1[1], e1[0]]) / l1
-            a0 = math.atan2(n1[1], n1[0])
-            tot = abs(turn)
-            ns = max(1, int(tot / quantum + 0.5))
-            step = tot / ns if turn > 0 else -tot / ns   # normals rotate with the edge direction
-            arc = [b + r * np.array([math.cos(a0 + k * step), math.sin(a0 + k * step)]) for k in range(ns + 1)]
-            poly = [b] + arc + [b]
-            piece += 1
-            out.append(np.array([[*poly[k], *poly[k + 1], piece] for k in range(len(poly) - 1)]))
-    return np.vstack(out)
+        edges = np.diff(pts, axis=0)
+        unit = edges / np.hypot(edges[:, 0], edges[:, 1])[:, None]
+        normal = np.column_stack([-unit[:, 1], unit[:, 0]])
+        for a, b, n in zip(pts[:-1], pts[1:], normal * r):
+            quad = np.array([a + n, b + n, b - n, a - n, a + n])
+            pieces.append(np.column_stack([quad[:-1], quad[1:]]))
+        m = len(edges)
+        for i in range(0 if closed else 1, m):  # corners, each after edge i - 1
+            e, f = unit[i - 1], unit[i]
+            turn = math.atan2(e[0] * f[1] - e[1] * f[0], e @ f)
+            if turn:
+                # the gap is on the outer side; normals turn with the edges
+                n = normal[i - 1] * (-1.0 if turn > 0 else 1.0)
+                pieces.append(_fan(pts[i], r, math.atan2(n[1], n[0]), turn, max(1, int(abs(turn) / quantum + 0.5))))
+        if not closed:
+            first, last = normal[0], -normal[-1]
+            pieces.append(_fan(pts[0], r, math.atan2(first[1], first[0]), math.pi, 2 * q))
+            pieces.append(_fan(pts[-1], r, math.atan2(last[1], last[0]), math.pi, 2 * q))
+    return np.vstack([np.column_stack([p, np.full(len(p), k)]) for k, p in enumerate(pieces)]) if pieces else np.zeros((0, 5))
+
+
+def _crossing_ordinates(x0, y0, x1, y1, at_once=2_000_000):
+    """Ordinates of proper crossings of segments, which are sorted by their
+    lower ends so that only those that overlap in y are paired, in blocks."""
+    low, high = np.minimum(y0, y1), np.maximum(y0, y1)
+    order = np.argsort(low)
+    x0, y0, x1, y1, low, high = (v[order] for v in (x0, y0, x1, y1, low, high))
+    dx, dy, out = x1 - x0, y1 - y0, []
+    many = np.searchsorted(low, high, "right") - np.arange(len(low)) - 1  # that start below each one's upper end
+    at = 0
+    while at < len(low):
+        stop = at + max(1, int(np.searchsorted(np.cumsum(many[at:]), at_once, "right")))
+        n = many[at:stop]
+        i = np.repeat(np.arange(at, stop), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        den = dx[i] * dy[j] - dy[i] * dx[j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((x0[j] - x0[i]) * dy[j] - (y0[j] - y0[i]) * dx[j]) / den
+            u = ((x0[j] - x0[i]) * dy[i] - (y0[j] - y0[i]) * dx[i]) / den
+        ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        out.append((y0[i] + t * dy[i])[ok])
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def _union_area(S):
@@ -130,21 +160,15 @@ def _union_area(S):
     if len(S) == 0:
         return 0.0
     x0, y0, x1, y1, pc = S.T
-    ys = [y0, y1]
-    # proper crossings between all segment pairs
     dx, dy = x1 - x0, y1 - y0
-    den = dx[:, None] * dy[None, :] - dy[:, None] * dx[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = ((x0[None, :] - x0[:, None]) * dy[None, :] - (y0[None, :] - y0[:, None]) * dx[None, :]) / den
-        u = ((x0[None, :] - x0[:, None]) * dy[:, None] - (y0[None, :] - y0[:, None]) * dx[:, None]) / den
-    ok = (den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
-    ys.append((y0[:, None] + t * dy[:, None])[ok])
-    br = np.unique(np.concatenate(ys))
+    br = np.unique(np.concatenate([y0, y1, _crossing_ordinates(x0, y0, x1, y1)]))
     lo, hi = br[:-1], br[1:]
     ym = (lo + hi) / 2.0
-    smin, smax = np.minimum(y0, y1), np.maximum(y0, y1)
-    span = (smin[None, :] <= lo[:, None]) & (smax[None, :] >= hi[:, None])
-    si, gi = np.nonzero(span)
+    # each segment's ends are among the slab limits: its slabs are a range
+    first_slab = np.searchsorted(lo, np.minimum(y0, y1))
+    slabs = np.searchsorted(hi, np.maximum(y0, y1)) + 1 - first_slab
+    gi = np.repeat(np.arange(len(y0)), slabs)
+    si = first_slab[gi] + np.arange(len(gi)) - np.repeat(np.cumsum(slabs) - slabs, slabs)
     xm = x0[gi] + (ym[si] - y0[gi]) * dx[gi] / dy[gi]
     piece = pc[gi]
     # rank within (slab, piece) by x -> enter/exit
@@ -167,9 +191,10 @@ def _union_area(S):
     return float(np.sum(w * (hi - lo)[si]))
 
 
-def buffer_area_of_rings(rings_per_part, r: float, q: int = 8) -> float:
-    """Union area of the buffers of all parts (list of list of rings)."""
-    allsegs = [_pieces(p, r, q) for p in rings_per_part if len(p)]
+def buffer_area_of_rings(rings_per_part, r: float, q: int = 8, closed: bool = True) -> float:
+    """Union area of the buffers of all parts (list of list of rings, or of
+    lines and points where not ``closed``)."""
+    allsegs = [s for s in (_pieces(p, r, q, closed) for p in rings_per_part if len(p)) if len(s)]
     if not allsegs:
         return 0.0
     offs, S = 0, []
@@ -191,23 +216,29 @@ def _unflatten(xs, ys, rsize, rpart):
 
 def buffer_area_udf(r: float, quad_segs: int = 8):
     @F.pandas_udf(T.DoubleType())
-    def _area(xs: pd.Series, ys: pd.Series, rsize: pd.Series, rpart: pd.Series) -> pd.Series:
-        return pd.Series([buffer_area_of_rings(_unflatten(a, b, c, d), r, quad_segs)
-                          for a, b, c, d in zip(xs, ys, rsize, rpart)], dtype="float64")
+    def _area(gtype: pd.Series, xs: pd.Series, ys: pd.Series, rsize: pd.Series, rpart: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or a is None else
+                          buffer_area_of_rings(_unflatten(a, b, c, d), r, quad_segs, t in ("POLYGON", "MULTIPOLYGON"))
+                          for t, a, b, c, d in zip(gtype, xs, ys, rsize, rpart)], dtype="float64")
     return _area
 
 
 def with_buffer_area(df: DataFrame, geom: str, r: float, quad_segs: int = 8, name: str = "buffer_area") -> DataFrame:
-    """Adds the buffer area column: convex polygons in Catalyst, the rest
-    through the Arrow UDF (the two row sets are split, not branched, so the
-    UDF only sees the rows that need it)."""
-    conv = is_convex(geom)
-    fast = df.where(conv).withColumn(name, buffer_area_convex(geom, r, quad_segs))
-    cols = df.columns
-    flat = df.where(~conv).select(*cols, G.to_flat(geom).alias("_f")).select(
-        *cols, "_f.xs", "_f.ys", "_f.rsize", "_f.rpart")
-    slow = flat.select(*cols, buffer_area_udf(r, quad_segs)("xs", "ys", "rsize", "rpart").alias(name))
-    return fast.unionByName(slow)
+    """Adds the buffer area column: points and convex polygons in Catalyst,
+    the rest through the Arrow UDF (the row sets are split, not branched, so
+    the UDF only sees the rows that need it).  A null geometry has a null
+    area."""
+    kind = (F.when(F.col(geom).isNull(), "null").when(F.col(geom).gtype == "POINT", "point")
+            .when(is_convex(geom), "convex").otherwise("other"))
+    cols, kind_col = df.columns, "_buffer_kind"
+    kinds = df.withColumn(kind_col, kind)
+    none = kinds.where(F.col(kind_col) == "null").select(*cols, F.lit(None).cast("double").alias(name))
+    points = kinds.where(F.col(kind_col) == "point").select(*cols, F.lit(point_buffer_area(r, quad_segs)).alias(name))
+    fast = kinds.where(F.col(kind_col) == "convex").select(*cols, buffer_area_convex(geom, r, quad_segs).alias(name))
+    flat = kinds.where(F.col(kind_col) == "other").select(*cols, G.to_flat(geom).alias("_f")).select(
+        *cols, "_f.gtype", "_f.xs", "_f.ys", "_f.rsize", "_f.rpart")
+    slow = flat.select(*cols, buffer_area_udf(r, quad_segs)("gtype", "xs", "ys", "rsize", "rpart").alias(name))
+    return fast.unionByName(points).unionByName(none).unionByName(slow)
 
 
 # ---------------------------------------------------------------- simplification

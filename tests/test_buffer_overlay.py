@@ -67,3 +67,37 @@ def test_point_buffer_polygon_area(spark):
     r = spark.range(1).select(G.area(G.buffer_point(F.lit(0.0), F.lit(0.0), 100.0, 8)).alias("a")).first()
     assert abs(r.a - B.point_buffer_area(100.0, 8)) < 1e-6
     assert abs(B.point_buffer_area(1.0, 10000) - math.pi) < 1e-6
+
+
+def test_buffer_of_any_geometry_vs_jts(spark):
+    """Repeated vertices, several turns, lines, points, parts, empty and null."""
+    from tests.conftest import jts
+    reader = jts(spark).io.WKTReader()
+    wkts = ["POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))", "POLYGON ((0 0, 4 0, 4 0, 4 3, 0 3, 0 0, 0 0))", "POINT (3 4)",
+            "LINESTRING (0 0, 30 0, 30 40, 5 10)", "LINESTRING (0 0, 0 0, 10 0)", "MULTIPOINT ((0 0), (5 0), (100 100))",
+            "MULTILINESTRING ((0 0, 30 0), (10 -20, 10 20), (200 0, 260 80))",
+            "MULTIPOLYGON (((0 0, 40 0, 40 15, 12 15, 12 50, 0 50, 0 0)), ((45 0, 60 0, 60 20, 45 0)))", None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(wkts)], "id int, w string") \
+        .select("id", F.when(F.col("w").isNotNull(), G.geom_from_wkt("w")).alias("g"))
+    got = {r.id: r.buffer_area for r in B.with_buffer_area(df, "g", 10.0, 8).collect()}
+    assert len(got) == len(wkts) and got[len(wkts) - 1] is None
+    for i, w in enumerate(wkts[:-1]):
+        ref = reader.read(w).buffer(10.0, 8).getArea()
+        assert abs(got[i] - ref) / ref < 2e-3, (w, got[i], ref)
+    assert abs(got[0] - got[1]) < 1e-9
+
+
+def test_star_is_not_convex(spark):
+    star = [(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)]
+    w = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*star, star[0]]) + "))"
+    df = spark.createDataFrame([(w,), ("POLYGON ((0 0, 4 0, 4 3, 0 3, 0 0))",)], "w string").select(G.geom_from_wkt("w").alias("g"))
+    assert [r.c for r in df.select(B.is_convex("g").alias("c")).collect()] == [False, True]
+
+
+def test_buffer_of_a_long_boundary():
+    """Memory grows with the pairs that overlap, not with all pairs."""
+    n = 4000
+    ring = [(1000 * math.cos(2 * math.pi * k / n) * (1 + 0.01 * (k % 2)), 1000 * math.sin(2 * math.pi * k / n) * (1 + 0.01 * (k % 2)))
+            for k in range(n)]
+    area = B.buffer_area_of_rings([[ring + ring[:1]]], 1.0, 2)
+    assert abs(area - math.pi * 1011 ** 2) / area < 0.02
