@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,9 @@ def with_row_id(df: DataFrame, order_cols, name: str = "row_id", num_partitions:
     single-partition window.  Rows are range-partitioned on the order
     columns and sorted within partitions; that layout is materialised once
     with a reliable checkpoint (range bounds come from random sampling, so
-    recomputing the exchange could move rows between partitions).  One
-    small job counts rows per partition (one row per partition reaches the
-    driver) and each row gets ``offset(partition) + position``.
+    recomputing the exchange could move rows between partitions).  Rows are
+    counted per partition, and each row gets ``offset(partition) + position``
+    through a join with that table of one row per partition.
     ``order_cols`` must form a unique key so that the ids are deterministic."""
     from geoq.session import cut_lineage
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
@@ -35,16 +35,11 @@ def with_row_id(df: DataFrame, order_cols, name: str = "row_id", num_partitions:
     ranged = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
     ranged = (ranged.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = sorted((r["_pid"], r["count"]) for r in ranged.groupBy("_pid").count().collect())
-    offsets, acc = {}, 0
-    for pid, c in counts:
-        offsets[pid] = acc
-        acc += c
-    if not offsets:
-        offsets = {0: 0}
-    m = F.create_map(*[x for kv in offsets.items() for x in (F.lit(kv[0]), F.lit(kv[1]).cast("long"))])
+    # one row per partition: its rows, and those of the partitions before
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return ranged.withColumn(name, m[F.col("_pid")] + local + 1).drop("_pid", "_mid")
+    return ranged.join(offsets, "_pid").withColumn(name, F.col("_before") + local + 1).drop("_pid", "_mid", "_before")
 
 
 def exact_quantiles(df: DataFrame, col: str, qs, order_key: str, prefix: str = "q") -> DataFrame:
@@ -68,17 +63,22 @@ def exact_quantiles(df: DataFrame, col: str, qs, order_key: str, prefix: str = "
 
 def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None) -> DataFrame:
     """Equal-width histogram, the maximum falls in the last bin (numpy
-    semantics), empty bins reported with 0.  Min/max come from one global
-    aggregate (two numbers reach the driver); bin counts are a partial
-    (map-side combined) aggregation."""
+    semantics), empty bins reported with 0.  Values outside a given range,
+    NULL and NaN are not counted; a constant column gets the range numpy gives
+    it (half a unit on either side), an empty one the range 0 to 1.  Min/max
+    come from one global aggregate (two numbers reach the driver); bin counts
+    are a partial (map-side combined) aggregation."""
     spark = df.sparkSession
     if lo is None or hi is None:
         r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
         lo, hi = r["lo"], r["hi"]
-    lo, hi = float(lo), float(hi)
+    lo, hi = (0.0, 1.0) if lo is None or hi is None else (float(lo), float(hi))
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
     width = F.lit(hi) - F.lit(lo)
     b = F.least(F.floor((F.col(col) - F.lit(lo)) / width * bins), F.lit(bins - 1)).cast("bigint")
-    counted = df.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    inside = (F.col(col) >= F.lit(lo)) & (F.col(col) <= F.lit(hi))
+    counted = df.where(inside).select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     all_bins = spark.range(bins).select(F.col("id").alias("bin"))   # the bin axis itself (reindex)
     return (all_bins.join(counted, "bin", "left")
             .select("bin", F.round(F.lit(lo) + F.col("bin") * width / bins, 6).alias("bin_lo"),
@@ -95,11 +95,10 @@ def extent(df: DataFrame, bbox_col: str = "bbox", by=None) -> DataFrame:
 
 
 def percent_of_total(df: DataFrame, key: str, name: str = "pct") -> DataFrame:
-    """Count per class and its share of the total (window over the
-    small per-class result, not over the rows)."""
-    from pyspark.sql import Window
+    """Count per class and its share of the total, a scalar subquery."""
+    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     c = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn(name, F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 6))
+    return c.withColumn(name, F.round(F.col("n") * 100.0 / total, 6))
 
 
 def correlation_matrix(df: DataFrame, cols) -> DataFrame:

@@ -100,6 +100,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         labels = new
         if changed == 0:
             break
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     return labels.withColumnRenamed("label", "component")
 
 

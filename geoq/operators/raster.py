@@ -48,20 +48,20 @@ class RasterMeta:
 
 def to_tiles(pixels: DataFrame, meta: RasterMeta) -> DataFrame:
     """Pixel view -> tile table (``raster2pgsql -t TxT``).  Each group
-    is one tile, bounded by T*T pixels.  A full tile is its sorted pixel
-    list; only partial tiles (raster edges, holes) are filled with nodata
-    by index lookup (map lookups are linear, so they are kept off the
-    common path)."""
+    is one tile.  Every tile is built alike in one sorted pass: its pixels
+    and a nodata filler for each place are sorted by place, and the last entry
+    of a place counts.  A pixel given several times has its largest value."""
     t = meta.tile
     nod = F.lit(meta.nodata if meta.nodata is not None else float("nan"))
     idx = ((F.col("row") % t) * t + F.col("col") % t).cast("int")
     grouped = (pixels.groupBy("band", F.floor(F.col("row") / t).alias("tile_row"),
                               F.floor(F.col("col") / t).alias("tile_col"))
-               .agg(F.array_sort(F.collect_list(F.struct(idx.alias("i"), F.col("value").alias("v")))).alias("px")))
-    dense = F.transform("px", lambda e: e.v)
-    m = F.map_from_entries(F.col("px"))
-    sparse = F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i: F.coalesce(m[i], nod))
-    data = F.when(F.size("px") == t * t, dense).otherwise(sparse)
+               .agg(F.array_sort(F.collect_list(F.struct(idx.alias("i"), F.col("value").cast("double").alias("v")))).alias("px")))
+    filler = F.transform(F.sequence(F.lit(0), F.lit(t * t - 1)), lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("v")))
+    # nulls sort first, so a filler is last only where no pixel was given
+    placed = F.transform(F.array(F.array_sort(F.concat("px", filler))), lambda a: F.filter(
+        a, lambda e, k: (k == F.size(a) - 1) | (F.get(a, k + 1).i != e.i)))[0]
+    data = F.transform(placed, lambda e: F.coalesce(e.v, nod))
     return grouped.select("band", "tile_row", "tile_col", data.alias("data"))
 
 
@@ -145,8 +145,9 @@ def polygon_tile_keys(polys: DataFrame, meta: RasterMeta, key="id", geom="geomet
 
     def trow(y):
         return F.floor((F.lit(meta.uly) - y) / th)
-    c0, c1 = F.greatest(tcol(b.minx), F.lit(0)), tcol(b.maxx)
-    r0, r1 = F.greatest(trow(b.maxy), F.lit(0)), trow(b.miny)
+    # only tiles of the raster, however far the polygon reaches beyond it
+    c0, c1 = F.greatest(tcol(b.minx), F.lit(0)), F.least(tcol(b.maxx), F.lit((meta.width - 1) // t))
+    r0, r1 = F.greatest(trow(b.maxy), F.lit(0)), F.least(trow(b.miny), F.lit((meta.height - 1) // t))
     keys = F.flatten(F.transform(F.sequence(r0, F.greatest(r0, r1)), lambda r: F.transform(
         F.sequence(c0, F.greatest(c0, c1)), lambda c: F.struct(r.alias("tile_row"), c.alias("tile_col")))))
     # explode_outer: avoids an inferred non-empty filter that would

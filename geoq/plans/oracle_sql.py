@@ -443,8 +443,7 @@ CAST(floor(col / 32) AS BIGINT) AS tile_col, CAST(count(*) FILTER (WHERE value <
 coalesce(sum(value) FILTER (WHERE value <> 0), 0.0) AS sum_valid FROM px GROUP BY 2, 3"""
 ORACLE["raster_pixels_roundtrip"] = with_(PX) + "SELECT row, col, value FROM px"
 ORACLE["raster_mosaic"] = with_(PX) + """, b AS (SELECT CAST((o_orderkey - o_orderkey % 100) / 100 + 3 AS BIGINT) AS row,
-  CAST(o_orderkey % 100 + 50 AS BIGINT) AS col, CAST((o_orderkey * 17) % 50 AS DOUBLE) AS value FROM orders
-  WHERE o_orderkey % 100 + 50 < 100)
+  CAST(o_orderkey % 100 + 50 AS BIGINT) AS col, CAST((o_orderkey * 17) % 50 AS DOUBLE) AS value FROM orders)
 SELECT row, col, value FROM b UNION ALL
 SELECT row, col, value FROM px WHERE (row, col) NOT IN (SELECT (row, col) FROM b)"""
 ORACLE["raster_info"] = with_(PX) + """SELECT CAST(100 AS BIGINT) AS width, height, CAST(1 AS BIGINT) AS bands,
@@ -461,7 +460,7 @@ FROM px, hdr GROUP BY 1, 2"""
 ORACLE["class_counts"] = with_(PX) + """SELECT value AS class, CAST(count(*) AS BIGINT) AS n,
 round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM px WHERE value <> 0 GROUP BY value"""
 ORACLE["pixel_histogram"] = with_(PX) + """, cnt AS (SELECT CAST(least(floor((value - 0) / 50.0 * 50), 49) AS BIGINT) AS bin,
-  count(*) AS n FROM px GROUP BY 1)
+  count(*) AS n FROM px WHERE value BETWEEN 0 AND 50 GROUP BY 1)
 SELECT b.bin, round(b.bin * 1.0, 6) AS bin_lo, round(b.bin + 1.0, 6) AS bin_hi, CAST(coalesce(cnt.n, 0) AS BIGINT) AS count
 FROM (SELECT range AS bin FROM range(50)) b LEFT JOIN cnt ON cnt.bin = b.bin"""
 ORACLE["class_mask"] = with_(PX) + """SELECT CAST(count(*) FILTER (WHERE value BETWEEN 1 AND 11) AS BIGINT) AS n_in_mask,

@@ -34,14 +34,14 @@ def raster_pixels_roundtrip(spark, sf):
 
 @query("raster_mosaic")
 def raster_mosaic(spark, sf):
-    """Mosaic of two rasters, the later one wins where both cover."""
+    """Mosaic of two rasters over their joint extent, the later one wins
+    where both cover."""
     from geoq.sources.tables import read_table
     a = FX.raster_band(spark, sf)
     k = F.col("o_orderkey")
     b = (read_table(spark, sf, "orders")
          .select(F.lit(1).alias("band"), ((k - k % 100) / 100 + 3).cast("bigint").alias("row"),
-                 (k % 100 + 50).cast("bigint").alias("col"), ((k * 17) % 50).cast("double").alias("value"))
-         .where(F.col("col") < 100))
+                 (k % 100 + 50).cast("bigint").alias("col"), ((k * 17) % 50).cast("double").alias("value")))
     return RS.mosaic([a, b]).select("row", "col", "value")
 
 

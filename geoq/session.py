@@ -41,9 +41,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for k, v in _DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
+    """Makes sure of a checkpoint folder; the caller's settings stay as they
+    are (``get_spark`` sets this library's defaults on its own sessions)."""
     checkpoint_dir(spark)
     return spark
 

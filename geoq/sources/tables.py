@@ -16,21 +16,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int
     the first shuffle would run in one task.  When the scan yields fewer
     splits than the cluster's parallelism the rows are spread round-robin;
     a large input (many splits) is left untouched."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     target = min_partitions or spark.sparkContext.defaultParallelism
-    key = (id(spark), path, target)
-    df = _SCANS.get(key)
-    if df is None:
-        # the DataFrame is lazy: memoising it only saves footer reads and
-        # file listing when the same table is scanned several times
-        df = spark.read.parquet(path)
-        if df.rdd.getNumPartitions() < target:
-            df = df.repartition(target)
-        _SCANS[key] = df
-    return df
-
-
-_SCANS: dict = {}
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names) -> None:

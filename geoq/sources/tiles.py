@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
 from geoq.operators.raster import RasterMeta
+from geoq.sources import store
 
 
 def write_tiles(tiles: DataFrame, meta: RasterMeta, path: str, mode: str = "overwrite") -> None:
     """Tile table + header (``_raster.json``: size, transform, nodata)."""
     tiles.write.mode(mode).partitionBy("band").parquet(path)
-    local = path.replace("file:", "")
-    if os.path.isdir(local):
-        with open(os.path.join(local, "_raster.json"), "w") as fh:
-            json.dump(asdict(meta), fh)
+    store.write_text(tiles.sparkSession, f"{path}/_raster.json", json.dumps(asdict(meta)))
 
 
 def read_tiles(spark: SparkSession, path: str):
     """(tiles DataFrame, RasterMeta)."""
-    meta = RasterMeta(**json.load(open(os.path.join(path.replace("file:", ""), "_raster.json"))))
+    header = store.read_text(spark, f"{path}/_raster.json")
+    if header is None:
+        raise FileNotFoundError(f"{path}/_raster.json")
+    meta = RasterMeta(**json.loads(header))
     return spark.read.parquet(path), meta

@@ -3,20 +3,21 @@
 GeoParquet is written as a WKB ``binary`` column plus pushable bbox
 columns; the file-level ``geo`` key cannot be set through Spark's Parquet
 writer, so the same JSON document is written next to the data as
-``_geo.json``.  GeoJSON is read from a FeatureCollection file with Spark's
-JSON reader (``multiLine``) and written one feature per line.
+``_geo.json``, through Hadoop's file API like the data.  GeoJSON is written
+one feature per line; both that form (splittable) and FeatureCollection files
+are read.
 """
 
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geoq.functions import geometry as G
+from geoq.sources import store
 from geoq.functions.wkb import with_geom_from_wkb, with_wkb
 
 
@@ -29,29 +30,33 @@ def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    meta = {"version": "1.0.0", "primary_column": geom,
+    covering = {"xmin": "minx", "ymin": "miny", "xmax": "maxx", "ymax": "maxy"}
+    meta = {"version": "1.1.0", "primary_column": geom,
             "columns": {geom: {"encoding": "WKB", "crs": f"EPSG:{srid}", "covering": {"bbox": {
-                k: ["bbox", k] for k in ("xmin", "ymin", "xmax", "ymax")}}}}}
-    if path.startswith("/") or path.startswith("file:"):
-        local = path.replace("file:", "")
-        os.makedirs(local, exist_ok=True)
-        with open(os.path.join(local, "_geo.json"), "w") as fh:
-            json.dump(meta, fh)
+                k: ["bbox", c] for k, c in covering.items()}}}}}
+    store.write_text(df.sparkSession, f"{path}/_geo.json", json.dumps(meta))
 
 
 def read_geoparquet(spark: SparkSession, path: str, geom: str = "geometry", srid: int | None = None) -> DataFrame:
     """A2: GeoParquet (WKB column) -> geometry struct; CRS from ``_geo.json``
-    when present."""
-    if srid is None:
-        srid = 0
-        meta = os.path.join(path.replace("file:", ""), "_geo.json")
-        if os.path.exists(meta):
-            crs = json.load(open(meta))["columns"][geom].get("crs", "EPSG:0")
-            srid = int(str(crs).split(":")[-1]) if str(crs).split(":")[-1].isdigit() else 0
+    or else from the ``geo`` key of a file's footer, 0 without either."""
     df = spark.read.parquet(path)
+    if srid is None:
+        meta = store.read_text(spark, f"{path}/_geo.json") or next(
+            (m for m in (store.parquet_footer_value(spark, f, "geo") for f in df.inputFiles()[:1]) if m), None)
+        srid = _srid_of(json.loads(meta)["columns"][geom].get("crs")) if meta else 0
     return with_geom_from_wkb(df, geom, "_g", srid).drop(geom).withColumnRenamed("_g", geom)
 
 
+def _srid_of(crs) -> int:
+    """EPSG code of a CRS given as text (``EPSG:n``) or as PROJJSON; a layer
+    without a CRS is in lon/lat by the format's definition."""
+    if crs is None:
+        return 4326
+    code = (crs.get("id") or {}).get("code") if isinstance(crs, dict) else str(crs).split(":")[-1]
+    return int(code) if str(code).isdigit() else 0
+
+
 _GJ_FEATURE = T.StructType([
     T.StructField("type", T.StringType()),
     T.StructField("properties", T.MapType(T.StringType(), T.StringType())),
@@ -59,12 +64,21 @@ _GJ_FEATURE = T.StructType([
                                             T.StructField("coordinates", T.StringType())]))])
 
 
-def read_geojson(spark: SparkSession, path: str, srid: int = 4326) -> DataFrame:
-    """A4: FeatureCollection -> (properties map, geometry).  Coordinates are
-    parsed from their JSON text by nesting depth of the geometry type."""
-    raw = spark.read.option("multiLine", True).schema(
-        T.StructType([T.StructField("features", T.ArrayType(_GJ_FEATURE))])).json(path)
-    f = raw.select(F.explode("features").alias("f")).select("f.properties", "f.geometry.type", "f.geometry.coordinates")
+def read_geojson(spark: SparkSession, path: str, srid: int = 4326, lines: bool | None = None) -> DataFrame:
+    """A4: GeoJSON -> (properties map, geometry).  ``lines``: one feature per
+    line, read in parallel; else FeatureCollection files, each one row.  By
+    default the first line decides.  Coordinates are parsed from their JSON
+    text by nesting depth of the geometry type."""
+    if lines is None:
+        first = spark.read.text(path).first()
+        lines = bool(first) and first["value"].replace(" ", "").startswith('{"type":"Feature",')
+    if lines:
+        features = spark.read.schema(_GJ_FEATURE).json(path)
+    else:
+        collections = spark.read.option("multiLine", True).schema(
+            T.StructType([T.StructField("features", T.ArrayType(_GJ_FEATURE))])).json(path)
+        features = collections.select(F.inline("features"))
+    f = features.select("properties", "geometry.type", "geometry.coordinates")
     t = F.upper(F.col("type"))
     depth = (F.when(t == "POINT", 2).when(t.isin("LINESTRING", "MULTIPOINT"), 2)
              .when(t.isin("POLYGON", "MULTILINESTRING"), 1).otherwise(0))
@@ -137,5 +151,5 @@ def append_csv_log(df: DataFrame, path: str) -> None:
 
 def describe_layer(df: DataFrame, geom: str = "geometry", n: int = 5):
     """Columns, first rows and CRS of a layer."""
-    srids = df.select(G.srid(F.col(geom)).alias("s")).distinct().limit(10).collect()
+    srids = df.select(G.srid(F.col(geom)).alias("s")).distinct().collect()
     return {"columns": df.columns, "head": df.limit(n).collect(), "srid": [r.s for r in srids]}

@@ -80,3 +80,73 @@ def test_csv_log_and_runtime_stats(spark, tmp_path):
     back = read_csv(spark, path, df.schema)
     r = runtime_stats(back).first()
     assert (r.avg_execution_time_s, r.num_runs) == (2.0, 3)
+
+
+def test_geojson_reads_its_own_output(spark, tmp_path):
+    from geoq.sources.vector import read_geojson, write_geojson
+    path = str(tmp_path / "nd")
+    write_geojson(_polys(spark).repartition(2), path)
+    back = read_geojson(spark, path).select(F.col("properties")["name"].alias("n"), G.area("geometry").alias("a"),
+                                            G.geom_type("geometry").alias("t")).orderBy("n").collect()
+    assert [(r.n, r.a, r.t) for r in back] == [("a", 12.0, "POLYGON"), ("b", 2.5, "MULTIPOLYGON")]
+
+
+def test_geoparquet_headers(spark, tmp_path):
+    import json
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from geoq.functions.wkb import with_wkb
+    from geoq.sources import store
+    from geoq.sources.vector import read_geoparquet, write_geoparquet
+    path = str(tmp_path / "own")
+    write_geoparquet(_polys(spark), path, srid=3857)
+    covering = json.loads(store.read_text(spark, f"{path}/_geo.json"))["columns"]["geometry"]["covering"]["bbox"]
+    stored = spark.read.parquet(path).select("bbox.*").columns
+    assert {c[1] for c in covering.values()} <= set(stored)
+    assert store.read_text(spark, f"{path}/nothing.json") is None
+    # a file of another tool: the CRS is in the footer
+    rows = with_wkb(_polys(spark), "geometry", "w").select("id", F.col("w").alias("geometry")).toPandas()
+    geo = {"version": "1.1.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "crs": {"id": {"authority": "EPSG", "code": 32632}}}}}
+    table = pa.Table.from_pandas(rows, preserve_index=False).replace_schema_metadata({"geo": json.dumps(geo)})
+    (tmp_path / "other").mkdir()
+    pq.write_table(table, tmp_path / "other" / "a.parquet")
+    back = read_geoparquet(spark, str(tmp_path / "other")).select(G.srid("geometry").alias("s"), G.area("geometry").alias("a")).orderBy("a").collect()
+    assert [(r.s, r.a) for r in back] == [(32632, 2.5), (32632, 12.0)]
+
+
+def test_partial_tiles_and_repeated_pixels(spark):
+    from geoq.operators.raster import RasterMeta, polygon_tile_keys, to_pixels, to_tiles
+    meta = RasterMeta(width=3, height=2, ulx=0.0, uly=2.0, px=1.0, py=-1.0, nodata=-9.0, tile=2)
+    px = spark.createDataFrame([(1, 0, 0, 5.0), (1, 0, 0, 6.0), (1, 1, 0, 1.0), (1, 1, 1, 2.0), (1, 0, 2, 3.0)],
+                               "band int, row long, col long, value double")
+    back = {(r.row, r.col): r.value for r in to_pixels(to_tiles(px, meta), meta).collect()}
+    assert back == {(0, 0): 6.0, (0, 1): -9.0, (1, 0): 1.0, (1, 1): 2.0, (0, 2): 3.0, (1, 2): -9.0}
+    far = spark.createDataFrame([(1,)], "id int").select("id", G.box(-1e6, -1e6, 1e6, 1e6).alias("geometry"))
+    assert polygon_tile_keys(far, meta).count() == 2  # the raster's tiles, no more
+
+
+def test_histogram_edges(spark):
+    from geoq.operators.aggregates import histogram, percent_of_total, with_row_id
+    df = spark.createDataFrame([(float(v),) for v in (0, 1, 10, 44, 200, -5)] + [(None,), (float("nan"),)], "v double")
+    counts = {r.bin: r["count"] for r in histogram(df, "v", 44, 0, 44).collect()}
+    assert sum(counts.values()) == 4 and counts[43] == 1
+    same = histogram(spark.createDataFrame([(7.0,)] * 3, "v double"), "v", 4).collect()
+    assert sum(r["count"] for r in same) == 3 and (same[0].bin_lo, max(r.bin_hi for r in same)) == (6.5, 7.5)
+    assert sum(r["count"] for r in histogram(df.limit(0), "v", 4).collect()) == 0
+    shares = percent_of_total(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string"), "k").collect()
+    assert {r.k: r.pct for r in shares} == {"a": 50.0, "b": 25.0, None: 25.0}
+    ids = with_row_id(spark.range(1000).selectExpr("(id * 37) % 1000 as v"), ["v"]).collect()
+    assert {r.v + 1: r.row_id for r in ids} == {k: k for k in range(1, 1001)}
+
+
+def test_components_say_when_they_are_not_done(spark):
+    import pytest
+
+    from geoq.operators.network import connected_components
+    nodes = spark.range(64)
+    edges = spark.range(63).selectExpr("id as u", "id + 1 as v")
+    with pytest.raises(RuntimeError):
+        connected_components(nodes, edges, max_rounds=2)
+    assert {r.component for r in connected_components(nodes, edges).collect()} == {0}
