@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +60,25 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+#: Bits of a filter over 64-bit keys: a fixed size, however many keys there are.
+FILTER_BITS = 26
+
+
+class KeyFilter:
+    """A bit set over the top bits of 64-bit hashes.  It passes every key of
+    ``keys`` and few others, so that rows which surely have no partner need
+    not be shuffled; exact joins follow.  At most ``2**FILTER_BITS / 64`` rows
+    come to the driver to build it."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        slot = f"shiftrightunsigned(`{column}`, {64 - FILTER_BITS})"
+        words = (keys.select(F.expr(f"shiftright({slot}, 6)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("b"))
+                 .groupBy("w").agg(F.bit_or("b").alias("b")).where("w is not null").toArrow())
+        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        self.bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+        return ((self.bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)

@@ -8,21 +8,22 @@ lines that occur more than once in all documents keep their first occurrence
 compared with the first's.
 
 A long line is worth several: a line of ``LONG_LINE`` words or more starts and
-ends a chunk, and is itself cut into sentences.  Boundaries are drawn several
-times with different salts, so that a passage that one drawing cuts across is
-met whole by another.
+ends a chunk, is itself cut into sentences, and is a chunk as a whole.
+Boundaries are drawn several times with different salts, so that a passage
+that one drawing cuts across is met whole by another.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoq.llm.common import batch_of, byte_texts, materialise
+from geoq.llm.common import KeyFilter, batch_of, byte_texts, materialise
 
 #: Drawings of boundaries; a boundary follows one line in ``DIVISOR``.
 DRAWINGS, DIVISOR = 6, 2
@@ -30,50 +31,86 @@ DRAWINGS, DIVISOR = 6, 2
 LONG_LINE, MIN_WORDS = 30, 16
 
 _SENTENCE = re.compile(rb"(?<=[.!?]) ")
-_MASK = (1 << 64) - 1
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _units(text: bytes, split_long: bool) -> list[tuple[int, int, int, int, bool, bool]]:
-    """``(start, end, next start, words, cut before, cut after)`` of each line,
-    or sentence of a long line."""
-    out, at = [], 0
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _units(text: bytes, units: list[tuple]) -> None:
+    """Appends ``(start, end, words, cut before, cut after, hash)`` of each
+    line, or sentence of a long line.  One byte separates units."""
+    at, digest = 0, xxhash.xxh64_intdigest
     for line in text.split(b"\n"):
-        end = at + len(line)
-        words = len(line.split())
+        words = line.count(b" ") + 1
         if words < LONG_LINE:
-            out.append((at, end, end + 1, words, False, False))
+            units.append((at, at + len(line), words, False, False, digest(line)))
         else:
-            cuts = [at, *(m.end() + at for m in _SENTENCE.finditer(line)), end + 1] if split_long else [at, end + 1]
+            cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line) + 1]
             last = len(cuts) - 2
             for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                out.append((i, min(j - 1, end), j, words if last == 0 else len(text[i:j].split()), k == 0, k == last))
-        at = end + 1
-    return out
+                part = line[i:j - 1]
+                units.append((at + i, at + j - 1, part.count(b" ") + 1, k == 0, k == last, digest(part)))
+        at += len(line) + 1
+
+
+def _chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``(text's number, start, end, hash)`` of the chunks of several lines of
+    all drawings, in text order; ``end`` leaves out the separator after."""
+    units: list[tuple] = []
+    sizes = []
+    for text in texts:
+        before = len(units)
+        if text:
+            _units(text, units)
+        sizes.append(len(units) - before)
+    n = len(units)
+    empty = np.zeros(0, np.int64)
+    if not n:
+        return empty, empty, empty, empty
+    start, end, words, cut_before, cut_after, h = (np.array(x, t) for x, t in zip(
+        zip(*units), (np.int64, np.int64, np.int64, bool, bool, np.uint64)))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    first_of_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
+    # a run of lines has the hash sum(h[i + k] * P**k), from sums over all units
+    power, inverse = _powers(_P, n + 1), _powers(_P_INVERSE, n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
+    worth = np.cumsum(1 + words // LONG_LINE)
+    total = np.cumsum(words)
+    starts_line = first_of_doc | cut_before
+    starts_line[1:] |= cut_after[:-1]
+    before = np.where(starts_line, np.uint64(0), np.concatenate([h[:1], h[:-1]]))
+    ends_line = np.concatenate([starts_line[1:], [True]])
+    found = []
 
+    def add(first, last):
+        many = worth[last] - worth[first] + 1 + words[first] // LONG_LINE
+        some = (many > 1) & (total[last] - total[first] + words[first] >= MIN_WORDS)
+        found.append((first[some], last[some]))
 
-def line_chunks(text: bytes) -> set[tuple[int, int, int]]:
-    """``(start, end, removed to)`` of the chunks of several lines in all
-    drawings; ``end`` leaves out the separator after the last line."""
-    found = set()
     for drawing in range(DRAWINGS):
-        units = _units(text, drawing > 0)
-        hashes = [xxhash.xxh64_intdigest(text[i:j]) for i, j, *_ in units]
-        first, words, before, lines = None, 0, 0, 0
-        for k, (start, end, after, n, cut_before, cut_after) in enumerate(units):
-            if first is None or cut_before:
-                first, words, before, lines = start, 0, 0, 0
-            words += n
-            lines += 1 + n // LONG_LINE  # a long line is worth several
-            rolling = (before * 0x9E3779B97F4A7C15 + hashes[k] + drawing) & _MASK
-            before = hashes[k]
-            rolling = ((rolling ^ (rolling >> 31)) * 0xC2B2AE3D27D4EB4F) & _MASK
-            last = k + 1 == len(units) or cut_after or units[k + 1][4]
-            if last or (rolling >> 40) % DIVISOR == 0:
-                if lines > 1 and words >= MIN_WORDS:
-                    found.add((first, end, after))
-                first = None
-                before = 0 if last else before
-    return found
+        rolling = before * _P + h + np.uint64(drawing + 1) * _Q
+        rolling = (rolling ^ (rolling >> np.uint64(31))) * _Q
+        last = np.flatnonzero(ends_line | ((rolling >> np.uint64(40)) % np.uint64(DIVISOR) == 0))
+        add(np.concatenate([[0], last[:-1] + 1]), last)
+    whole = np.flatnonzero(cut_before)  # long lines as they are
+    add(whole, np.flatnonzero(cut_after))
+    first, last = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0).T
+    chunk = (sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _Q
+    chunk ^= chunk >> np.uint64(29)
+    return doc[first], start[first], end[last], chunk.view(np.int64)
+
+
+def line_chunks(text: bytes) -> set[tuple[int, int]]:
+    """``(start, end)`` of a text's chunks of several lines."""
+    _, start, end, _ = _chunks([text])
+    return set(zip(start.tolist(), end.tolist()))
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -83,6 +120,58 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+_REPEATED = "key bigint, start int, end int, first_key bigint, first_start int"
+
+
+def _repeated(occurrences: DataFrame) -> DataFrame:
+    """Every occurrence of a chunk but the first, with the place of the first:
+    one pass over sorted rows that holds the first of the current chunk."""
+    schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_key", pa.int64()), ("first_start", pa.int32())])
+
+    def follow(batches):
+        held = None  # hash, key and start of the current chunk's first
+        for b in batches:
+            h, key, start, end = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+            if not len(h):
+                continue
+            fresh = np.concatenate([[True], h[1:] != h[:-1]])
+            at = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+            first_key, first_start = key[at], start[at]
+            if held is not None:
+                same = h == held[0]
+                first_key[same], first_start[same] = held[1], held[2]
+            other = (first_key != key) | (first_start != start)
+            if other.any():
+                yield batch_of(schema, key[other], start[other], end[other], first_key[other], first_start[other])
+            held = h[-1], first_key[-1], first_start[-1]
+
+    return (occurrences.repartition("hash").sortWithinPartitions("hash", "doc", "key", "start").mapInArrow(follow, _REPEATED))
+
+
+def _merged(repeated: DataFrame) -> DataFrame:
+    """Overlapping chunks of a document whose firsts overlap alike are one
+    passage: the drawings' copies of it are compared once."""
+    schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_key", pa.int64()), ("first_start", pa.int32())])
+
+    def merge(batches):
+        for b in batches:
+            rows: list[tuple] = []
+            for key, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans = sorted((s["first_key"], s["start"] - s["first_start"], s["start"], s["end"]) for s in spans)
+                at = None
+                for first_key, shift, start, end in spans:
+                    if at is not None and at[0] == (first_key, shift) and start <= at[2] + 1:
+                        at[2] = max(at[2], end)
+                    else:
+                        at = [(first_key, shift), start, end]
+                        rows.append((key, at))
+            yield batch_of(schema, [k for k, _ in rows], [a[1] for _, a in rows], [a[2] for _, a in rows],
+                           [a[0][0] for _, a in rows], [a[1] - a[0][1] for _, a in rows])
+
+    return (repeated.groupBy("key").agg(F.collect_list(F.struct("start", "end", "first_key", "first_start")).alias("spans"))
+            .mapInArrow(merge, _REPEATED))
+
+
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, with repeated chunks of lines taken
     out of the text, and a last column ``removed``: the byte ranges of the
@@ -91,60 +180,66 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null and empty texts stay as they are; a text all of whose lines repeat
     becomes empty.  Rows equal in id and text count as one document, and each
     is cut alike; among equal passages the smallest id keeps its copy (null
-    ids first), then the earliest place.  An empty table gives no rows."""
+    ids first), then the earliest place.  An empty table gives no rows.  Only
+    chunk hashes, and the texts that hold repeated chunks, are shuffled."""
     columns, key, listed = docs.columns, _free(docs, "_row_key"), _free(docs, "_spans")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    found = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()),
-                       ("end", pa.int32()), ("after", pa.int32())])
+    found = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def chunks(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                rows: list[list] = [[] for _ in range(6)]
-                for doc, text, k in zip(some.column(0).to_pylist(), byte_texts(some.column(1)), some.column(2).to_pylist()):
-                    if not text:
-                        continue
-                    for start, end, after in line_chunks(text):
-                        h = xxhash.xxh64_intdigest(text[start:end])
-                        for column, value in zip(rows, (h - (1 << 64) if h >> 63 else h, doc, k, start, end, after)):
-                            column.append(value)
-                yield batch_of(found, *rows)
-
-    occurrences = materialise(keyed.select(F.col(id_col).cast("bigint"), text_col, key).mapInArrow(
-        chunks, "hash bigint, doc bigint, key bigint, start int, end int, after int"), "line-chunks")
-    place = F.struct("doc", "key", "start")
-    repeated = (occurrences.groupBy("hash").agg(F.min(F.struct("doc", "key", "start", "end")).alias("first"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > 1))
-    # both sides of every comparison: where the first stands, and all others
-    firsts = repeated.select(F.col("first.key").alias(key), F.struct(
-        F.col("first.start").alias("start"), F.col("first.end").alias("end"), "hash").alias("span"))
-    wanted = firsts.groupBy(key).agg(F.collect_list("span").alias(listed))
-    others = (occurrences.join(repeated.select("hash", "first"), "hash")
-              .where(~(place.eqNullSafe(F.struct("first.doc", "first.key", "first.start"))))
-              .select("hash", F.col("key").alias(key), "start", "end", "after"))
-    text_at = columns.index(text_col)
-    quoted = pa.schema([("hash", pa.int64()), ("passage", pa.binary())])
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                row, start, end, h = _chunks([t or b"" for t in byte_texts(some.column(1))])
+                yield batch_of(found, h, some.column(0).take(pa.array(row)), some.column(2).take(pa.array(row)),
+                               start.astype(np.int32), end.astype(np.int32))
+
+    occurrences = keyed.select(F.col(id_col).cast("bigint"), text_col, key).mapInArrow(
+        chunks, "hash bigint, doc bigint, key bigint, start int, end int")
+    passages = materialise(_merged(materialise(_repeated(occurrences), "repeated-chunks")), "repeated-passages")
+
+    # the first copies' bytes
+    quoted = pa.schema([("first_key", pa.int64()), ("first_start", pa.int32()), ("length", pa.int32()), ("passage", pa.binary())])
+    asked = passages.withColumn("length", F.col("end") - F.col("start"))
+    wanted = (asked.select("first_key", "first_start", "length").distinct().groupBy("first_key")
+              .agg(F.collect_list(F.struct("first_start", "length")).alias("spans")))
+    has_first = KeyFilter(passages, "first_key")
+
+    def holds(key_filter, at):
+        def keep(batches):
+            for b in batches:
+                yield b.filter(pa.array(key_filter.passes(b.column(at).to_numpy())))
+        return keep
 
     def quote(batches):
         for b in batches:
-            for text, spans in zip(byte_texts(b.column(text_at)), b.column(b.num_columns - 1).to_pylist()):
-                yield batch_of(quoted, [s["hash"] for s in spans], [text[s["start"]:s["end"]] for s in spans])
-
-    # no column is pruned below, so this join and the last share one shuffle of the texts
-    passages = (keyed.join(wanted, key).select(*columns, key, listed)
-                .mapInArrow(quote, "hash bigint, passage binary").dropDuplicates(["hash"]))
-    asked = (others.join(passages, "hash").groupBy(key)
-             .agg(F.collect_list(F.struct("start", "end", "after", "passage")).alias(listed)))
-    removed = _free(docs, "removed")
+            for first_key, text, spans in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), b.column(2).to_pylist()):
+                yield batch_of(quoted, [first_key] * len(spans), [s["first_start"] for s in spans], [s["length"] for s in spans],
+                               [text[s["first_start"]:s["first_start"] + s["length"]] for s in spans])
+
+    texts = keyed.select(F.col(key).alias("first_key"), F.col(text_col).alias("text"))
+    quotes = (texts.mapInArrow(holds(has_first, 0), texts.schema).dropDuplicates(["first_key"]).join(wanted, "first_key")
+              .select("first_key", "text", "spans").mapInArrow(quote, "first_key bigint, first_start int, length int, passage binary"))
+    cuts = (asked.join(quotes, ["first_key", "first_start", "length"]).groupBy(F.col("key").alias(key))
+            .agg(F.collect_list(F.struct("start", "end", "passage")).alias(listed)))
+
+    # documents without a repeated passage pass as they are
+    removed, text_at, has_cut = _free(docs, "removed"), columns.index(text_col), KeyFilter(passages, "key")
     removed_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    schema = docs.limit(0).withColumn(removed, F.expr("cast(array() as array<struct<start: int, end: int>>)")).schema
+    key_at = len(columns)
+
+    def others(batches):
+        for b in batches:
+            some = b.filter(pa.array(~has_cut.passes(b.column(key_at).to_numpy())))
+            none = pa.array([[]] * some.num_rows, removed_type)
+            yield pa.RecordBatch.from_arrays([*some.columns[:key_at], none], names=[*columns, removed])
 
     def cut(batches):
         for b in batches:
-            texts, spans = byte_texts(b.column(text_at)), b.column(b.num_columns - 1).to_pylist()
             new, gone = [], []
-            for text, asked_spans in zip(texts, spans):
-                goes = sorted((s["start"], s["after"]) for s in asked_spans or []
+            for text, spans in zip(byte_texts(b.column(text_at)), b.column(key_at).to_pylist()):
+                goes = sorted((s["start"], s["end"] + 1) for s in spans or []
                               if text[s["start"]:s["end"]] == s["passage"])  # byte comparison
                 merged: list[list[int]] = []
                 for i, j in goes:
@@ -159,12 +254,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                         kept = kept[:-1]  # the separator before a removed end
                     text = kept
                 new.append(text if text is None else text.decode())
-                gone.append([{"start": i, "end": min(j, 2**31 - 1)} for i, j in merged])
-            arrays = list(b.columns[:len(columns)])
+                gone.append([{"start": i, "end": j} for i, j in merged])
+            arrays = list(b.columns[:key_at])
             arrays[text_at] = pa.array(new, arrays[text_at].type)
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, removed_type)],
-                                             names=[*columns, removed])
-
-    schema = docs.limit(0).withColumn(removed, F.expr("cast(array() as array<struct<start: int, end: int>>)")).schema
-    return keyed.join(asked, key, "left").select(*columns, key, listed).mapInArrow(cut, schema)
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, removed_type)], names=[*columns, removed])
 
+    untouched = keyed.mapInArrow(others, schema)
+    touched = (keyed.mapInArrow(holds(has_cut, key_at), keyed.schema).join(cuts, key, "left")
+               .select(*columns, listed).mapInArrow(cut, schema))
+    return untouched.unionByName(touched)

@@ -119,8 +119,8 @@ def brute_dedup(rows):
     found = {}
     for d, t in set(rows):
         data = (t or "").encode()
-        for start, end, after in line_chunks(data) if data else ():
-            found.setdefault(data[start:end], []).append((d, start, t, after))
+        for start, end in line_chunks(data) if data else ():
+            found.setdefault(data[start:end], []).append((d, start, t, end + 1))
     gone = {}
     for places in found.values():
         for d, start, t, after in sorted(places, key=lambda p: (p[0], p[1]))[1:]:
@@ -158,7 +158,7 @@ def test_line_dedup(spark):
 def test_chunks_move_with_the_text():
     passage = lines(7, 14)
     a, b = (lines(k, 5 + k) + "\n" + passage + "\n" + lines(k + 20, 6) for k in (1, 2))
-    inside = [{t.encode()[i:j] for i, j, _ in line_chunks(t.encode())} for t in (a, b)]
+    inside = [{t.encode()[i:j] for i, j in line_chunks(t.encode())} for t in (a, b)]
     shared = inside[0] & inside[1]
     assert {line for c in shared for line in c.decode().split("\n")} >= set(passage.split("\n")[2:-2])
 
