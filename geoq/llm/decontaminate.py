@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoq.llm.common import batch_of, byte_texts, id_and_text, materialise
+from geoq.llm.common import KeyFilter, batch_of, byte_texts, id_and_text, materialise
 from geoq.llm.shingles import shingle_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.75
 #: Size partitions: (least number of shingles, sketch hits asked for).
 SIZE_CLASSES = [(1, 1), (8, 2), (32, 4), (128, 8)]
-#: Bits of the filter over item shingles: a fixed size, whatever the benchmark.
-FILTER_BITS = 26
 
 
 def item_shingles(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "item_id",
@@ -58,18 +56,6 @@ def item_shingles(items: DataFrame, k: int = SHINGLE, threshold: float = THRESHO
         cut, "item_id bigint, length int, hash bigint, shingle binary, n_shingles bigint, in_sketch boolean, needed int")
 
 
-def _filter(shingles: DataFrame) -> np.ndarray:
-    """Bit set over the items' hashes: at most 2**FILTER_BITS / 64 rows come
-    to the driver, however many items there are."""
-    slot = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    words = (shingles.select((F.shiftright(slot, 6)).alias("w"), F.expr("shiftleft(1L, cast({} as int))".format(
-        f"shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63")).alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow())
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return bits
-
-
 def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD,
                     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                     item_text_col: str = "text") -> DataFrame:
@@ -85,9 +71,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, thresho
     are shuffled."""
     shingles = materialise(item_shingles(items, k, threshold, item_id_col, item_text_col).dropDuplicates(), "item-shingles")
     lengths = sorted(r["length"] for r in shingles.select("length").distinct().collect())  # at most k numbers
-    bits = _filter(shingles)
+    wanted = KeyFilter(shingles, "hash")
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("hash", pa.int64()), ("shingle", pa.binary())])
-    shift, low = np.uint64(64 - FILTER_BITS), np.uint64(63)
 
     def find(batches):
         for b in batches:
@@ -95,8 +80,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = SHINGLE, thresho
                 words = words_of(text)
                 for length in lengths:
                     h = shingle_hashes(words, length)
-                    slot = h >> shift
-                    hit = np.flatnonzero((bits[slot >> np.uint64(6)] >> (slot & low)) & np.uint64(1))
+                    hit = np.flatnonzero(wanted.passes(h))
                     if len(hit):
                         found = {b" ".join(words[i:i + length]): v
                                  for i, v in zip(hit.tolist(), h[hit].view(np.int64).tolist())}
