@@ -175,18 +175,19 @@ def top_k_inner_product(vectors: DataFrame, is_query, k: int = 10, scale: int =
     run = _search(rotation, axes, k)
     longest = blocks.orderBy(F.desc("max_norm"), "block").select("block").first()["block"]
 
+    q_blocks = [r["q_block"] for r in queries.select("q_block").collect()]
+    keys = F.array(*[F.lit(b) for b in q_blocks])  # one number per QUERY_ROWS queries
+
     # thresholds from the block of the longest vectors
-    first = blocks.where(F.col("block") == longest).withColumn("one", F.lit(1))
-    none = F.expr(f"unhex(repeat('000000000000F0FF', q_n))")  # -infinity as a little-endian double
-    seeds = materialise(queries.withColumn("thresholds", none).withColumn("one", F.lit(1)).join(first, "one")
+    first = blocks.where(F.col("block") == longest).withColumn("q_block", F.explode(keys))
+    none = F.expr("unhex(repeat('000000000000F0FF', q_n))")  # -infinity as a little-endian double
+    seeds = materialise(queries.withColumn("thresholds", none).join(first, "q_block")
                         .select("ids", "vectors", "q_ids", "q_vectors", "thresholds").mapInArrow(run, _BEST), "seeds")
     kth = _top(seeds, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
 
     # every other block against every query block, dealt out over a grid
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with_floor = _attach_thresholds(queries, kth)
-    q_blocks = [r["q_block"] for r in queries.select("q_block").collect()]
-    keys = F.array(*[F.lit(b) for b in q_blocks])  # one number per QUERY_ROWS queries
     cells = (blocks.where(F.col("block") != longest)
              .withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(spread)))
              .withColumn("q_block", F.explode(keys)))
