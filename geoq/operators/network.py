@@ -175,6 +175,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
         if it % 4 == 3:      # the state's lineage is cut every few rounds
             dist = cut_lineage(dist)
         frontier = imp
+    else:
+        raise RuntimeError(f"paths are not complete after {max_rounds} rounds")
     return dist if with_path else dist.drop("path")
 
 
@@ -215,6 +217,8 @@ def _banned_sp(arcs: DataFrame, starts: DataFrame, banned_arcs: DataFrame, banne
         if it % 4 == 3:
             dist = cut_lineage(dist)
         frontier = imp
+    else:
+        raise RuntimeError(f"paths are not complete after {max_rounds} rounds")
     return dist
 
 
