@@ -12,9 +12,11 @@ import numpy as np
 
 #: Parts kept per generation of a worker's cache, and parts encoded at once.
 CACHE_PARTS, PARTS_AT_ONCE = 500_000, 2_000
+#: Punctuation that the pre-tokenizers part from a letter or digit before it.
+TAIL = b".,;:!?%*&$#"
 
 
-class _Parts:
+class _Library:
     """Encodes many parts in one call, with an end-of-text token between them:
     special tokens split a text before anything else, so each part is encoded
     as if it stood alone.  Parts that could hold such a token go one by one."""
@@ -46,36 +48,72 @@ class _Parts:
 
 
 class _Cache(dict):
-    """Encoded parts; the older of two generations is dropped when full."""
+    """Part -> its ids, or False where a part can't be encoded alone.  The
+    older of two generations is dropped when the newer is full."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, tails):
         super().__init__()
         self.old: dict = {}
-        self.encode = encode
+        self.encode, self.tails = encode, tails
 
     def add(self, missing: set) -> None:
         if len(self) + len(missing) > CACHE_PARTS:
             self.old = dict(self)
             self.clear()
-        known = self.old
-        new = []
-        for p in missing:
-            if p in known:
-                self[p] = known[p]
-            else:
-                new.append(p)
+        known, new, tailed = self.old, set(), []
+        for part in missing:
+            if part in known:
+                self[part] = known[part]
+                continue
+            stem = part.rstrip(TAIL)
+            if len(stem) < len(part) and stem[-1:].isalnum():
+                tailed.append((part, stem))
+                part = stem
+            if part not in self:
+                if part in known:
+                    self[part] = known[part]
+                else:
+                    new.add(part)
         if new:
+            new = list(new)
             self.update(zip(new, self.encode(new)))
+        for part, stem in tailed:
+            ids, tail = self[stem], part[len(stem):]
+            if ids is not False:
+                if tail not in self.tails:
+                    self.tails[tail] = self.tails.library.alone([tail.decode()])[0]
+                ids += self.tails[tail]
+            self[part] = ids
+
+    def joined(self, lists: list[list[bytes]]) -> list[bytes | None]:
+        """The ids of each list of parts; None where a part is False."""
+        get, out, short = self.get, [], []
+        for parts in lists:
+            ids = list(map(get, parts))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a part that is not there, or False
+                short.append((len(out), parts, ids, [i for i, x in enumerate(ids) if x is None]))
+                out.append(None)
+        missing = {parts[i] for _, parts, _, at in short for i in at}
+        if missing:
+            self.add(missing)
+        for k, parts, ids, at in short:
+            for i in at:
+                ids[i] = self[parts[i]]
+            try:
+                out[k] = b"".join(ids)
+            except TypeError:
+                pass
+        return out
+
 
-    def fetch(self, lists: list[list[bytes]]) -> list[list[bytes]]:
-        """The ids of each list's parts."""
-        found = [list(map(self.get, parts)) for parts in lists]
-        short = [k for k, ids in enumerate(found) if None in ids]
-        if short:
-            self.add({p for k in short for p, ids in zip(lists[k], found[k]) if ids is None})
-            for k in short:
-                found[k] = [self[p] if ids is None else ids for p, ids in zip(lists[k], found[k])]
-        return found
+class _Tails(dict):
+    """Ids of punctuation at the end of a part."""
+
+    def __init__(self, library: _Library):
+        super().__init__()
+        self.library = library
 
 
 class ByteLevelEncoder:
@@ -86,30 +124,28 @@ class ByteLevelEncoder:
     text with any other white space next to such a place is encoded whole."""
 
     def __init__(self, path: str):
-        self.parts = _Parts(path)
-        self.line_feed = self.parts.alone(["\n"])[0]
-        self.first = _Cache(lambda parts: self._encode(parts, ""))
-        self.rest = _Cache(lambda parts: self._encode(parts, " "))
+        self.library = _Library(path)
+        self.line_feed = self.library.alone(["\n"])[0]
+        self.cache = _Cache(self._encode, _Tails(self.library))
 
-    def _encode(self, parts: list[bytes], before: str) -> list[bytes]:
+    def _encode(self, parts: list[bytes]) -> list[bytes | bool]:
+        """Of parts that follow a space, or a line feed that they begin with."""
         texts = [p.decode() for p in parts]
-        # b"": white space at an end, where a cut would not be safe
-        good = [bool(t) and not t[0].isspace() and not t[-1].isspace() for t in texts]
-        ids = iter(self.parts.together([before + t for t, g in zip(texts, good) if g]))
-        return [next(ids) if g else b"" for g in good]
+        bodies = [t[1:] if t[:1] == "\n" else " " + t for t in texts]
+        good = [bool(b.strip()) and not t[-1].isspace() and not b[t[:1] != "\n"].isspace() for t, b in zip(texts, bodies)]
+        ids = iter(self.library.together([b for b, g in zip(bodies, good) if g]))
+        return [(self.line_feed + next(ids) if t[:1] == "\n" else next(ids)) if g else False for t, g in zip(texts, good)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out: list[bytes | None] = []
+        cut = len(self.line_feed)
         for at in range(0, len(texts), 64):
-            lines = [[line.split(b" ") for line in t.split(b"\n")] for t in texts[at:at + 64]]
-            firsts = self.first.fetch([[line[0] for line in some] for some in lines])
-            rests = iter(self.rest.fetch([line[1:] for some in lines for line in some]))
-            for first in firsts:
-                coded = [[f, *r] for f, r in zip(first, rests)]
-                out.append(None if any(b"" in c for c in coded) else self.line_feed.join([b"".join(c) for c in coded]))
+            # as if each text stood after a line feed
+            lists = [(b"\n" + t).replace(b"\n", b" \n").split(b" ")[1:] for t in texts[at:at + 64]]
+            out += [x if x is None else x[cut:] for x in self.cache.joined(lists)]
         whole = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(whole, self.parts.alone([texts[k].decode() for k in whole])):
+        for k, ids in zip(whole, self.library.alone([texts[k].decode() for k in whole])):
             out[k] = ids
         return out
 
@@ -119,13 +155,13 @@ class WordEncoder:
     dropped and always separates, so a text is the sum of its words."""
 
     def __init__(self, path: str):
-        self.parts = _Parts(path)
-        self.cache = _Cache(lambda parts: self.parts.together([p.decode() for p in parts]))
+        self.library = _Library(path)
+        self.cache = _Cache(lambda parts: self.library.together([p.decode() for p in parts]), _Tails(self.library))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
-            out += [b"".join(ids) for ids in self.cache.fetch([t.lower().split() for t in texts[at:at + 64]])]
+            out += self.cache.joined([t.lower().split() for t in texts[at:at + 64]])
         return out
 
 
