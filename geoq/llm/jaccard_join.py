@@ -14,6 +14,10 @@ tokens whose nodes still lie in several components are looked at again, and
 there only pairs from different components that pass the length and position
 filters; a frequent token's nodes are dealt out as pairs of blocks.  Pairs
 that are never compared lie in one component already, so components are exact.
+
+Before whole sets are fetched, a bound drops most pairs that merely share a
+passage: every set's hashes are counted in ``PROFILE`` buckets, and two sets
+have at most the sum of the smaller counts in common.
 """
 
 from __future__ import annotations
@@ -24,43 +28,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoq.llm.common import batch_of, byte_texts, id_and_text, materialise
+from geoq.llm.common import KeyFilter, batch_of, byte_texts, id_and_text, materialise
 from geoq.llm.shingles import document_shingles, mix, words_of
 
 SHINGLE, PERCENT = 5, 75
-#: Global orders; shingles per count of frequent ones; least local count kept;
-#: most frequent shingles known to the orders (any order is exact).
-ORDERS, COUNT_AT_ONCE, LOCAL_COUNT, MAX_FREQUENT = 3, 2_000_000, 3, 1_000_000
+#: Global orders; shingles per stretch in which repeats are counted, least
+#: count in a stretch that is noted; most frequent shingles known to the orders
+#: (any order is exact).
+ORDERS, COUNT_AT_ONCE, LOCAL_COUNT, MAX_FREQUENT = 3, 5_000_000, 2, 1_000_000
 #: A shingle is frequent in one document in so many, but at least so many documents.
-FREQUENT_SHARE, FREQUENT_LEAST = 5_000, 8
-#: Nodes of a token that are compared in one block.
-BLOCK = 1024
+FREQUENT_SHARE, FREQUENT_LEAST = 100_000, 4
+#: Nodes of a token that are compared in one block; buckets of a profile.
+BLOCK, PROFILE = 1024, 256
+#: Pairs within a cell that are looked at in one step.
+PAIRS_AT_ONCE = 1_000_000
 
-_SIGNATURE = "kind int, doc_id bigint, row_key bigint, node bigint, n bigint"
+_SIGNATURE = "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, profile binary"
 _PREFIX = "token bigint, rank int, node bigint, n int, pos int"
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """Kind 0: a row per document with its node (hash of its set) and size.
+    """Kind 0: a row per document with its node (hash of its set), size and
+    profile (16-bit counts of its hashes by bucket).
     Kind 1: shingles met several times in a stretch of text, and how often."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()),
+                        ("n", pa.int64()), ("profile", pa.binary())])
+    shift = np.uint64(64 - PROFILE.bit_length() + 1)
 
     def frequent(held):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts >= LOCAL_COUNT
         v, c = values[some].view(np.int64), counts[some]
         none = pa.nulls(len(v), pa.int64())
-        return batch_of(schema, np.ones(len(v), np.int32), none, none, v, c)
+        return batch_of(schema, np.ones(len(v), np.int32), none, none, v, c, pa.nulls(len(v), pa.binary()))
 
     def sign(batches):
         held, size, seen = [], 0, set()
         for b in batches:
-            nodes, sizes = [], []
+            nodes, sizes, profiles = [], [], []
             for text in byte_texts(b.column(1)):
                 s = document_shingles(words_of(text), SHINGLE)
                 node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
                 nodes.append(node)
                 sizes.append(len(s))
+                counts = np.bincount((s >> shift).astype(np.int64), minlength=PROFILE)
+                profiles.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
                 if node not in seen and len(s):  # copies count once
                     seen.add(node)
                     held.append(s)
@@ -68,7 +80,7 @@ def _signatures(rows: DataFrame) -> DataFrame:
                 if size >= COUNT_AT_ONCE:
                     yield frequent(held)
                     held, size, seen = [], 0, set()
-            yield batch_of(schema, np.zeros(len(nodes), np.int32), b.column(0), b.column(2), nodes, sizes)
+            yield batch_of(schema, np.zeros(len(nodes), np.int32), b.column(0), b.column(2), nodes, sizes, profiles)
         if held:
             yield frequent(held)
 
@@ -155,11 +167,13 @@ def _runs(batches, key: str):
 
 def _shared_tokens(prefixes: DataFrame) -> DataFrame:
     """The rows whose token another node has too, with the token's first node
-    as ``leader``.  One pass over sorted rows that holds a single row."""
-    schema = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    as ``leader`` and its size.  One pass over sorted rows that holds a single
+    row."""
+    schema = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("leader_n", pa.int32()), ("node", pa.int64()),
+                        ("n", pa.int32()), ("pos", pa.int32())])
 
     def mark(batches):
-        last = None  # of the last row: token, leader, node, n, pos, and whether it went out
+        last = None  # of the last row: token, leader, node, n, pos, leader's n, and whether it went out
         for b in batches:
             token, node, n, pos = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
             if last is not None:
@@ -170,37 +184,64 @@ def _shared_tokens(prefixes: DataFrame) -> DataFrame:
             once = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
             token, node, n, pos = token[once], node[once], n[once], pos[once]
             start = np.concatenate([[True], token[1:] != token[:-1]])
-            leader = node[np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))]
+            first = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
+            leader, leader_n = node[first], n[first]
             if last is not None:
-                leader[token == last[0]] = last[1]
+                leader[token == last[0]], leader_n[token == last[0]] = last[1], last[5]
             followed = np.concatenate([token[1:] == token[:-1], [False]])
             out = (leader != node) | followed
-            if last is not None and last[5]:
+            if last is not None and last[6]:
                 out[0] = False
             if out.any():
-                yield batch_of(schema, token[out], leader[out], node[out], n[out].astype(np.int32), pos[out].astype(np.int32))
-            gone = last[5] if len(token) == 1 and last is not None else bool(out[-1])
-            last = (token[-1], leader[-1], node[-1], n[-1], pos[-1], gone)
+                yield batch_of(schema, token[out], leader[out], leader_n[out].astype(np.int32), node[out],
+                               n[out].astype(np.int32), pos[out].astype(np.int32))
+            gone = last[6] if len(token) == 1 and last is not None else bool(out[-1])
+            last = (token[-1], leader[-1], node[-1], n[-1], pos[-1], leader_n[-1], gone)
 
     dealt = prefixes.repartition("token").sortWithinPartitions("token", "rank", "node")
-    return dealt.mapInArrow(mark, "token bigint, leader bigint, node bigint, n int, pos int")
+    return dealt.mapInArrow(mark, "token bigint, leader bigint, leader_n int, node bigint, n int, pos int")
+
+
+def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """The ``(a, b)`` pairs whose profiles allow the similarity."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    known = (signed.where("kind = 0").join(nodes, "node", "left_semi").groupBy("node")
+             .agg(F.first("n").alias("n"), F.first("profile").alias("profile")))
+    sides = [known.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("profile").alias(f"p_{x}")) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def keep(batches):
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PROFILE) for k in (4, 5))
+            common = np.minimum(p, q)
+            most = common.sum(1, dtype=np.int64)
+            need = -(-percent * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (100 + percent))
+            kept = (most >= need) | (common == 65535).any(1)  # a full counter bounds nothing
+            yield batch_of(schema, batch.column(0).to_numpy()[kept], batch.column(1).to_numpy()[kept])
+
+    return both.mapInArrow(keep, "a bigint, b bigint")
 
 
 def _sets(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The shingle set of each of ``nodes``, from one of its documents."""
-    one = (signed.where("kind = 0").join(nodes, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
-           .select(F.col("row_key").alias("wanted"), "node"))
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    """The shingle sets of ``nodes``, from one document each (a node may come
+    twice if that document's row is repeated).  The texts are scanned once
+    more; a filter of fixed size passes over most that aren't wanted."""
+    one = materialise(signed.where("kind = 0").join(nodes, "node", "left_semi").groupBy("node")
+                      .agg(F.min("row_key").alias("row_key")), "wanted")
+    wanted = KeyFilter(one, "row_key")
+    schema = pa.schema([("row_key", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches):
         for b in batches:
-            yield batch_of(schema, b.column(0), [document_shingles(words_of(t), SHINGLE).tobytes() for t in byte_texts(b.column(1))])
+            some = b.filter(pa.array(wanted.passes(b.column(0).to_numpy())))
+            yield batch_of(schema, some.column(0), [document_shingles(words_of(t), SHINGLE).tobytes() for t in byte_texts(some.column(1))])
 
-    texts = rows.join(one, rows["row_key"] == one["wanted"]).select("node", "text")
-    return texts.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"])
+    scanned = rows.select("row_key", "text").mapInArrow(sets, "row_key bigint, shingles binary")
+    return scanned.join(one, "row_key").select("node", "shingles")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, orders: Orders) -> DataFrame:
     """Links among ``(a, b)`` pairs: those that share a prefix token under
     every further order and reach the similarity on their whole sets.  The
     sets that meet one ``b`` stream past it; a task holds two sets."""
@@ -227,6 +268,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, orders: Orders) -> DataFrame:
             if a_out:
                 yield batch_of(schema, a_out, b_out)
 
+    pairs = materialise(_possible(pairs, signed, percent), "possible-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _sets(rows, signed, nodes)
     hubs = pairs.select(F.col("b").alias("hub")).distinct().select("hub", F.lit(0).alias("side"), F.col("hub").alias("node"))
     rest = pairs.select(F.col("b").alias("hub"), F.lit(1).alias("side"), F.col("a").alias("node"))
     # a hub's pairs stay in one task, as a stream: memory doesn't grow with them
@@ -277,26 +321,28 @@ def _cross_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFram
 
     def meet(batches):
         for t in _runs(batches, "cell"):
-            cell = t.column("cell").to_numpy()
-            edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
-            token, own, lo, hi, node, n, pos, label = (t.column(c).to_numpy() for c in ("token", "own", "lo", "hi", "node", "n", "pos", "label"))
-            a_out, b_out = [], []
-            for i, j in zip(edges, edges[1:]):
-                for x in range(i, j - 1):
-                    y = slice(x + 1, j)
-                    # similarity t needs an overlap of t / (1 + t) of both sizes
-                    need = -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent))
-                    most = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1)
-                    ok = ((label[y] != label[x]) & (token[y] == token[x]) & (most >= need) & (node[y] != node[x])
-                          & (100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64))
-                          & ((lo[x] == hi[x]) | (own[y] != own[x])))
-                    if ok.any():
-                        other = node[y][ok]
-                        a_out.append(np.maximum(other, node[x]))
-                        b_out.append(np.minimum(other, node[x]))
-            if a_out:
-                pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)]), axis=1)
-                yield batch_of(schema, pairs[0], pairs[1])
+            cell, token, own, lo, hi, node, n, pos, label = (t.column(c).to_numpy() for c in (
+                "cell", "token", "own", "lo", "hi", "node", "n", "pos", "label"))
+            n = n.astype(np.int64)
+            # every row meets the rows after it in its cell
+            later = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
+            at = 0
+            while at < len(cell):
+                stop = at + max(1, int(np.searchsorted(np.cumsum(later[at:]), PAIRS_AT_ONCE, "right")))
+                many = later[at:stop]
+                x = np.repeat(np.arange(at, stop), many)
+                y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(many) - many, many)
+                at = stop
+                ok = ((label[x] != label[y]) & (token[x] == token[y]) & (node[x] != node[y]) & ((lo[x] == hi[x]) | (own[x] != own[y]))
+                      & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])))
+                x, y = x[ok], y[ok]
+                # similarity t needs an overlap of t / (1 + t) of both sizes
+                need = -(-percent * (n[x] + n[y]) // (100 + percent))
+                ok = 1 + np.minimum(n[x] - pos[x] - 1, n[y] - pos[y] - 1) >= need
+                x, y = node[x[ok]], node[y[ok]]
+                if len(x):
+                    pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                    yield batch_of(schema, pairs[0], pairs[1])
 
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meet, "a bigint, b bigint").distinct()
 
@@ -315,13 +361,15 @@ def jaccard_classes(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     signed = materialise(_signatures(rows.select("doc_id", "text", "row_key")), "signatures")
     orders = _frequency_orders(signed, percent)
     shared = materialise(_shared_tokens(_prefixes(rows, orders)), "shared-tokens")
-    sets = materialise(_sets(rows, signed, shared.select("node").distinct()), "shingle-sets")
-    stars = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = materialise(_verified(stars, sets, orders), "star-links")
+    # similar sets are similar in size
+    stars = materialise(shared.where(F.col("node") != F.col("leader"))
+                        .where(100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n"))
+                        .select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
+    links = materialise(_verified(stars, rows, signed, orders), "star-links")
     near = materialise(components(links), "star-components")
-    crossing = (_cross_pairs(shared, near, percent)
-                .join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = materialise(_verified(materialise(crossing, "cross-pairs"), sets, orders), "cross-links")
+    crossing = materialise(_cross_pairs(shared, near, percent).join(
+        stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "cross-pairs")
+    more = materialise(_verified(crossing, rows, signed, orders), "cross-links")
     labels = components(near.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     documents = signed.where("kind = 0").select("doc_id", "node", "n")
     smallest = (documents.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
