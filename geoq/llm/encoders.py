@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Parts kept per generation of a worker's cache, and parts encoded at once.
-CACHE_PARTS, PARTS_AT_ONCE = 500_000, 2_000
+CACHE_PARTS, PARTS_AT_ONCE = 300_000, 2_000
 #: Punctuation that the pre-tokenizers part from a letter or digit before it.
 TAIL = b".,;:!?%*&$#"
 

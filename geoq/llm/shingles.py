@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept per generation of a worker's cache of word hashes.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
