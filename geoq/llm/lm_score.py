@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,43 @@ MIN_SHARE, MIN_JOINT, DEPTH = 1e-4, 1e-6, 3
 MIN_DIVERGENCE, PARENT_WEIGHT = 0.02, 20.0
 #: Added to every count of the base model.
 ADDED = 0.1
-BLOCK_TOKENS = 2_000_000
+#: Tokens of a block, and of the stretches of whole documents it is worked on in.
+BLOCK_TOKENS, TOKENS_AT_ONCE = 2_000_000, 400_000
 #: Bits of a symbol; a context and its next symbol share one 64-bit key.
 _BITS = 14
 
-_BLOCK = ("block bigint, word binary, place int, n bigint, doc_ids array<bigint>, held array<boolean>, "
-          "lengths array<bigint>, tokens binary")
-_BLOCK_SCHEMA = pa.schema([
-    ("block", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
-    ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("tokens", pa.binary())])
+#: A row is a word of a block's dictionary (its place and training count) or
+#: the block's body: its documents and their tokens, packed.
+_BLOCK = "block bigint, word binary, place int, n bigint, body binary"
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("word", pa.binary()), ("place", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
+
+
+def _pack(ids: list, held: list, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
+    known = np.array([x is not None for x in ids], np.uint8)
+    parts = [np.array([len(ids)], np.int64), np.array([x or 0 for x in ids], np.int64), known, np.array(held, np.uint8),
+             lengths.astype(np.int64), tokens.astype(np.int32)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def _unpack(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, whether held out, numbers of tokens, tokens."""
+    data = zstandard.ZstdDecompressor().decompress(body)
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.uint8, np.uint8, np.int64):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    ids, known, held, lengths = out
+    return pa.array(ids, mask=known == 0), held.astype(bool), lengths, np.frombuffer(data, np.int32, -1, at)
+
+
+def _stretches(lengths: np.ndarray):
+    """``(documents, tokens)`` slices of about ``TOKENS_AT_ONCE`` tokens."""
+    ends = np.cumsum(lengths)
+    first, at = 0, 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, at + TOKENS_AT_ONCE, "right")))
+        yield slice(first, last), slice(at, int(ends[last - 1]))
+        first, at = last, int(ends[last - 1])
 
 
 class _Places(dict):
@@ -64,14 +93,13 @@ def _blocks(rows: DataFrame) -> DataFrame:
         flat = np.concatenate(tokens)
         trained = np.repeat(~np.array(held), lengths)
         counts = np.bincount(flat[trained], minlength=len(places))
-        n = len(places)
-        for i in range(0, n, 100_000):
-            words = list(places)[i:i + 100_000]
+        dictionary = list(places)
+        for i in range(0, len(dictionary), 100_000):
+            words = dictionary[i:i + 100_000]
             m = len(words)
             yield batch_of(_BLOCK_SCHEMA, [block] * m, words, np.arange(i, i + m, dtype=np.int32), counts[i:i + m],
-                           *(pa.nulls(m, t) for t in _BLOCK_SCHEMA.types[4:]))
-        yield batch_of(_BLOCK_SCHEMA, [block], *(pa.nulls(1, t) for t in _BLOCK_SCHEMA.types[1:4]), [ids], [held], [lengths],
-                       [flat.tobytes()])
+                           pa.nulls(m, pa.binary()))
+        yield batch_of(_BLOCK_SCHEMA, [block], *(pa.nulls(1, t) for t in _BLOCK_SCHEMA.types[1:4]), [_pack(ids, held, lengths, flat)])
 
     def encode(batches):
         part, made = TaskContext.get().partitionId(), 0
@@ -100,10 +128,10 @@ def _symbols_and_base(blocks: DataFrame, counts: DataFrame, symbols: DataFrame,
     known = blocks.where("word is not null").select("block", "place", "word").join(counts, "word")
     dictionary = (known.join(F.broadcast(symbols), "word", "left")
                   .select("block", "place", "c", F.coalesce("symbol", F.lit(0)).alias("symbol")))
-    lists = ["doc_ids", "held", "lengths", "tokens"]
-    bodies = blocks.where("word is null").select("block", F.lit(2**31 - 1).alias("place"), *lists)
-    both = dictionary.select("block", "place", "c", "symbol", *(F.lit(None).cast(blocks.schema[x].dataType).alias(x) for x in lists)) \
-        .unionByName(bodies.select("block", "place", F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("int").alias("symbol"), *lists))
+    # a block's dictionary in order of its places, then its body
+    both = dictionary.select("block", "place", "c", "symbol", F.lit(None).cast("binary").alias("body")).unionByName(
+        blocks.where("word is null").select("block", F.lit(2**31 - 1).alias("place"), F.lit(0).cast("bigint").alias("c"),
+                                            F.lit(0).alias("symbol"), "body"))
     ddl = ("doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
            "rare array<double>, symbols binary")
     schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
@@ -111,10 +139,9 @@ def _symbols_and_base(blocks: DataFrame, counts: DataFrame, symbols: DataFrame,
                         ("symbols", pa.binary())])
 
     def number(batches):
-        # a block's dictionary comes in order of its places, then its body
         c, symbol = [], []
         for b in batches:
-            bodies_at = np.flatnonzero(np.asarray(b.column(7).is_valid()))
+            bodies_at = np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False))
             at = 0
             for body in [*bodies_at.tolist(), b.num_rows]:
                 c.append(b.column(2).slice(at, body - at).to_numpy(zero_copy_only=False))
@@ -125,14 +152,16 @@ def _symbols_and_base(blocks: DataFrame, counts: DataFrame, symbols: DataFrame,
                 counted = np.concatenate(c).astype(np.float64)
                 symbol_of = np.concatenate(symbol).astype(np.uint16)
                 c, symbol = [], []
-                tokens = np.frombuffer(b.column(7)[body].as_py(), np.int32)
-                lengths = np.array(b.column(6)[body].as_py(), np.int64)
-                starts = np.cumsum(lengths) - lengths
+                ids, held, lengths, tokens = _unpack(b.column(4)[body].as_py())
                 base = np.log10((counted + ADDED) / (n + ADDED * (v + 1)))
                 rare = np.where(symbol_of == 0, np.log10((counted + ADDED) / (rare_n + ADDED * (rare_v + 1))), 0.0)
-                yield batch_of(schema, b.column(4).slice(body, 1), b.column(5).slice(body, 1), [lengths],
-                               [np.add.reduceat((counted > 0).astype(np.int64)[tokens], starts)],
-                               [np.add.reduceat(base[tokens], starts)], [np.add.reduceat(rare[tokens], starts)],
+                known, sums, rares = [], [], []
+                for docs, some in _stretches(lengths):
+                    part, starts = tokens[some], np.cumsum(lengths[docs]) - lengths[docs]
+                    known.append(np.add.reduceat((counted > 0).astype(np.int64)[part], starts))
+                    sums.append(np.add.reduceat(base[part], starts))
+                    rares.append(np.add.reduceat(rare[part], starts))
+                yield batch_of(schema, [ids], [held], [lengths], *([np.concatenate(x)] for x in (known, sums, rares)),
                                [symbol_of[tokens].tobytes()])
 
     return both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(number, ddl)
@@ -171,17 +200,18 @@ def _transitions(numbered: DataFrame, depth: int, contexts: np.ndarray | None, l
         held = []
         for b in batches:
             for held_out, lengths, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lengths = np.array(lengths, np.int64)
-                symbols = np.frombuffer(data, np.uint16).astype(np.int64)
-                trained = np.repeat(~np.array(held_out), lengths)
-                lengths, symbols = lengths[~np.array(held_out)], symbols[trained]
-                at, code = _contexts(symbols, lengths, depth)
-                if contexts is not None:
-                    keep = _among(code, contexts)[1]
-                    at, code = at[keep], code[keep]
-                held.append(np.unique(code << _BITS | symbols[at], return_counts=True))
-                if len(held) == 8:
-                    held = [merged(held)]
+                lengths, trained = np.array(lengths, np.int64), ~np.array(held_out)
+                everything = np.frombuffer(data, np.uint16)
+                for docs, some in _stretches(lengths):
+                    own, use = lengths[docs], trained[docs]
+                    symbols = everything[some][np.repeat(use, own)].astype(np.int64)
+                    at, code = _contexts(symbols, own[use], depth)
+                    if contexts is not None:
+                        keep = _among(code, contexts)[1]
+                        at, code = at[keep], code[keep]
+                    held.append(np.unique(code << _BITS | symbols[at], return_counts=True))
+                    if len(held) == 8:
+                        held = [merged(held)]
         if held:
             keys, n = merged(held)
             for i in range(0, len(keys), 200_000):
@@ -278,8 +308,8 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     table gives no rows; other columns are ignored."""
     rows = id_and_text(docs, id_col, text_col).withColumn("out", F.coalesce(held_out, F.lit(False)))
     blocks = materialise(_blocks(rows), "blocks")
-    counts = blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("c"))
-    n, v = materialise(counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")), "totals").first()
+    counts = materialise(blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
+    n, v = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n = n or 0
     if n == 0:
         symbols_list = [b""]
@@ -304,22 +334,22 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         for b in batches:
             for k in range(b.num_rows):
                 lengths = b.column(2)[k].values.to_numpy()
-                symbols_in = np.frombuffer(b.column(6)[k].as_py(), np.uint16).astype(np.int64)
-                logs = np.log10(tree.root[symbols_in])
-                starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-                before = np.minimum(np.arange(len(symbols_in)) - starts, DEPTH)
-                codes = np.zeros(len(symbols_in), np.int64)
-                for d in range(DEPTH, 0, -1):
-                    prior = np.zeros(len(symbols_in), np.int64)
-                    prior[d:] = symbols_in[:-d] if len(symbols_in) > d else 0
-                    codes = codes << _BITS | prior
-                for d in range(1, DEPTH + 1):
-                    at = np.flatnonzero(before == d)
-                    logs[at] = np.log10(tree.next_given(codes[at], symbols_in[at], d))
-                first = np.cumsum(lengths) - lengths
+                everything, sums = np.frombuffer(b.column(6)[k].as_py(), np.uint16), []
+                for docs, some in _stretches(lengths):
+                    own, symbols = lengths[docs], everything[some].astype(np.int64)
+                    first = np.cumsum(own) - own
+                    before = np.minimum(np.arange(len(symbols)) - np.repeat(first, own), DEPTH)
+                    codes = np.zeros(len(symbols), np.int64)
+                    for d in range(DEPTH, 0, -1):
+                        codes <<= _BITS
+                        codes[d:] |= symbols[:max(0, len(symbols) - d)]
+                    logs = np.log10(tree.root[symbols])
+                    for d in range(1, DEPTH + 1):
+                        at = np.flatnonzero(before == d)
+                        logs[at] = np.log10(tree.next_given(codes[at], symbols[at], d))
+                    sums.append(np.add.reduceat(logs, first))
                 yield batch_of(schema, b.column(0)[k].values, b.column(1)[k].values, lengths, b.column(3)[k].values,
-                               b.column(4)[k].values,
-                               np.add.reduceat(logs, first) + b.column(5)[k].values.to_numpy())
+                               b.column(4)[k].values, np.concatenate(sums) + b.column(5)[k].values.to_numpy())
 
     scored = numbered.mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
                                         "base_score double, score double")
