@@ -1,16 +1,14 @@
-"""Line de-duplication by content-defined chunks of lines.
-
-A text's lines are hashed, and a rolling hash over the last two line hashes
-decides where a chunk of lines ends, so boundaries move with the content and
-equal passages get equal boundaries wherever they stand.  Chunks of several
-lines that occur more than once in all documents keep their first occurrence
-(smallest document id, then place); the others go, after their bytes have been
-compared with the first's.
-
-A long line is worth several: a line of ``LONG_LINE`` words or more starts and
-ends a chunk, is itself cut into sentences, and is a chunk as a whole.
-Boundaries are drawn several times with different salts, so that a passage
-that one drawing cuts across is met whole by another.
+"""Line de-duplication by windows of lines.
+
+A run of lines may go when it has ``MIN_WORDS`` words or more and is several
+lines, or one long one.  Of every line the shortest such run that begins with
+it and the shortest that ends with it are hashed (windows).  They cover every
+longer run that may go, so each run of lines that occurs earlier (smaller
+document id, then place) goes whole, whatever stands around it; its bytes are
+compared with the first occurrence's before.
+
+A long line is worth several: a line of ``LONG_LINE`` words or more is itself
+cut into sentences, and so are runs of sentences met inside it.
 """
 
 from __future__ import annotations
@@ -25,9 +23,7 @@ from pyspark.sql import functions as F
 
 from geoq.llm.common import KeyFilter, batch_of, byte_texts, materialise
 
-#: Drawings of boundaries; a boundary follows one line in ``DIVISOR``.
-DRAWINGS, DIVISOR = 6, 2
-#: Words that make a line long, and least words of a chunk that may go.
+#: Words that make a line long, and least words of a run that may go.
 LONG_LINE, MIN_WORDS = 30, 16
 
 _SENTENCE = re.compile(rb"(?<=[.!?]) ")
@@ -44,25 +40,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def _units(text: bytes, units: list[tuple]) -> None:
-    """Appends ``(start, end, words, cut before, cut after, hash)`` of each
-    line, or sentence of a long line.  One byte separates units."""
+    """Appends ``(start, end, words, after a space, hash)`` of each line, or
+    sentence of a long line.  One byte separates units."""
     at, digest = 0, xxhash.xxh64_intdigest
     for line in text.split(b"\n"):
-        words = line.count(b" ") + 1
+        words = len(line.split())
         if words < LONG_LINE:
-            units.append((at, at + len(line), words, False, False, digest(line)))
+            units.append((at, at + len(line), words, False, digest(line)))
         else:
             cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line) + 1]
-            last = len(cuts) - 2
-            for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+            for i, j in zip(cuts, cuts[1:]):
                 part = line[i:j - 1]
-                units.append((at + i, at + j - 1, part.count(b" ") + 1, k == 0, k == last, digest(part)))
+                units.append((at + i, at + j - 1, len(part.split()), i > 0, digest(part)))
         at += len(line) + 1
 
 
 def _chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """``(text's number, start, end, hash)`` of the chunks of several lines of
-    all drawings, in text order; ``end`` leaves out the separator after."""
+    """``(text's number, start, end, hash)`` of the windows of all texts, in
+    text order; ``end`` leaves out the separator after."""
     units: list[tuple] = []
     sizes = []
     for text in texts:
@@ -74,41 +69,28 @@ def _chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     empty = np.zeros(0, np.int64)
     if not n:
         return empty, empty, empty, empty
-    start, end, words, cut_before, cut_after, h = (np.array(x, t) for x, t in zip(
-        zip(*units), (np.int64, np.int64, np.int64, bool, bool, np.uint64)))
+    start, end, words, spaced, h = (np.array(x, t) for x, t in zip(zip(*units), (np.int64, np.int64, np.int64, bool, np.uint64)))
     doc = np.repeat(np.arange(len(texts)), sizes)
-    first_of_doc = np.concatenate([[True], doc[1:] != doc[:-1]])
-    # a run of lines has the hash sum(h[i + k] * P**k), from sums over all units
+    # shortest runs from each unit on and up to each unit: words enough, and two units or a long one
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
+    each, short = np.arange(n), (words < LONG_LINE).astype(np.int64)
+    last = np.maximum(np.searchsorted(total[1:], total[:-1] + MIN_WORDS), each + short)
+    first = np.minimum(np.searchsorted(total[:-1], total[1:] - MIN_WORDS, "right") - 1, each - short)
+    ahead, behind = last < n, first >= 0
+    first, last = np.concatenate([each[ahead], first[behind]]), np.concatenate([last[ahead], each[behind]])
+    runs = np.unique((first * n + last)[doc[first] == doc[last]])
+    first, last = runs // n, runs % n
+    # a run has the hash h[i] + sum(g[i + k] * P**k), k > 0, from sums over all units; g tells the separators apart
     power, inverse = _powers(_P, n + 1), _powers(_P_INVERSE, n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power[:n], dtype=np.uint64)])
-    worth = np.cumsum(1 + words // LONG_LINE)
-    total = np.cumsum(words)
-    starts_line = first_of_doc | cut_before
-    starts_line[1:] |= cut_after[:-1]
-    before = np.where(starts_line, np.uint64(0), np.concatenate([h[:1], h[:-1]]))
-    ends_line = np.concatenate([starts_line[1:], [True]])
-    found = []
-
-    def add(first, last):
-        many = worth[last] - worth[first] + 1 + words[first] // LONG_LINE
-        some = (many > 1) & (total[last] - total[first] + words[first] >= MIN_WORDS)
-        found.append((first[some], last[some]))
-
-    for drawing in range(DRAWINGS):
-        rolling = before * _P + h + np.uint64(drawing + 1) * _Q
-        rolling = (rolling ^ (rolling >> np.uint64(31))) * _Q
-        last = np.flatnonzero(ends_line | ((rolling >> np.uint64(40)) % np.uint64(DIVISOR) == 0))
-        add(np.concatenate([[0], last[:-1] + 1]), last)
-    whole = np.flatnonzero(cut_before)  # long lines as they are
-    add(whole, np.flatnonzero(cut_after))
-    first, last = np.unique(np.concatenate([np.stack(f, 1) for f in found]), axis=0).T
-    chunk = (sums[last + 1] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * _Q
+    g = h + spaced.astype(np.uint64) * _Q
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g * power[:n], dtype=np.uint64)])
+    chunk = h[first] + (sums[last + 1] - sums[first + 1]) * inverse[first] + (last - first).astype(np.uint64) * _Q
     chunk ^= chunk >> np.uint64(29)
     return doc[first], start[first], end[last], chunk.view(np.int64)
 
 
 def line_chunks(text: bytes) -> set[tuple[int, int]]:
-    """``(start, end)`` of a text's chunks of several lines."""
+    """``(start, end)`` of a text's windows."""
     _, start, end, _ = _chunks([text])
     return set(zip(start.tolist(), end.tolist()))
 
@@ -149,8 +131,8 @@ def _repeated(occurrences: DataFrame) -> DataFrame:
 
 
 def _merged(repeated: DataFrame) -> DataFrame:
-    """Overlapping chunks of a document whose firsts overlap alike are one
-    passage: the drawings' copies of it are compared once."""
+    """Overlapping windows of a document whose firsts overlap alike are one
+    passage, compared once."""
     schema = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("first_key", pa.int64()), ("first_start", pa.int32())])
 
     def merge(batches):
@@ -160,7 +142,7 @@ def _merged(repeated: DataFrame) -> DataFrame:
                 spans = sorted((s["first_key"], s["start"] - s["first_start"], s["start"], s["end"]) for s in spans)
                 at = None
                 for first_key, shift, start, end in spans:
-                    if at is not None and at[0] == (first_key, shift) and start <= at[2] + 1:
+                    if at is not None and at[0] == (first_key, shift) and start <= at[2]:
                         at[2] = max(at[2], end)
                     else:
                         at = [(first_key, shift), start, end]
@@ -173,7 +155,7 @@ def _merged(repeated: DataFrame) -> DataFrame:
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, with repeated chunks of lines taken
+    """All rows and columns of ``docs``, with repeated runs of lines taken
     out of the text, and a last column ``removed``: the byte ranges of the
     original text that went, as ``array<struct<start, end>>``.
 
@@ -181,7 +163,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     becomes empty.  Rows equal in id and text count as one document, and each
     is cut alike; among equal passages the smallest id keeps its copy (null
     ids first), then the earliest place.  An empty table gives no rows.  Only
-    chunk hashes, and the texts that hold repeated chunks, are shuffled."""
+    window hashes, and the texts that hold repeated windows, are shuffled."""
     columns, key, listed = docs.columns, _free(docs, "_row_key"), _free(docs, "_spans")
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     found = pa.schema([("hash", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])

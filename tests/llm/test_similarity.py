@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 
@@ -163,6 +164,57 @@ def test_chunks_move_with_the_text():
     assert {line for c in shared for line in c.decode().split("\n")} >= set(passage.split("\n")[2:-2])
 
 
+def runs_of(data):
+    """``(start, end)`` of all runs of lines that may go, by their definition:
+    16 words, and two lines or a line (or sentence of one) of 30 words."""
+    units, at = [], 0
+    for line in data.split(b"\n"):
+        parts = [line]
+        if len(line.split()) >= 30:
+            parts = re.sub(rb"([.!?]) ", rb"\1\n", line).split(b"\n")
+        for part in parts:
+            units.append((at, at + len(part), len(part.split())))
+            at += len(part) + 1
+    for i in range(len(units)):
+        for j in range(i, len(units)):
+            if sum(u[2] for u in units[i:j + 1]) >= 16 and (j > i or units[i][2] >= 30):
+                yield units[i][0], units[j][1]
+
+
+def brute_left(rows):
+    """What stays of each text when every run that occurs earlier goes."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        data = t.encode()
+        keep = bytearray(b"\1" * (len(data) + 1))
+        for i, j in sorted(runs_of(data)):
+            if data[i:j] in seen:
+                keep[i:j + 1] = b"\0" * (j + 1 - i)
+            seen.add(data[i:j])
+        left = bytes(c for c, k in zip(data, keep) if k)
+        out[d] = (left[:-1] if not keep[len(data)] and left.endswith((b"\n", b" ")) else left).decode()
+    return out
+
+
+def test_planted_passages_go_whole(spark):
+    r, rows, planted = random.Random(11), [], {}
+    for n in range(1, 21):
+        for per in sorted({max(3, -(-52 // n)), 60 if n < 3 else 14}):
+            passage = lines(3000 + 40 * n + per, n, per)
+            for copy in range(4):
+                around = [lines(r.randrange(10**6), r.randrange(1, 4), r.randrange(1, 9)) for _ in "ab"]
+                rows.append((len(rows), "\n".join([around[0], passage, around[1]])))
+                if copy:
+                    planted[rows[-1][0]] = "\n".join(around)
+    told = [" ".join(words(7000 + k, 12, 10**6)) + "." for k in range(6)]
+    rows += [(1000, " ".join(told)), (1001, " ".join(told[1:4]) + " and another tail of it"), (1002, "\n".join(told)),
+             (1003, "\n".join(told[2:5])), (1004, "\n".join(told[:1] * 6)), (1005, "\n" * 60), (1006, "x\n" + "\n" * 60),
+             (1007, "\t".join(words(71, 20)) + "\nend"), (1008, "start\n" + "\t".join(words(71, 20)) + "\nend")]
+    got = {x["doc_id"]: x["text"] for x in remove_repeated_lines(table(spark, rows)).collect()}
+    assert {d: got[d] for d in planted} == planted
+    assert got == brute_left(rows)
+
+
 def test_long_lines_are_found_alone(spark):
     line = " ".join(words(3, 60, 10**6))
     rows = [(1, "a short line\n" + line + "\nanother"), (2, line), (3, lines(8, 3) + "\n" + line)]
