@@ -1,24 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Symbols are the words that make up ``MIN_SHARE`` of the training tokens or
-more, the end of a text, and one class for all rarer words; a rare word's
-probability is that of the class times its share of the class's tokens.  A
-context is the last one to ``DEPTH`` symbols.  It becomes a state if it makes
-up ``MIN_SHARE`` of the training tokens and its next-symbol distribution
-diverges from that of the context one symbol shorter.  Distributions are
-smoothed with the shorter context's, down to the smoothed word frequencies.
-A token is scored in the state of the longest suffix of what precedes it.
-
-Counts cover all training tokens.  The vocabulary, of any size, is counted and
-joined by shuffles: a stretch of texts (a block) is stored once as numbers
-with its own dictionary, and only dictionaries are shuffled by word.  What
-goes to every task is bounded by the shares, not by the corpus: at most
-``1 / MIN_SHARE`` symbols and contexts per depth, and ``1 / MIN_JOINT``
-transitions per depth; rarer transitions are part of the smoothing.
+Every word is a symbol, and so is the end of a text.  A context is the last
+one to ``DEPTH`` words.  It becomes a state if it was met ``MIN_COUNT`` times in
+training and its next-word distribution diverges from that of the context one
+word shorter, or if it is the shorter context of a state.  A state holds the
+next words that followed it ``MIN_NEXT`` times; the weight of the others goes to
+the shorter context, down to the smoothed word frequencies.  A token is scored
+in the state of the longest suffix of what precedes it.
+
+Runs of words are known by 64-bit hashes: a context of ``d`` words and a
+transition of a context of ``d - 1`` words are both runs of ``d``.  The tree is
+a table keyed by these hashes and grows with the corpus; no task holds it.  A
+stretch of texts (a block) is stored once as numbers with its own dictionary;
+words, runs and lookups are distinct within a block (or what a task counts at
+once) before they are shuffled.  Only fixed-size filters go to every task.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -26,18 +27,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoq.llm.common import batch_of, byte_texts, id_and_text, materialise
+from geoq.llm.common import KeyFilter, batch_of, byte_texts, id_and_text, materialise
 from geoq.llm.shingles import words_of
 
-MIN_SHARE, MIN_JOINT, DEPTH = 1e-4, 1e-6, 3
+#: Least training occurrences of a context, and of a word after it.
+MIN_COUNT, MIN_NEXT, DEPTH = 5, 2, 3
 #: Least divergence of a state from its parent (nats), weight of the parent.
 MIN_DIVERGENCE, PARENT_WEIGHT = 0.02, 20.0
 #: Added to every count of the base model.
 ADDED = 0.1
 #: Tokens of a block, and of the stretches of whole documents it is worked on in.
 BLOCK_TOKENS, TOKENS_AT_ONCE = 2_000_000, 400_000
-#: Bits of a symbol; a context and its next symbol share one 64-bit key.
+#: Runs that a task counts before it sends them off.
+RUNS_AT_ONCE = 3_000_000
+#: Bits of a symbol in a tree held in memory (``SuffixTree``).
 _BITS = 14
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: A row is a word of a block's dictionary (its place and training count) or
 #: the block's body: its documents and their tokens, packed.
@@ -121,61 +126,54 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(encode, _BLOCK)
 
 
-def _symbols_and_base(blocks: DataFrame, counts: DataFrame, symbols: DataFrame, totals: dict) -> DataFrame:
-    """Per block: its documents with their counts and base scores, and its
-    tokens as symbols (0: rare)."""
-    n, v, rare_n, rare_v = (totals[k] for k in ("n", "v", "rare_n", "rare_v"))
-    known = blocks.where("word is not null").select("block", "place", "word").join(counts, "word")
-    dictionary = (known.join(F.broadcast(symbols), "word", "left")
-                  .select("block", "place", "c", F.coalesce("symbol", F.lit(0)).alias("symbol")))
+def _numbered(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per block: its body, and the hash and training count of each word of
+    its dictionary, in order of place."""
+    dictionary = (blocks.where("word is not null").select("block", "place", "word").join(counts, "word")
+                  .select("block", "place", "c", F.xxhash64("word").alias("h"), F.lit(None).cast("binary").alias("body")))
     # a block's dictionary in order of its places, then its body
-    both = dictionary.select("block", "place", "c", "symbol", F.lit(None).cast("binary").alias("body")).unionByName(
-        blocks.where("word is null").select("block", F.lit(2**31 - 1).alias("place"), F.lit(0).cast("bigint").alias("c"),
-                                            F.lit(0).alias("symbol"), "body"))
-    ddl = ("doc_ids array<bigint>, held array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base array<double>, "
-           "rare array<double>, symbols binary")
-    schema = pa.schema([("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-                        ("n_known", pa.list_(pa.int64())), ("base", pa.list_(pa.float64())), ("rare", pa.list_(pa.float64())),
-                        ("symbols", pa.binary())])
+    both = dictionary.unionByName(blocks.where("word is null").select(
+        "block", F.lit(2**31 - 1).alias("place"), F.lit(0).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("h"), "body"))
+    schema = pa.schema([("block", pa.int64()), ("body", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def number(batches):
-        c, symbol = [], []
+        c, h = [], []
         for b in batches:
             bodies_at = np.flatnonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False))
             at = 0
             for body in [*bodies_at.tolist(), b.num_rows]:
                 c.append(b.column(2).slice(at, body - at).to_numpy(zero_copy_only=False))
-                symbol.append(b.column(3).slice(at, body - at).to_numpy(zero_copy_only=False))
+                h.append(b.column(3).slice(at, body - at).to_numpy(zero_copy_only=False))
                 at = body + 1
                 if body == b.num_rows:
                     break
-                counted = np.concatenate(c).astype(np.float64)
-                symbol_of = np.concatenate(symbol).astype(np.uint16)
-                c, symbol = [], []
-                ids, held, lengths, tokens = _unpack(b.column(4)[body].as_py())
-                base = np.log10((counted + ADDED) / (n + ADDED * (v + 1)))
-                rare = np.where(symbol_of == 0, np.log10((counted + ADDED) / (rare_n + ADDED * (rare_v + 1))), 0.0)
-                known, sums, rares = [], [], []
-                for docs, some in _stretches(lengths):
-                    part, starts = tokens[some], np.cumsum(lengths[docs]) - lengths[docs]
-                    known.append(np.add.reduceat((counted > 0).astype(np.int64)[part], starts))
-                    sums.append(np.add.reduceat(base[part], starts))
-                    rares.append(np.add.reduceat(rare[part], starts))
-                yield batch_of(schema, [ids], [held], [lengths], *([np.concatenate(x)] for x in (known, sums, rares)),
-                               [symbol_of[tokens].tobytes()])
+                yield batch_of(schema, [b.column(0)[body].as_py()], [b.column(4)[body].as_py()],
+                               [np.concatenate(h).astype(np.int64).tobytes()], [np.concatenate(c).astype(np.int64).tobytes()])
+                c, h = [], []
+
+    return (both.repartition("block").sortWithinPartitions("block", "place")
+            .mapInArrow(number, "block bigint, body binary, hashes binary, counts binary"))
 
-    return both.repartition("block").sortWithinPartitions("block", "place").mapInArrow(number, ddl)
 
+def _runs(h: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the runs of 1 to ``DEPTH + 1`` words that end at each token,
+    and how many tokens of its text precede it (``DEPTH`` at most).  A run that
+    begins before its text has no meaning."""
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    before = np.minimum(np.arange(len(h)) - first, DEPTH)
+    runs = [h]
+    for _ in range(DEPTH):
+        longer = np.zeros_like(h)
+        x = runs[-1].view(np.uint64)[:-1] * _P + h.view(np.uint64)[1:]
+        x = (x ^ (x >> np.uint64(31))) * _Q
+        longer[1:] = (x ^ (x >> np.uint64(29))).view(np.int64)
+        runs.append(longer)
+    return runs, before
 
-def _contexts(symbols: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with ``depth`` symbols of their text before them, and the
-    code of those symbols (the nearest in the lowest bits)."""
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(np.arange(len(symbols)) - starts >= depth)
-    code = np.zeros(len(at), np.int64)
-    for k in range(depth, 0, -1):
-        code = code << _BITS | symbols[at - k]
-    return at, code
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Each token's value of the token before."""
+    return np.concatenate([x[:1], x[:-1]])
 
 
 def _among(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,47 +184,14 @@ def _among(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == keys
 
 
-def _transitions(numbered: DataFrame, depth: int, contexts: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Keys (context, next symbol) and counts of transitions of at least
-    ``least`` training tokens, and the totals of the given contexts."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-
-    def merged(held):
-        key, n = np.concatenate([k for k, _ in held]), np.concatenate([m for _, m in held])
-        keys, at = np.unique(key, return_inverse=True)
-        return keys, np.bincount(at, n, len(keys)).astype(np.int64)
-
-    def count(batches):
-        held = []
-        for b in batches:
-            for held_out, lengths, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lengths, trained = np.array(lengths, np.int64), ~np.array(held_out)
-                everything = np.frombuffer(data, np.uint16)
-                for docs, some in _stretches(lengths):
-                    own, use = lengths[docs], trained[docs]
-                    symbols = everything[some][np.repeat(use, own)].astype(np.int64)
-                    at, code = _contexts(symbols, own[use], depth)
-                    if contexts is not None:
-                        keep = _among(code, contexts)[1]
-                        at, code = at[keep], code[keep]
-                    held.append(np.unique(code << _BITS | symbols[at], return_counts=True))
-                    if len(held) == 8:
-                        held = [merged(held)]
-        if held:
-            keys, n = merged(held)
-            for i in range(0, len(keys), 200_000):
-                yield batch_of(schema, keys[i:i + 200_000], n[i:i + 200_000])
-
-    summed = materialise(numbered.select("held", "n_tokens", "symbols").mapInArrow(count, "key bigint, n bigint")
-                         .groupBy("key").agg(F.sum("n").alias("n")), f"transitions-{depth}")
-    sizes = summed.groupBy(F.shiftright("key", _BITS).alias("context")).agg(F.sum("n").alias("n"))
-    sizes = {r["context"]: r["n"] for r in sizes.toArrow().to_pylist()}
-    kept = summed.where(F.col("n") >= least).orderBy("key").toArrow()
-    return kept.column("key").to_numpy(), kept.column("n").to_numpy(), sizes
+def _smoothed(n, weight, shorter, total):
+    """Probability after a state of a word that followed it ``n`` times."""
+    return (n + weight * shorter) / (total + PARENT_WEIGHT)
 
 
 class SuffixTree:
-    """States by depth, with their totals and transition counts."""
+    """A small tree held in memory: states by depth, with their totals and
+    transition counts."""
 
     def __init__(self, root: np.ndarray):
         self.root = root
@@ -238,12 +203,6 @@ class SuffixTree:
         explicit = np.bincount(at, counts, len(contexts)) if len(contexts) else np.zeros(0)
         self.levels.append((contexts, totals, PARENT_WEIGHT + totals - explicit, keys, counts))
 
-    def restrict(self, depth: int, keep: np.ndarray) -> None:
-        contexts, totals, weight, keys, counts = self.levels[depth]
-        at, _ = _among(keys >> _BITS, contexts)
-        some = keep[at] if len(contexts) else np.zeros(0, bool)
-        self.levels[depth] = contexts[keep], totals[keep], weight[keep], keys[some], counts[some]
-
     def next_given(self, codes: np.ndarray, following: np.ndarray, depth: int) -> np.ndarray:
         """Probabilities of symbols after contexts of ``depth`` symbols: in the
         longest suffix that is a state."""
@@ -259,41 +218,152 @@ class SuffixTree:
                 break
             where, seen = _among(code[some] << _BITS | following[some], keys)
             n = np.where(seen, counts[where] if len(counts) else 0, 0)
-            p[some] = (n + weight[at[some]] * p[some]) / (totals[at[some]] + PARENT_WEIGHT)
+            p[some] = _smoothed(n, weight[at[some]], p[some], totals[at[some]])
         return p
 
 
-def _grow(numbered: DataFrame, root: np.ndarray, tokens: int) -> SuffixTree:
-    tree, contexts, divergences = SuffixTree(root), None, []
-    keys_above: tuple | None = None
+_COUNTED = "run bigint, context bigint, shorter_run bigint, n bigint, total bigint, p double"
+
+
+def _transitions(numbered: DataFrame, depth: int, base, contexts: KeyFilter | None, explicit: KeyFilter | None,
+                 repeated: KeyFilter | None = None) -> DataFrame:
+    """Transitions of contexts of ``depth`` words: all that can have
+    ``MIN_NEXT`` occurrences after a context with ``MIN_COUNT`` (or pass
+    ``repeated`` besides), with their counts by task.  At depth 1 the context's
+    total and the next word's base probability come along."""
+    kinds = [pa.int64()] * 5 + [pa.float64()]
+    schema = pa.schema(list(zip(("run", "context", "shorter_run", "n", "total", "p"), kinds)))
+
+    def merged(held):
+        run, n = np.concatenate([x[0] for x in held]), np.concatenate([x[3] for x in held])
+        runs, first, at = np.unique(run, return_index=True, return_inverse=True)
+        others = [np.concatenate([x[k] for x in held])[first] for k in (1, 2, 4, 5)]
+        return runs, *others[:2], np.bincount(at, n, len(runs)).astype(np.int64), *others[2:]
+
+    def out(held):
+        columns = merged(held)
+        for i in range(0, len(columns[0]), 200_000):
+            yield batch_of(schema, *(x[i:i + 200_000] for x in columns))
+
+    def count(batches):
+        held, size = [], 0
+        for b in batches:
+            for k in range(b.num_rows):
+                _, held_out, lengths, tokens = _unpack(b.column(0)[k].as_py())
+                hashes, counts = (np.frombuffer(b.column(j)[k].as_py(), np.int64) for j in (1, 2))
+                for docs, some in _stretches(lengths):
+                    use = ~held_out[docs]
+                    own = lengths[docs][use]
+                    places = tokens[some][np.repeat(use, lengths[docs])]
+                    if not len(places):
+                        continue
+                    runs, before = _runs(hashes[places], own)
+                    context, keep = _shifted(runs[depth - 1]), before >= depth
+                    c = counts[places]
+                    total = _shifted(c)
+                    if depth == 1:
+                        keep &= (total >= MIN_COUNT) & (c >= MIN_NEXT)
+                    else:
+                        keep &= contexts.passes(context) & explicit.passes(runs[depth - 1])
+                    if repeated is not None:
+                        keep &= repeated.passes(runs[depth])
+                    at = np.flatnonzero(keep)
+                    run, first, n = np.unique(runs[depth][at], return_index=True, return_counts=True)
+                    at = at[first]
+                    held.append((run, context[at], runs[depth - 1][at], n, total[at], base(c[at])))
+                    size += len(run)
+                    if len(held) == 8:
+                        held = [merged(held)]
+                        size = len(held[0][0])
+                    if size >= RUNS_AT_ONCE:
+                        yield from out(held)
+                        held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return numbered.select("body", "hashes", "counts").mapInArrow(count, _COUNTED)
+
+
+def _release(df: DataFrame) -> None:
+    """Spark deletes the shuffle files of ended jobs when the driver's memory
+    is next collected; they are large here, so that is asked for."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def _grow(numbered: DataFrame, base) -> DataFrame:
+    """The tree: ``run, n, weight``.  A run is a state if it has a weight (that
+    of the shorter context), and ``n`` counts it as state and as transition."""
+    levels: list[tuple[DataFrame, DataFrame]] = []
+    contexts = explicit = None
     for depth in range(1, DEPTH + 1):
-        if depth > 1:
-            keys, counts = keys_above
-            frequent = counts >= MIN_SHARE * tokens
-            contexts = np.sort(keys[frequent])  # a transition of the depth above is a context of this
-            contexts = contexts[(contexts & ((1 << _BITS) - 1)) != 1]  # nothing follows an end
-            if not len(contexts):
-                break
-        keys, counts, sizes = _transitions(numbered, depth, contexts, max(1.0, MIN_JOINT * tokens))
-        states = np.array(sorted(c for c, n in sizes.items() if n >= MIN_SHARE * tokens), np.int64)
-        totals = np.array([sizes[c] for c in states.tolist()], np.float64)
-        own = _among(keys >> _BITS, states)[1]
-        keys_above = keys[own], counts[own]
-        # divergence from the context one symbol shorter, over the explicit transitions
-        at, _ = _among(keys_above[0] >> _BITS, states)
-        shorter = tree.next_given(states[at], keys_above[0] & ((1 << _BITS) - 1), depth - 1) if len(at) else np.zeros(0)
-        share = keys_above[1] / totals[at] if len(at) else np.zeros(0)
-        divergence = np.bincount(at, share * np.log(share / shorter), len(states)) if len(at) else np.zeros(0)
-        tree.add(states, totals, *keys_above)
-        divergences.append(divergence)
+        # most runs are met once: counts alone are shuffled first, the rest of a row only for what they leave
+        counts = _transitions(numbered, depth, base, contexts, explicit).groupBy("run").agg(F.sum("n").alias("n"))
+        repeated = KeyFilter(counts.where(F.col("n") >= MIN_NEXT), "run")
+        _release(numbered)
+        summed = (_transitions(numbered, depth, base, contexts, explicit, repeated).groupBy("run")
+                  .agg(F.first("context").alias("context"), F.first("shorter_run").alias("shorter_run"), F.sum("n").alias("n"),
+                       F.first("total").alias("total"), F.first("p").alias("p")).where(F.col("n") >= MIN_NEXT))
+        if depth == 1:
+            counted = summed.withColumn("shorter", F.lit(None).cast("bigint"))
+        else:
+            # a transition of the depth above is a context of this, and gives the shorter context's probability
+            above, states_above = levels[-1]
+            smooth = above.join(states_above.select("context", "total", "weight"), "context").select(
+                F.col("run").alias("shorter_run"), _smoothed(F.col("n"), F.col("weight"), F.col("p"), F.col("total")).alias("p"))
+            longer = above.where(F.col("n") >= MIN_COUNT).select(
+                F.col("run").alias("context"), F.col("n").alias("total"), F.col("shorter_run").alias("shorter"))
+            counted = summed.drop("total", "p").join(longer, "context").join(smooth, "shorter_run")
+        counted = materialise(counted.select("run", "context", "shorter_run", "n", "p", "total", "shorter"), f"transitions-{depth}")
+        share = F.col("n") / F.col("total")
+        # divergence from the context one word shorter, over the transitions it holds
+        states = materialise(counted.groupBy("context").agg(
+            F.first("total").alias("total"), F.first("shorter").alias("shorter"),
+            (F.first("total") - F.sum("n") + PARENT_WEIGHT).alias("weight"),
+            F.sum(share * F.log(share / F.col("p"))).alias("divergence")), f"contexts-{depth}")
+        _release(numbered)
+        levels.append((counted.drop("total", "shorter"), states))
+        if depth < DEPTH:
+            contexts, explicit = KeyFilter(counted.where(F.col("n") >= MIN_COUNT), "run"), KeyFilter(counted, "run")
     # a context stays if it diverges, or as the shorter context of one that stays
-    longer = np.zeros(0, np.int64)
-    for depth in range(len(tree.levels), 0, -1):
-        contexts = tree.levels[depth - 1][0]
-        keep = (divergences[depth - 1] >= MIN_DIVERGENCE) | np.isin(contexts, longer)
-        tree.restrict(depth - 1, keep)
-        longer = contexts[keep] & ((1 << (_BITS * (depth - 1))) - 1)
-    return tree
+    rows, longer = [], None
+    for counted, states in reversed(levels):
+        stays = F.col("divergence") >= MIN_DIVERGENCE
+        if longer is not None:
+            needed = longer.select(F.col("shorter").alias("context")).distinct().withColumn("needed", F.lit(True))
+            states, stays = states.join(needed, "context", "left"), stays | F.col("needed").isNotNull()
+        longer = materialise(states.where(stays).select("context", "total", "shorter", "weight"), "states")
+        rows.append(longer.select(F.col("context").alias("run"), F.col("total").alias("n"), "weight"))
+        rows.append(counted.join(longer.select("context"), "context", "left_semi")
+                    .select("run", "n", F.lit(None).cast("double").alias("weight")))
+    tree = rows[0]
+    for more in rows[1:]:
+        tree = tree.unionByName(more)
+    return materialise(tree.groupBy("run").agg(F.max("n").alias("n"), F.max("weight").alias("weight")), "tree")
+
+
+def _lookups(numbered: DataFrame, known: KeyFilter) -> DataFrame:
+    """``run, block``: the distinct runs of a block that the tree may hold."""
+    schema = pa.schema([("run", pa.int64()), ("block", pa.int64())])
+
+    def ask(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                _, _, lengths, tokens = _unpack(b.column(1)[k].as_py())
+                hashes, asked = np.frombuffer(b.column(2)[k].as_py(), np.int64), []
+                for docs, some in _stretches(lengths):
+                    runs, before = _runs(hashes[tokens[some]], lengths[docs])
+                    alive = np.ones(len(before), bool)
+                    for d in range(1, DEPTH + 1):
+                        context = _shifted(runs[d - 1])
+                        alive &= (before >= d) & known.passes(context)
+                        asked += [np.unique(context[alive]), np.unique(runs[d][alive & known.passes(runs[d])])]
+                keys = np.unique(np.concatenate(asked))
+                for i in range(0, len(keys), 200_000):
+                    some = keys[i:i + 200_000]
+                    yield batch_of(schema, some, np.full(len(some), b.column(0)[k].as_py(), np.int64))
+
+    return numbered.select("block", "body", "hashes").mapInArrow(ask, "run bigint, block bigint")
 
 
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,46 +381,60 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     counts = materialise(blocks.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     n, v = counts.agg(F.sum("c"), F.count(F.when(F.col("c") > 0, 1))).first()
     n = n or 0
-    if n == 0:
-        symbols_list = [b""]
-        heavy = {b"": 0}
-    else:
-        # at most 1 / MIN_SHARE words
-        heavy = {bytes(r["word"]): r["c"] for r in counts.where(F.col("c") >= max(1.0, MIN_SHARE * n)).collect()}
-        heavy.setdefault(b"", 0)
-        symbols_list = [b"", *sorted(w for w in heavy if w)]
-    assert len(symbols_list) < 1 << _BITS
-    symbols = blocks.sparkSession.createDataFrame([(bytearray(w), k + 1) for k, w in enumerate(symbols_list)], "word binary, symbol int")
-    totals = {"n": n, "v": v, "rare_n": n - sum(heavy.values()), "rare_v": v - sum(c > 0 for c in heavy.values())}
-    numbered = materialise(_symbols_and_base(blocks, counts, symbols, totals), "symbols")
-    whole = n + ADDED * (v + 1)
-    root = np.array([(totals["rare_n"] + ADDED * (totals["rare_v"] + 1)) / whole,
-                     *((heavy[w] + ADDED) / whole for w in symbols_list)])
-    tree = _grow(numbered, root, n) if n else SuffixTree(root)
+    numbered = materialise(_numbered(blocks, counts), "numbered")
+    _release(numbered)
+
+    def base(c):
+        return (c + ADDED) / (n + ADDED * (v + 1))
+
+    tree = _grow(numbered, base)
+    _release(numbered)
+    found = _lookups(numbered, KeyFilter(tree, "run")).join(tree, "run")
+    # what the tree holds of a block's runs, in order, then the block
+    none = F.lit(None).cast("binary")
+    both = found.select("block", F.lit(False).alias("last"), "run", "n", F.coalesce("weight", F.lit(-1.0)).alias("weight"),
+                        none.alias("body"), none.alias("hashes"), none.alias("counts")).unionByName(
+        numbered.select("block", F.lit(True).alias("last"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("n"),
+                        F.lit(-1.0).alias("weight"), "body", "hashes", "counts"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                         ("base_score", pa.float64()), ("score", pa.float64())])
 
+    def scored(b, k, table, count, weight):
+        ids, held, lengths, tokens = _unpack(b.column(5)[k].as_py())
+        hashes, counts = (np.frombuffer(b.column(j)[k].as_py(), np.int64) for j in (6, 7))
+        known, bases, sums = [], [], []
+        for docs, some in _stretches(lengths):
+            own, places = lengths[docs], tokens[some]
+            starts = np.cumsum(own) - own
+            runs, before = _runs(hashes[places], own)
+            p = base(counts[places].astype(np.float64))
+            known.append(np.add.reduceat((counts[places] > 0).astype(np.int64), starts))
+            bases.append(np.add.reduceat(np.log10(p), starts))
+            alive = np.arange(len(p))
+            for d in range(1, DEPTH + 1):
+                alive = alive[before[alive] >= d]
+                at, there = _among(runs[d - 1][alive - 1], table)
+                there[there] = weight[at[there]] >= 0
+                alive, at = alive[there], at[there]
+                if not len(alive):
+                    break
+                where, seen = _among(runs[d][alive], table)
+                p[alive] = _smoothed(np.where(seen, count[where], 0), weight[at], p[alive], count[at])
+            sums.append(np.add.reduceat(np.log10(p), starts))
+        return batch_of(schema, ids, held, lengths, *(np.concatenate(x) for x in (known, bases, sums)))
+
     def score(batches):
+        held = []
         for b in batches:
-            for k in range(b.num_rows):
-                lengths = b.column(2)[k].values.to_numpy()
-                everything, sums = np.frombuffer(b.column(6)[k].as_py(), np.uint16), []
-                for docs, some in _stretches(lengths):
-                    own, symbols = lengths[docs], everything[some].astype(np.int64)
-                    first = np.cumsum(own) - own
-                    before = np.minimum(np.arange(len(symbols)) - np.repeat(first, own), DEPTH)
-                    codes = np.zeros(len(symbols), np.int64)
-                    for d in range(DEPTH, 0, -1):
-                        codes <<= _BITS
-                        codes[d:] |= symbols[:max(0, len(symbols) - d)]
-                    logs = np.log10(tree.root[symbols])
-                    for d in range(1, DEPTH + 1):
-                        at = np.flatnonzero(before == d)
-                        logs[at] = np.log10(tree.next_given(codes[at], symbols[at], d))
-                    sums.append(np.add.reduceat(logs, first))
-                yield batch_of(schema, b.column(0)[k].values, b.column(1)[k].values, lengths, b.column(3)[k].values,
-                               b.column(4)[k].values, np.concatenate(sums) + b.column(5)[k].values.to_numpy())
-
-    scored = numbered.mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, "
-                                        "base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
+            at = 0
+            last = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for k in [*np.flatnonzero(last).tolist(), b.num_rows]:
+                held.append([b.column(j).slice(at, k - at).to_numpy(zero_copy_only=False) for j in (2, 3, 4)])
+                at = k + 1
+                if k < b.num_rows:
+                    yield scored(b, k, *(np.concatenate(x) for x in zip(*held)))
+                    held = []
+
+    out = (both.repartition("block").sortWithinPartitions("block", "last", "run")
+           .mapInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -122,6 +122,53 @@ def test_scores(spark):
     assert {r["train_tokens"] for r in untrained} == {0} and all(math.isclose(r["base_score"], 0, abs_tol=1e-9) for r in untrained)
 
 
+def brute_scores(rows, held):
+    """A suffix tree of dictionaries over tuples of words."""
+    tokens = lambda t: (t or "").encode().lower().split() + [None]
+    grams = Counter()
+    for d, t in rows:
+        own = tokens(t) if not held(d) else []
+        grams.update(tuple(own[i:i + k]) for k in range(1, 5) for i in range(len(own) - k + 1))
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    after = {}
+    for g, c in grams.items():
+        if len(g) > 1 and c >= 2 and grams[g[:-1]] >= 5:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(context, w, states):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (grams[w,] + ADDED) / (n + ADDED * (v + 1))
+        total, nexts = grams[context], after[context]
+        return (nexts.get(w, 0) + (20 + total - sum(nexts.values())) * p(context[1:], w, states)) / (total + 20)
+
+    diverge = lambda c: sum(m / grams[c] * math.log(m / grams[c] / p(c[1:], w, after)) for w, m in after[c].items())
+    states = {c[i:] for c in after if diverge(c) >= 0.02 for i in range(len(c))}
+    out = {}
+    for d, t in rows:
+        own = tokens(t)
+        out[d] = sum(math.log10(p(tuple(own[max(0, i - 3):i]), w, states)) for i, w in enumerate(own))
+    return out, states
+
+
+def test_scores_against_a_tree_of_dictionaries(spark, monkeypatch):
+    import geoq.llm.lm_score as L
+    monkeypatch.setattr(L, "BLOCK_TOKENS", 700)  # several blocks and stretches
+    monkeypatch.setattr(L, "TOKENS_AT_ONCE", 300)
+    # a pair met six times among 60,000 tokens is a context, as is a triple
+    seldom = ["alpha beta gamma delta epsilon"] * 6 + ["x beta gamma zeta"] * 3
+    filler = [(1000 + k, " ".join(words(k, 400, 3000))) for k in range(150)]
+    rows = [r for r in corpus() if r[0] != 4] + [(4, corpus()[3][1])] + filler + [(100 + k, t) for k, t in enumerate(seldom)]
+    rows += [(300 + k, " ".join(words(k % 7, 60, 40))) for k in range(40)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    want, states = brute_scores(rows, held)
+    assert {1, 2, 3} == {len(c) for c in states}
+    got = {r["doc_id"]: r["score"] for r in score_texts(table(spark, rows), id_remainder("doc_id", 10) == 0).collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
 def test_next_symbols_sum_to_one():
     from geoq.llm.lm_score import SuffixTree, _BITS
     tree = SuffixTree(np.array([0.4, 0.1, 0.3, 0.2]))
