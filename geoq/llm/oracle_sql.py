@@ -115,3 +115,42 @@ shared AS (
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
 FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+# crc32 bit by bit: a byte is mixed in (an element of 0 and up), then eight shifts (-1 each)
+_CRC32 = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(TEXT) + 1), lambda i:
+    CASE WHEN ord(substr(TEXT, i, 1)) < 128 THEN list_prepend(CAST(ord(substr(TEXT, i, 1)) AS BIGINT), SHIFTS)
+      ELSE list_concat(list_prepend(CAST(192 + (ord(substr(TEXT, i, 1)) >> 6) AS BIGINT), SHIFTS),
+                       list_prepend(CAST(128 + (ord(substr(TEXT, i, 1)) & 63) AS BIGINT), SHIFTS)) END))),
+    lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END),
+    CAST(4294967295 AS BIGINT))""".replace("SHIFTS", "list_transform(range(8), lambda s: CAST(-1 AS BIGINT))")
+
+ORACLE["op11_spelling_forms"] = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS (SELECT run, k, CRC AS h FROM (SELECT *, concat(doc_id, ':', run) AS named FROM counted)),
+cut AS (
+  SELECT k, CASE WHEN h % 97 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), shorter AS (
+  SELECT DISTINCT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+         CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), walk(word, root, form) AS (
+  SELECT word, word, form FROM forms
+  UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN forms f ON f.word = w.form
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root
+FROM forms f JOIN walk w ON w.word = f.word AND w.form IS NULL
+""".replace("CRC", _CRC32.replace("TEXT", "named"))

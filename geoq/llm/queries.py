@@ -109,3 +109,9 @@ def op5_suffix_tree_scores(spark, sf_dir):
     from geoq.llm.common import id_remainder
     from geoq.llm.lm_score import score_texts
     return score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 10) == 0)
+
+
+@query("op11_spelling_forms")
+def op11_spelling_forms(spark, sf_dir):
+    from geoq.llm.spelling import spelling_forms
+    return spelling_forms(table(spark, sf_dir, "documents"))
