@@ -154,3 +154,27 @@ cut AS (
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, w.root
 FROM forms f JOIN walk w ON w.word = f.word AND w.form IS NULL
 """.replace("CRC", _CRC32.replace("TEXT", "named"))
+
+ORACLE["op12_lexical_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), sizes AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM d WHERE len(terms) > 0),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM i GROUP BY item_id, term),
+held AS (SELECT r, doc_id, CAST(len(terms) AS BIGINT) AS n, unnest(terms) AS term FROM d),
+postings AS MATERIALIZED (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY r, doc_id, n, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, sizes GROUP BY term, docs
+), scored AS (
+  SELECT a.item_id, p.r, p.doc_id,
+         CAST(sum(a.repeats * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 12 * (75 + (25 * p.n * s.docs) // s.total)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p USING (term) JOIN weights w USING (term) CROSS JOIN sizes s GROUP BY a.item_id, p.r, p.doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""

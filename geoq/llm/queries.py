@@ -115,3 +115,9 @@ def op5_suffix_tree_scores(spark, sf_dir):
 def op11_spelling_forms(spark, sf_dir):
     from geoq.llm.spelling import spelling_forms
     return spelling_forms(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search")
+def op12_lexical_search(spark, sf_dir):
+    from geoq.llm.lexical_search import search_documents
+    return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
