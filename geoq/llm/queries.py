@@ -121,3 +121,9 @@ def op11_spelling_forms(spark, sf_dir):
 def op12_lexical_search(spark, sf_dir):
     from geoq.llm.lexical_search import search_documents
     return search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op13_edit_fingerprints")
+def op13_edit_fingerprints(spark, sf_dir):
+    from geoq.llm.edit_fingerprint import fingerprint_neighbours
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
