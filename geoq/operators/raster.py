@@ -6,11 +6,11 @@ order, pixels outside the raster filled with nodata.  *Pixel view*:
 ``band, row, col, value``.  The affine transform, size and nodata value
 are a small :class:`RasterMeta` (the GeoTIFF header), not data.
 
-Vector x raster work (clip, zonal statistics) never scans all pixels:
-polygons are exploded to the tile keys their bounding box covers, that
-key list is equi-joined with the tile table (a normal shuffle/broadcast
-join chosen by AQE on measured sizes), and only matched tiles are
-expanded to pixels and tested with a pixel-centre point-in-polygon.
+Vector x raster work (clip, zonal statistics) tests no pixel against an
+edge: edges are turned into runs of columns per row of pixel centres (scan
+lines), the runs are equi-joined with the tiles that they meet (a normal
+shuffle/broadcast join chosen by AQE on measured sizes), and values are
+slices of the tiles' arrays.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoq.functions import geometry as G
@@ -115,14 +115,30 @@ def mask_nodata(value, nodata):
     return value if nodata is None else F.when(value != F.lit(nodata), value)
 
 
-def resample_average(pixels: DataFrame, meta: RasterMeta, out_rows: int, out_cols: int) -> DataFrame:
-    """Average resampling to an out_rows x out_cols grid; each output
-    cell averages the valid pixels whose index maps into it (exact when the
-    sizes divide)."""
-    r = F.floor(F.col("row") * out_rows / meta.height).cast("bigint")
-    c = F.floor(F.col("col") * out_cols / meta.width).cast("bigint")
+def resample_average(pixels: DataFrame, meta: RasterMeta, out_rows: int, out_cols: int) -> tuple[DataFrame, RasterMeta]:
+    """Average resampling to an out_rows x out_cols grid; returns (pixels,
+    new meta with the scaled transform).  An output cell is the mean of the
+    valid pixels under it, weighted by the area that they share; a pixel that
+    straddles cells counts in each (at most as many as a pixel is wide).  A
+    cell without a valid pixel is NULL.  Both sizes are compared as whole
+    numbers, in units of 1/height and 1/width of a cell, so weights are exact."""
+    def cells(place, size, out):
+        """(cell, shared length) along one axis; a pixel spans [place * out,
+        (place + 1) * out) where a cell spans [cell * size, (cell + 1) * size)."""
+        lo, hi = F.col(place) * out, (F.col(place) + 1) * out
+        return F.transform(F.sequence(F.floor(lo / F.lit(size)), F.floor((hi - 1) / F.lit(size))), lambda k: F.struct(
+            k.cast("bigint").alias("cell"), (F.least(hi, (k + 1) * size) - F.greatest(lo, k * size)).alias("part")))
     v = mask_nodata("value", meta.nodata)
-    return pixels.groupBy("band", r.alias("row"), c.alias("col")).agg(F.avg(v).alias("value"))
+    p = (pixels.select("band", v.alias("v"), F.explode(cells("row", meta.height, out_rows)).alias("r"), "col").where("v is not null")
+         .select("band", "v", "r", F.explode(cells("col", meta.width, out_cols)).alias("c")))
+    weight = F.col("r.part") * F.col("c.part")
+    seen = p.groupBy("band", F.col("r.cell").alias("row"), F.col("c.cell").alias("col")).agg(
+        (F.sum(F.col("v") * weight) / F.sum(weight)).alias("value"))
+    # cells that have pixels, but none of them valid, stay as NULL
+    every = pixels.select("band", F.explode(cells("row", meta.height, out_rows)["cell"]).alias("row"), "col") \
+        .select("band", "row", F.explode(cells("col", meta.width, out_cols)["cell"]).alias("col")).distinct()
+    new = replace(meta, width=out_cols, height=out_rows, px=meta.px * meta.width / out_cols, py=meta.py * meta.height / out_rows)
+    return every.join(seen, ["band", "row", "col"], "left"), new
 
 
 def mosaic(rasters) -> DataFrame:
@@ -134,48 +150,80 @@ def mosaic(rasters) -> DataFrame:
     return out.groupBy("band", "row", "col").agg(F.max_by("value", "_prio").alias("value"))
 
 
-def polygon_tile_keys(polys: DataFrame, meta: RasterMeta, key="id", geom="geometry") -> DataFrame:
-    """Tile keys covered by each polygon's bbox."""
+def polygon_spans(polys: DataFrame, meta: RasterMeta, key="id", geom="geometry") -> DataFrame:
+    """Runs of pixels whose centres lie in a polygon or on its boundary:
+    (key, row, c0, c1), disjoint per row.
+
+    Scan lines: an edge gives one crossing for every row of pixel centres that
+    it passes, so rows grow with the length of the boundary in pixels; sorted
+    crossings of a row are paired (even-odd per part).  Level edges and
+    vertices on a row's line add the pixels that they touch.  Lines and points
+    have such touches and the centres on their edges only."""
+    g = F.col(geom)
+    seg = polys.select(F.col(key).alias("_key"), G.is_polygonal(g).alias("_poly"), F.inline_outer(G.part_segments(g))) \
+        .select("_key", "_poly", F.col("p").alias("_part"), F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by")) \
+        .where("ax is not null")
+    last_row = F.lit(meta.height - 1).cast("bigint")
+
+    def row_of(y):
+        return F.floor((y - F.lit(meta.uly)) / F.lit(meta.py) - 0.5)
+    # rows about the edge; which of them it passes is decided on the centre itself
+    ra, rb = row_of(F.col("ay")), row_of(F.col("by"))
+    first, last = F.greatest(F.least(ra, rb) - 1, F.lit(0)), F.least(F.greatest(ra, rb) + 2, last_row)
+    lines = seg.where(last >= first).withColumn("row", F.explode(F.sequence(first, last))) \
+        .withColumn("y", F.lit(meta.uly) + (F.col("row") + 0.5) * meta.py)
+    passes = (F.col("ay") <= F.col("y")) != (F.col("by") <= F.col("y"))
+    x = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    level = (F.col("ay") == F.col("y")) & (F.col("by") == F.col("y"))
+
+    def mark(crossing, x0, x1):
+        return F.struct(F.lit(crossing).alias("crossing"), x0.alias("x0"), x1.alias("x1"))
+    marks = F.array(
+        F.when(passes, F.when(F.col("_poly"), mark(True, x, x)).otherwise(mark(False, x, x))),
+        F.when(level, mark(False, F.least("ax", "bx"), F.greatest("ax", "bx"))),
+        F.when(~level & (F.col("ay") == F.col("y")), mark(False, F.col("ax"), F.col("ax"))),
+        F.when(~level & (F.col("by") == F.col("y")), mark(False, F.col("bx"), F.col("bx"))))
+    m = (lines.select("_key", "_part", "row", F.explode_outer(F.array_compact(marks)).alias("m")).where("m is not null")
+         .select("_key", "_part", "row", "m.*").repartition("_key", "row"))
+    w = Window.partitionBy("_key", "row", "_part", "crossing").orderBy("x0")
+    m = m.select("_key", "row", "x0", F.when(F.col("crossing"), F.lead("x0").over(w)).otherwise(F.col("x1")).alias("x1"),
+                 (~F.col("crossing") | (F.row_number().over(w) % 2 == 1)).alias("opens")).where("opens and x1 is not null")
+    c0 = F.greatest(F.ceil((F.col("x0") - F.lit(meta.ulx)) / F.lit(meta.px) - 0.5), F.lit(0))
+    c1 = F.least(F.floor((F.col("x1") - F.lit(meta.ulx)) / F.lit(meta.px) - 0.5), F.lit(meta.width - 1))
+    m = m.select("_key", "row", c0.alias("c0"), c1.alias("c1")).where("c0 <= c1")
+    # pixels that an earlier run of the row has are left out
+    before = F.max("c1").over(Window.partitionBy("_key", "row").orderBy("c0", "c1").rowsBetween(Window.unboundedPreceding, -1))
+    return (m.withColumn("c0", F.greatest("c0", F.coalesce(before + 1, F.col("c0")))).where("c0 <= c1")
+            .select(F.col("_key").alias(key), "row", "c0", "c1"))
+
+
+def tile_spans(polys: DataFrame, meta: RasterMeta, key="id", geom="geometry") -> DataFrame:
+    """Per polygon and tile that it meets: (key, tile_row, tile_col, spans),
+    each span a place in the tile's array and a number of pixels."""
     t = meta.tile
-    b = G.bbox(F.col(geom))
-    tw, th = t * meta.px, t * abs(meta.py)
+    s = polygon_spans(polys, meta, key, geom)
+    s = s.withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("c0") / t), F.floor(F.col("c1") / t))))
+    a = F.greatest(F.col("c0"), F.col("tile_col") * t)
+    b = F.least(F.col("c1"), F.col("tile_col") * t + t - 1)
+    span = F.struct(((F.col("row") % t) * t + a % t).cast("int").alias("at"), (b - a + 1).cast("int").alias("n"))
+    return (s.withColumn("tile_row", F.floor(F.col("row") / t)).groupBy(key, "tile_row", "tile_col")
+            .agg(F.collect_list(span).alias("spans")))
 
-    def tcol(x):
-        return F.floor((x - F.lit(meta.ulx)) / tw)
 
-    def trow(y):
-        return F.floor((F.lit(meta.uly) - y) / th)
-    # only tiles of the raster, however far the polygon reaches beyond it
-    c0, c1 = F.greatest(tcol(b.minx), F.lit(0)), F.least(tcol(b.maxx), F.lit((meta.width - 1) // t))
-    r0, r1 = F.greatest(trow(b.maxy), F.lit(0)), F.least(trow(b.miny), F.lit((meta.height - 1) // t))
-    keys = F.flatten(F.transform(F.sequence(r0, F.greatest(r0, r1)), lambda r: F.transform(
-        F.sequence(c0, F.greatest(c0, c1)), lambda c: F.struct(r.alias("tile_row"), c.alias("tile_col")))))
-    # explode_outer: avoids an inferred non-empty filter that would
-    # recompute the bbox below the projection; NULL keys never join
-    return (polys.where(c1 >= c0).where(r1 >= r0).select(key, geom, F.explode_outer(keys).alias("k"))
-            .select(key, geom, "k.tile_row", "k.tile_col").where(F.col("tile_row").isNotNull()))
+def _clipped(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key, geom) -> DataFrame:
+    return tile_spans(polys, meta, key, geom).join(tiles, ["tile_row", "tile_col"])
 
 
 def clip_pixels(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key="id", geom="geometry") -> DataFrame:
     """Pixels whose centre lies in (or on the boundary of) a polygon.
-    Returns (key, band, row, col, value)."""
+    Returns (key, band, row, col, value).  Scan-line spans are joined with the
+    tiles that they meet; pixels are slices of the tiles' arrays."""
     t = meta.tile
-    # per polygon, once: bbox, edge array and part count (reused by every pixel)
-    pg = polys.select(key, G.bbox(F.col(geom)).alias("_b"), G.part_segments(F.col(geom)).alias("_s"),
-                      F.size(F.col(geom).parts).alias("_n"), G.is_polygonal(F.col(geom)).alias("_poly"), geom)
-    keys = polygon_tile_keys(pg, meta, key, geom).join(pg.drop(geom), key)
-    j = keys.join(tiles, ["tile_row", "tile_col"])
-    p = j.select(key, "_b", "_s", "_n", "_poly", "band", "tile_row", "tile_col", F.posexplode("data").alias("i", "value"))
-    p = p.select(key, "_b", "_s", "_n", "_poly", "band",
-                 (F.col("tile_row") * t + F.floor(F.col("i") / t)).cast("bigint").alias("row"),
-                 (F.col("tile_col") * t + F.col("i") % t).cast("bigint").alias("col"), "value")
-    p = p.where((F.col("row") < meta.height) & (F.col("col") < meta.width))
-    p = pixel_centres(p, meta)
-    b = F.col("_b")
-    p = p.where((F.col("x") >= b.minx) & (F.col("x") <= b.maxx) & (F.col("y") >= b.miny) & (F.col("y") <= b.maxy))
-    x, y, s = F.col("x"), F.col("y"), F.col("_s")
-    hit = G.on_boundary_segs(x, y, s) | (F.col("_poly") & G.inside_segs(x, y, s, F.col("_n")))
-    return p.where(hit).select(key, "band", "row", "col", "value")
+    cut = F.flatten(F.transform("spans", lambda s: F.transform(
+        F.slice("data", s["at"] + 1, s["n"]), lambda v, k: F.struct((s["at"] + k).alias("i"), v.alias("value")))))
+    p = _clipped(tiles, polys, meta, key, geom).select(key, "band", "tile_row", "tile_col", F.inline(cut))
+    return p.select(key, "band", (F.col("tile_row") * t + F.floor(F.col("i") / t)).cast("bigint").alias("row"),
+                    (F.col("tile_col") * t + F.col("i") % t).cast("bigint").alias("col"), "value")
 
 
 def zonal_stats(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key="id", geom="geometry",
@@ -184,7 +232,8 @@ def zonal_stats(tiles: DataFrame, polys: DataFrame, meta: RasterMeta, key="id",
     (nodata and values outside the open range (valid_min, valid_max)
     ignored).  ``keep_empty`` keeps polygons without pixels (count 0, NULL
     stats) as the Python path does; the SQL path drops them."""
-    px = clip_pixels(tiles, polys, meta, key, geom)
+    values = F.flatten(F.transform("spans", lambda s: F.slice("data", s["at"] + 1, s["n"])))
+    px = _clipped(tiles, polys, meta, key, geom).select(key, F.explode(values).alias("value"))
     v = mask_nodata("value", meta.nodata)
     if valid_min is not None:
         v = F.when(v > valid_min, v)

@@ -454,9 +454,23 @@ ORACLE["raster_window"] = with_(PX) + """SELECT row - 20 AS row, col - 10 AS col
 FROM px WHERE row >= 20 AND row < 60 AND col >= 10 AND col < 40"""
 ORACLE["nodata_mask"] = with_(PX) + """SELECT CAST(count(*) FILTER (WHERE value <> 0) AS BIGINT) AS n_valid,
 round(avg(value) FILTER (WHERE value <> 0), 6) AS mean_valid FROM px"""
-ORACLE["resample_average"] = with_(PX) + """SELECT CAST(floor(row * (height // 5) / height) AS BIGINT) AS row,
-CAST(floor(col * 10 / 100) AS BIGINT) AS col, round(avg(value) FILTER (WHERE value <> 0), 6) AS value
-FROM px, hdr GROUP BY 1, 2"""
+
+
+def _resampled(rows: str, cols: int, more: str = "") -> str:
+    """Every cell against the pixels under it, weighted by the shared area."""
+    return with_(PX) + f""", cells AS (SELECT r, c FROM (SELECT unnest(range({rows})) AS r FROM hdr), (SELECT unnest(range({cols})) AS c)),
+shared AS (SELECT r, c, value, height,
+    (least((row + 1) * ({rows}), (r + 1) * height) - greatest(row * ({rows}), r * height))
+    * (least((col + 1) * {cols}, (c + 1) * 100) - greatest(col * {cols}, c * 100)) AS w
+  FROM cells, hdr, px WHERE row * ({rows}) < (r + 1) * height AND (row + 1) * ({rows}) > r * height
+    AND col * {cols} < (c + 1) * 100 AND (col + 1) * {cols} > c * 100)
+SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col,
+  round(sum(value * w) FILTER (WHERE value <> 0) / sum(w) FILTER (WHERE value <> 0), 6) AS value{more}
+FROM shared GROUP BY r, c"""
+
+
+ORACLE["resample_average"] = _resampled("height // 5", 10)
+ORACLE["resample_50x50"] = _resampled("50", 50, ", 2000.0 AS px, round(any_value(-1000.0 * height / 50), 6) AS py")
 ORACLE["class_counts"] = with_(PX) + """SELECT value AS class, CAST(count(*) AS BIGINT) AS n,
 round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM px WHERE value <> 0 GROUP BY value"""
 ORACLE["pixel_histogram"] = with_(PX) + """, cnt AS (SELECT CAST(least(floor((value - 0) / 50.0 * 50), 49) AS BIGINT) AS bin,

@@ -79,12 +79,20 @@ def nodata_mask(spark, sf):
 
 @query("resample_average")
 def resample_average(spark, sf):
-    """Average resampling to (height/5) x 10."""
+    """Average resampling to (height/5) x 10 (heights need not divide)."""
     _, meta = FX.raster_tiles(spark, sf)
-    r = RS.resample_average(FX.raster_band(spark, sf), meta, meta.height // 5, 10)
+    r, _ = RS.resample_average(FX.raster_band(spark, sf), meta, meta.height // 5, 10)
     return r.select("row", "col", F.round("value", 6).alias("value"))
 
 
+@query("resample_50x50")
+def resample_50x50(spark, sf):
+    """Average resampling to 50 x 50 with the new transform."""
+    _, meta = FX.raster_tiles(spark, sf)
+    r, new = RS.resample_average(FX.raster_band(spark, sf), meta, 50, 50)
+    return r.select("row", "col", F.round("value", 6).alias("value"), F.lit(new.px).alias("px"), F.round(F.lit(new.py), 6).alias("py"))
+
+
 @query("class_counts")
 def class_counts(spark, sf):
     """J8 (+ D17): classes present, pixel count and percent of valid pixels."""

@@ -117,14 +117,14 @@ def test_geoparquet_headers(spark, tmp_path):
 
 
 def test_partial_tiles_and_repeated_pixels(spark):
-    from geoq.operators.raster import RasterMeta, polygon_tile_keys, to_pixels, to_tiles
+    from geoq.operators.raster import RasterMeta, tile_spans, to_pixels, to_tiles
     meta = RasterMeta(width=3, height=2, ulx=0.0, uly=2.0, px=1.0, py=-1.0, nodata=-9.0, tile=2)
     px = spark.createDataFrame([(1, 0, 0, 5.0), (1, 0, 0, 6.0), (1, 1, 0, 1.0), (1, 1, 1, 2.0), (1, 0, 2, 3.0)],
                                "band int, row long, col long, value double")
     back = {(r.row, r.col): r.value for r in to_pixels(to_tiles(px, meta), meta).collect()}
     assert back == {(0, 0): 6.0, (0, 1): -9.0, (1, 0): 1.0, (1, 1): 2.0, (0, 2): 3.0, (1, 2): -9.0}
     far = spark.createDataFrame([(1,)], "id int").select("id", G.box(-1e6, -1e6, 1e6, 1e6).alias("geometry"))
-    assert polygon_tile_keys(far, meta).count() == 2  # the raster's tiles, no more
+    assert tile_spans(far, meta).count() == 2  # the raster's tiles, no more
 
 
 def test_histogram_edges(spark):
