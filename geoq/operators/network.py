@@ -5,6 +5,9 @@ A graph is two DataFrames: ``nodes(id, ...)`` and ``edges(u, v, length,
 driver-side loop, each round's state cut from its lineage with a reliable
 checkpoint (``spark.checkpoint.dir``), convergence detected by counting
 changed rows -- no adjacency list is ever collected.
+
+Lookups by node (``looked_up``) go through proxies: a node that very many
+edges name is divided, so no task gets all of its edges.
 """
 
 from __future__ import annotations
@@ -12,21 +15,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoq.session import cut_lineage
+from geoq.session import cut_lineage, drop_stored, stored
+
+#: Parts that the rows of one key are divided into when something is looked up for it.
+PROXIES = 64
 
 # Highway classes of the 'drive' network of the derived street data.
 DRIVE = ["1-URGENT", "2-HIGH"]
 
 
-def build_graph(ways: DataFrame, nodes: DataFrame, highways=None, oneway=None) -> DataFrame:
+def looked_up(rows: DataFrame, keys, table: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table``, whose ``keys`` are unique.  Every key is
+    divided into proxies by a hash of the row; the table is asked once for each
+    proxy that occurs, and rows meet their own proxy.  A key with a third of
+    all rows is the work of ``PROXIES`` tasks, not of one."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = rows.withColumn("_proxy", F.pmod(F.xxhash64(*rows.columns), F.lit(PROXIES)).cast("int"))
+    found = rows.select(*keys, "_proxy").distinct().join(table, keys)
+    return rows.join(found, [*keys, "_proxy"]).drop("_proxy")
+
+
+def build_graph(ways: DataFrame, nodes: DataFrame, highways=None, oneway=None, retain_all: bool = True) -> DataFrame:
     """L1: ways -> directed edges split at intersections.
 
     A way is cut at its end nodes and at every node shared by two or more
     way positions; the node sequence between two cuts becomes one edge
-    whose length is the sum of its segment lengths.  Ways whose ``oneway``
-    predicate is false also get the reversed edge.  ``key`` numbers
-    parallel edges (u, v) as in a MultiDiGraph.
-    Returns (u, v, key, way_id, length)."""
+    whose length is the sum of its segment lengths.  At a node that ``nodes``
+    does not hold the way is cut too, and the segments to it go.  Ways whose
+    ``oneway`` predicate is false also get the reversed edge.  ``key`` numbers
+    parallel edges (u, v) as in a MultiDiGraph.  ``retain_all=False`` keeps
+    only the largest weakly connected part (most nodes; of equals the one with
+    the smallest node).  Returns (u, v, key, way_id, length)."""
     w = ways
     if highways is not None:
         w = w.where(F.try_element_at("tags", F.lit("highway")).isin(list(highways)))
@@ -34,20 +53,26 @@ def build_graph(ways: DataFrame, nodes: DataFrame, highways=None, oneway=None) -
     w = w.select(F.col("id").alias("way_id"), ow.alias("oneway"), "nd")
     refs = w.select("way_id", "oneway", F.posexplode("nd").alias("pos", "node"))
     use = refs.groupBy("node").agg(F.count(F.lit(1)).alias("uses"))
-    ww = Window.partitionBy("way_id").orderBy("pos")
-    r = (refs.join(use, "node")
-         .withColumn("last", F.max("pos").over(Window.partitionBy("way_id")))
-         .withColumn("split", ((F.col("pos") == 0) | (F.col("pos") == F.col("last")) | (F.col("uses") >= 2)).cast("int"))
-         .withColumn("nxt", F.lead("node").over(ww))
-         .withColumn("e", F.sum("split").over(ww.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-         .where(F.col("nxt").isNotNull()))
     xy = nodes.select(F.col("id").alias("node"), "x", "y")
-    xy2 = nodes.select(F.col("id").alias("nxt"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    seg = r.join(xy, "node").join(xy2, "nxt").withColumn(
-        "len", F.sqrt((F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x"))
-                      + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y"))))
+    ww = Window.partitionBy("way_id").orderBy("pos")
+    r = (looked_up(refs, "node", use.join(xy, "node", "left"))
+         .withColumn("here", F.col("x").isNotNull())
+         .withColumn("cut", (F.col("uses") >= 2) | ~F.coalesce(F.lag("here").over(ww), F.lit(False))
+                     | ~F.coalesce(F.lead("here").over(ww), F.lit(False)))
+         .withColumn("e", F.sum(F.col("cut").cast("int")).over(ww.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+         .select("way_id", "oneway", "pos", "node", "x", "y", "e", F.lead("node").over(ww).alias("nxt"),
+                 F.lead("x").over(ww).alias("x2"), F.lead("y").over(ww).alias("y2"))
+         .where("x is not null and x2 is not null"))
+    seg = r.withColumn("len", F.sqrt((F.col("x2") - F.col("x")) * (F.col("x2") - F.col("x"))
+                                     + (F.col("y2") - F.col("y")) * (F.col("y2") - F.col("y"))))
     e = seg.groupBy("way_id", "e", "oneway").agg(F.min_by("node", "pos").alias("u"), F.max_by("nxt", "pos").alias("v"),
                                                  F.sum("len").alias("length"))
+    if not retain_all:
+        e = stored(e)
+        ids = e.select(F.col("u").alias("id")).unionByName(e.select(F.col("v").alias("id"))).distinct()
+        parts = connected_components(ids, e)
+        largest = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
+        e = e.join(looked_up(parts, "component", largest.select("component")).select(F.col("id").alias("u")), "u", "left_semi")
     both = e.unionByName(e.where(~F.col("oneway")).select(
         "way_id", "e", "oneway", F.col("v").alias("u"), F.col("u").alias("v"), "length"))
     k = F.row_number().over(Window.partitionBy("u", "v").orderBy("way_id", "e", F.col("oneway").desc())) - 1
@@ -65,44 +90,39 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000,
-                         jumps_per_round: int = 1) -> DataFrame:
+def _star(pairs: DataFrame) -> DataFrame:
+    """Every (u, v) with the least of u and all v of its u."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return looked_up(pairs, "u", least)
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """L4: component label = smallest node id of the component.
 
-    Hooking + pointer jumping over DataFrames (Shiloach-Vishkin style):
-    per round every edge (u, v) with label(u) < label(v) lowers both v and
-    the node named by label(v) (the root of v's tree) to label(u); then
-    labels are short-cut ``label = label(label)`` a few times.  Labels only
-    decrease and always name a node of the same component, so the fixed
-    point is the component minimum; the number of rounds grows with the
-    logarithm of the component size rather than its diameter.
-    Returns (id, component)."""
-    e = edges.select("u", "v")
-    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
-    e = cut_lineage(e)
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")))
+    Alternating large and small stars: a large star hangs a node's greater
+    neighbours on its least one, a small star its smaller neighbours and
+    itself.  Both keep the components; in the end every node hangs on the
+    smallest of its component, after a number of rounds that grows with the
+    logarithm of the component's size.  The least neighbour is an aggregate
+    with partial sums, and handing it out goes through proxies, so neither a
+    hub nor the final centre is one task's work.  A round's edges are written,
+    and the round before is deleted.  Returns (id, component)."""
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    last = None
     for _ in range(max_rounds):
-        lu = labels.select(F.col("id").alias("u"), F.col("label").alias("lu"))
-        lv = labels.select(F.col("id").alias("v"), F.col("label").alias("lv"))
-        ev = e.join(lu, "u").join(lv, "v").where(F.col("lu") < F.col("lv"))
-        hook = (ev.select(F.col("v").alias("id"), F.col("lu").alias("m"))
-                .unionByName(ev.select(F.col("lv").alias("id"), F.col("lu").alias("m")))
-                .groupBy("id").agg(F.min("m").alias("m")))
-        new = labels.join(hook, "id", "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
-        # materialise before the self-joins of pointer jumping, otherwise each
-        # jump would replay the edge join twice (2^jumps copies)
-        new = cut_lineage(new)
-        for _j in range(jumps_per_round):
-            par = new.select(F.col("id").alias("label"), F.col("label").alias("pl"))
-            new = new.join(par, "label", "left").select("id", F.least("label", F.coalesce("pl", "label")).alias("label"))
-        new = cut_lineage(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = stored(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _star(large)
+        hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        e = stored(hung.distinct(), replaces=[e, large])
+        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError(f"components are not complete after {max_rounds} rounds")
-    return labels.withColumnRenamed("label", "component")
+    return nodes.select("id").join(e.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left") \
+        .select("id", F.coalesce("component", "id").alias("component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -180,6 +200,120 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False,
     return dist if with_path else dist.drop("path")
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """One row per (src, node): the least (dist, hops, pred); a row that is
+    already done goes before an equal one that is not."""
+    return rows.groupBy("src", "node").agg(F.min(F.struct("dist", "hops", "pred", "open")).alias("s")).select("src", "node", "s.*")
+
+
+def shortest_path_pairs(edges: DataFrame, pairs: DataFrame, directed: bool = False, delta: float | None = None,
+                        max_rounds: int = 100000) -> DataFrame:
+    """One shortest path for each (src, dst) of ``pairs``.
+
+    Delta-stepping for all sources at once.  The state has one row per source
+    and node reached (dist, hops, predecessor), no paths.  Open rows of the
+    bucket with the least distances are relaxed along arcs of up to ``delta``
+    until none is left in the bucket, then along its longer arcs, once.  When
+    all destinations of a source have been reached, the farthest of them bounds
+    it: nothing beyond is followed.  Paths are read back at the end, for the
+    pairs alone: sets of nodes on paths and jumps to predecessors both double
+    per round, so a path of n edges takes log n joins.
+
+    Of equal distances the path with fewer edges is taken, then the one whose
+    predecessors are smaller, from the end.  ``delta`` (default: eight mean
+    arcs) changes the rounds, not the result.  Negative lengths raise.  Returns
+    (src, dst, dist, hops, path array<node>); a pair without a path has nulls."""
+    arcs = stored(_arcs(edges, directed).where("u <> v"))
+    st = arcs.agg(F.avg("length"), F.max("length"), F.min("length")).first()
+    if st[2] is not None and st[2] < 0:
+        raise ValueError("negative lengths")
+    delta = delta or 8 * float(st[0] or 1) or 1.0
+    kind, node_type = arcs.schema["length"].dataType, arcs.schema["u"].dataType
+    arcs_from = arcs.select(F.col("u").alias("node"), F.col("v").alias("to"), "length")
+    pairs = stored(pairs.select("src", "dst").distinct())
+    state = stored(pairs.select("src").distinct().select(
+        "src", F.col("src").cast(node_type).alias("node"), F.lit(0).cast(kind).alias("dist"), F.lit(0).alias("hops"),
+        F.lit(None).cast(node_type).alias("pred"), F.lit(1).alias("open")))
+    limit, bucket = None, None
+    rounds = 0
+
+    def bounds():
+        """Distance beyond which a source need not look: known once all its
+        destinations are reached."""
+        at = state.select("src", F.col("node").alias("dst"), "dist")
+        return pairs.join(at, ["src", "dst"], "left").groupBy("src").agg(
+            F.when(F.count("dist") == F.count(F.lit(1)), F.max("dist")).alias("bound"))
+
+    def relaxed(rows, which):
+        """State after ``rows`` have been followed along some arcs."""
+        found = looked_up_many(rows, arcs_from.where(which)).select(
+            "src", F.col("to").alias("node"), (F.col("dist") + F.col("length")).cast(kind).alias("dist"), (F.col("hops") + 1).alias("hops"),
+            F.col("node").alias("pred"), F.lit(1).alias("open"))
+        return looked_up(found, "src", bound).where("bound is null or dist <= bound").drop("bound")
+
+    short, long = F.col("length") <= delta, F.col("length") > delta
+    any_long = st[1] is not None and st[1] > delta
+    while True:
+        bound = stored(bounds())
+        waiting = looked_up(state.where("open = 1"), "src", bound).where("bound is null or dist <= bound")
+        nearest = waiting.agg(F.min("dist")).first()[0]
+        if nearest is None:
+            break
+        limit = (int(nearest / delta) + 1) * delta
+        bucket = []
+        while True:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"paths are not complete after {max_rounds} rounds")
+            inside = (F.col("open") == 1) & (F.col("dist") < limit)
+            front = state.where(inside)
+            closed = state.withColumn("open", F.when(inside, 0).otherwise(F.col("open")))
+            new = stored(_least(closed.unionByName(relaxed(front, short))))
+            if any_long:
+                bucket.append(stored(front.select("src", "node")))
+            drop_stored(state)
+            state = new
+            if state.where((F.col("open") == 1) & (F.col("dist") < limit)).isEmpty():
+                break
+        if any_long:
+            seen = bucket[0]
+            for more in bucket[1:]:
+                seen = seen.unionByName(more)
+            front = state.join(seen.distinct(), ["src", "node"], "left_semi")
+            state = stored(_least(state.unionByName(relaxed(front, long))), replaces=[state])
+            for old in bucket:
+                drop_stored(old)
+        drop_stored(bound)
+    return _paths_back(state, pairs)
+
+
+def looked_up_many(rows: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Open rows with the arcs of their node (any number).  A node that very
+    many arcs leave is divided by its arcs, the rows meet every part of it."""
+    part = F.pmod(F.xxhash64("to"), F.lit(PROXIES)).cast("int")
+    dealt = arcs.withColumn("_part", part)
+    parts = dealt.groupBy("node").agg(F.collect_set("_part").alias("_parts"))
+    return rows.join(parts, "node").withColumn("_part", F.explode("_parts")).drop("_parts").join(dealt, ["node", "_part"]).drop("_part")
+
+
+def _paths_back(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = stored(pairs.join(state.select("src", F.col("node").alias("dst"), "dist", "hops"), ["src", "dst"], "left"))
+    longest = ends.agg(F.max("hops")).first()[0] or 0
+    on = ends.where("hops is not null").select("src", "dst", F.col("dst").alias("node"))
+    jump = stored(state.where("pred is not null").select("src", "node", F.col("pred").alias("back")))
+    steps = 1
+    while steps <= longest:
+        back = on.join(jump, ["src", "node"]).select("src", "dst", F.col("back").alias("node"))
+        on = stored(on.unionByName(back).distinct())
+        steps *= 2
+        if steps <= longest:
+            further = jump.select("src", F.col("node").alias("back"), F.col("back").alias("further"))
+            jump = stored(jump.join(further, ["src", "back"]).select("src", "node", F.col("further").alias("back")), replaces=[jump])
+    path = (on.join(state.select("src", "node", F.col("hops").alias("at")), ["src", "node"])
+            .groupBy("src", "dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda s: s["node"]).alias("path")))
+    return ends.join(path, ["src", "dst"], "left").select("src", "dst", "dist", "hops", "path")
+
+
 def route_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """A route (node path) -> its edge rows, tagged with the route
     number; between two nodes the shortest parallel edge (then smallest

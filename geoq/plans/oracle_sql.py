@@ -496,9 +496,8 @@ ORACLE["region_total"] = RZ + """SELECT sum(s) AS total, CAST(count(*) AS BIGINT
 
 # ---------------------------------------------------------------- network batch
 
-GE = """ge0 AS (SELECT o_orderkey AS edge_id, o_custkey AS u, o_custkey - o_custkey % 16 + (o_custkey * 7 + o_orderkey) % 16 AS v,
-  1 + (o_orderkey * 17) % 97 AS length FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')),
-ge AS (SELECT * FROM ge0 WHERE u <> v AND v IN (SELECT c_custkey FROM customer))"""
+GE = """ge AS (SELECT o_orderkey AS edge_id, o_custkey AS u, (o_custkey * 7 + o_orderkey % 3) % (SELECT count(*) FROM customer) AS v,
+  1 + (o_orderkey * 17) % 97 AS length FROM orders WHERE o_orderkey % 20 = 0)"""
 OSM_GRAPH = """wnd AS (SELECT l.l_orderkey AS way_id, l.l_partkey AS node,
   row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice) - 1 AS pos,
   o.o_orderstatus = 'F' AS oneway
@@ -517,6 +516,24 @@ gboth AS (SELECT * FROM ge1 UNION ALL SELECT way_id, e, oneway, v AS u, u AS v,
 ORACLE["graph_build"] = with_(PTS_PART, OSM_GRAPH) + """SELECT u, v,
 CAST(row_number() OVER (PARTITION BY u, v ORDER BY way_id, e, oneway DESC) - 1 AS BIGINT) AS key, way_id,
 round(length, 6) AS length FROM gboth"""
+ORACLE["graph_build_largest"] = "WITH RECURSIVE" + with_(PTS_PART, OSM_GRAPH.replace(
+    "uses AS (", "known AS (SELECT id FROM prt WHERE id % 50 <> 7),\nuses AS (").replace(
+    "r1 AS (SELECT w.*, u.uses, max(w.pos) OVER (PARTITION BY w.way_id) AS last,\n", "r1 AS (SELECT w.*, u.uses,\n").replace(
+    "r2 AS (SELECT *, sum(CASE WHEN pos = 0 OR pos = last OR uses >= 2 THEN 1 ELSE 0 END)",
+    """r1k AS (SELECT *, node IN (SELECT id FROM known) AS here, coalesce(nxt IN (SELECT id FROM known), FALSE) AS there,
+  coalesce(lag(node) OVER (PARTITION BY way_id ORDER BY pos) IN (SELECT id FROM known), FALSE) AS behind FROM r1),
+r2 AS (SELECT *, sum(CASE WHEN NOT behind OR NOT there OR uses >= 2 THEN 1 ELSE 0 END)""").replace(
+    "ROWS UNBOUNDED PRECEDING) - 1 AS e FROM r1)", "ROWS UNBOUNDED PRECEDING) - 1 AS e FROM r1k)").replace(
+    "WHERE r2.nxt IS NOT NULL)", "WHERE r2.here AND r2.there)"))[4:] + """,
+und AS (SELECT u, v FROM ge1 UNION SELECT v, u FROM ge1),
+lab(node, label) USING KEY (node) AS (
+  SELECT u, u FROM und
+  UNION
+  (SELECT und.v, min(lab.label) FROM lab JOIN und ON und.u = lab.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.lab x WHERE x.node = und.v AND x.label <= lab.label) GROUP BY und.v)),
+big AS (SELECT label FROM lab GROUP BY label ORDER BY count(*) DESC, label LIMIT 1)
+SELECT u, v, CAST(row_number() OVER (PARTITION BY u, v ORDER BY way_id, e, oneway DESC) - 1 AS BIGINT) AS key, way_id,
+  round(length, 6) AS length FROM gboth WHERE u IN (SELECT node FROM lab WHERE label = (SELECT label FROM big))"""
 ORACLE["graph_nodes"] = with_(PTS_PART, OSM_GRAPH) + """SELECT p.id, p.x, p.y FROM prt p
 WHERE p.id IN (SELECT u FROM ge1 UNION SELECT v FROM ge1)"""
 ORACLE["undirected_edges"] = with_(GE) + "SELECT DISTINCT least(u, v) AS u, greatest(u, v) AS v FROM ge"
@@ -552,6 +569,26 @@ d(src, node, dist) USING KEY (src, node) AS (
    GROUP BY d.src, a.v))
 """
 ORACLE["shortest_paths"] = SP + "SELECT src AS source, node AS target, CAST(dist AS BIGINT) AS dist FROM d"
+# distance and number of edges in one number; predecessors from the end
+ORACLE["shortest_path_pairs"] = "WITH RECURSIVE " + GE + """,
+arcs AS MATERIALIZED (SELECT u, v, min(length) * 1000000 + 1 AS cost FROM (SELECT u, v, length FROM ge UNION ALL SELECT v, u, length FROM ge)
+  WHERE u <> v GROUP BY u, v),
+pairs AS MATERIALIZED (SELECT DISTINCT a.u AS src, c.v AS dst FROM ge a JOIN ge b ON b.u = a.v JOIN ge c ON c.u = b.v
+  UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 50 = 0),
+d(src, node, cost) USING KEY (src, node) AS (
+  SELECT DISTINCT src, src, CAST(0 AS BIGINT) FROM pairs
+  UNION
+  (SELECT d.src, a.v, min(d.cost + a.cost) FROM d JOIN arcs a ON a.u = d.node
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.d rr WHERE rr.src = d.src AND rr.node = a.v AND rr.cost <= d.cost + a.cost)
+   GROUP BY d.src, a.v)),
+back AS MATERIALIZED (SELECT n.src, n.node, min(p.node) AS pred FROM d n JOIN arcs a ON a.v = n.node
+  JOIN d p ON p.src = n.src AND p.node = a.u AND p.cost + a.cost = n.cost GROUP BY n.src, n.node),
+walk(src, dst, node, path) AS (
+  SELECT src, dst, dst, CAST(dst AS VARCHAR) FROM pairs
+  UNION ALL
+  SELECT w.src, w.dst, b.pred, b.pred || '-' || w.path FROM walk w JOIN back b ON b.src = w.src AND b.node = w.node WHERE w.node <> w.src)
+SELECT p.src, p.dst, CAST(d.cost // 1000000 AS BIGINT) AS dist, CAST(d.cost % 1000000 AS BIGINT) AS n_edges, w.path
+FROM pairs p LEFT JOIN d ON d.src = p.src AND d.node = p.dst LEFT JOIN walk w ON w.src = p.src AND w.dst = p.dst AND w.node = p.src"""
 ORACLE["dbscan"] = "WITH RECURSIVE " + PTS_PART + """,
 pr AS (SELECT a.id AS a, b.id AS b FROM prt a JOIN prt b
   ON b.x BETWEEN a.x - 2500 AND a.x + 2500 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 2500e0 * 2500e0),

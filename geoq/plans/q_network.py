@@ -20,6 +20,16 @@ def graph_build(spark, sf):
     return e.select("u", "v", "key", "way_id", F.round("length", 6).alias("length"))
 
 
+@query("graph_build_largest")
+def graph_build_largest(spark, sf):
+    """L1 with ``retain_all=False``: some nodes are not in the extract (ways
+    are cut there); of the rest the largest connected part."""
+    ways, nodes = FX.osm_ways(spark, sf), FX.osm_nodes(spark, sf).where(F.col("id") % 50 != 7)
+    oneway = F.try_element_at("tags", F.lit("status")) == "F"
+    e = NW.build_graph(ways, nodes, NW.DRIVE, oneway, retain_all=False)
+    return e.select("u", "v", "key", "way_id", F.round("length", 6).alias("length"))
+
+
 @query("graph_nodes")
 def graph_nodes_q(spark, sf):
     """L2: nodes table of the built graph."""
@@ -80,6 +90,19 @@ def shortest_paths(spark, sf):
     return d.select(F.col("src").alias("source"), F.col("node").alias("target"), F.col("dist").cast("bigint").alias("dist"))
 
 
+@query("shortest_path_pairs")
+def shortest_path_pairs(spark, sf):
+    """The shortest path of each (origin, destination): ends of three
+    streets in a row, and some customers to the next one."""
+    e = FX.graph_edges(spark, sf)
+    a, b, c = (e.select(F.col("u").alias(f"u{k}"), F.col("v").alias(f"v{k}")) for k in range(3))
+    ends = a.join(b, F.col("v0") == F.col("u1")).join(c, F.col("v1") == F.col("u2")).select(F.col("u0").alias("src"), F.col("v2").alias("dst"))
+    far = FX.graph_nodes(spark, sf).where(F.col("id") % 50 == 0).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    p = NW.shortest_path_pairs(e, ends.unionByName(far))
+    return p.select("src", "dst", F.col("dist").cast("bigint").alias("dist"), F.col("hops").cast("bigint").alias("n_edges"),
+                    F.array_join(F.col("path").cast("array<string>"), "-").alias("path"))
+
+
 @query("route_edges")
 def route_edges(spark, sf):
     """Route from each source to its farthest reachable node (ties:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -64,3 +65,26 @@ def cut_lineage(df):
     """Reliable checkpoint (survives executor loss) into the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, replaces=()):
+    """``df`` written below the shared checkpoint folder and read again: cuts
+    the lineage in one job and survives the loss of executors.  Tables in
+    ``replaces`` that came from here are superseded and deleted, once the new
+    one stands; no plan that is still to run may read them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/geoq-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    for old in replaces:
+        drop_stored(old)
+    return out
+
+
+def drop_stored(df) -> None:
+    path = getattr(df, "stored_path", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
