@@ -6,6 +6,8 @@ any built-in expression (no Python UDF).  Joins and aggregates
 
 from __future__ import annotations
 
+import re
+
 GEOM = ("STRUCT<gtype: STRING, srid: INT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>>")
 
 _SEGS = ("flatten(transform(flatten({g}.parts), r -> CASE WHEN size(r) = 1 THEN array(named_struct('a', r[0], 'b', r[0])) "
@@ -26,22 +28,66 @@ _D2 = ("CASE WHEN (s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y -
        "/ ((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y)) END")
 
 
-def _fmt(t, **kw):
-    return t.format(**kw)
+_POLYGONAL = "{g}.gtype IN ('POLYGON', 'MULTIPOLYGON')"
+
+
+def _named(template: str, seg: str, px: str, py: str) -> str:
+    """A template over the segment ``s`` and a point, for another segment name."""
+    return re.sub(r"\bs\.", f"{seg}.", template).format(px=px, py=py)
+
+
+def _on(seg: str, p: str) -> str:
+    return _named(_ON, seg, f"{p}.x", f"{p}.y")
+
+
+def _proper(s: str, t: str) -> str:
+    """Segments that cross at a point inside both."""
+    def side(a, b, p):
+        return f"signum(({b}.x - {a}.x) * ({p}.y - {a}.y) - ({b}.y - {a}.y) * ({p}.x - {a}.x))"
+
+    def split(u, v):
+        return f"{side(u + '.a', u + '.b', v + '.a')} * {side(u + '.a', u + '.b', v + '.b')} < 0"
+    return f"({split(s, t)} AND {split(t, s)})"
+
+
+_HIT = f"({_proper('s', 't')} OR {_on('s', 't.a')} OR {_on('s', 't.b')} OR {_on('t', 's.a')} OR {_on('t', 's.b')})"
+
+
+def _inside(px: str, py: str, g: str, n: str = "e") -> str:
+    """Point in polygonal ``g``, even-odd per part (boundary not decided);
+    ``n`` keeps the names of nested lambdas apart."""
+    segs = (f"flatten(transform({n}p, {n}r -> transform(sequence(0, size({n}r) - 2), "
+            f"{n}i -> named_struct('a', {n}r[{n}i], 'b', {n}r[{n}i + 1]))))")
+    return (f"({_POLYGONAL.format(g=g)} AND exists({g}.parts, {n}p -> "
+            f"size(filter({segs}, {n}s -> {_named(_RAY, n + 's', px, py)})) % 2 = 1))")
+
 
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _inside(a, g):
-    px, py = _PX.format(a=a), _PY.format(a=a)
-    ray = _RAY.format(px=px, py=py)
-    segs_of_part = ("flatten(transform(p, r -> transform(sequence(0, size(r) - 2), "
-                    "i -> named_struct('a', r[i], 'b', r[i + 1]))))")
-    return (f"({g}.gtype IN ('POLYGON', 'MULTIPOLYGON') AND exists({g}.parts, p -> "
-            f"size(filter({segs_of_part}, s -> {ray})) % 2 = 1))")
 
+# a part of either geometry that begins inside the other: parts that meet no edge lie wholly in or out
+_PART_INSIDE = (f"(exists(a.parts, q -> {_inside('q[0][0].x', 'q[0][0].y', 'b')}) "
+                f"OR exists(b.parts, q -> {_inside('q[0][0].x', 'q[0][0].y', 'a')}))")
+_SA, _SB = _SEGS.format(g="a"), _SEGS.format(g="b")
+_D2_SEGS = "least(" + ", ".join(_named(_D2, seg, f"{p}.x", f"{p}.y") for seg, p in (("t", "s.a"), ("t", "s.b"), ("s", "t.a"), ("s", "t.b"))) + ")"
+_NEAREST2 = _bound(_SB, "tb", f"array_min(flatten(transform({_SA}, s -> transform(tb, t -> CASE WHEN {_HIT} THEN 0D ELSE {_D2_SEGS} END))))")
 
-def _on_boundary(a, g):
-    px, py = _PX.format(a=a), _PY.format(a=a)
-    return f"exists({_SEGS.format(g=g)}, s -> {_ON.format(px=px, py=py)})"
+# every vertex of a in b or on its edge, one not on an edge; no crossing; and of each segment of a the
+# middle of every piece between vertices of b that lie on it, as an edge can leave through a vertex
+_MIDDLE = ("CASE WHEN dl = 0 THEN true ELSE forall(transform(array(array_sort(array_distinct(concat(array(0D, 1D), transform(filter("
+           "vb, w -> " + _on("s", "w") + "), w -> ((w.x - s.a.x) * (s.b.x - s.a.x) + (w.y - s.a.y) * (s.b.y - s.a.y)) / dl))))), "
+           "ts -> transform(sequence(0, size(ts) - 2), k -> (ts[k] + ts[k + 1]) / 2D))[0], m -> IN_B OR ON_B) END")
+_MX, _MY = "(s.a.x + (s.b.x - s.a.x) * m)", "(s.a.y + (s.b.y - s.a.y) * m)"
+_MIDDLE = _MIDDLE.replace("IN_B", _inside(_MX, _MY, "b")).replace("ON_B", f"exists(tb, t -> {_named(_ON, 't', _MX, _MY)})")
+_DL = "((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y))"
+_WITHIN = (f"({_POLYGONAL.format(g='b')} AND " + _bound(_SB, "tb", _bound("flatten(flatten(a.parts))", "va", _bound(
+    "flatten(flatten(b.parts))", "vb",
+    f"forall(va, v -> {_inside('v.x', 'v.y', 'b')} OR exists(tb, t -> {_on('t', 'v')})) "
+    f"AND exists(va, v -> NOT exists(tb, t -> {_on('t', 'v')})) "
+    f"AND NOT exists({_SA}, s -> exists(tb, t -> {_proper('s', 't')})) "
+    f"AND forall({_SA}, s -> {_bound(_DL, 'dl', _MIDDLE)})"))) + ")")
 
 
 def _num(v):
@@ -78,15 +124,17 @@ FUNCTIONS = {
                      "CASE WHEN g.gtype IN ('POLYGON', 'MULTIPOLYGON') THEN aggregate(" + _SEGS.format(g="g")
                      + ", 0D, (acc, s) -> acc + sqrt((s.b.x - s.a.x) * (s.b.x - s.a.x) + (s.b.y - s.a.y) * (s.b.y - s.a.y)))"
                      " ELSE 0D END"),
-    # point (a) against any geometry (b)
-    "ST_Within": (f"a {GEOM}, b {GEOM}", "BOOLEAN", _inside("a", "b") + " AND NOT " + _on_boundary("a", "b")),
-    "ST_Intersects": (f"a {GEOM}, b {GEOM}", "BOOLEAN", "(" + _inside("a", "b") + " OR " + _on_boundary("a", "b") + ")"),
-    "ST_Distance": (f"a {GEOM}, b {GEOM}", "DOUBLE",
-                    "CASE WHEN " + _inside("a", "b") + " THEN 0D ELSE sqrt(array_min(transform("
-                    + _SEGS.format(g="b") + ", s -> " + _D2.format(px=_PX.format(a="a"), py=_PY.format(a="a")) + "))) END"),
-    "ST_DWithin": (f"a {GEOM}, b {GEOM}, d DOUBLE", "BOOLEAN",
-                   "(" + _inside("a", "b") + " OR exists(" + _SEGS.format(g="b") + ", s -> "
-                   + _D2.format(px=_PX.format(a="a"), py=_PY.format(a="a")) + " <= d * d))"),
+    # any geometry against any other
+    "ST_Within": (f"a {GEOM}, b {GEOM}", "BOOLEAN", _WITHIN),
+    "ST_Intersects": (f"a {GEOM}, b {GEOM}", "BOOLEAN",
+                      f"({_PART_INSIDE} OR " + _bound(_SB, "tb", f"exists({_SA}, s -> exists(tb, t -> {_HIT}))") + ")"),
+    "ST_Distance": (f"a {GEOM}, b {GEOM}", "DOUBLE", f"CASE WHEN {_PART_INSIDE} THEN 0D ELSE sqrt({_NEAREST2}) END"),
+    "ST_DWithin": (f"a {GEOM}, b {GEOM}, d DOUBLE", "BOOLEAN", f"({_PART_INSIDE} OR {_NEAREST2} <= d * d)"),
+    "ST_Envelope": (f"g {GEOM}", GEOM, _bound(
+        "named_struct('x0', array_min(transform(flatten(flatten(g.parts)), v -> v.x)), 'x1', array_max(transform(flatten(flatten(g.parts)), v -> v.x)), "
+        "'y0', array_min(transform(flatten(flatten(g.parts)), v -> v.y)), 'y1', array_max(transform(flatten(flatten(g.parts)), v -> v.y)))", "e",
+        "named_struct('gtype', 'POLYGON', 'srid', g.srid, 'parts', array(array(array(named_struct('x', e.x0, 'y', e.y0), "
+        "named_struct('x', e.x1, 'y', e.y0), named_struct('x', e.x1, 'y', e.y1), named_struct('x', e.x0, 'y', e.y1), named_struct('x', e.x0, 'y', e.y0)))))")),
     "ST_AsText": (f"g {GEOM}", "STRING",
                   "concat(g.gtype, ' ', CASE g.gtype WHEN 'POINT' THEN concat('(', " + _num("g.parts[0][0][0].x")
                   + ", ' ', " + _num("g.parts[0][0][0].y") + ", ')') WHEN 'LINESTRING' THEN "

@@ -42,23 +42,88 @@ def with_row_id(df: DataFrame, order_cols, name: str = "row_id", num_partitions:
     return ranged.join(offsets, "_pid").withColumn(name, F.col("_before") + local + 1).drop("_pid", "_mid", "_before")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs, order_key: str, prefix: str = "q") -> DataFrame:
+#: Bins of a refining pass; values of a bin that are sorted in the end.
+RANK_BINS, RANK_SORTED = 1024, 4096
+
+
+def values_at_ranks(df: DataFrame, col: str, ranks) -> dict[int, object]:
+    """Values at 0-based ranks of a number column in ascending order, nulls and
+    NaN left out; ranks beyond the values are None.
+
+    No full sort: a pass counts the values of every interval still open in
+    ``RANK_BINS`` bins (an aggregate with partial sums, a bounded table) and
+    keeps the bin that holds the rank, with its least and greatest value as the
+    next interval.  An interval of one value is done, one of few values is
+    sorted.  Passes narrow by the factor ``RANK_BINS``, whatever the values."""
+    v = F.col(col)
+    rows = df.select(v.alias("v")).where("v is not null and not isnan(v)")
+    first = rows.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    found = {r: None for r in ranks if not 0 <= r < first["n"]}
+    # interval -> ranks in it, as offsets: (lo, hi) -> (values before, values inside)
+    open_ = {(first["lo"], first["hi"]): (0, first["n"], sorted({r for r in ranks if 0 <= r < first["n"]}))} if first["n"] else {}
+    while open_:
+        wide = {}
+        for (lo, hi), (before, n, wanted) in open_.items():
+            if lo == hi:
+                found.update({r: lo for r in wanted})
+            elif n <= RANK_SORTED:
+                values = [r["v"] for r in rows.where(F.col("v").between(lo, hi)).sort("v").limit(n).collect()]
+                found.update({r: values[r - before] for r in wanted})
+            elif wanted:
+                wide[lo, hi] = before, wanted
+        if not wide:
+            break
+        spans = list(wide)
+
+        def bin_of(lo, hi):
+            # floor of a rising function: bins are intervals of the order
+            share = (F.col("v").cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo))
+            return F.least(F.floor(share * RANK_BINS), F.lit(RANK_BINS - 1))
+        which = F.array_compact(F.array(*[F.when(F.col("v").between(lo, hi), F.struct(F.lit(k).alias("k"), bin_of(lo, hi).alias("bin")))
+                                          for k, (lo, hi) in enumerate(spans)]))
+        counts = (rows.select("v", F.explode(which).alias("w")).groupBy("w.k", "w.bin")
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "bin").collect())
+        open_ = {}
+        for k, span in enumerate(spans):
+            before, wanted = wide[span]
+            for c in (c for c in counts if c["k"] == k):
+                inside = [r for r in wanted if before <= r < before + c["n"]]
+                if inside:
+                    if (c["lo"], c["hi"]) == span:  # one bin holds all: neighbouring doubles, nothing left to divide
+                        raise ValueError(f"cannot divide {span}")
+                    open_[c["lo"], c["hi"]] = (before, c["n"], inside)
+                before += c["n"]
+    return found
+
+
+def exact_quantiles(df: DataFrame, col: str, qs, order_key: str | None = None, prefix: str = "q") -> DataFrame:
     """Exact quantiles with linear interpolation (pandas ``quantile`` /
-    ``quantile_cont``).  Uses the distributed rank of :func:`with_row_id`
-    and reads back only the two neighbouring ranks of each fraction, so no
-    task ever holds the whole column (``percentile`` would)."""
-    n = df.count()
-    ranked = with_row_id(df.select(col, order_key), [col, order_key], "_rk")
-    cols, wanted = [], set()
-    for q in qs:
-        h = (n - 1) * float(q)
-        lo, hi = int(h // 1), int(-(-h // 1))
-        wanted.update((lo + 1, hi + 1))
-        vlo = F.max(F.when(F.col("_rk") == lo + 1, F.col(col)))
-        vhi = F.max(F.when(F.col("_rk") == hi + 1, F.col(col)))
-        label = f"{prefix}{int(round(q * 100))}"
-        cols.append((vlo + (vhi - vlo) * F.lit(h - lo)).alias(label))
-    return ranked.where(F.col("_rk").isin(sorted(wanted))).agg(*cols)
+    ``quantile_cont``), one row; NULL without values.  The neighbouring ranks
+    of each fraction come from ``values_at_ranks``."""
+    n = df.where(F.col(col).isNotNull() & ~F.isnan(col)).count()
+    at = [(q, (n - 1) * float(q)) for q in qs]
+    got = values_at_ranks(df, col, {r for _, h in at for r in (int(h // 1), int(-(-h // 1)))}) if n else {}
+    row = []
+    for _, h in at:
+        lo, hi = (got[int(h // 1)], got[int(-(-h // 1))]) if n else (None, None)
+        row.append(None if lo is None else float(lo) + (float(hi) - float(lo)) * (h - int(h // 1)))
+    names = [f"{prefix}{int(round(q * 100))}" for q in qs]
+    return df.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{c} double" for c in names))
+
+
+def smallest_rows(df: DataFrame, col: str, tie: str, k: int) -> DataFrame:
+    """The ``k`` rows that come first by (col, tie), two number columns of
+    which the second tells equal ones apart: a filter by the value at the last
+    rank, and by the tie's value among the rows that share it."""
+    if k <= 0:
+        return df.limit(0)
+    last = values_at_ranks(df, col, [k - 1])[k - 1]
+    if last is None:
+        return df.where(F.col(col).isNotNull())
+    left = k - df.where(F.col(col) < F.lit(last)).count()
+    same = df.where(F.col(col) == F.lit(last))
+    cut = values_at_ranks(same, tie, [left - 1])[left - 1]
+    return df.where((F.col(col) < F.lit(last)) | ((F.col(col) == F.lit(last)) & (F.col(tie) <= F.lit(cut))))
 
 
 def histogram(df: DataFrame, col: str, bins: int, lo=None, hi=None) -> DataFrame:

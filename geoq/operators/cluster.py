@@ -13,7 +13,8 @@ Cells have the side eps / sqrt(2), so any two points of a cell are neighbours:
   for core points in the cells about them.
 
 A cell with very many points is dealt out in chunks wherever points of others
-are compared with it.
+are compared with it; where its points look up the cell's own row, the side
+with one row per cell is the small one (broadcast or split by AQE).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoq.operators.network import connected_components, looked_up
+from geoq.operators.network import connected_components
 from geoq.session import stored
 
 #: Points of a cell that one task compares with others; points of a box that are compared one by one.
@@ -123,8 +124,8 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, key="id", xy=("x", "y"))
     pts = every.where("x is not null and y is not null and not isnan(x) and not isnan(y)") \
         .withColumn("cx", F.floor(F.col("x") / side)).withColumn("cy", F.floor(F.col("y") / side))
     cells = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
-    pts = stored(looked_up(pts, ["cx", "cy"], cells))
-    cells = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"))
+    pts = stored(pts.join(cells, ["cx", "cy"]))
+    cells = pts.select("cx", "cy", "n").distinct()
 
     # points of cells with fewer than min_pts count what lies in the cells around
     thin = pts.where(F.col("n") < min_pts)
@@ -136,7 +137,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, key="id", xy=("x", "y"))
 
     core = known.where("is_core").drop("is_core")
     nodes = stored(core.groupBy("cx", "cy").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")))
-    core = stored(looked_up(core, ["cx", "cy"], nodes))
+    core = stored(core.join(nodes, ["cx", "cy"]))
     links = _linked_cells(core.select("node", "cx", "cy", "x", "y"), side, eps)
     clusters = connected_components(nodes.select(F.col("node").alias("id")), links)
     labels = stored(nodes.join(clusters.select(F.col("id").alias("node"), F.col("component").alias("label")), "node"))
@@ -145,7 +146,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int, key="id", xy=("x", "y"))
     as_points = core.select("cx", "cy", "n", F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"), "node")
     met = _meeting(edge_points, as_points, labels.select("cx", "cy", "n"), _AROUND, eps).select("id", "node").distinct()
     border = met.join(labels.select("node", "label"), "node").groupBy("id").agg(F.min("label").alias("label"))
-    found = looked_up(core.select("id", "node"), "node", labels.select("node", "label")).select("id", "label", F.lit(True).alias("is_core")) \
+    found = core.select("id", "node").join(labels.select("node", "label"), "node").select("id", "label", F.lit(True).alias("is_core")) \
         .unionByName(border.withColumn("is_core", F.lit(False)))
     return (every.select("id").join(found, "id", "left")
             .select(F.col("id").alias(key), F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"),

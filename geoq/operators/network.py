@@ -91,9 +91,12 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def _star(pairs: DataFrame) -> DataFrame:
-    """Every (u, v) with the least of u and all v of its u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return looked_up(pairs, "u", least)
+    """Every (u, v) with the least of u and all v of its u.  The proxies of a
+    node that occur are found along with its least neighbour."""
+    dealt = pairs.withColumn("_proxy", F.pmod(F.xxhash64("v"), F.lit(PROXIES)).cast("int"))
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("_proxy").alias("_proxies")) \
+        .select("u", F.least("u", "m").alias("m"), F.explode("_proxies").alias("_proxy"))
+    return dealt.join(least, ["u", "_proxy"]).drop("_proxy")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -111,11 +114,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(_star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()  # one shuffle, read twice
         small = _star(large)
         hung = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = stored(hung.distinct(), replaces=[e, large])
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1000003)).first()
+        e = stored(hung.distinct(), replaces=[e], n=F.count(F.lit(1)), a=F.bit_xor(F.xxhash64("u", "v")),
+                   b=F.sum(F.xxhash64("v", "u") % 1000003))
+        now = e.measured
         if now == last:
             break
         last = now
@@ -169,35 +173,28 @@ def _arcs(edges: DataFrame, directed: bool) -> DataFrame:
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, with_path: bool = True,
                    max_rounds: int = 100000) -> DataFrame:
-    """Shortest paths by length from many sources at once (batched
-    frontier relaxation).  Each round joins only the improved frontier with
-    the edges and keeps, per (source, node), the minimum of (dist, path);
-    ties are broken by the lexicographically smallest node path.
-    ``sources``: DataFrame with column ``src``.  Returns (src, node, dist,
-    path array<node>)."""
-    arcs = cut_lineage(_arcs(edges, directed))
-    init = sources.select("src", F.col("src").alias("node"), F.lit(0).cast(arcs.schema["length"].dataType).alias("dist"),
-                          F.array(F.col("src")).alias("path"))
-    dist = cut_lineage(init)
-    frontier = dist
-    for it in range(max_rounds):
-        cand = (frontier.join(arcs.withColumnRenamed("u", "node"), "node")
-                .select("src", F.col("v").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
-                        F.concat("path", F.array("v")).alias("path")))
-        best = cand.groupBy("src", "node").agg(F.min(F.struct("dist", "path")).alias("b"))
-        old = dist.select("src", "node", F.struct("dist", "path").alias("o"))
-        imp = (best.join(old, ["src", "node"], "left").where(F.col("o").isNull() | (F.col("b") < F.col("o")))
-               .select("src", "node", "b.dist", "b.path"))
-        imp = cut_lineage(imp)
-        if imp.count() == 0:
-            break
-        dist = dist.join(imp.select("src", "node"), ["src", "node"], "left_anti").unionByName(imp)
-        if it % 4 == 3:      # the state's lineage is cut every few rounds
-            dist = cut_lineage(dist)
-        frontier = imp
-    else:
-        raise RuntimeError(f"paths are not complete after {max_rounds} rounds")
-    return dist if with_path else dist.drop("path")
+    """Shortest paths by length from many sources to all they reach.
+    Each round follows the rows that the round before has bettered and keeps
+    the least (dist, path) per source and node, in one job; of equal distances
+    the smaller node path is taken.  Without ``with_path`` no path is carried.
+    ``sources``: DataFrame with column ``src``.  Returns (src, node, dist, path
+    array<node>).  For given destinations use ``shortest_path_pairs``."""
+    arcs = stored(_arcs(edges, directed))
+    arcs_from = arcs.select(F.col("u").alias("node"), F.col("v").alias("to"), "length")
+    best = ["dist", "path", "open"] if with_path else ["dist", "open"]
+    state = sources.select("src", F.col("src").alias("node"), F.lit(0).cast(arcs.schema["length"].dataType).alias("dist"),
+                           F.array("src").alias("path"), F.lit(1).alias("open")).select("src", "node", *best)
+    state = stored(state.distinct())
+    for _ in range(max_rounds):
+        front = state.where("open = 1").join(arcs_from, "node")
+        further = front.select("src", F.col("to").alias("node"), (F.col("dist") + F.col("length")).alias("dist"),
+                               *([F.concat("path", F.array("to")).alias("path")] if with_path else []), F.lit(1).alias("open"))
+        every = state.withColumn("open", F.lit(0)).unionByName(further)
+        least = every.groupBy("src", "node").agg(F.min(F.struct(*best)).alias("s")).select("src", "node", "s.*")
+        state = stored(least, replaces=[state], open=F.sum("open"))
+        if not state.measured["open"]:
+            return state.drop("open")
+    raise RuntimeError(f"paths are not complete after {max_rounds} rounds")
 
 
 def _least(rows: DataFrame) -> DataFrame:
@@ -268,12 +265,13 @@ def shortest_path_pairs(edges: DataFrame, pairs: DataFrame, directed: bool = Fal
             inside = (F.col("open") == 1) & (F.col("dist") < limit)
             front = state.where(inside)
             closed = state.withColumn("open", F.when(inside, 0).otherwise(F.col("open")))
-            new = stored(_least(closed.unionByName(relaxed(front, short))))
+            new = stored(_least(closed.unionByName(relaxed(front, short))), nearest=F.min(F.when(F.col("open") == 1, F.col("dist"))))
             if any_long:
                 bucket.append(stored(front.select("src", "node")))
             drop_stored(state)
             state = new
-            if state.where((F.col("open") == 1) & (F.col("dist") < limit)).isEmpty():
+            nearest = state.measured["nearest"]
+            if nearest is None or nearest >= limit:
                 break
         if any_long:
             seen = bucket[0]

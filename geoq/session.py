@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 # Settings this library expects on any cluster: AQE re-plans joins and
 # coalesces/splits partitions at runtime, skew join splits hot cell keys.
@@ -18,6 +18,9 @@ _DEFAULTS = {
     # small-in-bytes shuffle into one task (no effect once partitions are
     # large, as on a cluster)
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k",
+    # call sites of Column functions: four more JVM calls for each; large
+    # expressions are built by the thousand
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -67,16 +70,19 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def stored(df, replaces=()):
+def stored(df, replaces=(), **measures):
     """``df`` written below the shared checkpoint folder and read again: cuts
     the lineage in one job and survives the loss of executors.  Tables in
     ``replaces`` that came from here are superseded and deleted, once the new
-    one stands; no plan that is still to run may read them."""
+    one stands; no plan that is still to run may read them.  ``measures``
+    (aggregates by name) are taken while writing, into ``.measured``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/geoq-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if measures else None
+    observed = df.observe(seen, *[m.alias(n) for n, m in measures.items()]) if measures else df
+    observed.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stored_path = path
+    out.stored_path, out.measured = path, seen.get if measures else {}
     for old in replaces:
         drop_stored(old)
     return out

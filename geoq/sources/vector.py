@@ -64,20 +64,25 @@ _GJ_FEATURE = T.StructType([
                                             T.StructField("coordinates", T.StringType())]))])
 
 
-def read_geojson(spark: SparkSession, path: str, srid: int = 4326, lines: bool | None = None) -> DataFrame:
-    """A4: GeoJSON -> (properties map, geometry).  ``lines``: one feature per
-    line, read in parallel; else FeatureCollection files, each one row.  By
-    default the first line decides.  Coordinates are parsed from their JSON
-    text by nesting depth of the geometry type."""
-    if lines is None:
-        first = spark.read.text(path).first()
-        lines = bool(first) and first["value"].replace(" ", "").startswith('{"type":"Feature",')
+def read_geojson(spark: SparkSession, path: str, srid: int = 4326, lines: bool = False) -> DataFrame:
+    """A4: GeoJSON -> (properties map, geometry).  ``lines``: newline-delimited
+    features (as ``write_geojson`` writes them), read in parallel; else files
+    that hold one FeatureCollection each.  The form is the caller's to say: a
+    file of the other form raises when it is read.  Coordinates are parsed from
+    their JSON text by nesting depth of the geometry type."""
     if lines:
         features = spark.read.schema(_GJ_FEATURE).json(path)
+        wrong, said = ~F.coalesce(F.col("type") == "Feature", F.lit(False)), "a line that is no GeoJSON feature: lines=False?"
     else:
-        collections = spark.read.option("multiLine", True).schema(
-            T.StructType([T.StructField("features", T.ArrayType(_GJ_FEATURE))])).json(path)
-        features = collections.select(F.inline("features"))
+        collections = spark.read.option("multiLine", True).schema(T.StructType([
+            T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(_GJ_FEATURE))])).json(path)
+        none = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("map<string,string>").alias("properties"),
+                        F.lit(None).cast(_GJ_FEATURE["geometry"].dataType).alias("geometry"))
+        # a file without a list of features becomes one row that raises
+        features = collections.select("type", F.coalesce("features", F.array(none)).alias("features"),
+                                      F.col("features").isNull().alias("wrong")).select("wrong", F.inline("features"))
+        wrong, said = F.col("wrong"), "a file that is no FeatureCollection: lines=True?"
+    features = features.withColumn("geometry", F.when(wrong, F.raise_error(F.lit(said)).cast(_GJ_FEATURE["geometry"].dataType)).otherwise(F.col("geometry")))
     f = features.select("properties", "geometry.type", "geometry.coordinates")
     t = F.upper(F.col("type"))
     depth = (F.when(t == "POINT", 2).when(t.isin("LINESTRING", "MULTIPOINT"), 2)

@@ -86,7 +86,7 @@ def test_geojson_reads_its_own_output(spark, tmp_path):
     from geoq.sources.vector import read_geojson, write_geojson
     path = str(tmp_path / "nd")
     write_geojson(_polys(spark).repartition(2), path)
-    back = read_geojson(spark, path).select(F.col("properties")["name"].alias("n"), G.area("geometry").alias("a"),
+    back = read_geojson(spark, path, lines=True).select(F.col("properties")["name"].alias("n"), G.area("geometry").alias("a"),
                                             G.geom_type("geometry").alias("t")).orderBy("n").collect()
     assert [(r.n, r.a, r.t) for r in back] == [("a", 12.0, "POLYGON"), ("b", 2.5, "MULTIPOLYGON")]
 
@@ -150,3 +150,62 @@ def test_components_say_when_they_are_not_done(spark):
     with pytest.raises(RuntimeError):
         connected_components(nodes, edges, max_rounds=2)
     assert {r.component for r in connected_components(nodes, edges).collect()} == {0}
+
+
+def test_rewritten_tables_are_seen(spark, tmp_path):
+    """A table that is written anew between two queries."""
+    from geoq.plans.queries import QUERIES
+    from tests.conftest import SF_SMALL
+    for name in ("orders", "customer", "nation"):
+        spark.read.parquet(f"{SF_SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    first = QUERIES["raster_pixels_roundtrip"](spark, str(tmp_path)).count()
+    rows = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_orderkey < 500")
+    rows.write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    second = QUERIES["raster_pixels_roundtrip"](spark, str(tmp_path)).count()
+    assert first > second > 0 and second == 500
+
+
+def test_geojson_form_is_the_callers(spark, tmp_path):
+    import pytest
+
+    from geoq.sources.vector import read_geojson
+    row = '{"id":1,"type":"Feature","properties":{"name":"a"},"geometry":{"type":"Point","coordinates":[1,2]}}'
+    (tmp_path / "lines.json").write_text("\n".join([row] * 5))
+    (tmp_path / "one.json").write_text('{"features":[' + ",".join([row] * 3) + '],"type":"FeatureCollection"}')
+    (tmp_path / "none.json").write_text('{"type":"FeatureCollection","features":[]}')
+    lines, one, none = (str(tmp_path / f"{n}.json") for n in ("lines", "one", "none"))
+    assert read_geojson(spark, lines, lines=True).where("geometry.parts[0][0][0].y = 2").count() == 5
+    assert read_geojson(spark, one).where("geometry.parts[0][0][0].y = 2").count() == 3
+    assert read_geojson(spark, none).count() == 0
+    for path, form in ((lines, False), (one, True)):
+        with pytest.raises(Exception, match="lines="):
+            read_geojson(spark, path, lines=form).collect()
+
+
+def test_sql_predicates_of_any_geometry(spark):
+    """SQL functions against the Column functions, pair by pair."""
+    import random
+
+    from geoq.functions.sql import register
+    register(spark)
+    r = random.Random(7)
+    wkts = ["POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 4 6, 6 6, 6 4, 4 4))", "POLYGON ((1 1, 3 1, 3 3, 1 3, 1 1))",
+            "POLYGON ((-20 -20, 30 -20, 30 30, -20 30, -20 -20))", "POLYGON ((12 0, 15 0, 15 5, 12 5, 12 0))", "LINESTRING (4 4, 6 6)",
+            "LINESTRING (0 0, 10 10)", "POINT (5 5)", "POINT (0 5)", "MULTIPOINT ((1 1), (50 50))",
+            "MULTIPOLYGON (((20 20, 22 20, 22 22, 20 22, 20 20)), ((1 1, 2 1, 2 2, 1 2, 1 1)))"]
+    for _ in range(6):
+        x, y = r.randrange(12), r.randrange(12)
+        wkts.append(f"LINESTRING ({x} {y}, {r.randrange(12)} {r.randrange(12)}, {r.randrange(12)} {r.randrange(12)})")
+    g = spark.createDataFrame(list(enumerate(wkts)), "id int, w string").select("id", G.geom_from_wkt("w").alias("g")).cache()
+    pairs = g.select(F.col("id").alias("i"), F.col("g").alias("a")).crossJoin(g.select(F.col("id").alias("j"), F.col("g").alias("b")))
+    pairs.createOrReplaceTempView("geoq_pairs")
+    sql = spark.sql("""SELECT i, j, a, b, ST_Intersects(a, b) AS x, ST_Within(a, b) AS w, ST_Distance(a, b) AS d, ST_DWithin(a, b, 3) AS n
+        FROM geoq_pairs""")
+    rows = sql.select("i", "j", "x", "w", "d", "n", G.intersects("a", "b").alias("x2"), G.within("a", "b").alias("w2"),
+                      G.distance("a", "b").alias("d2"), G.dwithin("a", "b", F.lit(3.0)).alias("n2")).collect()
+    for q in rows:
+        assert (q.x, q.w, q.n) == (q.x2, q.w2, q.n2) and abs(q.d - q.d2) < 1e-9, (wkts[q.i], wkts[q.j], q)
+    by = {(q.i, q.j): q for q in rows}
+    assert by[0, 2].w and not by[2, 0].w and by[0, 3].d == 2.0 and by[1, 0].x and not by[4, 0].w
+    env = spark.sql("SELECT ST_AsText(ST_Envelope(g)) AS e FROM (SELECT a AS g FROM geoq_pairs WHERE i = 5 LIMIT 1)").first()["e"]
+    assert env == "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0))"
