@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Parts kept per generation of a worker's cache, and parts encoded at once.
-CACHE_PARTS, PARTS_AT_ONCE = 300_000, 2_000
+#: Parts kept per generation of a worker's cache: of words, and of byte-level
+#: parts, which differ by case and punctuation.  Parts encoded at once.
+CACHE_PARTS, CACHE_BYTE_PARTS, PARTS_AT_ONCE = 300_000, 500_000, 2_000
 #: Punctuation that the pre-tokenizers part from a letter or digit before it.
 TAIL = b".,;:!?%*&$#"
 
@@ -51,13 +52,13 @@ class _Cache(dict):
     """Part -> its ids, or False where a part can't be encoded alone.  The
     older of two generations is dropped when the newer is full."""
 
-    def __init__(self, encode, tails):
+    def __init__(self, encode, tails, most: int = CACHE_PARTS):
         super().__init__()
         self.old: dict = {}
-        self.encode, self.tails = encode, tails
+        self.encode, self.tails, self.most = encode, tails, most
 
     def add(self, missing: set) -> None:
-        if len(self) + len(missing) > CACHE_PARTS:
+        if len(self) + len(missing) > self.most:
             self.old = dict(self)
             self.clear()
         known, new, tailed = self.old, set(), []
@@ -126,7 +127,7 @@ class ByteLevelEncoder:
     def __init__(self, path: str):
         self.library = _Library(path)
         self.line_feed = self.library.alone(["\n"])[0]
-        self.cache = _Cache(self._encode, _Tails(self.library))
+        self.cache = _Cache(self._encode, _Tails(self.library), CACHE_BYTE_PARTS)
 
     def _encode(self, parts: list[bytes]) -> list[bytes | bool]:
         """Of parts that follow a space, or a line feed that they begin with."""
