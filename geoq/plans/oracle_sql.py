@@ -143,6 +143,9 @@ SELECT cust_id, supp_id, dist_sq FROM (
   SELECT p.id AS cust_id, s.id AS supp_id, {D2_CS} AS dist_sq,
          rank() OVER (PARTITION BY p.id ORDER BY {D2_CS}) AS rk
   FROM pts p JOIN sup s ON {D2_CS} <= 5000e0*5000e0) WHERE rk = 1"""
+ORACLE["nearest_any_distance"] = with_(PTS_PART, PTS_SUPPLIER) + """, d AS (SELECT p.id AS part_id, s.id AS supp_id,
+  (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) AS dist_sq FROM prt p, sup s)
+SELECT part_id, supp_id, dist_sq FROM (SELECT *, rank() OVER (PARTITION BY part_id ORDER BY dist_sq) AS rk FROM d) WHERE rk = 1"""
 ORACLE["distinct_nodes_near_edges"] = with_(PTS_PART, LINE_V, LINE_SEG) + f"""
 SELECT CAST(count(DISTINCT t.id) AS BIGINT) AS n_nodes FROM prt t JOIN lseg s ON {seg_near('t.x', 't.y', 100)}
 WHERE {pt_seg_within('t.x', 't.y', '100e0*100e0')}"""

@@ -122,14 +122,17 @@ NEAREST_MAX = 5000.0
 @query("nearest_within")
 def nearest_within(spark, sf):
     """sjoin_nearest(max_distance=5000): nearest supplier per customer, ties kept."""
-    from pyspark.sql import Window
-    p = SJ.candidate_pairs(FX.pts_customer(spark, sf), FX.pts_supplier(spark, sf), "dwithin", distance=NEAREST_MAX,
-                           left_geom=("x", "y"), right_geom=("x", "y"), left_cols=["id", "x", "y"],
-                           right_cols=["id", "x", "y"])
-    p = p.select(F.col("l.id").alias("cust_id"), F.col("r.id").alias("supp_id"),
-                 G.point_dist_sq("l.x", "l.y", "r.x", "r.y").alias("dist_sq"))
-    w = Window.partitionBy("cust_id").orderBy("dist_sq")
-    return p.withColumn("rk", F.rank().over(w)).where("rk = 1").drop("rk")
+    from geoq.operators.nearest import nearest
+    n = nearest(FX.pts_customer(spark, sf), FX.pts_supplier(spark, sf), NEAREST_MAX)
+    return n.select(F.col("left_id").alias("cust_id"), F.col("right_id").alias("supp_id"), "dist_sq")
+
+
+@query("nearest_any_distance")
+def nearest_any_distance(spark, sf):
+    """C8 without a limit: nearest supplier of every part, ties kept."""
+    from geoq.operators.nearest import nearest
+    n = nearest(FX.pts_part(spark, sf), FX.pts_supplier(spark, sf))
+    return n.select(F.col("left_id").alias("part_id"), F.col("right_id").alias("supp_id"), "dist_sq")
 
 
 @query("distinct_nodes_near_edges")
