@@ -52,10 +52,10 @@ class _Cache(dict):
     """Part -> its ids, or False where a part can't be encoded alone.  The
     older of two generations is dropped when the newer is full."""
 
-    def __init__(self, encode, tails, most: int = CACHE_PARTS):
+    def __init__(self, encode, tails, most: int | None = None):
         super().__init__()
         self.old: dict = {}
-        self.encode, self.tails, self.most = encode, tails, most
+        self.encode, self.tails, self.most = encode, tails, most or CACHE_PARTS
 
     def add(self, missing: set) -> None:
         if len(self) + len(missing) > self.most:

@@ -37,7 +37,7 @@ def test_encoder_equals_library(kind, name, texts):
 
 def test_encoder_cache_generations(monkeypatch):
     import geoq.llm.encoders as E
-    monkeypatch.setattr(E, "CACHE_PARTS", 20)
+    monkeypatch.setattr(E, "CACHE_BYTE_PARTS", 20)
     encode, made = plain(BYTE_VOCABULARY), ByteLevelEncoder(vocabulary(BYTE_VOCABULARY))
     texts = [" ".join(f"w{i * j % 37}" for j in range(12)) for i in range(60)]
     for i in range(0, 60, 7):
