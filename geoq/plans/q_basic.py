@@ -315,21 +315,23 @@ EXTRACT_TASKS = [("restaurants", {"kind": ["BUILDING"]}), ("shops", {"kind": ["A
                  ("homes", {"kind": ["HOUSEHOLD"]}), ("all_features", None)]
 
 
+def _extraction(spark, sf):
+    feats = FX.pts_customer(spark, sf).withColumn("tags", F.create_map(F.lit("kind"), F.col("kind"))).drop("kind")
+    return feats, _polygonal(spark, sf).select(F.col("name").alias("city"), "geometry")
+
+
 @query("extract_many")
 def extract_many(spark, sf):
-    """The (city x feature type x tag filter) matrix as one job: every
-    feature is matched to its cities once (cell join) and to the tasks whose
-    filter it passes; the result is what ``write.partitionBy('city',
-    'feature_type')`` would lay out, counted here."""
-    from geoq.operators.osm import tags_match
-    pts = FX.pts_customer(spark, sf).withColumn("tags", F.create_map(F.lit("kind"), F.col("kind")))
-    tasks = F.array(*[F.when(tags_match("tags", spec), F.lit(name)) for name, spec in EXTRACT_TASKS])
-    feats = pts.select("id", "x", "y", F.explode(F.array_compact(tasks)).alias("feature_type"))
-    cities = _polygonal(spark, sf).select(F.col("name").alias("city"), "geometry")
-    p = SJ.candidate_pairs(feats, cities, "within", left_geom=("x", "y"), left_cols=["id", "feature_type"],
-                           right_cols=["city"])
-    return p.groupBy(F.col("r.city").alias("city"), F.col("l.feature_type").alias("feature_type")) \
-        .agg(F.count(F.lit(1)).alias("n_features"))
+    """The (city x feature type x tag filter) matrix, one job: features of
+    each task written by city and type, then counted as they lie there."""
+    import uuid
+
+    from geoq.operators import extract as EX
+    from geoq.session import checkpoint_dir
+    feats, cities = _extraction(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/geoq-extract-{uuid.uuid4().hex}"
+    EX.extract_many(feats, cities, EXTRACT_TASKS, path)
+    return EX.extracted(spark, path, feats.schema).groupBy("city", "feature_type").agg(F.count(F.lit(1)).alias("n_features"))
 
 
 @query("sql_functions")
