@@ -572,6 +572,34 @@ d(src, node, dist) USING KEY (src, node) AS (
    GROUP BY d.src, a.v))
 """
 ORACLE["shortest_paths"] = SP + "SELECT src AS source, node AS target, CAST(dist AS BIGINT) AS dist FROM d"
+# least (distance, node path) per source and node; the farthest node of each source
+ROUTES = "WITH RECURSIVE " + GE + """,
+arcs AS MATERIALIZED (SELECT u, v, min(length) AS length FROM (SELECT u, v, length FROM ge UNION ALL SELECT v, u, length FROM ge)
+  GROUP BY u, v),
+d(src, node, s) USING KEY (src, node) AS (
+  SELECT c_custkey, c_custkey, {'dist': CAST(0 AS BIGINT), 'path': [c_custkey]} FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION
+  (SELECT c.src, c.v, min(c.s2) FROM (
+     SELECT d.src, a.v, {'dist': d.s.dist + a.length, 'path': list_append(d.s.path, a.v)} AS s2 FROM d JOIN arcs a ON a.u = d.node) c
+   WHERE NOT EXISTS (SELECT 1 FROM recurring.d rr WHERE rr.src = c.src AND rr.node = c.v AND rr.s <= c.s2) GROUP BY c.src, c.v)),
+far AS MATERIALIZED (SELECT src, node, s.path AS path, s.dist AS dist
+  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY s.dist DESC, node) AS rk FROM d) WHERE rk = 1)"""
+ORACLE["route_edges"] = ROUTES + """,
+steps AS (SELECT src AS route, unnest(range(len(path) - 1)) AS seq, path FROM far),
+two AS (SELECT u, v, length, edge_id AS key FROM ge UNION ALL SELECT v, u, length, edge_id FROM ge)
+SELECT route, CAST(seq AS INTEGER) AS seq, path[seq + 1] AS u, path[seq + 2] AS v,
+  (SELECT arg_min(key, (length, key)) FROM two WHERE two.u = path[seq + 1] AND two.v = path[seq + 2]) AS key,
+  (SELECT min(length) FROM two WHERE two.u = path[seq + 1] AND two.v = path[seq + 2]) AS length
+FROM steps"""
+# every simple path, counted off
+ORACLE["k_shortest_paths"] = ROUTES + """,
+walk(src, node, cost, path) AS (
+  SELECT src, src, CAST(0 AS BIGINT), [src] FROM far WHERE dist > 0
+  UNION ALL
+  SELECT w.src, a.v, w.cost + a.length, list_append(w.path, a.v) FROM walk w JOIN arcs a ON a.u = w.node WHERE NOT list_contains(w.path, a.v)),
+found AS (SELECT w.src, w.node AS dst, w.cost, w.path, row_number() OVER (PARTITION BY w.src ORDER BY w.cost, w.path) - 1 AS rank
+  FROM walk w JOIN far f ON f.src = w.src AND f.node = w.node)
+SELECT src, dst, CAST(rank AS INTEGER) AS rank, cost, CAST(len(path) AS INTEGER) AS n_nodes FROM found WHERE rank < 10"""
 # distance and number of edges in one number; predecessors from the end
 ORACLE["shortest_path_pairs"] = "WITH RECURSIVE " + GE + """,
 arcs AS MATERIALIZED (SELECT u, v, min(length) * 1000000 + 1 AS cost FROM (SELECT u, v, length FROM ge UNION ALL SELECT v, u, length FROM ge)
