@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, min_partitions: int | None = None) -> DataFrame:
@@ -36,6 +37,23 @@ def resolve_column(df: DataFrame, candidates) -> str | None:
     return None
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether a table or view of that name is known."""
+    return spark.catalog.tableExists(name)
+
+
+def list_columns(spark: SparkSession, name: str) -> list[str]:
+    """Column names of a table or view, in order."""
+    return [c.name for c in spark.catalog.listColumns(name)]
+
+
+def boundary(spark: SparkSession, boundaries: DataFrame, name: str, name_col: str = "name") -> DataFrame:
+    """The boundaries of a place, by its name whatever the case; a name
+    with parts (``Milan, Italy``) is looked up by the first."""
+    wanted = name.split(",")[0].strip().lower()
+    return boundaries.where(F.lower(F.trim(F.split(F.col(name_col), ",")[0])) == wanted)
+
+
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A3: CSV with a header; an explicit schema avoids the extra
     inference pass (``inferSchema`` reads the data twice)."""

@@ -21,11 +21,50 @@ from geoq.sources import store
 from geoq.functions.wkb import with_geom_from_wkb, with_wkb
 
 
+#: Bits per axis of a place on the curve along which layers are stored.
+CURVE_BITS = 16
+
+
+def curve_place(x, y, extent) -> "F.Column":
+    """Place of a point on the Z-order curve over ``extent`` (x0, y0, x1, y1):
+    the bits of its column and row in a grid of 2^16 by 2^16, interleaved.
+    Points outside take the border's place, nulls none."""
+    x0, y0, x1, y1 = (float(v) for v in extent)
+    top = (1 << CURVE_BITS) - 1
+
+    def cell(v, lo, hi):
+        share = (v - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0)
+        return F.greatest(F.least(F.floor(share * top), F.lit(top)), F.lit(0))
+
+    def spread(v):
+        for step in (8, 4, 2, 1):
+            mask = sum(((1 << step) - 1) << (2 * step * k) for k in range(CURVE_BITS // step))
+            v = v.bitwiseOR(F.shiftleft(v, step)).bitwiseAND(F.lit(mask))
+        return v
+    return spread(cell(x, x0, x1)).bitwiseOR(F.shiftleft(spread(cell(y, y0, y1)), 1))
+
+
+def along_curve(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows range-partitioned and sorted by the curve place of their ``bbox``'s
+    middle, so that a file and a row group hold what lies close together.  One
+    pass for the extent (one row), one shuffle."""
+    e = df.agg(F.min("bbox.minx").alias("a"), F.min("bbox.miny").alias("b"), F.max("bbox.maxx").alias("c"), F.max("bbox.maxy").alias("d")).first()
+    if e["a"] is None:
+        return df
+    place = curve_place((F.col("bbox.minx") + F.col("bbox.maxx")) / 2, (F.col("bbox.miny") + F.col("bbox.maxy")) / 2, tuple(e))
+    keyed = df.withColumn("_place", place)
+    ranged = keyed.repartitionByRange(partitions, "_place") if partitions else keyed.repartitionByRange("_place")
+    return ranged.sortWithinPartitions("_place").drop("_place")
+
+
 def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int = 4326, mode: str = "overwrite",
-                     partition_by=None) -> None:
-    """WKB geometry + bbox columns; CRS in ``_geo.json``."""
+                     partition_by=None, ordered: bool = False, partitions: int | None = None) -> None:
+    """WKB geometry + bbox columns; CRS in ``_geo.json``.  ``ordered``
+    lays the rows out along a space-filling curve, so that the readers' filters
+    on the bbox columns leave most row groups unread."""
     b = G.bbox(F.col(geom))
-    out = with_wkb(df.withColumn("bbox", b), geom, "_wkb").drop(geom).withColumnRenamed("_wkb", geom)
+    boxed = df.withColumn("bbox", b)
+    out = with_wkb(along_curve(boxed, partitions) if ordered else boxed, geom, "_wkb").drop(geom).withColumnRenamed("_wkb", geom)
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -37,10 +76,21 @@ def write_geoparquet(df: DataFrame, path: str, geom: str = "geometry", srid: int
     store.write_text(df.sparkSession, f"{path}/_geo.json", json.dumps(meta))
 
 
-def read_geoparquet(spark: SparkSession, path: str, geom: str = "geometry", srid: int | None = None) -> DataFrame:
+def meets_box(box, bbox: str = "bbox"):
+    """Filter of stored bbox columns against (x0, y0, x1, y1): four
+    comparisons that reach the Parquet reader."""
+    x0, y0, x1, y1 = (float(v) for v in box)
+    b = F.col(bbox)
+    return (b.minx <= x1) & (b.maxx >= x0) & (b.miny <= y1) & (b.maxy >= y0)
+
+
+def read_geoparquet(spark: SparkSession, path: str, geom: str = "geometry", srid: int | None = None, box=None) -> DataFrame:
     """A2: GeoParquet (WKB column) -> geometry struct; CRS from ``_geo.json``
-    or else from the ``geo`` key of a file's footer, 0 without either."""
+    or else from the ``geo`` key of a file's footer, 0 without either.  With
+    ``box`` only rows whose stored bbox meets it are read and decoded."""
     df = spark.read.parquet(path)
+    if box is not None:
+        df = df.where(meets_box(box))
     if srid is None:
         meta = store.read_text(spark, f"{path}/_geo.json") or next(
             (m for m in (store.parquet_footer_value(spark, f, "geo") for f in df.inputFiles()[:1]) if m), None)
@@ -138,13 +188,34 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite", empty_first: b
         df.write.mode(mode).saveAsTable(name)
 
 
-def load_table(df: DataFrame, name: str, order_cols, id_col: str = "id", cell_col: str | None = None) -> None:
+def load_layer(spark: SparkSession, source: str, table: str, form: str = "geoparquet", *, srid: int | None = None,
+               wkt_col: str = "geometry_wkt", lines: bool = False) -> DataFrame:
+    """A layer's file into a table, replacing it.  ``form``: geoparquet,
+    geojson, or csv with a WKT column.  Returns the table."""
+    if form == "geoparquet":
+        df = read_geoparquet(spark, source, srid=srid)
+    elif form == "geojson":
+        df = read_geojson(spark, source, 4326 if srid is None else srid, lines)
+    elif form == "csv":
+        df = spark.read.option("header", True).option("inferSchema", True).csv(source)
+        df = df.withColumn("geometry", G.geom_from_wkt(F.col(wkt_col), srid or 0)).drop(wkt_col)
+    else:
+        raise ValueError(f"unknown form {form!r}")
+    df.write.mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
+def load_table(df: DataFrame, name: str, order_cols, id_col: str = "id", cell_col: str | None = None,
+               geom: str | None = None) -> None:
     """Replace a table, adding a surrogate id (distributed row id) and
-    laying rows out by spatial cell (range partition + sort) in place of a
-    GiST index; ``df.write.jdbc`` is the same call for an external DB."""
+    laying rows out by a cell column or, with ``geom``, along a space-filling
+    curve with stored bbox columns, in place of a GiST index; ``df.write.jdbc``
+    is the same call for an external DB."""
     from geoq.operators.aggregates import with_row_id
     out = with_row_id(df, order_cols, id_col)
-    if cell_col:
+    if geom:
+        out = along_curve(out.withColumn("bbox", G.bbox(F.col(geom))))
+    elif cell_col:
         out = out.repartitionByRange(cell_col).sortWithinPartitions(cell_col)
     out.write.mode("overwrite").saveAsTable(name)
 
