@@ -16,8 +16,10 @@ filters; a frequent token's nodes are dealt out as pairs of blocks.  Pairs
 that are never compared lie in one component already, so components are exact.
 
 Before whole sets are fetched, a bound drops most pairs that merely share a
-passage: every set's hashes are counted in ``PROFILE`` buckets, and two sets
-have at most the sum of the smaller counts in common.
+passage: every set's hashes are counted in at least as many buckets as it has
+shingles (a byte each, against eight for a shingle, so that the counts of long
+sets tell as much as those of short ones), and two sets have at most the sum of
+the smaller counts in common.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ SHINGLE, PERCENT = 5, 75
 ORDERS, COUNT_AT_ONCE, LOCAL_COUNT, MAX_FREQUENT = 3, 5_000_000, 2, 1_000_000
 #: A shingle is frequent in one document in so many, but at least so many documents.
 FREQUENT_SHARE, FREQUENT_LEAST = 100_000, 4
-#: Nodes of a token that are compared in one block; buckets of a profile.
-BLOCK, PROFILE = 1024, 256
+#: Nodes of a token that are compared in one block; least buckets of a profile
+#: (a power of two); a counter that is full bounds nothing.
+BLOCK, PROFILE, FULL = 1024, 64, 255
 #: Pairs within a cell that are looked at in one step.
 PAIRS_AT_ONCE = 1_000_000
 
@@ -47,14 +50,36 @@ _SIGNATURE = "kind int, doc_id bigint, row_key bigint, node bigint, n bigint, pr
 _PREFIX = "token bigint, rank int, node bigint, n int, pos int"
 
 
+def _node(shingles: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(shingles) - (1 << 63)
+
+
+def _profile(s: np.ndarray) -> bytes:
+    """Counts of a set's hashes by their top bits, in a power of two of
+    buckets that is at least the set's size."""
+    bits = (max(PROFILE, len(s)) - 1).bit_length()
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def _most_common(p: bytes, q: bytes) -> int | None:
+    """The greatest size that the intersection of two sets can have, by their
+    profiles; None if a full counter leaves it open."""
+    x, y = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+    if (x == FULL).any() or (y == FULL).any():
+        return None
+    # neighbouring buckets of the finer profile are one of the coarser
+    size = min(len(x), len(y))
+    x, y = (z.reshape(size, -1).sum(1, dtype=np.int64) for z in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
     """Kind 0: a row per document with its node (hash of its set), size and
-    profile (16-bit counts of its hashes by bucket).
+    profile.
     Kind 1: shingles met several times in a stretch of text, and how often."""
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row_key", pa.int64()), ("node", pa.int64()),
                         ("n", pa.int64()), ("profile", pa.binary())])
-    shift = np.uint64(64 - PROFILE.bit_length() + 1)
-
     def frequent(held):
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts >= LOCAL_COUNT
@@ -68,11 +93,10 @@ def _signatures(rows: DataFrame) -> DataFrame:
             nodes, sizes, profiles = [], [], []
             for text in byte_texts(b.column(1)):
                 s = document_shingles(words_of(text), SHINGLE)
-                node = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                node = _node(s.tobytes())
                 nodes.append(node)
                 sizes.append(len(s))
-                counts = np.bincount((s >> shift).astype(np.int64), minlength=PROFILE)
-                profiles.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
+                profiles.append(_profile(s))
                 if node not in seen and len(s):  # copies count once
                     seen.add(node)
                     held.append(s)
@@ -130,7 +154,7 @@ def _prefixes(rows: DataFrame, orders: Orders) -> DataFrame:
             for k, text in enumerate(texts):
                 s = document_shingles(words_of(text), SHINGLE)
                 if len(s):
-                    name = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+                    name = _node(s.tobytes())
                     if name not in seen:
                         seen.add(name)
                         classes = orders.class_of(s)
@@ -213,11 +237,11 @@ def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
     def keep(batches):
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, PROFILE) for k in (4, 5))
-            common = np.minimum(p, q)
-            most = common.sum(1, dtype=np.int64)
             need = -(-percent * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (100 + percent))
-            kept = (most >= need) | (common == 65535).any(1)  # a full counter bounds nothing
+            kept = np.zeros(batch.num_rows, bool)
+            for k in range(batch.num_rows):
+                most = _most_common(batch.column(4)[k].as_py(), batch.column(5)[k].as_py())
+                kept[k] = most is None or most >= need[k]
             yield batch_of(schema, batch.column(0).to_numpy()[kept], batch.column(1).to_numpy()[kept])
 
     return both.mapInArrow(keep, "a bigint, b bigint")
@@ -226,19 +250,20 @@ def _possible(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 def _sets(rows: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """The shingle sets of ``nodes``, from one document each (a node may come
     twice if that document's row is repeated).  The texts are scanned once
-    more; a filter of fixed size passes over most that aren't wanted."""
+    more; a filter of fixed size passes over most that aren't wanted, and the
+    join with the pairs drops the rest."""
     one = materialise(signed.where("kind = 0").join(nodes, "node", "left_semi").groupBy("node")
                       .agg(F.min("row_key").alias("row_key")), "wanted")
     wanted = KeyFilter(one, "row_key")
-    schema = pa.schema([("row_key", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches):
         for b in batches:
             some = b.filter(pa.array(wanted.passes(b.column(0).to_numpy())))
-            yield batch_of(schema, some.column(0), [document_shingles(words_of(t), SHINGLE).tobytes() for t in byte_texts(some.column(1))])
+            found = [document_shingles(words_of(t), SHINGLE).tobytes() for t in byte_texts(some.column(1))]
+            yield batch_of(schema, [_node(x) for x in found], found)
 
-    scanned = rows.select("row_key", "text").mapInArrow(sets, "row_key bigint, shingles binary")
-    return scanned.join(one, "row_key").select("node", "shingles")
+    return rows.select("row_key", "text").mapInArrow(sets, "node bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, signed: DataFrame, orders: Orders) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 import geoq.llm.jaccard_join as J
@@ -65,6 +66,18 @@ def test_jaccard_join_without_frequent_shingles(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_classes(table(spark, rows)).collect())) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("n,m,common", [(0, 0, 0), (0, 9, 0), (1, 1, 1), (64, 64, 50), (65, 64, 60), (3000, 2900, 2700), (300, 900, 0)])
+def test_profiles_bound_the_intersection(n, m, common):
+    """Never below the true intersection, and close to it at every size."""
+    r = np.random.default_rng(n + m)
+    u = r.permutation(np.unique(r.integers(0, 2**64, n + m + 10, dtype=np.uint64)))
+    a, b = np.sort(u[:n]), np.sort(u[n - common:n - common + m])
+    most = J._most_common(J._profile(a), J._profile(b))
+    assert common <= most <= common + 0.8 * (min(n, m) - common) + 5
+    full = np.full(300, 7, np.uint64)  # one counter runs full
+    assert J._most_common(J._profile(full), J._profile(a)) is None
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_classes(empty(spark)).collect() == []
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, None)]
