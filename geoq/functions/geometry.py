@@ -212,9 +212,12 @@ def _idx(r, k=1) -> Column:
 
 
 def ring_twice_area(r) -> Column:
-    """Signed shoelace sum (2 x area, counter-clockwise positive)."""
-    return F.aggregate(_idx(r), F.lit(0.0),
-                       lambda acc, i: acc + (r[i].x * r[i + 1].y - r[i + 1].x * r[i].y))
+    """Signed shoelace sum (2 x area, counter-clockwise positive), taken from
+    the first vertex: products of metric coordinates far from the origin would
+    lose the digits of a small area."""
+    x0, y0 = r[0].x, r[0].y
+    return F.aggregate(_idx(r), F.lit(0.0), lambda acc, i: acc + (
+        (r[i].x - x0) * (r[i + 1].y - y0) - (r[i + 1].x - x0) * (r[i].y - y0)))
 
 
 def _sum(arr) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from geoq.functions import crs
+
 GEOM = ("STRUCT<gtype: STRING, srid: INT, parts: ARRAY<ARRAY<ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>>")
 
 _SEGS = ("flatten(transform(flatten({g}.parts), r -> CASE WHEN size(r) = 1 THEN array(named_struct('a', r[0], 'b', r[0])) "
@@ -94,6 +96,26 @@ def _num(v):
     return f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN CAST(CAST({v} AS BIGINT) AS STRING) ELSE CAST({v} AS STRING) END"
 
 
+def _mapped(x: str, y: str) -> str:
+    """Every vertex ``v`` of ``g`` with new coordinates."""
+    return (f"named_struct('gtype', g.gtype, 'srid', to_srid, 'parts', transform(g.parts, p -> transform(p, r -> "
+            f"transform(r, v -> named_struct('x', {x}, 'y', {y})))))")
+
+
+def _transform() -> str:
+    """Between the CRSs of ``crs``, whose formulas are rendered as SQL.  The
+    zone of a UTM target stays an expression, so that all zones are one."""
+    zone, lon, lat = crs._S("(to_srid % 100)"), crs._S("v.x"), crs._S("v.y")
+    forward = {"to_srid = 3857": crs.sql_xy("v.x", "v.y", 3857), "to_srid = 3301": crs.sql_xy("v.x", "v.y", 3301)}
+    for first, north in ((32600, True), (32700, False)):
+        forward[f"to_srid BETWEEN {first + 1} AND {first + 60}"] = [c.s for c in crs.utm(crs.SQL, lon, lat, zone, north)]
+    back = [c.s for c in crs.webmerc_inv(crs.SQL, lon, lat)]
+    cases = " ".join(f"WHEN from_srid = 4326 AND {when} THEN {_mapped(*xy)}" for when, xy in forward.items())
+    return (f"CASE WHEN from_srid = to_srid THEN {_mapped('v.x', 'v.y')} "
+            f"WHEN from_srid = 3857 AND to_srid = 4326 THEN {_mapped(*back)} {cases} "
+            "ELSE raise_error(concat('unsupported transform from ', from_srid, ' to ', to_srid)) END")
+
+
 _RING_TXT = "concat('(', array_join(transform({r}, v -> concat(" + _num("v.x") + ", ' ', " + _num("v.y") + ")), ', '), ')')"
 
 FUNCTIONS = {
@@ -114,7 +136,8 @@ FUNCTIONS = {
     "ST_Area": (f"g {GEOM}", "DOUBLE",
                 "CASE WHEN g.gtype IN ('POLYGON', 'MULTIPOLYGON') THEN aggregate(g.parts, 0D, (acc, p) -> acc + "
                 "aggregate(transform(p, (r, k) -> CASE WHEN k = 0 THEN 1D ELSE -1D END * abs(aggregate("
-                "sequence(0, size(r) - 2), 0D, (a, i) -> a + r[i].x * r[i + 1].y - r[i + 1].x * r[i].y))), 0D, "
+                "sequence(0, size(r) - 2), 0D, (a, i) -> a + (r[i].x - r[0].x) * (r[i + 1].y - r[0].y) "
+                "- (r[i + 1].x - r[0].x) * (r[i].y - r[0].y)))), 0D, "
                 "(a, b) -> a + b)) / 2 ELSE 0D END"),
     "ST_Length": (f"g {GEOM}", "DOUBLE",
                   "CASE WHEN g.gtype IN ('LINESTRING', 'MULTILINESTRING') THEN aggregate(" + _SEGS.format(g="g")
@@ -128,6 +151,10 @@ FUNCTIONS = {
     "ST_Within": (f"a {GEOM}, b {GEOM}", "BOOLEAN", _WITHIN),
     "ST_Intersects": (f"a {GEOM}, b {GEOM}", "BOOLEAN",
                       f"({_PART_INSIDE} OR " + _bound(_SB, "tb", f"exists({_SA}, s -> exists(tb, t -> {_HIT}))") + ")"),
+    "ST_Contains": (f"a {GEOM}, b {GEOM}", "BOOLEAN", f"transform(array(named_struct('a', b, 'b', a)), o -> "
+                    + re.sub(r"\b([ab])\.(gtype|parts)\b", r"o.\1.\2", _WITHIN) + ")[0]"),
+    # (geometry, from, to): EPSG codes 4326, 3857, 3301, 326zz and 327zz
+    "ST_Transform": (f"g {GEOM}, from_srid INT, to_srid INT", GEOM, _transform()),
     "ST_Distance": (f"a {GEOM}, b {GEOM}", "DOUBLE", f"CASE WHEN {_PART_INSIDE} THEN 0D ELSE sqrt({_NEAREST2}) END"),
     "ST_DWithin": (f"a {GEOM}, b {GEOM}, d DOUBLE", "BOOLEAN", f"({_PART_INSIDE} OR {_NEAREST2} <= d * d)"),
     "ST_Envelope": (f"g {GEOM}", GEOM, _bound(

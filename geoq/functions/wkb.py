@@ -92,13 +92,21 @@ def _as_wkb(gtype: pd.Series, xs: pd.Series, ys: pd.Series, rsize: pd.Series, rp
                       for t, a, b, c, d in zip(gtype, xs, ys, rsize, rpart)], dtype=object)
 
 
-def with_wkb(df, geom: str = "geometry", out: str = "wkb"):
+#: The same, below which Spark pushes no filter.
+_as_wkb_pinned = F.pandas_udf(_as_wkb.func, T.BinaryType()).asNondeterministic()
+
+
+def with_wkb(df, geom: str = "geometry", out: str = "wkb", pinned: bool = False):
     """ST_AsWKB / ST_AsBinary as a new column (flat arrays are projected
-    first, the Arrow UDF then sees plain columns)."""
+    first, the Arrow UDF then sees plain columns).  ``pinned`` keeps later
+    filters above the encoding: needed where the same plan decodes the WKB
+    again and filters on the geometry, which Spark can't evaluate below two
+    UDFs in a row."""
     cols = df.columns
     flat = df.select(*cols, G.to_flat(geom).alias("_f")).select(*cols, "_f.gtype", "_f.xs", "_f.ys", "_f.rsize",
                                                                  "_f.rpart")
-    return flat.select(*cols, _as_wkb("gtype", "xs", "ys", "rsize", "rpart").alias(out))
+    encode = _as_wkb_pinned if pinned else _as_wkb
+    return flat.select(*cols, encode("gtype", "xs", "ys", "rsize", "rpart").alias(out))
 
 
 _FLAT = T.StructType([T.StructField("gtype", T.StringType()), T.StructField("xs", T.ArrayType(T.DoubleType())),

@@ -182,6 +182,15 @@ def lonlat_customer(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(44.0) + ((c * CUST_MUL[1]) % 10009).cast("double") * 2.0 / 10009.0).alias("lat"))
 
 
+def wkb_in_degrees(df: DataFrame) -> DataFrame:
+    """A planar layer as a source would give it: WKB in degrees (9 E, 45 N and
+    up to 1.3 degrees on) in place of ``geometry``."""
+    from geoq.functions.wkb import with_wkb
+    lonlat = df.withColumn("geometry", G.map_coords(F.col("geometry"), lambda x, y: F.lit(9.0) + x / 80000.0,
+                                                    lambda x, y: F.lit(45.0) + y / 110000.0))
+    return with_wkb(lonlat, "geometry", "wkb", pinned=True).drop("geometry", "bbox")
+
+
 # ---------------------------------------------------------------- OSM elements
 
 @memo

@@ -649,6 +649,40 @@ SELECT id, round(""" + x + ", 3) AS x, round(" + y + """, 3) AS y,
 ORACLE["project_graph"] = _project_graph_sql()
 
 
+def utm32_ctes(points: str) -> str:
+    """``utm(<columns of points>, e, n)`` from a CTE with lon, lat: Krueger's
+    series to n^4 over the conformal latitude (below 1e-7 m from more terms),
+    step by step and not by the library's formulas."""
+    return f"""k0 AS (SELECT n, 6378137e0/(1+n)*(1+n*n/4+n*n*n*n/64) AS ra, n/2-2*n*n/3+5*n*n*n/16+41*n*n*n*n/180 AS c1,
+  13*n*n/48-3*n*n*n/5+557*n*n*n*n/1440 AS c2, 61*n*n*n/240-103*n*n*n*n/140 AS c3, 49561*n*n*n*n/161280 AS c4, 2*sqrt(n)/(1+n) AS ee
+  FROM (SELECT (1e0/298.257223563e0)/(2-1e0/298.257223563e0) AS n)),
+conf AS (SELECT p.*, k0.*, sinh(atanh(sin(radians(lat))) - ee*atanh(ee*sin(radians(lat)))) AS tt, radians(lon-9) AS dl FROM {points} p, k0),
+tm AS (SELECT *, atan(tt/cos(dl)) AS xi, asinh(sin(dl)/sqrt(tt*tt+cos(dl)*cos(dl))) AS et FROM conf),
+utm AS (SELECT * EXCLUDE (n, ra, c1, c2, c3, c4, ee, tt, dl, xi, et),
+  500000+0.9996e0*ra*(et+c1*cos(2*xi)*sinh(2*et)+c2*cos(4*xi)*sinh(4*et)+c3*cos(6*xi)*sinh(6*et)+c4*cos(8*xi)*sinh(8*et)) AS e,
+  0.9996e0*ra*(xi+c1*sin(2*xi)*cosh(2*et)+c2*sin(4*xi)*cosh(4*et)+c3*sin(6*xi)*cosh(6*et)+c4*sin(8*xi)*cosh(8*et)) AS nn FROM tm)"""
+
+
+_LONLAT = "9e0+x/80000e0 AS lon, 45e0+y/110000e0 AS lat"
+ORACLE["top10_area_utm"] = with_(
+    f"""fp AS (SELECT o_orderkey AS id, v.seq AS seq, {_LONLAT} FROM (SELECT o_orderkey, seq,
+  ((o_orderkey*7919)%100003)*1e0 + CASE WHEN seq IN (1,2) THEN 20+(o_orderkey*13)%180 ELSE 0 END AS x,
+  ((o_orderkey*104729)%100019)*1e0 + CASE WHEN seq IN (2,3) THEN 20+(o_orderkey*29)%140 ELSE 0 END AS y
+  FROM orders CROSS JOIN (VALUES (0),(1),(2),(3)) AS s(seq)) v)""", utm32_ctes("fp"),
+    """diag AS (SELECT id, max(e) FILTER (WHERE seq=2)-max(e) FILTER (WHERE seq=0) AS ax, max(nn) FILTER (WHERE seq=2)-max(nn) FILTER (WHERE seq=0) AS ay,
+  max(e) FILTER (WHERE seq=3)-max(e) FILTER (WHERE seq=1) AS bx, max(nn) FILTER (WHERE seq=3)-max(nn) FILTER (WHERE seq=1) AS b2 FROM utm GROUP BY id)""",
+    "ar AS (SELECT id, abs(ax*b2-ay*bx)/2 AS area FROM diag)") + """SELECT id AS feature_id, round(area, 2) AS area_sqm
+FROM ar ORDER BY area DESC, id LIMIT 10"""
+ORACLE["distance_anti_utm"] = with_(
+    PTS_CUSTOMER, PTS_SUPPLIER, f"ll AS (SELECT id, 0 AS side, {_LONLAT} FROM pts UNION ALL SELECT id, 1, {_LONLAT} FROM sup)",
+    utm32_ctes("ll")) + """SELECT c.id AS cust_id, round(c.e, 3) AS x, round(c.nn, 3) AS y FROM utm c WHERE c.side = 0 AND NOT EXISTS (
+SELECT 1 FROM utm s WHERE s.side = 1 AND (c.e-s.e)*(c.e-s.e)+(c.nn-s.nn)*(c.nn-s.nn) <= 2500e0*2500e0)"""
+ORACLE["transform_length_sql"] = with_(
+    LINE_V, f"ll AS (SELECT id, seq, highway, {_LONLAT} FROM lv)", utm32_ctes("ll")) + """SELECT a.highway,
+count(DISTINCT a.id) AS n, round(sum(sqrt((b.e-a.e)*(b.e-a.e)+(b.nn-a.nn)*(b.nn-a.nn))), 2) AS length_m
+FROM utm a JOIN utm b ON a.id=b.id AND b.seq=a.seq+1 GROUP BY a.highway"""
+
+
 # ---------------------------------------------------------------- overlay batch
 
 FOOT_V = """fp AS (SELECT o_orderkey AS id, o_orderpriority AS kind,

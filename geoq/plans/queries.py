@@ -263,6 +263,7 @@ from geoq.plans import q_osm  # noqa: E402,F401
 from geoq.plans import q_raster  # noqa: E402,F401
 from geoq.plans import q_network  # noqa: E402,F401
 from geoq.plans import q_overlay  # noqa: E402,F401
+from geoq.plans import q_metric  # noqa: E402,F401
 
 
 @query("candidate_join_back")
