@@ -23,7 +23,7 @@ def test_stages(spark):
 def test_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {x.split("_")[0] for x in names if x.startswith("op") and x[2].isdigit()}
     assert "pipeline" in names
 
 
