@@ -108,17 +108,22 @@ def _kruger_alpha(f):
     return A, alpha
 
 
-def utm(m, lon, lat, zone: int, north: bool = True):
-    """Transverse Mercator by Krueger's series (Karney 2011), UTM scaling."""
-    A, alpha = _kruger_alpha(WGS84_F)
+def _conformal(m, lon, lat, zone: int):
+    """Tangent of the conformal latitude, and the angle from the zone's meridian."""
     e = math.sqrt(WGS84_F * (2 - WGS84_F))
     lon0 = (zone - 1) * 6 - 180 + 3
     phi = lat * D2R
     dl = (lon - lon0) * D2R
     sp = m.sin(phi)
-    t = m.sinh(m.atanh(sp) - e * m.atanh(e * sp))
-    xi_p = m.atan2(t, m.cos(dl))
-    eta_p = m.atanh(m.sin(dl) / m.sqrt(1.0 + t * t))
+    return m.sinh(m.atanh(sp) - e * m.atanh(e * sp)), dl
+
+
+def _gauss_schreiber(m, t, dl):
+    return m.atan2(t, m.cos(dl)), m.atanh(m.sin(dl) / m.sqrt(1.0 + t * t))
+
+
+def _kruger(m, xi_p, eta_p, north: bool):
+    A, alpha = _kruger_alpha(WGS84_F)
     xi, eta = xi_p, eta_p
     for j, a in enumerate(alpha, start=1):
         xi = xi + a * m.sin(2.0 * j * xi_p) * m.cosh(2.0 * j * eta_p)
@@ -129,6 +134,17 @@ def utm(m, lon, lat, zone: int, north: bool = True):
     return x, y
 
 
+def utm(m, lon, lat, zone: int, north: bool = True):
+    """Transverse Mercator by Krueger's series (Karney 2011), UTM scaling."""
+    return _kruger(m, *_gauss_schreiber(m, *_conformal(m, lon, lat, zone)), north)
+
+
+def utm_steps(m, zone: int, north: bool = True):
+    """``utm`` as three maps of pairs: inside a lambda nothing is shared, and
+    the series names its two arguments a dozen times each."""
+    return [lambda a, b: _conformal(m, a, b, zone), lambda a, b: _gauss_schreiber(m, a, b), lambda a, b: _kruger(m, a, b, north)]
+
+
 def lcc_3301(m, lon, lat):
     """Lambert conformal conic 2SP on GRS80 (Estonian grid)."""
     a, f = GRS80_A, GRS80_F
@@ -216,6 +232,8 @@ def transform(g, srid_from: int, srid_to: int) -> Column:
     """ST_Transform / to_crs on a geometry column (every vertex)."""
     from geoq.functions import geometry as G
     g = F.col(g) if isinstance(g, str) else g
+    if srid_from == 4326 and (32601 <= srid_to <= 32660 or 32701 <= srid_to <= 32760):
+        return G.set_srid(G.map_pairs(g, utm_steps(SPARK, srid_to % 100, srid_to < 32700)), F.lit(srid_to))
 
     def fx(vx, vy):
         return transform_xy(vx, vy, srid_from, srid_to)[0]

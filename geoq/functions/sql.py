@@ -96,10 +96,12 @@ def _num(v):
     return f"CASE WHEN {v} = floor({v}) AND abs({v}) < 1e15 THEN CAST(CAST({v} AS BIGINT) AS STRING) ELSE CAST({v} AS STRING) END"
 
 
-def _mapped(x: str, y: str) -> str:
-    """Every vertex ``v`` of ``g`` with new coordinates."""
-    return (f"named_struct('gtype', g.gtype, 'srid', to_srid, 'parts', transform(g.parts, p -> transform(p, r -> "
-            f"transform(r, v -> named_struct('x', {x}, 'y', {y})))))")
+def _mapped(steps) -> str:
+    """Every vertex ``v`` of ``g`` with new coordinates, step by step."""
+    ring = "r"
+    for x, y in steps:
+        ring = f"transform({ring}, v -> named_struct('x', {x}, 'y', {y}))"
+    return f"named_struct('gtype', g.gtype, 'srid', to_srid, 'parts', transform(g.parts, p -> transform(p, r -> {ring})))"
 
 
 def _transform() -> str:
@@ -107,12 +109,13 @@ def _transform() -> str:
     zone of a UTM target stays an expression, so that all zones are one."""
     zone, lon, lat = crs._S("(to_srid % 100)"), crs._S("v.x"), crs._S("v.y")
     forward = {"to_srid = 3857": crs.sql_xy("v.x", "v.y", 3857), "to_srid = 3301": crs.sql_xy("v.x", "v.y", 3301)}
+    utm = {}
     for first, north in ((32600, True), (32700, False)):
-        forward[f"to_srid BETWEEN {first + 1} AND {first + 60}"] = [c.s for c in crs.utm(crs.SQL, lon, lat, zone, north)]
+        utm[f"to_srid BETWEEN {first + 1} AND {first + 60}"] = [[c.s for c in step(lon, lat)] for step in crs.utm_steps(crs.SQL, zone, north)]
     back = [c.s for c in crs.webmerc_inv(crs.SQL, lon, lat)]
-    cases = " ".join(f"WHEN from_srid = 4326 AND {when} THEN {_mapped(*xy)}" for when, xy in forward.items())
-    return (f"CASE WHEN from_srid = to_srid THEN {_mapped('v.x', 'v.y')} "
-            f"WHEN from_srid = 3857 AND to_srid = 4326 THEN {_mapped(*back)} {cases} "
+    cases = " ".join(f"WHEN from_srid = 4326 AND {when} THEN {_mapped(xy)}" for when, xy in [*((w, [xy]) for w, xy in forward.items()), *utm.items()])
+    return (f"CASE WHEN from_srid = to_srid THEN {_mapped([('v.x', 'v.y')])} "
+            f"WHEN from_srid = 3857 AND to_srid = 4326 THEN {_mapped([back])} {cases} "
             "ELSE raise_error(concat('unsupported transform from ', from_srid, ' to ', to_srid)) END")
 
 

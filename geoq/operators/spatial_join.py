@@ -31,6 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoq.functions import geometry as G
+from geoq.session import stored
+
+#: One in so many right rows is met first where one match is enough.
+FIRST_SHARE = 16
 
 PREDICATES = ("intersects", "within", "contains", "dwithin", "bbox_intersects")
 
@@ -55,7 +59,8 @@ class _Side:
         b = F.col("bbox") if has_bbox else G.bbox(g)
         return (self.df.select(F.struct(*keep).alias(f"{t}_k"), g.alias(f"{t}_g"), b.alias(f"{t}_b"))
                 .withColumn(f"{t}_s", G.part_segments(F.col(f"{t}_g")))
-                .withColumn(f"{t}_n", F.size(F.col(f"{t}_g").parts)))
+                .withColumn(f"{t}_n", F.size(F.col(f"{t}_g").parts))
+                .withColumn(f"{t}_p", G.is_polygonal(F.col(f"{t}_g"))))
 
     # bbox columns of the prepared frame
     def box(self, d=0.0):
@@ -127,8 +132,7 @@ def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
     if L.is_point != R.is_point:
         P, E = (L, R) if L.is_point else (R, L)
         px, py = F.col(f"{P.tag}_x"), F.col(f"{P.tag}_y")
-        g, segs, nparts = F.col(f"{E.tag}_g"), F.col(f"{E.tag}_s"), F.col(f"{E.tag}_n")
-        poly = G.is_polygonal(g)
+        poly, segs, nparts = F.col(f"{E.tag}_p"), F.col(f"{E.tag}_s"), F.col(f"{E.tag}_n")
         onb = G.on_boundary_segs(px, py, segs)
         ins = poly & G.inside_segs(px, py, segs, nparts)
         point_in = (pred == "within" and L.is_point) or (pred == "contains" and R.is_point)
@@ -137,7 +141,9 @@ def _predicate(pred: str, L: _Side, R: _Side, d: float) -> Column:
         if pred == "intersects":
             return onb | ins
         if pred == "dwithin":
-            return ins | G.near_segs(px, py, segs, d)
+            return G.near_segs(px, py, segs, d) | ins
+    if pred == "intersects" and not L.is_point and not R.is_point:
+        return G.intersects_segs(F.col(f"{lt}_g"), F.col(f"{lt}_s"), F.col(f"{lt}_b"), F.col(f"{rt}_g"), F.col(f"{rt}_s"))
     lg = G.point(F.col(f"{lt}_x"), F.col(f"{lt}_y")) if L.is_point else F.col(f"{lt}_g")
     rg = G.point(F.col(f"{rt}_x"), F.col(f"{rt}_y")) if R.is_point else F.col(f"{rt}_g")
     if pred == "dwithin":
@@ -257,12 +263,24 @@ def sjoin(left: DataFrame, right: DataFrame, predicate: str = "intersects", how:
         raise ValueError("how=%r needs left_key" % how)
     lg = list(left_geom) if isinstance(left_geom, (tuple, list)) else [left_geom]
     rcols = right_cols or ([] if how in ("semi", "anti") else right.columns)
-    pairs = candidate_pairs(left.select(*dict.fromkeys(keys + lg)), right, predicate, distance=distance,
-                            left_geom=left_geom, right_geom=right_geom, left_cols=keys,
-                            right_cols=rcols or (list(right_geom) if isinstance(right_geom, (tuple, list))
-                                                 else [right_geom]),
-                            cell_size=cell_size, max_span=max_span, salt=salt)
-    matched_keys = pairs.select(*[F.col(f"l.{k}").alias(k) for k in keys])
+    rg = list(right_geom) if isinstance(right_geom, (tuple, list)) else [right_geom]
+
+    def matches(l, r):
+        return candidate_pairs(l, r, predicate, distance=distance, left_geom=left_geom, right_geom=right_geom, left_cols=keys,
+                               right_cols=rcols or rg, cell_size=cell_size, max_span=max_span, salt=salt)
+
+    def keys_of(pairs):
+        return pairs.select(*[F.col(f"l.{k}").alias(k) for k in keys])
+    small = left.select(*dict.fromkeys(keys + lg))
+    if how in ("semi", "anti") and predicate == "dwithin":
+        # one match is enough: rows that have one in a share of the right side
+        # are not compared with the rest of it, which may hold very many more
+        share = F.pmod(F.xxhash64(*rg), F.lit(FIRST_SHARE)) == 0
+        first = stored(keys_of(matches(small, right.where(share))).distinct())
+        matched_keys = first.unionByName(keys_of(matches(small.join(first, keys, "left_anti"), right.where(~share))))
+    else:
+        pairs = matches(small, right)
+        matched_keys = keys_of(pairs)
     if how == "semi":
         return left.join(matched_keys, keys, "left_semi")
     if how == "anti":
