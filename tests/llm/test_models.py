@@ -5,8 +5,10 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +171,31 @@ def test_scores_against_a_tree_of_dictionaries(spark, monkeypatch):
     assert all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
 
 
+def test_scores_leave_no_shuffle_files(spark):
+    sc, held = spark.sparkContext, id_remainder("doc_id", 10) == 0
+    dirs = [str(d) for d in sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p.name for d in dirs for p in Path(d).glob("*/shuffle_*.data")}
+    rows = table(spark, [(k, " ".join(words(k, 50))) for k in range(40)])
+    before = shuffled()
+    scores = score_texts(rows, held)  # the tree stands; the scores are still to be taken
+    deadline = time.time() + 10
+    while (left := shuffled() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left and scores.count() == 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_distinct_hashes(n):
+    from geoq.llm.lm_score import _distinct
+    r = np.random.default_rng(n)
+    # alike in all but the lowest bits, so that places do not fit below them
+    x = r.integers(0, 40, n).astype(np.uint64) + np.uint64(7 << 60)
+    keys, number, at, starts = _distinct(x)
+    want = np.unique(x, return_inverse=True, return_index=True)
+    assert (keys == want[0]).all() and (number == want[2]).all() and (at[starts] == want[1]).all()
+    assert sorted(at.tolist()) == list(range(n))
+
+
 def test_next_symbols_sum_to_one():
     from geoq.llm.lm_score import SuffixTree, _BITS
     tree = SuffixTree(np.array([0.4, 0.1, 0.3, 0.2]))
