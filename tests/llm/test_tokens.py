@@ -44,6 +44,26 @@ def test_encoder_cache_generations(monkeypatch):
         assert made.encode([t.encode() for t in texts[i:i + 7]]) == [encode(t).tobytes() for t in texts[i:i + 7]]
 
 
+def test_older_generation_is_not_added_again(monkeypatch):
+    import geoq.llm.encoders as E
+    monkeypatch.setattr(E, "CACHE_BYTE_PARTS", 20)
+    encode, made, added = plain(BYTE_VOCABULARY), ByteLevelEncoder(vocabulary(BYTE_VOCABULARY)), []
+    add = made.cache.add
+    monkeypatch.setattr(made.cache, "add", lambda missing: (added.extend(missing), add(missing)))
+    for text in (" ".join(f"w{i}" for i in range(15)), " ".join(f"v{i}" for i in range(15)), "w3 w4 w5"):
+        assert made.encode([text.encode()]) == [encode(text).tobytes()]
+    assert len(added) == len(set(added)) and {b"w3", b"v3"} < set(added)
+
+
+def test_parts_between_line_feeds(monkeypatch):
+    import geoq.llm.encoders as E
+    monkeypatch.setattr(E, "LINES_AT_ONCE", 3)
+    monkeypatch.setattr(E._Library, "together", None)  # parts that stand alone need no special tokens
+    encode, made = plain(BYTE_VOCABULARY), ByteLevelEncoder(vocabulary(BYTE_VOCABULARY))
+    texts = ["a\nb <|endoftext|> it's\nit's", "\ud7ff x\ty\u0085z \u00e9\u3000q 12,5!", "\n\n a", "w\n", "\nw", " ", "<|\n|>", "a\u00a0 b", "\x1c \x1c"]
+    assert made.encode([t.encode() for t in texts]) == [encode(t).tobytes() for t in texts]
+
+
 def test_token_files_round_trip(spark):
     path, encode = scratch_path(spark, "test"), plain(BYTE_VOCABULARY)
     write_token_files(table(spark, corpus() + [(None, "no id")]), path, vocabulary(BYTE_VOCABULARY))
