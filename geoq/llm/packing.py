@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoq.llm.common import batch_of, byte_texts, id_and_text, materialise
-from geoq.llm.encoders import WordEncoder, encoder
+from geoq.llm.encoders import WordEncoder, encoder, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -50,8 +50,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), byte_texts(batch.column(1))
             rows: list[list] = [[] for _ in range(7)]
-            for at in range(0, len(texts), 256):
-                for doc, data in zip(ids[at:at + 256], enc.encode(texts[at:at + 256])):
+            for at, to in slices(texts):
+                for doc, data in zip(ids[at:to], enc.encode(texts[at:to])):
                     data += end
                     for k, i in enumerate(range(0, len(data), 4 * capacity)):
                         piece = data[i:i + 4 * capacity]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoq.llm.common import batch_of, byte_texts, id_and_text
-from geoq.llm.encoders import ByteLevelEncoder, encoder
+from geoq.llm.encoders import ByteLevelEncoder, encoder, slices
 
 END_ID = 2
 
@@ -39,8 +39,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = byte_texts(batch.column(1))
-            for at in range(0, len(texts), 512):
-                coded = [x + end for x in enc.encode(texts[at:at + 512])]
+            for at, to in slices(texts):
+                coded = [x + end for x in enc.encode(texts[at:to])]
                 n = np.array([len(x) // 4 for x in coded], np.int64)
                 edges = np.concatenate([[0], np.cumsum(n)])
                 ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()),

@@ -64,6 +64,24 @@ def test_parts_between_line_feeds(monkeypatch):
     assert made.encode([t.encode() for t in texts]) == [encode(t).tobytes() for t in texts]
 
 
+@pytest.mark.parametrize("kind,name", ENCODERS)
+def test_words_of_letters_go_to_the_model_alone(monkeypatch, kind, name):
+    import geoq.llm.encoders as E
+    monkeypatch.setattr(E, "PIECES_AT_ONCE", 2)
+    monkeypatch.setattr(E, "BYTES_AT_ONCE", 30)
+    monkeypatch.setattr(E._Library, "lines", lambda self, texts, line_feed: [] if not texts else 1 / 0)
+    encode, made = plain(name), kind(vocabulary(name))
+    # special tokens and line feeds are not needed for these
+    texts = ["Straße Über ÀÿÞ die über, die Straße. die", "a\nAb b.\nÖl", "", "x", "enchachheit ß en!? ciónñ ciónñn; ÄÖÜäöüß\nÿ"]
+    monkeypatch.setattr(E._Library, "together", lambda self, texts: [b""] * len(texts) if not any(texts) else 1 / 0)
+    assert made.encode([t.encode() for t in texts]) == [encode(t).tobytes() for t in texts]
+    # a part is looked up once for all its places and tails
+    asked, of = [], made.cache.of
+    monkeypatch.setattr(made.cache, "of", lambda parts: (asked.extend(parts), of(parts))[1])
+    assert made.encode([b"der der, der. der; xyz der"]) == [encode("der der, der. der; xyz der").tobytes()]
+    assert len(asked) == len(set(asked)) and {x.strip() for x in asked} == {b"der", b"xyz"}
+
+
 def test_token_files_round_trip(spark):
     path, encode = scratch_path(spark, "test"), plain(BYTE_VOCABULARY)
     write_token_files(table(spark, corpus() + [(None, "no id")]), path, vocabulary(BYTE_VOCABULARY))
