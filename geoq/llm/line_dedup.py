@@ -13,8 +13,6 @@ cut into sentences, and so are runs of sentences met inside it.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,7 +24,9 @@ from geoq.llm.common import KeyFilter, batch_of, byte_texts, materialise
 #: Words that make a line long, and least words of a run that may go.
 LONG_LINE, MIN_WORDS = 30, 16
 
-_SENTENCE = re.compile(rb"(?<=[.!?]) ")
+#: 1 for the white space between words, and for the ends of sentences.
+_SPACE = bytes(b in b" \t\n\v\f\r" for b in range(256))
+_END = bytes(b in b".!?" for b in range(256))
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,38 +39,43 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _units(text: bytes, units: list[tuple]) -> None:
-    """Appends ``(start, end, words, after a space, hash)`` of each line, or
-    sentence of a long line.  One byte separates units."""
-    at, digest = 0, xxhash.xxh64_intdigest
-    for line in text.split(b"\n"):
-        words = len(line.split())
-        if words < LONG_LINE:
-            units.append((at, at + len(line), words, False, digest(line)))
-        else:
-            cuts = [0, *(m.end() for m in _SENTENCE.finditer(line)), len(line) + 1]
-            for i, j in zip(cuts, cuts[1:]):
-                part = line[i:j - 1]
-                units.append((at + i, at + j - 1, len(part.split()), i > 0, digest(part)))
-        at += len(line) + 1
+def _units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``(text's number, start, end, words, after a space, hash)`` of each
+    line, or sentence of a long line, in text order.  One byte separates
+    units; an empty text has none."""
+    data = b"\n".join(texts)
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+    d = np.frombuffer(data, np.uint8)
+    space = np.frombuffer(b"\1" + data.translate(_SPACE), np.uint8)
+    word_starts = np.flatnonzero(space[1:] < space[:-1])
+    lines = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(d == 10) + 1])
+    long = np.diff(np.searchsorted(word_starts, np.append(lines, len(d)))) >= LONG_LINE
+    # a space after the end of a sentence, in a long line
+    cuts = np.flatnonzero(np.frombuffer(data.translate(_END), np.uint8)) + 1
+    cuts = cuts[cuts < len(d)]
+    cuts = cuts[d[cuts] == 32] + 1
+    cuts = cuts[long[np.searchsorted(lines, cuts - 1, "right") - 1]]
+    start = np.concatenate([lines, cuts])
+    order = np.argsort(start, kind="stable")
+    start, spaced = start[order], order >= len(lines)
+    end = np.append(start[1:] - 1, len(d))
+    text = np.searchsorted(text_starts, start, "right") - 1
+    some = np.fromiter(map(bool, texts), bool, len(texts))[text]
+    text, start, end, spaced = text[some], start[some], end[some], spaced[some]
+    words = np.searchsorted(word_starts, end) - np.searchsorted(word_starts, start)
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(data[i:j]) for i, j in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+    return text, start - text_starts[text], end - text_starts[text], words, spaced, h
 
 
 def _chunks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """``(text's number, start, end, hash)`` of the windows of all texts, in
     text order; ``end`` leaves out the separator after."""
-    units: list[tuple] = []
-    sizes = []
-    for text in texts:
-        before = len(units)
-        if text:
-            _units(text, units)
-        sizes.append(len(units) - before)
-    n = len(units)
     empty = np.zeros(0, np.int64)
-    if not n:
+    if not any(texts):
         return empty, empty, empty, empty
-    start, end, words, spaced, h = (np.array(x, t) for x, t in zip(zip(*units), (np.int64, np.int64, np.int64, bool, np.uint64)))
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    doc, start, end, words, spaced, h = _units(texts)
+    n = len(doc)
     # shortest runs from each unit on and up to each unit: words enough, and two units or a long one
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(words)])
     each, short = np.arange(n), (words < LONG_LINE).astype(np.int64)
@@ -130,6 +135,26 @@ def _repeated(occurrences: DataFrame) -> DataFrame:
     return (occurrences.repartition("hash").sortWithinPartitions("hash", "doc", "key", "start").mapInArrow(follow, _REPEATED))
 
 
+def _passages(key: pa.Array, spans: pa.ListArray) -> tuple | None:
+    """``key, start, end, first_key, first_start`` of the passages that the
+    listed windows of each key make up; None of no windows."""
+    start, end, first_key, first_start = (spans.flatten().field(i).to_numpy() for i in range(4))
+    if not len(start):
+        return None
+    row = np.repeat(np.arange(len(key)), np.diff(spans.offsets.to_numpy()))
+    shift = start.astype(np.int64) - first_start
+    order = np.lexsort((start, shift, first_key, row))
+    start, end, first_key, shift, row = (x[order] for x in (start, end, first_key, shift, row))
+    alike = np.concatenate([[False], (row[1:] == row[:-1]) & (first_key[1:] == first_key[:-1]) & (shift[1:] == shift[:-1])])
+    # the furthest end so far among windows alike: those of later groups lie higher
+    base = np.cumsum(~alike) * (int(end.max()) + 2)
+    furthest = np.maximum.accumulate(end + base)
+    fresh = np.flatnonzero(~alike | np.concatenate([[True], start[1:] + base[1:] > furthest[:-1]]))
+    last = np.append(fresh[1:], len(row)) - 1
+    return (key.take(pa.array(row[fresh])), start[fresh], (furthest - base)[last].astype(np.int32), first_key[fresh],
+            (start[fresh] - shift[fresh]).astype(np.int32))
+
+
 def _merged(repeated: DataFrame) -> DataFrame:
     """Overlapping windows of a document whose firsts overlap alike are one
     passage, compared once."""
@@ -137,18 +162,9 @@ def _merged(repeated: DataFrame) -> DataFrame:
 
     def merge(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for key, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                spans = sorted((s["first_key"], s["start"] - s["first_start"], s["start"], s["end"]) for s in spans)
-                at = None
-                for first_key, shift, start, end in spans:
-                    if at is not None and at[0] == (first_key, shift) and start <= at[2]:
-                        at[2] = max(at[2], end)
-                    else:
-                        at = [(first_key, shift), start, end]
-                        rows.append((key, at))
-            yield batch_of(schema, [k for k, _ in rows], [a[1] for _, a in rows], [a[2] for _, a in rows],
-                           [a[0][0] for _, a in rows], [a[1] - a[0][1] for _, a in rows])
+            found = _passages(b.column(0), b.column(1))
+            if found is not None:
+                yield batch_of(schema, *found)
 
     return (repeated.groupBy("key").agg(F.collect_list(F.struct("start", "end", "first_key", "first_start")).alias("spans"))
             .mapInArrow(merge, _REPEATED))

@@ -177,6 +177,68 @@ def test_chunks_move_with_the_text():
     assert {line for c in shared for line in c.decode().split("\n")} >= set(passage.split("\n")[2:-2])
 
 
+def calls(fn, *args):
+    """Calls that Python makes or enters while ``fn`` runs."""
+    import sys
+    count = [0]
+
+    def see(frame, event, arg):
+        count[0] += event in ("call", "c_call")
+    sys.setprofile(see)
+    try:
+        fn(*args)
+    finally:
+        sys.setprofile(None)
+    return count[0]
+
+
+def test_units_of_many_texts_at_once():
+    from geoq.llm.line_dedup import _chunks, _units
+    r = random.Random(5)
+    texts = ["".join(r.choice(["a", "b. ", "c ", "\n", "! ", "é? ", "\t", "\v", "  ", "w x y z "]) for _ in range(r.randrange(0, 400))).encode()
+             for _ in range(200)] + [b"", b"\n", b". ", b"\n\n", b"x y. " * 40, b""]
+    want = []
+    for k, text in enumerate(texts):
+        at = 0
+        for line in text.split(b"\n") if text else ():
+            parts = re.sub(rb"([.!?]) ", rb"\1\n", line).split(b"\n") if len(line.split()) >= 30 else [line]
+            for i, part in enumerate(parts):
+                want.append((k, at, at + len(part), len(part.split()), i > 0))
+                at += len(part) + 1
+    *got, _ = _units(texts)
+    assert list(zip(*(x.tolist() for x in got))) == want
+    assert calls(_chunks, texts) < 2.3 * len(want) + 500  # a hash for each unit, little else
+
+
+def test_passages_of_many_windows_at_once():
+    import pyarrow as pa
+
+    from geoq.llm.line_dedup import _passages
+    r, rows = random.Random(6), []
+    for key in range(300):
+        spans = []
+        for _ in range(r.randrange(1, 12)):
+            start, first = r.randrange(60), r.randrange(3)
+            spans.append({"start": start, "end": start + r.randrange(1, 12), "first_key": first, "first_start": max(0, start - 5 * r.randrange(2))})
+        rows.append((key - 150, spans))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_key", pa.int64()), ("first_start", pa.int32())]))
+    keys, spans = pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], kind)
+    want = []
+    for key, listed in rows:
+        at = None
+        for first, shift, start, end in sorted((s["first_key"], s["start"] - s["first_start"], s["start"], s["end"]) for s in listed):
+            if at is not None and at[0] == (first, shift) and start <= at[2]:
+                at[2] = max(at[2], end)
+            else:
+                at = [(first, shift), start, end]
+                want.append((key, at))
+    want = [(key, i, j, first, i - shift) for key, ((first, shift), i, j) in want]
+    assert list(zip(*(x.tolist() for x in _passages(keys, spans)))) == want
+    assert _passages(keys[150:], spans[150:])[0].tolist() == [w[0] for w in want if w[0] >= 0]
+    assert _passages(keys[:0], spans[:0]) is None
+    assert calls(_passages, keys, spans) < 300  # however many windows there are
+
+
 def runs_of(data):
     """``(start, end)`` of all runs of lines that may go, by their definition:
     16 words, and two lines or a line (or sentence of one) of 30 words."""
