@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: parts, which differ by case and punctuation.  Parts encoded at once; lines;
 #: bytes of text whose parts are numbered at once (one text at least).
 CACHE_PARTS, CACHE_BYTE_PARTS, PARTS_AT_ONCE, LINES_AT_ONCE = 300_000, 500_000, 2_000, 100
-PIECES_AT_ONCE, BYTES_AT_ONCE = 150, 4 << 20
+PIECES_AT_ONCE, BYTES_AT_ONCE = 150, 2 << 20
 #: Punctuation that the pre-tokenizers part from a letter or digit before it.
 TAIL = b".,;:!?%*&$#"
 #: Parts that both pre-tokenizers leave in one piece: letters of ASCII and Latin-1.

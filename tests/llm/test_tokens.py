@@ -82,6 +82,15 @@ def test_words_of_letters_go_to_the_model_alone(monkeypatch, kind, name):
     assert len(asked) == len(set(asked)) and {x.strip() for x in asked} == {b"der", b"xyz"}
 
 
+def test_slices_hold_every_text_once(monkeypatch):
+    import geoq.llm.encoders as E
+    monkeypatch.setattr(E, "BYTES_AT_ONCE", 10)
+    texts = [b"", b"a" * 25, b"bb", b"", b"c" * 8, b"d", b""]
+    assert list(E.slices(texts)) == [(0, 2), (2, 5), (5, 7)] and list(E.slices([])) == []
+    made, encode = WordEncoder(vocabulary(WORD_VOCABULARY)), plain(WORD_VOCABULARY)
+    assert made.encode(texts) == [encode(t.decode()).tobytes() for t in texts]
+
+
 def test_token_files_round_trip(spark):
     path, encode = scratch_path(spark, "test"), plain(BYTE_VOCABULARY)
     write_token_files(table(spark, corpus() + [(None, "no id")]), path, vocabulary(BYTE_VOCABULARY))
