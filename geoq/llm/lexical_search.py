@@ -7,7 +7,10 @@ documents, only non-empty cells are kept as four bits a cell in level order,
 and each cell's greatest impact as the difference to its parent's.  As rows
 are far more than columns, the upper levels halve terms only.  The last cells
 are one term by ``LEAF`` documents and list their impacts.  Blocks are built by
-the tasks that read the documents; no text or posting is shuffled.
+the tasks that read the documents; no text or posting is shuffled.  Parts of a
+block are stored compressed, one block a row group, and opened one block at a
+time: neither Spark nor a task holds more of the index than a batch of packed
+blocks, however many a task gets.
 
 A search walks down the paths of all of an item's rows together, best first
 over ranges of documents: a range's bound is the weighted sum of its cells'
@@ -27,8 +30,10 @@ their own.  An empty table, an item without known terms and documents of score
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,8 @@ from geoq.llm.common import byte_texts, materialise
 BLOCK_DOCS, BLOCK_POSTINGS, LEAF = 2048, 1 << 19, 64
 #: Fixed values of the score: scale, tf factor, length factor, share of the length in percent.
 SCALE, TF_FACTOR, LENGTH_FACTOR, LENGTH_SHARE = 1_000_000_000, 1000, 12, 25
+#: Texts of a batch that are bytes at once.
+TEXTS_AT_ONCE = 64
 #: Items searched for at once, and their terms together.
 ITEMS_AT_ONCE, TERMS_AT_ONCE = 4096, 1_000_000
 
@@ -57,7 +64,8 @@ def length_norm(n: int, docs: int, total: int) -> int:
     return 100 - LENGTH_SHARE + (LENGTH_SHARE * n * docs) // total
 
 
-def impact(tf: int, norm: int) -> int:
+def impact(tf, norm):
+    """Of one document and term, or of arrays of them."""
     return SCALE * tf // (TF_FACTOR * tf + LENGTH_FACTOR * norm)
 
 
@@ -69,11 +77,17 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
 
 
+def _few_texts(column: pa.Array):
+    """The bytes of a column's texts, a few at a time."""
+    for at in range(0, len(column), TEXTS_AT_ONCE):
+        yield from byte_texts(column.slice(at, TEXTS_AT_ONCE))
+
+
 def collection_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with at least one term, and all their terms with repeats."""
     def counted(batches):
         for batch in batches:
-            sizes = [len(terms_of(t)) for t in byte_texts(batch.column(0))]
+            sizes = [len(terms_of(t)) for t in _few_texts(batch.column(0))]
             yield pa.RecordBatch.from_pydict({"docs": pa.array([sum(n > 0 for n in sizes)], pa.int64()), "terms": pa.array([sum(sizes)], pa.int64())})
     row = docs.select(F.col(text_col).alias("text")).where("text is not null") \
         .mapInArrow(counted, "docs bigint, terms bigint").agg(F.sum("docs"), F.sum("terms")).first()
@@ -126,47 +140,80 @@ def build_block(rows: np.ndarray, cols: np.ndarray, impacts: np.ndarray, n_terms
 _BLOCK = "n_docs int, doc_ids binary, terms binary, dfs binary, top int, cells binary, less binary, sizes binary, places binary, impacts binary"
 _BLOCK_ARROW = pa.schema([("n_docs", pa.int32()), ("doc_ids", pa.binary()), ("terms", pa.binary()), ("dfs", pa.binary()), ("top", pa.int32()),
                           ("cells", pa.binary()), ("less", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()), ("impacts", pa.binary())])
+#: How the index is written: one block a row group (the writer looks at its size
+#: only after a hundred rows), and packed parts as they are.
+_STORED = {"compression": "uncompressed", "parquet.block.row.count.limit": "1", "parquet.enable.dictionary": "false"}
 _LAST = np.iinfo(np.int64).max
 
 
+def _packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + (pa.compress(data, "zstd", asbytes=True) if data else b"")
+
+
+def _unpacked(data: pa.Buffer) -> bytes:
+    size = int.from_bytes(data.slice(0, 8).to_pybytes(), "little")
+    return pa.decompress(data.slice(8), size, "zstd", asbytes=True) if size else b""
+
+
+def _rows_of(batches):
+    """The rows of an index, or of some of its columns, unpacked one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: _unpacked(c[i].as_buffer()) if pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type) else c[i].as_py()
+                   for name, c in zip(batch.schema.names, batch.columns)}
+
+
+class _Held:
+    """The documents of a block to be, their terms by number."""
+
+    def __init__(self):
+        self.docs, self.lengths, self.sizes = array("q"), array("q"), array("q")
+        self.numbers: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.terms, self.tfs = array("i"), array("i")  # a number for each posting
+
+    def add(self, doc: int | None, counts: Counter, length: int) -> None:
+        self.docs.append(_LAST if doc is None else doc)
+        self.lengths.append(length)
+        self.sizes.append(len(counts))
+        self.terms.extend(map(self.numbers.__getitem__, counts))
+        self.tfs.extend(counts.values())
+
+    def block(self, n_all: int, l_all: int) -> dict:
+        """Documents in order of their ids, terms in order of their bytes."""
+        order = np.argsort(np.frombuffer(self.docs, np.int64), kind="stable")
+        col_of = np.empty(len(order), np.int32)
+        col_of[order] = np.arange(len(order), dtype=np.int32)
+        terms = sorted(self.numbers)
+        row_of = np.empty(len(terms), np.int32)
+        row_of[list(map(self.numbers.__getitem__, terms))] = np.arange(len(terms), dtype=np.int32)
+        rows = row_of[np.frombuffer(self.terms, np.int32)]
+        norms = np.repeat(np.array([length_norm(n, n_all, l_all) for n in self.lengths], np.int64), self.sizes)
+        impacts = impact(np.frombuffer(self.tfs, np.int32).astype(np.int64), norms).astype(np.int32)
+        tree = build_block(rows, np.repeat(col_of, self.sizes), impacts, len(terms), len(order))
+        return {"n_docs": len(order), "doc_ids": np.frombuffer(self.docs, np.int64)[order].tobytes(), "terms": b" ".join(terms),
+                "dfs": np.bincount(rows, minlength=len(terms)).astype(np.uint32).tobytes(), **tree}
+
+
 def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index as a table with one row a block; write it once, search it
     often.  ``size`` is the documents' ``collection_size``."""
-    n_all, l_all = size
-
     def block(held):
-        held.sort(key=lambda d: _LAST if d[0] is None else d[0])
-        terms = sorted(set().union(*(c for _, c, _ in held)))
-        row = {t: i for i, t in enumerate(terms)}
-        rows, cols, impacts = [], [], []
-        for col, (_, counts, n) in enumerate(held):
-            norm, known = length_norm(n, n_all, l_all), {}
-            rows.extend(map(row.__getitem__, counts))
-            cols.append(len(counts))
-            for tf in counts.values():
-                if tf not in known:
-                    known[tf] = impact(tf, norm)
-            impacts.extend(map(known.__getitem__, counts.values()))
-        rows = np.array(rows, np.int64)
-        tree = build_block(rows, np.repeat(np.arange(len(held)), cols), np.array(impacts, np.int64), len(terms), len(held))
-        whole = {"n_docs": len(held), "doc_ids": np.array([_LAST if d is None else d for d, _, _ in held], np.int64).tobytes(),
-                 "terms": b" ".join(terms), "dfs": np.bincount(rows, minlength=len(terms)).astype(np.uint32).tobytes(), **tree}
+        whole = {k: _packed(v) if isinstance(v, bytes) else v for k, v in held.block(*size).items()}
         return pa.RecordBatch.from_pylist([whole], schema=_BLOCK_ARROW)
 
     def blocks(batches):
-        held, postings = [], 0
+        held = _Held()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1))):
+            for doc, text in zip(batch.column(0).to_pylist(), _few_texts(batch.column(1))):
                 terms = terms_of(text)
                 if not terms:
                     continue
                 counts = Counter(terms)
-                if held and (len(held) >= BLOCK_DOCS or postings + len(counts) > BLOCK_POSTINGS):
-                    yield block(held)
-                    held, postings = [], 0
-                held.append((doc, counts, len(terms)))
-                postings += len(counts)
-        if held:
+                if held.docs and (len(held.docs) >= BLOCK_DOCS or len(held.terms) + len(counts) > BLOCK_POSTINGS):
+                    full, held = block(held), _Held()
+                    yield full
+                held.add(doc, counts, len(terms))
+        if held.docs:
             yield block(held)
 
     return _texts(docs, id_col, text_col).mapInArrow(blocks, _BLOCK)
@@ -255,11 +302,10 @@ class Block:
 def _document_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     """How many documents hold each of ``wanted``."""
     def found(batches):
-        for batch in batches:
-            for terms, dfs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = np.frombuffer(dfs, np.uint32)
-                hits = [(t, int(counts[i])) for i, t in enumerate(terms.split(b" ")) if t in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in hits], pa.binary()), pa.array([n for _, n in hits], pa.int64())], names=["term", "n"])
+        for row in _rows_of(batches):
+            counts = np.frombuffer(row["dfs"], np.uint32)
+            hits = [(t, int(counts[i])) for i, t in enumerate(row["terms"].split(b" ")) if t in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in hits], pa.binary()), pa.array([n for _, n in hits], pa.int64())], names=["term", "n"])
     rows = index.select("terms", "dfs").mapInArrow(found, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     return {bytes(r["term"]): r["n"] for r in rows.collect()}
 
@@ -293,11 +339,10 @@ def search_index(index: DataFrame, size: tuple[int, int], items: DataFrame, k: i
 
         def searched(batches, queries=queries, first=done):
             best = [[] for _ in queries]
-            for batch in batches:
-                for row in batch.to_pylist():
-                    block = Block(row)
-                    for query, heap in zip(queries, best):
-                        block.search(query, heap, k)
+            for block in map(Block, _rows_of(batches)):
+                for query, heap in zip(queries, best):
+                    block.search(query, heap, k)
+                del block  # before the next is opened
             rows = [(first + i, -d, s) for i, heap in enumerate(best) for s, d in heap]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["item_no", "doc_id", "score"])
 
@@ -318,5 +363,5 @@ def search_documents(docs: DataFrame, items: DataFrame, k: int = 20, *, id_col:
                      item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Index of ``docs``, written, then searched for every row of ``items``."""
     size = collection_size(docs, text_col)
-    index = materialise(build_index(docs, size, id_col, text_col), "lexical-index")
+    index = materialise(build_index(docs, size, id_col, text_col), "lexical-index", **_STORED)
     return search_index(index, size, items, k, item_col, item_text_col)

@@ -7,7 +7,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +185,78 @@ def test_search_opens_few_ranges():
     assert opened == [7] and sorted(best, reverse=True)[0] == (2700, -448)
 
 
+def test_index_is_stored_one_block_a_row_group(spark):
+    """A task's blocks are neither written nor read together."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from geoq.llm import lexical_search as ls
+    from geoq.session import checkpoint_dir
+    found = lambda: set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/geoq-lexical-index-*"))
+    before, n = found(), 3 * ls.BLOCK_DOCS
+    docs = spark.createDataFrame([(n - i, f"w{i % 50}x all") for i in range(n)], "doc_id bigint, text string").coalesce(1)
+    got = ls.search_documents(docs, spark.createDataFrame([(1, "w7x")], "item_id bigint, text string"), 20).collect()
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(n - i for i in range(n) if i % 50 == 7)[:20]
+    folder, = found() - before
+    groups = [m.row_group(g).num_rows for m in map(pq.read_metadata, glob.glob(f"{folder}/*.parquet")) for g in range(m.num_row_groups)]
+    assert groups == [1, 1, 1]
+
+
+def test_blocks_are_built_and_opened_in_little_memory(monkeypatch):
+    """Of a large batch of texts, or of blocks, a few are taken at a time."""
+    import gc
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from geoq.llm import lexical_search as ls
+
+    class Docs:
+        def mapInArrow(self, fn, schema):  # noqa: N802
+            return fn
+
+    monkeypatch.setattr(ls, "_texts", lambda *a: Docs())
+    n, empty = 12000, pa.nulls(0, pa.string())
+    texts = pa.array([f"w{i % 9}x" + " " * 4000 + "w1x" for i in range(n)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), texts], names=["doc_id", "text"])
+    gc.collect()
+    tracemalloc.start()
+    try:
+        blocks = list(ls.build_index(None, (n, 2 * n))(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b["n_docs"][0].as_py() for b in blocks) == n and len(blocks) == 6
+    assert texts.nbytes > 48e6 and most < 12e6
+    gc.collect()
+    gc.disable()  # what a block held goes without the collector of cycles
+    try:
+        tables = lambda: sum(type(x) in (defaultdict, ls._Held) for x in gc.get_objects())
+        before = tables()
+        assert len(list(ls.build_index(None, (n, 2 * n))(iter([batch])))) == 6 and tables() == before
+    finally:
+        gc.enable()
+    assert list(ls._few_texts(empty)) == []
+    whole = pa.Table.from_batches(blocks).combine_chunks().to_batches()
+    assert len(whole) == 1
+    opened = ls._rows_of(whole)
+    rows = [next(opened)["n_docs"], *(r["n_docs"] for r in opened)]
+    assert rows == [2048] * 5 + [n - 5 * 2048]
+    block = ls.Block(next(ls._rows_of(whole)))
+    assert sorted(block.rows) == [f"w{i}x".encode() for i in range(9)] and block.doc_ids.tolist() == list(range(2048))
+
+
+def test_packed_parts_come_back():
+    import pyarrow as pa
+
+    from geoq.llm import lexical_search as ls
+    parts = [b"", b"a", bytes(range(256)) * 5000]
+    for kind in (pa.binary(), pa.large_binary()):
+        assert [ls._unpacked(x.as_buffer()) for x in pa.array(map(ls._packed, parts), kind)] == parts
+    assert len(ls._packed(parts[2])) < 20_000
+
+
 # -------------------------------------------------------- op13: fingerprints
 
 def _edit_rows():
